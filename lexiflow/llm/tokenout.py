@@ -30,20 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import cut, mix, scratch
-from lexiflow.llm.tokens import WordTokenizer, default_tokenizer
+from lexiflow.llm.tokens import default_tokenizer, encoder
 
 WINDOW, CLOSE, PAD, KEY, SHARD_SEQUENCES, ROUNDS = 2048, 1, 0, 20_240_229, 4096, 6
 
-_encoders: dict[str, WordTokenizer] = {}
-
-
-def _encoder(path: str) -> WordTokenizer:
-    """One for each worker process, so that the second pass finds the first one's words."""
-    if path not in _encoders:
-        _encoders[path] = WordTokenizer(path)
-    return _encoders[path]
-
-
 def feistel(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.ndarray:
     """A permutation of 0..n-1 that ``key`` chooses, or its inverse; values that fall outside walk on along their cycle."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
@@ -86,6 +76,18 @@ def materialise(
     window: int = WINDOW, key: int = KEY, shard_sequences: int = SHARD_SEQUENCES, wide: bool = False,
 ) -> Output:
     """Writes the shards below ``path`` (a shared folder; else one of its own).  ``wide``: 32-bit ids, else 16-bit."""
+    spark = docs.sparkSession
+    splits = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    # Splits of files depend on the cores there are; both passes must see the same ones.
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", splits or spark.sparkContext.defaultParallelism)
+    try:
+        return _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_sequences, wide)
+    finally:
+        if splits is None:
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_sequences, wide) -> Output:
     spark = docs.sparkSession
     path, words = path or scratch(spark, "tokens"), tokenizer or default_tokenizer()
     dtype = np.dtype("<u4" if wide else "<u2")
@@ -95,7 +97,7 @@ def materialise(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            n += int(_encoder(words).counts(batch.column(1)).sum()) + batch.num_rows
+            n += int(encoder(words).counts(batch.column(1)).sum()) + batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["part", "ids"])
 
     counts = {r.part: r.ids for r in rows.mapInArrow(count, "part long, ids long").collect()}
@@ -125,7 +127,7 @@ def materialise(
 
         for batch in batches:
             doc_ids, out = batch.column(0).to_pylist(), []
-            for row, ids, offsets in _encoder(words).encode(batch.column(1)):
+            for row, ids, offsets in encoder(words).encode(batch.column(1)):
                 if not wide and len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("ids of this vocabulary need wide=True")
                 closed = np.insert(ids, offsets[1:], CLOSE)

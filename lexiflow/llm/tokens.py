@@ -184,3 +184,13 @@ class WordTokenizer:
             ends = np.cumsum(size)
             ids = self.pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
             yield row, ids, np.concatenate([[0], ends])[first]
+
+
+_encoders: dict[str, WordTokenizer] = {}
+
+
+def encoder(path: str) -> WordTokenizer:
+    """One for each worker process: later tasks and passes find the words of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = WordTokenizer(path)
+    return _encoders[path]

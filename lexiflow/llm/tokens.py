@@ -139,6 +139,8 @@ class WordTokenizer:
 
     def _places(self, words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The cache place of every span."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
         hashes = words.hash_spans(starts, ends)
         found = self.index.find(hashes)
         missing = np.flatnonzero(found < 0)
@@ -168,7 +170,8 @@ class WordTokenizer:
         out = [np.zeros(0, np.int64)]
         for _, words in self._chunks(column):
             starts, ends, first = _pieces(words)
-            size = np.concatenate([[0], np.cumsum(self.size[self._places(words, starts, ends)])]) if len(starts) else np.zeros(1, np.int64)
+            place = self._places(words, starts, ends)  # may start the cache anew: before its sizes are read
+            size = np.concatenate([[0], np.cumsum(self.size[place])])
             out.append(np.diff(size[first]))
         return np.concatenate(out)
 

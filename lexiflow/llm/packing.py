@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lexiflow.llm.tokens import WordTokenizer, default_tokenizer
+from lexiflow.llm.tokens import default_tokenizer, encoder
 
 WINDOW = 2048
 #: The closing id of every document.
@@ -132,7 +132,7 @@ def pack_documents(
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(path)
+        words = encoder(path)
         packer = _Packer(window, piece, group_windows, slack, TaskContext.get().partitionId())
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         rows: list[tuple] = []
@@ -143,7 +143,7 @@ def pack_documents(
 
         for part in batches:
             ids_of = part.column(0).to_pylist()
-            for row, ids, offsets in encoder.encode(part.column(1)):
+            for row, ids, offsets in words.encode(part.column(1)):
                 closed = np.insert(ids, offsets[1:], CLOSE).astype("<u4")
                 offsets = (offsets + np.arange(len(offsets))).tolist()
                 for i in range(len(offsets) - 1):

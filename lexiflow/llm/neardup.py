@@ -15,7 +15,8 @@ probability 7e-5, at 80 % with 6e-4, at 90 % with 3e-6.
 5. Only where a leader has several blocks that components don't join yet, pairs of blocks are
    verified in the same way, so no link between different texts is lost to the blocks.
 
-Everything that is sent on is in tables of the shared folder; nothing per document reaches the driver.
+Joins of per-document tables are merge joins at every size: none of these tables has a bound, and the plan
+that is tested small is the one that runs large.  Everything that is sent on is in tables of the shared folder; nothing per document reaches the driver.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; a text of fewer words
 has one shingle, all its words; several rows of one doc_id are one document; a null doc_id has no
@@ -140,7 +141,7 @@ def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def _verified(placed: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(u, v), u > v: links within each group of ``placed`` (g, h, rep)."""
     texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
-    rows = placed.join(texts, "rep").select("g", "h", "rep", "text").repartition("g", "h").sortWithinPartitions("g", "h")
+    rows = placed.hint("merge").join(texts, "rep").select("g", "h", "rep", "text").repartition("g", "h").sortWithinPartitions("g", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, reps, sets = None, [], []
@@ -201,11 +202,11 @@ def _memberships(reps: DataFrame) -> DataFrame:
     keys = F.array(*(F.xxhash64(left, right, F.lit(i * SIDE + j)) for i, left in enumerate(sides[0]) for j, right in enumerate(sides[1])))
     rows = reps.select("rep", "n", F.explode(keys).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = cut(rows.join(shared, "key"), "buckets")
+    rows = cut(rows.hint("merge").join(shared, "key"), "buckets")
     weight = rows.groupBy("rep").agg(F.sum("size").alias("weight"))
-    rows = rows.join(weight, "rep")
+    rows = rows.hint("merge").join(weight, "rep")
     leader = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("leader"))
-    return rows.join(leader, "key").select("leader", "rep", "n").distinct()
+    return rows.hint("merge").join(leader, "key").select("leader", "rep", "n").distinct()
 
 
 def component_table(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +218,7 @@ def component_table(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = cut(_memberships(reps.select("rep", "n", "keys")), "memberships")
     release(spark)
     blocks = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = cut(members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("rep", "leader"), F.col("blocks")).cast("int")), "blocks")
+    members = cut(members.hint("merge").join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("rep", "leader"), F.col("blocks")).cast("int")), "blocks")
     links = cut(_verified(members.select(F.col("leader").alias("g"), F.col("block").alias("h"), "rep"), docs, id_col, text_col, words, percent), "links")
     release(spark)
     # Copies of one document that differ from row to row tie their sets' representatives together.
@@ -235,7 +236,7 @@ def component_table(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         more = _verified(pairs.select(F.col("leader").alias("g"), "h", "rep"), docs, id_col, text_col, words, percent)
         labels = connected(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     classes = reps.select("a", "b", "n", "rep").join(labels, reps["rep"] == labels["node"], "left").select("a", "b", "n", F.coalesce("component", "rep").alias("_component"))
-    out = sketches.select("doc_id", "n", "a", "b").join(classes, ["a", "b", "n"], "left")
+    out = sketches.select("doc_id", "n", "a", "b").hint("merge").join(classes, ["a", "b", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

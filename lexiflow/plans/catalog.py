@@ -1,9 +1,307 @@
-"""All queries of the engine, by name."""
+"""All queries of the engine, by name, with their SQL for DuckDB where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiflow.functions import scores as S
+from lexiflow.functions import text as T
+from lexiflow.functions import values as V
+from lexiflow.operators import keywords as K
+from lexiflow.operators import lexicon as L
+from lexiflow.operators import spans, tagging
+from lexiflow.operators import words as W
+from lexiflow.plans import sql as Q
+from lexiflow.sources import html as H
+from lexiflow.sources import tables as B
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _paras(spark: SparkSession, d: str) -> DataFrame:
+    return B.paragraphs(B.table(spark, d, "documents"))
+
+
+def _freq(spark: SparkSession, d: str) -> DataFrame:
+    return B.frequency_list(B.table(spark, d, "documents"))
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+@_query(f"""{Q.BASE}, n AS (SELECT doc_id, term, count(*)::BIGINT AS n, min(place) AS first FROM (SELECT doc_id, place, {Q.CLEAN.format('raw')} AS term FROM toks)
+  WHERE length(term) >= 3 AND term NOT IN {Q.STOPS} AND term NOT IN {Q.STARTERS} GROUP BY doc_id, term)
+SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first)::BIGINT AS rank FROM n QUALIFY rank <= 5""")
+def keyword_frequency(spark, d):
+    return K.keyword_frequency(_paras(spark, d))
+
+
+_GATE = f"""{Q.BASE} SELECT doc_id, para_idx, text FROM paras WHERE text <> '' AND len(string_split_regex(text, '\\s+')) >= """
+
+
+@_query(_GATE + "18")
+def paragraphs_18(spark, d):
+    return _paras(spark, d).filter(H.tokens_of(F.col("text")) >= 18)
+
+
+@_query(_GATE + "30")
+def body_paragraphs_30(spark, d):
+    return _paras(spark, d).filter(H.tokens_of(F.col("text")) >= 30)
+
+
+@_query(f"""{Q.BASE} SELECT doc_id, para_idx, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_idx, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM (SELECT *, {Q.sentences('text')} AS s FROM paras))""")
+def sentences(spark, d):
+    return W.sentence_rows(_paras(spark, d))
+
+
+@_query(f"""{Q.BASE} SELECT doc_id, sum(len({Q.sentences('text')}))::BIGINT AS n_sentences FROM paras GROUP BY doc_id""")
+def sentence_counts(spark, d):
+    return _paras(spark, d).groupBy("doc_id").agg(F.sum(F.size(T.sentences(F.col("text")))).cast("long").alias("n_sentences"))
+
+
+@_query(f"""{Q.BASE}, {Q.SCORED} SELECT doc_id, para_idx, sentence_count, avg_word_len, avg_sent_len, syllable_density, flesch, score, action FROM scored""")
+def paragraph_scores(spark, d):
+    return S.paragraph_scores(_paras(spark, d)).drop("text")
+
+
+@_query(f"""{Q.BASE}, {Q.SCORED} SELECT action, count(*)::BIGINT AS n FROM scored GROUP BY action""")
+def action_summary(spark, d):
+    return S.paragraph_scores(_paras(spark, d)).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{Q.BASE}, {Q.SCORED}, met AS (SELECT p.doc_id, p.para_idx, p.text, s.action, row_number() OVER (PARTITION BY p.doc_id, p.para_idx ORDER BY s.para_idx) AS rn
+  FROM paras p JOIN scored s ON p.doc_id = s.doc_id AND starts_with(p.text, substr(s.text, 1, 80))),
+lists AS (SELECT doc_id, para_idx, {Q.sentences('text')} AS l FROM met WHERE rn = 1 AND action IN ('split', 'llm'))
+SELECT doc_id, para_idx, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_idx, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM lists WHERE len(l) >= 2)""")
+def sentence_split(spark, d):
+    paras = _paras(spark, d)
+    return W.sentence_split(paras, S.paragraph_scores(paras).select("doc_id", "para_idx", "text", "action"))
+
+
+_WORDS = f"occ AS (SELECT doc_id, para_idx, unnest(regexp_extract_all(text, {Q.quoted(T.WORD)})) AS word FROM paras)"
+
+
+@_query(f"""{Q.BASE}, {_WORDS}, n AS (SELECT lower(word) AS word, count(*)::BIGINT AS n FROM occ GROUP BY 1)
+SELECT word, n, {Q._syllables_word('word')}::BIGINT AS syllables, round({Q.COMPLEXITY}, 6) AS score FROM n LEFT JOIN freq USING (word)""")
+def word_complexity(spark, d):
+    return W.word_complexity(_paras(spark, d), _freq(spark, d))
+
+
+@_query(f"""{Q.BASE}, {_WORDS}, n AS (SELECT doc_id, word, count(*)::BIGINT AS n FROM occ WHERE NOT regexp_matches(word, '^[A-Z]') GROUP BY ALL)
+SELECT doc_id, word, n, {Q.TIER} AS tier FROM n LEFT JOIN freq USING (word) WHERE {Q.TIER} IS NOT NULL""")
+def complex_vocabulary(spark, d):
+    return W.complex_vocabulary(_paras(spark, d), _freq(spark, d))
+
+
+@_query(f"""{Q.BASE}, pieces AS (SELECT doc_id, para_idx, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, para_idx, regexp_extract_all(text, {Q.quoted(T.WORD + '|(?s:.)')}) AS l FROM paras)),
+placed AS (SELECT *, sum(length(word)) OVER (PARTITION BY doc_id, para_idx ORDER BY i) AS stop FROM pieces)
+SELECT doc_id, para_idx, (stop - length(word))::BIGINT AS start, stop::BIGINT AS "end", word, {Q.TIER} AS tier FROM placed LEFT JOIN freq USING (word) WHERE length(word) > 1 AND NOT regexp_matches(word, '^[A-Z]') AND {Q.TIER} IS NOT NULL""")
+def underline_tiers(spark, d):
+    return W.underline_tiers(_paras(spark, d), _freq(spark, d))
+
+
+@_query(f"""{Q.BASE}, {Q.ACRONYMS} SELECT doc_id, acronym, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first)::BIGINT AS rank FROM acr""")
+def acronyms(spark, d):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")).cast("long")
+    return K.acronyms(_paras(spark, d)).select("doc_id", "acronym", "n", rank.alias("rank"))
+
+
+@_query(f"""{Q.BASE} SELECT doc_id, word, count(*)::BIGINT AS n FROM (SELECT doc_id, lower(regexp_replace(raw, '[^a-zA-Z]', '', 'g')) AS word FROM toks) WHERE length(word) >= 8 GROUP BY ALL HAVING count(*) <= 2""")
+def rare_long_words(spark, d):
+    return K.rare_long_words(_paras(spark, d))
+
+
+@_query(f"""{Q.BASE}, {Q.science()} SELECT * FROM sci""")
+def science_terms(spark, d):
+    return K.science_terms(K.full_texts(_paras(spark, d)))
+
+
+def _kind(name: str, kinds: tuple[str, ...]):
+    def f(spark, d):
+        return K.science_terms(K.full_texts(_paras(spark, d)), kinds)
+
+    f.__name__ = name
+    _query(f"{Q.BASE}, {Q.science(kinds)} SELECT * FROM sci")(f)
+
+
+for _name, _kinds in (("genes", ("gene",)), ("loci", ("locus",)), ("suffix_terms", ("suffix",)), ("drugs", ("drug",)), ("formulas", ("formula",)), ("species", ("binomial", "abbreviated"))):
+    _kind(_name, _kinds)
+
+
+@_query(f"""{Q.BASE}, {Q.VOCAB_HITS} SELECT h.doc_id, h.term, v.branch, v.weight FROM hits h JOIN vocab v USING (term)""")
+def vocabulary_hits(spark, d):
+    vocab = B.vocabulary(_freq(spark, d))
+    return K.vocabulary_hits(_paras(spark, d), vocab).join(F.broadcast(vocab), "term").select("doc_id", "term", "branch", "weight")
+
+
+@_query(f"""{Q.BASE}, {Q.ACRONYMS}, {Q.science()}, {Q.VOCAB_HITS}, {Q.FLAGS} SELECT * FROM flags""")
+def term_flags(spark, d):
+    return K.term_flags(_paras(spark, d), B.vocabulary(_freq(spark, d)))
+
+
+@_query(f"""{Q.BASE}, {Q.KEYWORDS} SELECT * FROM keywords""")
+def keyword_scores(spark, d):
+    freq = _freq(spark, d)
+    return K.keyword_scores(_paras(spark, d), freq, B.vocabulary(freq))
+
+
+@_query(f"""{Q.BASE}, {Q.KEYWORDS}, met AS (SELECT p.doc_id, p.para_idx, k.term, k.score, k.rank AS ord FROM paras p JOIN keywords k ON p.doc_id = k.doc_id
+  WHERE p.text <> '' AND regexp_matches(lower(p.text), '\\b' || {Q.ESCAPED.format('k.term')} || '\\b')),
+ranked AS (SELECT doc_id, para_idx, term, score, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY score DESC, ord)::BIGINT AS rank, count(*) OVER (PARTITION BY doc_id, para_idx) AS n FROM met)
+SELECT doc_id, para_idx, term, score, rank FROM ranked WHERE rank <= greatest(1, ceil(n * 0.5::DOUBLE))""")
+def paragraph_top_terms(spark, d):
+    return K.paragraph_top_terms(_paras(spark, d), keyword_scores(spark, d))
+
+
+@_query()
+def bold_spans(spark, d):
+    return spans.bold_spans(_paras(spark, d), paragraph_top_terms(spark, d))
+
+
+@_query(f"""{Q.BASE} SELECT doc_id, raw AS word, count(*)::BIGINT AS n FROM toks WHERE {Q.FALSE_CAPITAL} GROUP BY ALL""")
+def false_capitals(spark, d):
+    t = _paras(spark, d).select("doc_id", F.col("text").alias("ctx"), F.explode(F.split("text", r"\s+", -1)).alias("word")).filter(F.col("word").rlike("^[A-Z]"))
+    return t.filter(T.false_capital(F.col("word"), F.col("ctx"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@_query(r"""SELECT doc_id, content, count(*)::BIGINT AS n, bool_or(regexp_matches(regexp_extract(content, '(\d+)[^\d]*$', 1), '^(19|20)\d{2}$') OR regexp_matches(content, '(?i)\bet\s+al\b')) AS is_citation
+FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\(([^()]*)\)', 1)) AS content FROM documents) GROUP BY doc_id, content""")
+def citation_parentheticals(spark, d):
+    return W.citation_parentheticals(B.table(spark, d, "documents"))
+
+
+_OFFSETS = r"""WITH trimmed AS (SELECT conv_id, turn, string_split_regex(regexp_replace(translate(coalesce(text, ''), chr(160) || chr(65279), '  '), '^\s+|\s+$', '', 'g'), '\s+') AS l FROM conversations),
+ws AS (SELECT conv_id, turn, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS word_idx FROM trimmed),
+offs AS (SELECT conv_id, turn, word_idx, (sum(length(word) + 1) OVER (PARTITION BY conv_id, turn ORDER BY word_idx) - length(word) - 1)::BIGINT AS start, word FROM ws)"""
+
+
+def _offsets(spark, d):
+    return W.word_offsets(B.table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), ["conv_id", "turn"])
+
+
+@_query(f"{_OFFSETS} SELECT * FROM offs")
+def word_offsets(spark, d):
+    return _offsets(spark, d)
+
+
+@_query(f"""{_OFFSETS}, marks AS (SELECT conv_id, turn, unnest([0, 10, 100])::BIGINT AS at FROM conversations)
+SELECT m.conv_id, m.turn, m.at, max(o.word_idx)::BIGINT AS word_idx, arg_max(o.word, o.word_idx) AS word FROM marks m JOIN offs o ON m.conv_id = o.conv_id AND m.turn = o.turn AND (o.start <= m.at OR o.word_idx = 0) GROUP BY ALL""")
+def offset_lookup(spark, d):
+    marks = B.table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 10, 100)))).alias("at"))
+    return W.offset_lookup(_offsets(spark, d), marks, ["conv_id", "turn"])
+
+
+@_query(f"""{Q.BASE} SELECT doc_id, para_idx, i - 1 AS piece_idx, piece FROM (SELECT doc_id, para_idx, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, para_idx, regexp_extract_all(text, '\\S+|\\s+') AS l FROM paras))""")
+def word_pieces(spark, d):
+    return _long(_paras(spark, d).select("doc_id", "para_idx", F.posexplode(T.word_pieces(F.col("text"))).alias("piece_idx", "piece")), "piece_idx")
+
+
+@_query(r"""SELECT doc_id, replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
+def html_escaped(spark, d):
+    return B.table(spark, d, "documents").select("doc_id", T.escape_html(F.coalesce("text", F.lit(""))).alias("escaped"))
+
+
+def _nodes(spark, d):
+    return H.page_nodes(B.table(spark, d, "pages"))
+
+
+@_query()
+def page_paragraphs(spark, d):
+    return H.page_paragraphs(_nodes(spark, d)).select("page_id", "node_ord", "tag", "text")
+
+
+@_query()
+def page_body_paragraphs(spark, d):
+    return H.body_paragraphs(_nodes(spark, d)).select("page_id", "node_ord", "text")
+
+
+@_query()
+def page_split_candidates(spark, d):
+    return H.paragraph_elements(_nodes(spark, d)).select("page_id", "node_ord", "tag", "text")
+
+
+@_query()
+def page_text_nodes(spark, d):
+    return H.readable_text(_nodes(spark, d), 30, True).select("page_id", "node_ord", "block_ord", "offset", "text")
+
+
+@_query()
+def page_italic_terms(spark, d):
+    return H.italic_terms(_nodes(spark, d))
+
+
+@_query()
+def page_keywords(spark, d):
+    body = H.body_paragraphs(_nodes(spark, d)).select(F.col("page_id").alias("doc_id"), F.col("node_ord").alias("para_idx"), T.trimmed(F.col("text")).alias("text"))
+    freq = _freq(spark, d)
+    return K.keyword_scores(body, freq, B.vocabulary(freq), tagging.entities(body)).withColumnRenamed("doc_id", "page_id")
+
+
+@_query(r"""SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+  coalesce(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) = 'tionsh.example.net', false) AS enabled FROM pages""")
+def page_hosts(spark, d):
+    state = F.lit('{"tionsh.example.net": true, "other.example.org": false}')
+    return H.site_enabled(B.table(spark, d, "pages"), state).select("page_id", "host", "enabled")
+
+
+@_query()
+def pos_tags(spark, d):
+    return tagging.pos_tags(W.sentence_rows(_paras(spark, d)))
+
+
+@_query()
+def named_entities(spark, d):
+    return tagging.entities(_paras(spark, d))
+
+
+_A = '[{"word": "exit", "score": 9, "tags": ["n"]}, {"word": "quit", "score": 8, "tags": ["v"]}, {"word": "leaving behind it", "score": 7, "tags": ["v"]}, {"word": "depart", "score": 6, "tags": ["v"]}, {"word": "go away", "score": 5, "tags": ["v"]}, {"word": "abandon", "score": 4, "tags": ["v"]}, {"word": "leaf", "score": 3, "tags": ["n"]}]'
+_B = '[{"meanings": [{"partOfSpeech": "Verb", "synonyms": ["forsake"], "definitions": [{"definition": "To leave a place.", "synonyms": ["vacate"]}, {"definition": "To go out of a place.", "synonyms": []}]}, {"partOfSpeech": "Noun", "synonyms": [], "definitions": [{"definition": "Permission to be absent.", "synonyms": ["holiday"]}]}]}]'
+
+
+def lexicon_rows(spark: SparkSession) -> DataFrame:
+    """A small static lexicon in the two sources' shapes; a broken and a missing source among them."""
+    return spark.createDataFrame([("Leave", _A, _B), ("unknown", None, "broken"), ("stop", _A, None)], "word string, a string, b string")
+
+
+@_query()
+def synonym_cards(spark, d):
+    freq = spark.createDataFrame([("exit", 900), ("quit", 1200), ("depart", 9000), ("abandon", 4000), ("vacate", 15000)], "word string, rank long")
+    return L.synonym_cards(lexicon_rows(spark), freq)
+
+
+def records(spark: SparkSession) -> DataFrame:
+    rows = [(0, ["C04.1", "D02.5"], ["Neoplasms", "Tumors", "Cancer "]), (1, ["Z01"], ["Africa"]), (2, ["H01", "G02"], ["Cell Biology", "Cancer", "7"]), (3, ["D12", "D13"], ["Enzymes", "x"])]
+    return spark.createDataFrame(rows, "rec_ord long, trees array<string>, names array<string>")
+
+
+@_query("""WITH rec(rec_ord, trees, names) AS (VALUES (0, ['C04.1', 'D02.5'], ['Neoplasms', 'Tumors', 'Cancer ']), (1, ['Z01'], ['Africa']), (2, ['H01', 'G02'], ['Cell Biology', 'Cancer', '7']), (3, ['D12', 'D13'], ['Enzymes', 'x'])),
+w(branch, weight) AS (VALUES """ + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in V.BRANCH_WEIGHTS.items()) + r"""),
+tree AS (SELECT rec_ord, unnest(trees) AS t, generate_subscripts(trees, 1) AS i FROM rec),
+best AS (SELECT rec_ord, w.branch, weight FROM tree JOIN w ON w.branch = substr(t, 1, 1) QUALIFY row_number() OVER (PARTITION BY rec_ord ORDER BY weight DESC, i) = 1),
+named AS (SELECT rec_ord, trim(lower(unnest(names))) AS term, generate_subscripts(names, 1) AS i FROM rec)
+SELECT term, branch, weight FROM named JOIN best USING (rec_ord) WHERE length(term) >= 2 AND NOT regexp_matches(term, '^\d+$') QUALIFY row_number() OVER (PARTITION BY term ORDER BY rec_ord, i) = 1""")
+def vocabulary_dictionary(spark, d):
+    return L.vocabulary_from_records(records(spark))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)

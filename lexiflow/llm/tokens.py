@@ -12,7 +12,7 @@ import pyarrow as pa
 from lexiflow.llm.common import chunks
 
 #: Cached words per worker; beyond that the cache starts anew (speed only, never results).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 
 #: Marks that end a word as a run of their own; those of special tokens and the apostrophe are not among them.
 _TAIL = np.zeros(256, bool)
@@ -112,8 +112,8 @@ class WordTokenizer:
     def _reset(self) -> None:
         self.index = HashIndex(self.cache_words)
         self.pool = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(self.cache_words + 1, np.int64)
-        self.size = np.zeros(self.cache_words + 1, np.int64)
+        self.begin = np.zeros(self.cache_words + 1, np.int32)
+        self.size = np.zeros(self.cache_words + 1, np.int32)
         self.used = 0
 
     def _add(self, keys: np.ndarray, words: list[str]) -> None:
@@ -171,7 +171,7 @@ class WordTokenizer:
         for _, words in self._chunks(column):
             starts, ends, first = _pieces(words)
             place = self._places(words, starts, ends)  # may start the cache anew: before its sizes are read
-            size = np.concatenate([[0], np.cumsum(self.size[place])])
+            size = np.concatenate([[0], np.cumsum(self.size[place], dtype=np.int64)])
             out.append(np.diff(size[first]))
         return np.concatenate(out)
 
@@ -183,7 +183,7 @@ class WordTokenizer:
                 continue
             spans, span_ends, first = _pieces(words)
             place = self._places(words, spans, span_ends)
-            size, begin = self.size[place], self.begin[place]
+            size, begin = self.size[place].astype(np.int64), self.begin[place].astype(np.int64)
             ends = np.cumsum(size)
             ids = self.pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
             yield row, ids, np.concatenate([[0], ends])[first]

@@ -29,7 +29,7 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}+", 0, 16),  # the runs of [0-9a-f]+ that are long enough: short ones are in every word
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 #: Bits that a window must reach, by class; a window of 20 has 4.32 at most, of hex digits 3.92 at most.
 THRESHOLDS = {"hex": 3.0, "base64": 3.8, "alnum": 3.6}

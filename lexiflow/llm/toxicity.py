@@ -1,11 +1,11 @@
 """Toxicity (operator 4): maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-Fit, from a bounded sample of labelled rows: document counts of hashed 5-byte grams (a word with its
-boundaries) by label give log-odds with a Dirichlet prior in proportion to the background.  A token scores
+Fit, from a bounded sample of labelled rows: document counts of hashed grams (5 bytes of a word with its
+boundaries, and its first 7 bytes) by label give log-odds with a Dirichlet prior in proportion to the background.  A token scores
 the largest log-odds among its grams that are significant, else ``-gap``.  A linear scan (maximal
 segments after Ruzzo and Tompa) finds every passage.  A passage of score S among n tokens has the
-expected count E = K n exp(-lambda S) in clean text: lambda solves the clean tokens' moment equation, K is
-the rate of passages in the sample's clean rows.  A document's evidence is the sum of -ln E over passages
+expected count E = K n exp(-lambda S) in clean text; lambda and K are the slope and rate of the tail of
+passage scores in the sample's clean rows, by maximum likelihood.  A document's evidence is the sum of -ln E over passages
 with E < 1, and a one-variable logistic curve with a ridge makes it a probability.
 
 The sample's bound is ``max_rows``; grams go to 2**20 buckets, so the model has a fixed size and is the
@@ -32,7 +32,9 @@ from lexiflow.llm import common
 
 #: Labelled rows that are learnt from, at most (in expectation).
 MAX_ROWS = 20_000
-BITS, GRAM, GAP, PRIOR, MIN_Z, MIN_DELTA, MAX_SCORE = 20, 5, 1.0, 100.0, 4.0, 3.0, 8.0
+BITS, GRAM, BEGINNING, GAP, PRIOR, MAX_SCORE = 20, 5, 8, 1.0, 100.0, 8.0
+#: (least z, least log-odds): rare and telling, or frequent and telling enough.
+SIGNIFICANT = ((4.0, 3.0), (5.5, 1.8))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -63,7 +65,19 @@ class _Text:
         h = np.zeros(n, np.uint64)
         for i in range(GRAM):
             h = (h << np.uint64(8)) | data[i : i + n]
-        self.bucket = (common.mix(h[self.at] + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64)
+        # Beginnings of words: the space and seven bytes.
+        n = max(len(data) - BEGINNING + 1, 0)
+        head = space[:n].copy()
+        for i in range(1, BEGINNING - 1):
+            head &= ~space[i : i + n]
+        heads = np.flatnonzero(head)
+        long_ = np.zeros(len(heads), np.uint64)
+        for i in range(BEGINNING):
+            long_ = (long_ << np.uint64(8)) | data[heads + i]
+        keys = np.concatenate([h[self.at] + np.uint64(1), long_ + np.uint64(1 << 63)])
+        bucket = (common.mix(keys) >> np.uint64(64 - BITS)).astype(np.int64)
+        order = np.argsort(np.concatenate([self.at, heads]), kind="stable")
+        self.at, self.bucket = np.concatenate([self.at, heads])[order], bucket[order]
 
     def gram_words(self) -> np.ndarray:
         return self.word[self.at]
@@ -152,16 +166,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * math.log1p(x)))))
 
 
-def _moment(scores: np.ndarray, share: float, gap: float) -> float:
-    """lambda > 0 with (1 - share) exp(-lambda gap) + share mean(exp(lambda scores)) = 1."""
-    f = lambda x: (1 - share) * math.exp(-x * gap) + share * float(np.mean(np.exp(x * scores))) - 1
-    lo, hi = 0.0, 1.0
-    while f(hi) < 0 and hi < 16:
-        lo, hi = hi, hi * 2
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return max(hi, 1e-3)
+def _tail(scores: np.ndarray, tokens: int) -> tuple[float, float]:
+    """(lambda, K) of the exponential tail of passage scores, by maximum likelihood: passages of S or more per token are K exp(-lambda S)."""
+    least = float(scores.min())
+    lam = float(np.clip(len(scores) / max(float((scores - least).sum()), 1e-9), 0.2, 3.0))
+    return lam, len(scores) / tokens * math.exp(lam * least)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
@@ -211,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(weights, constant=n1 / (n0 + n1) if n0 + n1 else 0.0)
     counted = counted[counted.bucket >= 0]
     delta, z = log_odds(counted.toxic.to_numpy(float), counted.clean.to_numpy(float), n1, n0)
-    good = (z >= MIN_Z) & (delta >= MIN_DELTA)
+    good = np.logical_or.reduce([(z >= a) & (delta >= b) for a, b in SIGNIFICANT])
     weights[counted.bucket.to_numpy()[good]] = np.minimum(delta[good], MAX_SCORE)
     model = Model(weights)
 
@@ -228,8 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     in_toxic = np.concatenate([*scanned[scanned.y == 1].s, np.zeros(0)])
     typical = float(np.median(in_toxic)) if len(in_toxic) else 1.0
     scores = np.append(in_clean, min(typical, MAX_SCORE))  # one more, so that the rate is never 0
-    model.lam = _moment(np.minimum(scores, MAX_SCORE), min(len(scores) / tokens, 0.5), GAP)
-    model.k = float(np.exp(model.lam * np.minimum(scores, MAX_SCORE)).sum()) / tokens
+    model.lam, model.k = _tail(scores, tokens)
     x = np.log1p([model.evidence(n, [(0, 0, v) for v in s]) for n, s in zip(scanned.n, scanned.s, strict=True)])
     model.curve = _logistic(np.asarray(x, float), scanned.y.to_numpy(float))
     return model

@@ -173,7 +173,7 @@ def _tail(scores: np.ndarray, tokens: int) -> tuple[float, float]:
     return lam, len(scores) / tokens * math.exp(lam * least)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
     design, beta = np.stack([np.ones_like(x), x], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))

@@ -70,20 +70,21 @@ def window_entropy(run: Column, window: int = WINDOW) -> Column:
     clog = F.array(*map(F.lit, _CLOG))
     count = lambda table, code: F.ascii(F.substr(table, code + 1, F.lit(1))) - 1
     put = lambda table, code, c: F.overlay(table, F.char(c + 1), code + 1, F.lit(1))
-    code_at = lambda i: F.ascii(F.substr(run, i, F.lit(1)))
 
     def change(state: Column, code: Column, by: int) -> Column:
         c = count(state["table"], code)
         return F.struct(put(state["table"], code, c + by).alias("table"), (state["s"] + F.get(clog, c + by) - F.get(clog, c)).alias("s"))
 
-    def step(a: Column, i: Column) -> Column:
+    def step(a: Column, i: Column, chars: Column) -> Column:
+        code_at = lambda k: F.ascii(F.get(chars, k - 1))
         left = let(F.when(i > window, code_at(i - window)), lambda code: F.when(code.isNotNull(), change(a, code, -1)).otherwise(F.struct(a["table"].alias("table"), a["s"].alias("s"))))
         entered = let(left, lambda x: let(code_at(i), lambda code: change(x, code, 1)))
         best = lambda x: F.when(i >= window, F.least(a["least"], x["s"])).otherwise(a["least"])
         return let(entered, lambda x: F.struct(x["table"].alias("table"), x["s"].alias("s"), best(x).alias("least")))
 
     start = F.struct(F.lit("\x01" * 128).alias("table"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
-    least = F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step)["least"]
+    # An array of characters: a place in a string is found from its beginning, which is quadratic on long runs.
+    least = let(F.split(run, "", -1), lambda chars: F.aggregate(F.sequence(F.lit(1), F.length(run)), start, lambda a, i: step(a, i, chars))["least"])
     return F.lit(math.log2(window)) - least / window
 
 

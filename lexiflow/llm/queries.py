@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import linededup, media, mixing, neardup, packing, quality, secrets, tokenout, toxicity, urlfilter
+from lexiflow.llm import linededup, media, mixing, neardup, packing, quality, secrets, sql, tokenout, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secrets, op2_neardup, op3_urls, op4_toxicity, op5_lines, op6_quality, op7_token_output, op8_packing, op9_mixing, op10_media)}
 
 
-_W = r"[^\x20\x09-\x0D]+"
-
 _OP5 = r"""
 WITH lines AS (
   SELECT doc_id, i, line, CASE WHEN length(k) >= 20 THEN k END AS k FROM (
@@ -112,4 +110,4 @@ FROM sized s JOIN wants w ON s.source IS NOT DISTINCT FROM w.source JOIN edges e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lines": _OP5, "op9_mixing": _OP9}
+    return {"op1_secrets": sql.op1(), "op2_neardup": sql.op2(), "op3_urls": sql.op3(), "op5_lines": _OP5, "op6_quality": sql.op6(), "op9_mixing": _OP9}

@@ -269,10 +269,11 @@ def test_packing_covers_every_id(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, tables, name):
     for d, path in (("/root/testdata/sf0.01", "/root/testdata/sf0.01/documents.parquet"), (tables["edge"], f"{tables['edge']}/documents.parquet/*.parquet")):
-        if name == "op5_lines" and d == tables["edge"]:
+        if name in ("op2_neardup", "op5_lines") and d == tables["edge"]:
             continue  # the SQL takes ids to be there once
         con = duckdb.connect()
         con.execute(f"create view documents as select * from '{path}'")
+        con.execute(f"create view pages as select * from '{path.replace('documents', 'pages')}'")
         found = con.execute(queries.oracle_sql()[name])
         names = [x[0] for x in found.description]
         df = queries.queries()[name](spark, d)

@@ -103,16 +103,31 @@ def score_term(n: Column, weight: Column, rank: Column, science: Column, entity:
     return F.log2(n.cast("double") + 1) * weight * rest * two(science) * two(entity) * two(acronym)
 
 
+def _counted(terms: DataFrame, paras: DataFrame) -> DataFrame:
+    """``terms`` (doc_id, term, n, ...) with n from the full text in lower case, 1 at least.
+
+    Between boundaries, a term of word characters alone is a whole run of them: runs are counted once and joined.
+    The few others (points, hyphens, several words) are counted by a regular expression of their own.
+    """
+    plain = F.col("term").rlike("^[a-z0-9_]+$")
+    runs = paras.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("term"))
+    runs = runs.groupBy("doc_id", "term").agg(F.count("*").alias("_n"))
+    single = terms.filter(plain).join(runs, ["doc_id", "term"], "left").withColumn("n", F.coalesce("_n", F.lit(1).cast("long"))).drop("_n")
+    texts = full_texts(paras).select("doc_id", F.lower("text").alias("_text"))
+    pattern = F.concat(F.lit(T.EDGE), T.escape_regex(F.col("term")), F.lit(T.EDGE))
+    rest = terms.filter(~plain).join(texts, "doc_id").withColumn("n", F.greatest(F.regexp_count("_text", pattern), F.lit(1)).cast("long")).drop("_text")
+    return single.select(*terms.columns).unionByName(rest.select(*terms.columns))
+
+
 def keyword_scores(paras: DataFrame, freq: DataFrame, vocab: DataFrame, entities: DataFrame | None = None, stops=_STOPS, starters=_STARTERS) -> DataFrame:
     """(doc_id, term, n, score, rank): every term of a document, best first; ties by source, first place, term.
 
-    Terms that only a set holds are counted in the full text by a regular expression, 1 if that finds none.
+    Terms that only a set holds are counted in the full text, 1 if it has none.
     """
     counts = frequency_terms(paras, stops, starters)
     flags = term_flags(paras, vocab, entities)
     terms = counts.join(flags, ["doc_id", "term"], "full")
-    absent = terms.filter("n IS NULL").join(full_texts(paras).withColumnRenamed("text", "_text"), "doc_id")
-    absent = absent.withColumn("n", F.greatest(F.regexp_count(F.lower("_text"), F.concat(F.lit(T.EDGE), T.escape_regex(F.col("term")), F.lit(T.EDGE))), F.lit(1)).cast("long")).drop("_text")
+    absent = _counted(terms.filter("n IS NULL"), paras)
     terms = terms.filter("n IS NOT NULL").unionByName(absent.select(*terms.columns))
     terms = terms.filter(~F.col("term").isin(stops) & ~T.all_stop_tokens(F.col("term"), stops) & T.has_content_token(F.col("term"), stops))
     terms = terms.join(F.broadcast(freq.withColumnRenamed("word", "term").withColumnRenamed("rank", "_rank")), "term", "left").join(F.broadcast(vocab.select("term", "weight")), "term", "left")

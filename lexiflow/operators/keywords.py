@@ -19,10 +19,12 @@ def frequency_terms(paras: DataFrame, stops=_STOPS, starters=_STARTERS) -> DataF
 
     The first place is para_idx * 2**32 + tok_idx.
     """
-    t = paras.select("doc_id", "para_idx", F.col("text").alias("_ctx"), F.posexplode(F.split("text", r"\s+", -1)).alias("tok_idx", "raw"))
+    raw = F.split("text", r"\s+", -1)
+    # A column of its own below the explode; within one select it would be found anew for every token.
+    t = paras.withColumn("_false", T.false_capitals(raw, F.col("text"))).select("doc_id", "para_idx", "_false", F.posexplode(raw).alias("tok_idx", "raw"))
     dotted = T.trim_edges(F.col("raw"), "A-Za-z.")
     word = T.letters_hyphens(F.col("raw"))
-    plain = (F.length(word) >= 3) & ~word.isin(stops) & ~word.isin(starters) & ~F.coalesce(F.when(F.col("raw").rlike("^[A-Z]"), T.false_capital(F.col("raw"), F.col("_ctx"))), F.lit(False))
+    plain = (F.length(word) >= 3) & ~word.isin(stops) & ~word.isin(starters) & ~F.coalesce(F.array_contains("_false", F.col("raw")), F.lit(False))
     term = F.when(T.is_dotted(dotted), F.when(~T.dotted_form(dotted).isin(stops), T.dotted_form(dotted))).when(plain, word)
     place = F.shiftleft(F.col("para_idx").cast("long"), 32) + F.col("tok_idx")
     return t.select("doc_id", term.alias("term"), place.alias("place")).filter("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("place").alias("first"))

@@ -30,12 +30,16 @@ def _query(sql: str | None = None):
     return add
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return B.spread(B.table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
 def _paras(spark: SparkSession, d: str) -> DataFrame:
-    return B.paragraphs(B.table(spark, d, "documents"))
+    return B.paragraphs(_docs(spark, d))
 
 
 def _freq(spark: SparkSession, d: str) -> DataFrame:
-    return B.frequency_list(B.table(spark, d, "documents"))
+    return B.frequency_list(_docs(spark, d))
 
 
 def _long(df: DataFrame, *names: str) -> DataFrame:
@@ -175,8 +179,9 @@ def bold_spans(spark, d):
 
 @_query(f"""{Q.BASE} SELECT doc_id, raw AS word, count(*)::BIGINT AS n FROM toks WHERE {Q.FALSE_CAPITAL} GROUP BY ALL""")
 def false_capitals(spark, d):
-    t = _paras(spark, d).select("doc_id", F.col("text").alias("ctx"), F.explode(F.split("text", r"\s+", -1)).alias("word")).filter(F.col("word").rlike("^[A-Z]"))
-    return t.filter(T.false_capital(F.col("word"), F.col("ctx"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    raw = F.split("text", r"\s+", -1)
+    t = _paras(spark, d).withColumn("false", T.false_capitals(raw, F.col("text"))).select("doc_id", "false", F.explode(raw).alias("word"))
+    return t.filter(F.array_contains("false", F.col("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 @_query(r"""SELECT doc_id, content, count(*)::BIGINT AS n, bool_or(regexp_matches(regexp_extract(content, '(\d+)[^\d]*$', 1), '^(19|20)\d{2}$') OR regexp_matches(content, '(?i)\bet\s+al\b')) AS is_citation
@@ -217,7 +222,7 @@ def html_escaped(spark, d):
 
 
 def _nodes(spark, d):
-    return H.page_nodes(B.table(spark, d, "pages"))
+    return H.page_nodes(B.spread(B.table(spark, d, "pages").select("page_id", "html")))
 
 
 @_query()

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer parts than that; large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
+
+
 def paragraphs(docs: DataFrame, lang: str | None = "en") -> DataFrame:
     """(doc_id, para_idx, text): a document's lines, trimmed."""
     docs = docs if lang is None else docs.filter(F.col("lang") == lang)

@@ -76,9 +76,9 @@ def _tagged(name: str):
 
 
 def vocabulary_hits(paras: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, term): different tokens that the vocabulary holds (a dictionary of bounded size)."""
+    """(doc_id, term): different tokens that the vocabulary holds."""
     t = tokens(paras).select("doc_id", T.letters_hyphens(F.col("raw")).alias("term")).filter(F.length("term") >= 2)
-    return t.join(F.broadcast(vocab.select("term")), "term", "left_semi").select("doc_id", "term").distinct()
+    return t.distinct().join(vocab.select("term"), "term", "left_semi").select("doc_id", "term")
 
 
 def term_flags(paras: DataFrame, vocab: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -132,7 +132,7 @@ def keyword_scores(paras: DataFrame, freq: DataFrame, vocab: DataFrame, entities
     absent = _counted(terms.filter("n IS NULL"), paras)
     terms = terms.filter("n IS NOT NULL").unionByName(absent.select(*terms.columns))
     terms = terms.filter(~F.col("term").isin(stops) & ~T.all_stop_tokens(F.col("term"), stops) & T.has_content_token(F.col("term"), stops))
-    terms = terms.join(F.broadcast(freq.withColumnRenamed("word", "term").withColumnRenamed("rank", "_rank")), "term", "left").join(F.broadcast(vocab.select("term", "weight")), "term", "left")
+    terms = terms.join(freq.withColumnRenamed("word", "term").withColumnRenamed("rank", "_rank"), "term", "left").join(vocab.select("term", "weight"), "term", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
     score = score_term(F.col("n"), F.coalesce("weight", F.lit(1.0)), F.col("_rank"), flag(F.col("in_science")), flag(F.col("in_entity")), flag(F.col("in_acronym")), F.col("term"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.coalesce("source_rank", F.lit(0)), F.coalesce("first", F.lit(1 << 62)), "term")

@@ -17,14 +17,14 @@ def words(paras: DataFrame) -> DataFrame:
 def word_complexity(paras: DataFrame, freq: DataFrame) -> DataFrame:
     """(word, n, syllables, score): the corpus's different lower-case words, each scored once."""
     n = words(paras).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
-    scored = n.join(F.broadcast(freq), "word", "left")
+    scored = n.join(freq, "word", "left")
     return scored.select("word", "n", S.syllables_word(F.col("word")).cast("long").alias("syllables"), F.round(S.complexity(F.col("word"), F.col("rank")), 6).alias("score"))
 
 
 def complex_vocabulary(paras: DataFrame, freq: DataFrame, level: str = "medium") -> DataFrame:
     """(doc_id, word, n, tier): words never capitalised that reach the level."""
     n = words(paras).filter(~F.col("word").rlike("^[A-Z]")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    distinct = n.select("word").distinct().join(F.broadcast(freq), "word", "left")
+    distinct = n.select("word").distinct().join(freq, "word", "left")
     tiers = distinct.select("word", S.tier(S.complexity(F.col("word"), F.col("rank")), level).alias("tier")).filter("tier IS NOT NULL")
     return n.join(tiers, "word").select("doc_id", "word", "n", "tier")
 
@@ -38,7 +38,7 @@ def underline_tiers(paras: DataFrame, freq: DataFrame, level: str = "medium") ->
     step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when(F.length(p) > 1, F.array_append(a["out"], F.struct(a["at"].alias("start"), p.alias("word")))).otherwise(a["out"]).alias("out"))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,word:string>>)").alias("out"))
     placed = paras.select("doc_id", "para_idx", F.explode(F.aggregate(pieces, start, step)["out"]).alias("x")).select("doc_id", "para_idx", "x.start", "x.word").filter(~F.col("word").rlike("^[A-Z]"))
-    distinct = placed.select("word").distinct().join(F.broadcast(freq), "word", "left")
+    distinct = placed.select("word").distinct().join(freq, "word", "left")
     tiers = distinct.select("word", S.tier(S.complexity(F.col("word"), F.col("rank")), level).alias("tier")).filter("tier IS NOT NULL")
     return placed.join(tiers, "word").select("doc_id", "para_idx", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("word")).cast("long").alias("end"), "word", "tier")
 

@@ -150,7 +150,7 @@ for _name, _kinds in (("genes", ("gene",)), ("loci", ("locus",)), ("suffix_terms
 @_query(f"""{Q.BASE}, {Q.VOCAB_HITS} SELECT h.doc_id, h.term, v.branch, v.weight FROM hits h JOIN vocab v USING (term)""")
 def vocabulary_hits(spark, d):
     vocab = B.vocabulary(_freq(spark, d))
-    return K.vocabulary_hits(_paras(spark, d), vocab).join(F.broadcast(vocab), "term").select("doc_id", "term", "branch", "weight")
+    return K.vocabulary_hits(_paras(spark, d), vocab).join(vocab, "term").select("doc_id", "term", "branch", "weight")
 
 
 @_query(f"""{Q.BASE}, {Q.ACRONYMS}, {Q.science()}, {Q.VOCAB_HITS}, {Q.FLAGS} SELECT * FROM flags""")

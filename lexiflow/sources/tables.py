@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 
-#: Entries of a frequency list: a dictionary has this size at most, however large its corpus.
-DICTIONARY = 50_000
+#: Letters of a word that deal words of one count over tasks when they are ranked.
+_HEAD = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +36,21 @@ def tokens(paras: DataFrame) -> DataFrame:
     return t.withColumn("tok_idx", F.col("tok_idx").cast("long"))
 
 
-def frequency_list(docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """(word, rank): the most frequent cleaned words of English paragraphs, rank from 0; ties by word.
+def frequency_list(docs: DataFrame) -> DataFrame:
+    """(word, rank): every cleaned word of English paragraphs, the most frequent first, rank from 0; ties by word.
 
-    A list of a fixed size: counting is distributed, and only ``size`` rows are ever ranked.
+    A rank is the words of larger counts, those of its count with smaller first letters, and the place among the
+    rest.  Words are ordered within a count and first letters only; the one window over all has a row for each count.
     """
     words = tokens(paragraphs(docs)).select(T.letters_hyphens(F.col("raw")).alias("word")).filter("word != ''")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("long").alias("rank"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("_head", F.substring("word", 1, _HEAD))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("n", "_head").agg(F.count("*").alias("_size"))
+    larger = groups.groupBy("n").agg(F.sum("_size").alias("_size")).select("n", before("_size", Window.orderBy(F.desc("n"))).alias("_larger"))
+    groups = groups.select("n", "_head", before("_size", Window.partitionBy("n").orderBy("_head")).alias("_smaller")).join(larger, "n")
+    place = F.row_number().over(Window.partitionBy("n", "_head").orderBy("word")) - 1
+    rank = F.col("_larger") + F.col("_smaller") + F.col("_place")
+    return counts.withColumn("_place", place).join(groups, ["n", "_head"]).select("word", rank.cast("long").alias("rank"))
 
 
 def vocabulary(freq: DataFrame, every: int = 50, least: int = 5) -> DataFrame:

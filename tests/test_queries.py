@@ -16,6 +16,7 @@ from lexiflow.operators import spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import catalog
 from lexiflow.sources import html as H
+from lexiflow.sources import tables as B
 
 SF = "/root/testdata/sf0.001"
 
@@ -182,3 +183,14 @@ def test_partition_count_does_not_matter(spark):
     vocab = spark.createDataFrame([("beta", "C", 1.5)], "term string, branch string, weight double")
     a = sorted(map(tuple, K.keyword_scores(paras.repartition(1), freq, vocab).collect()))
     assert a == sorted(map(tuple, K.keyword_scores(paras.repartition(7), freq, vocab).collect()))
+
+
+def test_frequency_list_ranks_every_word(spark):
+    """More words than any fixed size of 50,000, of two counts, in an order that is not that of the rows."""
+    letters = "abcdefghijklmnopqrst"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:8]]
+    rows = [(i, " ".join(words[i::7]) + (" " + " ".join(words[:900]) if i == 3 else ""), "en") for i in range(7)]
+    freq = B.frequency_list(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.word: r["rank"] for r in freq.collect()} == {w: i for i, w in enumerate(words)}
+    rare = W.word_complexity(_paras(spark, words[-1]), freq).first()
+    assert len(words) > 50_000 and rare.score == 1.5

@@ -2,14 +2,14 @@
 
 A rule is ``host/path``: it fits its host and all subdomains where the url's path starts with its path;
 the longest fitting rule decides.  A url that no rule fits is read once by an automaton over all strict
-and soft terms, on host and path in lower case.  A hit counts where the term stands between boundaries
+and soft terms, the whole of it in lower case: host, path, query and fragment.  A hit counts where the term stands between boundaries
 (the ends, or characters other than letters and digits).  One strict hit blocks, as do ``soft_limit``
 different soft terms.
 
 The rule and term lists are parameters of the driver's program, never tables that grow with the data.
 
-Defined results: a url that is null or has no ``://`` has an empty host and path and is allowed; hosts
-keep ports and user names as they stand; an empty path fits no rule; repeated rows give repeated rows;
+Defined results: a null url has an empty host and path and is allowed; one without ``://`` has an empty
+host and path, fits no rule and is read by the automaton like any other; hosts keep ports and user names as they stand; an empty path fits no rule; repeated rows give repeated rows;
 an empty table gives no rows; extra columns are not read by the query and kept by ``filter_urls``.
 """
 
@@ -102,9 +102,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         table, terms = Rules(rules), Vocabulary(strict, soft, soft_limit)
         for batch in batches:
             rule, verdict, n_strict, n_soft = [], [], [], []
-            for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for host, path, whole in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 found = table.find(host, path) if host else None
-                hits = (0, 0) if found else terms.hits(f"{host}{path}".lower())
+                hits = (0, 0) if found else terms.hits(whole.lower())
                 rule.append(found and found[0])
                 verdict.append(found[1] if found else "block" if hits[0] or hits[1] >= soft_limit else "allow")
                 n_strict.append(hits[0])
@@ -113,21 +113,22 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *extra], ["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
 
     url = pages[url_col]
-    return pages.select(pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).mapInArrow(run, schema)
+    return pages.select(pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("url")).mapInArrow(run, schema)
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """The rows of ``pages`` whose url is allowed."""
 
     @F.pandas_udf("boolean")
-    def allowed(hosts, paths):
+    def allowed(hosts, paths, urls):
         table, terms = Rules(rules), Vocabulary(strict, soft, soft_limit)
         out = []
-        for host, path in zip(hosts, paths, strict=True):
+        for host, path, whole in zip(hosts, paths, urls, strict=True):
             found = table.find(host, path) if host else None
-            out.append(found[1] == "allow" if found else not terms.blocks(f"{host}{path}".lower()))
+            out.append(found[1] == "allow" if found else not terms.blocks(whole.lower()))
         import pandas as pd
 
         return pd.Series(out, dtype=bool)
 
-    return pages.filter(allowed(host_of(F.col(url_col)), path_of(F.col(url_col))))
+    url = F.col(url_col)
+    return pages.filter(allowed(host_of(url), path_of(url), F.coalesce(url, F.lit(""))))

@@ -140,6 +140,14 @@ def test_urls(spark):
     assert urlfilter.filter_urls(df).count() == 4
 
 
+def test_urls_are_read_whole(spark):
+    urls = ["https://search.example.org/find?q=porn", "http://ok.com/a#x-casino", "www.casino.org/slots", "http://ok.com/bet?x=poker", "http://ok.com/a?q=pornography", "http://x.org/fr/?q=porn", "nohost", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r.verdict, r.strict_hits, r.soft_hits) for r in urlfilter.judge_urls(df).orderBy("page_id").collect()]
+    assert got == [("block", 1, 0), ("block", 1, 0), ("block", 1, 1), ("block", 0, 2), *[("allow", 0, 0)] * 4]
+    assert [r.page_id for r in urlfilter.filter_urls(df).orderBy("page_id").collect()] == [4, 5, 6, 7]
+
+
 def test_segments_against_brute_force():
     rng = random.Random(2)
     for _ in range(200):

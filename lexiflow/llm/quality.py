@@ -31,6 +31,11 @@ BOILERPLATE = (
     "accept cookies", "use of cookies", "enable javascript", "javascript is disabled", "click here", "read more", "sign in",
     "log in", "subscribe to our newsletter", "share on facebook", "share on twitter", "powered by", "lorem ipsum",
 )
+#: Phrases that ordinary sentences hold too: they count where they make up half of a line or more.
+COMMON = ("click here", "read more", "sign in", "log in", "powered by")
+_PHRASE = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
+#: Marks of any script: punctuation that is no quote, bullet, sign or reference mark.
+_MARKS = r"[.!?,;:…。！？‼‽⁇⁈⁉]|[\p{Po}&&[^\x00-\xFF\u2000-\u206F〃〽・･＂＃％＆＇＊／＠＼]]"
 _SYMBOLS = "[#*$%&|<>{}^~=\\\\]"
 
 
@@ -82,8 +87,11 @@ def line_fails(line: Column) -> Column:
     odd = line.rlike(r"[#*$%&|<>{}^~=\\!»›•·]")
     navigation = F.regexp_count(line, F.lit(r"\s[|»›•·]\s")) >= 3
     shouting = (size >= 12) & line.rlike(r"\p{Lu}{2}") & (share(r"\p{Lu}+") > 0.6)
-    boilerplate = (size <= 300) & F.lower(line).rlike("|".join(BOILERPLATE))
-    unmarked = (size >= UNMARKED_CHARS) & ~line.rlike(r"[.!?,;:…。！？]")
+    low, common = F.lower(line), _PHRASE % "|".join(COMMON)
+    rest = F.length(F.trim(F.regexp_replace(low, common, "")))
+    sure = low.rlike(_PHRASE % "|".join(x for x in BOILERPLATE if x not in COMMON))
+    boilerplate = (size <= 300) & low.rlike(_PHRASE % "|".join(BOILERPLATE)) & (sure | (2 * rest <= F.length(F.trim(low))))
+    unmarked = (size >= UNMARKED_CHARS) & ~line.rlike(_MARKS)
     return (odd & ((share(_SYMBOLS + "+") > MAX_SYMBOLS) | (share("!+") > MAX_SHOUTS) | navigation)) | shouting | boilerplate | unmarked | ~line.rlike(r"\p{L}")
 
 

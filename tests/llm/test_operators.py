@@ -208,6 +208,18 @@ def test_line_rules(spark):
     assert "|" not in df.select(quality.clean_text(F.col("text")).alias("t")).first().t
 
 
+def test_line_rules_leave_clean_lines(spark):
+    long_ = "शब्द " * 60
+    clean = [
+        "The catalog in the hall lists every blog in town.", "They design in wood, and a dollar-sign inside is a reflog information.",
+        "The mill is powered by water from the hills.", "You can read more in the second part of the book.", "All users log in with a name.",
+        long_ + "।", "كلمة " * 60 + "؟", "كلمة " * 60 + "،", "字" * 260 + "、",
+    ]
+    bad = ["Read more »", "Log in", "Sign in | Log in", "Powered by Acme", "© 2020, all rights reserved, of course", "See our Privacy Policy", long_, "・" + "字" * 260, "word • " * 2 + "word " * 60]
+    rows = spark.createDataFrame(list(enumerate(clean + bad)), "i int, line string").orderBy("i").select(quality.line_fails(F.col("line"))).collect()
+    assert [r[0] for r in rows] == [False] * len(clean) + [True] * len(bad)
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
         x = np.arange(n)

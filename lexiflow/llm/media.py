@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17  # registered WAVE format tags
+#: Bits of a stored sample, by format.
+BITS = {PCM: 16, A_LAW: 8, MU_LAW: 8, IMA_ADPCM: 4}
 UNIT, RATE, STORED_RATE = 192, 8_000, 16_000
 
 
@@ -116,7 +118,7 @@ def write_wav(data: bytes, tag: int, rate: int, bits: int, block: int) -> bytes:
 
 
 def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """(format tag, rate, block size, stored bytes); ValueError if it is no WAVE file."""
+    """(format tag, rate, block size, stored bytes); ValueError if it is no WAVE file of one channel in a known format."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, form = 12, None
@@ -127,6 +129,8 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
         elif name == b"data":
             if form is None or at + 8 + size > len(media):
                 break
+            if form[1] != 1 or form[5] != BITS.get(form[0]):
+                raise ValueError(f"format {form[0]} with {form[1]} channels of {form[5]} bits is not telephony audio")
             return form[0], form[2], form[4], media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no samples")

@@ -330,6 +330,17 @@ def test_companding_and_adpcm():
     assert len(media.decode_adpcm(data[:300], 256)) == 505 + (300 - 256 - 4) * 2 + 1
 
 
+def test_media_of_other_shapes_is_rejected(spark):
+    def wav(tag, bits, block, channels):
+        one = media.write_wav(b"\x00\xff" * 512, tag, 8000, bits, block)
+        return one[:22] + channels.to_bytes(2, "little") + one[24:]
+
+    forms = [(media.MU_LAW, 8, 1), (media.A_LAW, 8, 1), (media.IMA_ADPCM, 4, 256), (media.PCM, 16, 2)]
+    good, bad = [wav(*x, 1) for x in forms], [*(wav(*x, 2) for x in forms), wav(media.PCM, 8, 2, 2), wav(media.PCM, 8, 1, 1), wav(media.MU_LAW, 16, 2, 1)]
+    rows = media.convert(spark.createDataFrame(list(enumerate(good + bad)), "id int, media binary")).orderBy("id").collect()
+    assert [r.pcm_wav is None for r in rows] == [False] * len(good) + [True] * len(bad)
+
+
 def test_media_round_trip(spark, docs):
     for r in media.store_texts(docs).collect():
         raw = next((x[1] or "") for x in EDGE if x[0] == r.doc_id).encode()

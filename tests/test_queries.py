@@ -131,6 +131,14 @@ def test_spans(text, terms, want):
     assert spans.marked_text(text, found, "", "") == text
 
 
+def test_spans_look_back_over_any_gap():
+    gap = " " * 300
+    assert not spans.opens_sentence(f"He met{gap}Smith", 306) and spans.opens_sentence(f"He left.{gap}Smith", 308)
+    assert not spans.opens_sentence(f"He met Dr.{gap}Smith", 310) and spans.opens_sentence(f"He met\n{gap}Smith", 307)
+    text = f"He met United{gap}Nations. A {'long' * 60}-term."
+    assert [text[s:e] for s, e in spans.find_spans(text, ["nations", "term"], frozenset())] == [f"United{gap}Nations", f"{'long' * 60}-term"]
+
+
 PAGE = """<html><body><nav><p>{nav}</p></nav><main><p>{a}<p>{b}<em>Homo sapiens</em><aside><p>{c}</p></aside><ul><li>{d}</ul></main></body></html>"""
 
 

@@ -1,13 +1,15 @@
-"""Shared parts of the training-data operators: scratch tables and vectorised word hashing.
+"""Shared parts of the training-data operators: tables of a run, free column names, and word hashing.
 
-Word hashing works on the UTF-8 buffer of an Arrow string column.  A prefix sum of
-``byte * P**position`` gives every word's polynomial hash with one subtraction, so there is no
-Python loop over words.  A 64-bit finaliser follows.
+Words are hashed from the UTF-8 buffer of an Arrow string column.  Eight bytes at a time of all words go
+through a keyed bijective mixer that follows the bytes before, so equal hashes of different words are chance
+(one in 2**64 for a lane, one in 2**128 for both), whatever the words look like.  Words of more than ``_LONG``
+bytes are hashed one by one.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -15,7 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,10 +30,10 @@ _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INVERSE = pow(_P, -1, 1 << 64)
+_KEYS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+_LONG = 64
 _CHUNK_BYTES = 1 << 21
-_powers: dict[int, np.ndarray] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -43,20 +47,78 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lexiflow-{name}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables that one run writes to the shared folder, so that lost executors cost nothing; ``drop`` deletes those that are done with."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.number = spark, scratch(spark, name), 0
+        self.paths: dict[str, str] = {}
+
+    def new_path(self, name: str) -> str:
+        self.number += 1
+        self.paths[name] = f"{self.path}/{self.number:03d}-{name}"
+        return self.paths[name]
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and reads it back: its lineage ends."""
+        path = self.new_path(name)
+        with shed_shuffles(self.spark):
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table of its own."""
+    return Tables(df.sparkSession, name).cut(df, name)
+
+
+@contextlib.contextmanager
+def shed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when their query ends, not with the driver's next collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files whose plans are gone; it otherwise waits for the driver's GC."""
-    import gc
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def last_at_most(rising: Column, value: Column) -> Column:
+    """The place in an array in rising order of its last element <= ``value``; -1 where there is none.  Binary search."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(rising) + F.lit(1.0))).cast("int"))
+    start = F.struct(F.lit(-1).alias("lo"), F.size(rising).alias("hi"))
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        low = (a["hi"] - a["lo"] > 1) & (F.get(rising, middle) <= value)
+        high = (a["hi"] - a["lo"] > 1) & ~(F.get(rising, middle) <= value)
+        return F.struct(F.when(low, middle).otherwise(a["lo"]).alias("lo"), F.when(high, middle).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(steps, start, step)["lo"]
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array's elements up to each place, by doubling: n log n, nothing is appended."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1.0))).cast("int"))
+    behind = lambda a, i, k: F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))
+    return F.aggregate(rounds, values, lambda a, k: F.transform(a, lambda x, i: x + behind(a, i, k)))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,17 +130,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        table = np.full(max(n, _CHUNK_BYTES + 1), base, np.uint64)
-        table[0] = 1
-        table = np.cumprod(table, dtype=np.uint64)
-        if n <= 8 * _CHUNK_BYTES:
-            _powers[base] = table
-    return table
-
-
 class Words:
     """Words of some consecutive rows: bytes, spans, hashes and the row of each."""
 
@@ -102,17 +153,20 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def prefix(self) -> np.ndarray:
-        power = _power_table(_P, len(self.data))
-        sums = np.empty(len(self.data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=sums[1:])
-        return sums
-
-    def hash_spans(self, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-        sums = self.prefix() if sums is None else sums
-        back = _power_table(_P_INVERSE, len(self.data) + 1)
-        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of the bytes of each span."""
+        size = ends - starts
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))
+        out = mix(size.astype(np.uint64) * np.uint64(_KEYS[1 - lane] | 1) + np.uint64(_KEYS[lane]))
+        out = mix(out ^ (eights[starts] & _BYTES[np.minimum(size, 8)]))
+        left = np.flatnonzero((size > 8) & (size <= _LONG))
+        for done in range(8, _LONG, 8):
+            out[left] = mix(out[left] ^ (eights[starts[left] + done] & _BYTES[np.minimum(size[left] - done, 8)]))
+            left = left[size[left] > done + 8]
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]].data, _KEYS[lane])
+        return out
 
     def hashes(self) -> np.ndarray:
         return self.hash_spans(self.starts, self.ends)

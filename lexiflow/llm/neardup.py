@@ -2,21 +2,25 @@
 
 Each text gives ``2 * SIDE`` small collections of ``ROWS`` minhashes.  A table's key joins one collection of the
 left side with one of the right, so SIDE * SIDE tables of 2 * ROWS rows each come from 2 * SIDE * ROWS
-minhashes in place of 2 * SIDE * SIDE * ROWS.  With 8 x 8 tables of 4 rows a link at 85 % is missed with
-probability 7e-5, at 80 % with 6e-4, at 90 % with 3e-6.
+minhashes in place of 2 * SIDE * SIDE * ROWS.  With 8 x 8 tables of 6 rows a link at exactly 85 % is missed with
+probability 1e-3, at 80 % with 6e-3, at 90 % with 3e-5; chance collisions stay rare.
 
-1. Equal shingle sets (exact copies) collapse to the smallest doc_id by a partial aggregate.
+1. Equal shingle sets (exact copies) collapse to the smallest doc_id by a partial aggregate, over a 128-bit
+   cryptographic digest of the whole set.
 2. Representatives that share a table key meet under the bucket's leader, the member with most collisions in
    all tables, so a group of near copies meets under few leaders.  No pair is emitted: memberships
    (leader, document) are linear in the tables.
 3. A leader's members are dealt to blocks of bounded size; a task holds one block, gets whole texts, and counts
    every pair's intersection exactly by a product of 0/1 matrices.  It emits a spanning forest of its links.
 4. Components come from alternating star contraction over the links, in Spark.
-5. Only where a leader has several blocks that components don't join yet, pairs of blocks are
-   verified in the same way, so no link between different texts is lost to the blocks.
+5. Where a leader has several blocks that components don't join yet, its stragglers (members outside its
+   largest component) are verified against every block that they can reach: sets link only where
+   100 * smaller >= percent * larger, so a straggler meets members of such sizes alone.  Members of the largest
+   component need no second look at each other, and no link between different texts is lost to the blocks.
 
-Joins of per-document tables are merge joins at every size: none of these tables has a bound, and the plan
-that is tested small is the one that runs large.  Everything that is sent on is in tables of the shared folder; nothing per document reaches the driver.
+Spark chooses the joins: a side is broadcast only where Spark finds it under its size limit.  Leaders with very
+many members are salted in joins.  All that is sent on is in tables of the shared folder, deleted once used;
+nothing per document reaches the driver.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; a text of fewer words
 has one shingle, all its words; several rows of one doc_id are one document; a null doc_id has no
@@ -25,6 +29,8 @@ component, links with nothing and is kept; an empty table gives no rows; extra c
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import chunks, cut, mix, release
+from lexiflow.llm.common import Tables, chunks, free, mix
 
-SIDE, ROWS = 8, 2
-#: A block's members, and their shingles together, in expectation.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+SIDE, ROWS = 8, 3
+#: A block's members, and their shingles together, in expectation; parts of a leader's members in joins.
+BLOCK, BLOCK_SHINGLES, SALTS = 256, 1 << 20, 16
 
 _HASHES = 2 * SIDE * ROWS
 _A = mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -51,8 +57,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         n = max(len(h) - words + 1, 0)
         s = np.zeros(n, np.uint64)
         for k in range(words):
-            s += h[k : k + n] * _PLACES[k]
-        s = mix(s)
+            s = mix(s + h[k : k + n] * _PLACES[k])
         for lo, hi in zip(text.first[:-1].tolist(), text.first[1:].tolist(), strict=True):
             if hi - lo >= words:
                 yield np.unique(s[lo : hi - words + 1])
@@ -63,6 +68,12 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole set."""
+    whole = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
+
+
 def minhash(shingles: np.ndarray) -> np.ndarray:
     out = np.full(_HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2048):
@@ -81,18 +92,19 @@ def collections(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n, a and b (128 bits of the set), keys."""
+    """doc_id, n, a and b (the set's digest), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, keys = [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
-                order = mix(s + np.uint64(1))
-                a.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(order.sum(dtype=np.uint64).view(np.int64)))
+                first, second = digest(s)
+                a.append(first)
+                b.append(second)
                 keys.append(collections(minhash(s)) if len(s) else None)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            numbers = [pa.array(x, pa.int64()) for x in (n, a, b)]
+            arrays = [batch.column(0), *numbers, pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "a", "b", "keys"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -141,7 +153,8 @@ def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def _verified(placed: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(u, v), u > v: links within each group of ``placed`` (g, h, rep)."""
     texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
-    rows = placed.hint("merge").join(texts, "rep").select("g", "h", "rep", "text").repartition("g", "h").sortWithinPartitions("g", "h")
+    rows = placed.join(texts, "rep").select("g", "h", "rep", "text")
+    rows = rows.repartition("g", "h").sortWithinPartitions("g", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, reps, sets = None, [], []
@@ -176,19 +189,25 @@ def _verified(placed: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of a link.  Alternating large and small stars."""
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
-    check = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    state = check(edges)
+    tables = tables or Tables(links.sparkSession, "components")
+    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    name = f"edges-{tables.number}"
+    edges = tables.cut(links.filter("u > v").distinct(), name)
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    state = edges.agg(F.count("*"), mark).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
-        edges = cut(small, "edges")
-        now = check(edges)
+        pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+        small = large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e"))
+        before, name = name, f"edges-{tables.number}"
+        edges = tables.cut(small.select("e.u", "e.v").filter("u > v").distinct(), name)
+        tables.drop(before)
+        now = edges.agg(F.count("*"), mark).first()
         if now == state:
             break
         state = now
@@ -196,47 +215,86 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _memberships(reps: DataFrame) -> DataFrame:
+def _memberships(reps: DataFrame, tables: Tables) -> DataFrame:
     """(leader, rep, n): under which leaders a representative meets others, itself included."""
     sides = [[F.get("keys", s * SIDE + i) for i in range(SIDE)] for s in (0, 1)]
-    keys = F.array(*(F.xxhash64(left, right, F.lit(i * SIDE + j)) for i, left in enumerate(sides[0]) for j, right in enumerate(sides[1])))
-    rows = reps.select("rep", "n", F.explode(keys).alias("key"))
+    pairs = [(a, b, i * SIDE + j) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[1])]
+    rows = reps.select("rep", "n", F.explode(F.array(*(F.xxhash64(a, b, F.lit(t)) for a, b, t in pairs))).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = cut(rows.hint("merge").join(shared, "key"), "buckets")
+    rows = tables.cut(rows.join(shared, "key"), "buckets")
     weight = rows.groupBy("rep").agg(F.sum("size").alias("weight"))
-    rows = rows.hint("merge").join(weight, "rep")
-    leader = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("leader"))
-    return rows.hint("merge").join(leader, "key").select("leader", "rep", "n").distinct()
+    rows = rows.join(weight, "rep")
+    first = F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")
+    leader = rows.groupBy("key").agg(first).select("key", (-F.col("top.rep")).alias("leader"))
+    out = tables.cut(rows.join(leader, "key").select("leader", "rep", "n").distinct(), "memberships")
+    tables.drop("buckets")
+    return out
+
+
+def _salted(members: DataFrame, by_leader: DataFrame, how: str) -> DataFrame:
+    """Members (leader, rep, ...) joined with rows for leaders; a leader's members are dealt to SALTS parts."""
+    members = members.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    parts = by_leader.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.join(parts, ["leader", "_salt"], how).drop("_salt")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members with blocks, their leader's number of blocks, and block."""
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    several = members.groupBy("leader").agg(size.alias("blocks")).filter("blocks > 1")
+    out = _salted(members, several, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return out.withColumn("block", F.pmod(F.xxhash64("rep", "leader"), F.col("blocks")).cast("int"))
+
+
+def _second_look(wide: DataFrame, percent: int) -> DataFrame:
+    """(g, h, rep): stragglers with all members of their leader that they can reach in size, block by block.
+
+    ``wide``: leader, rep, n, block and component of leaders with several blocks.
+    """
+    parts = wide.groupBy("leader", "component").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("leader").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component"))["component"].alias("largest"))
+    wide = _salted(wide, largest.filter("parts > 1").drop("parts"), "inner")
+    # Stragglers of like sizes share a block.
+    kind = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
+    lost = wide.filter("component != largest").withColumn("kind", kind).drop("block")
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("several")
+    several = lost.groupBy("leader", "kind").agg(size)
+    lost = lost.join(several, ["leader", "kind"])
+    lost = lost.withColumn("own", F.col("kind") * (1 << 20) + F.pmod(F.xxhash64("rep", "leader"), F.col("several")))
+    ranges = lost.groupBy("leader", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    near = (F.col("low") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("high") * 100)
+    met = _salted(wide, ranges, "inner").filter(near).select("leader", "block", "own", "rep")
+    others = lost.join(met.select("leader", "block", "own").distinct(), ["leader", "own"])
+    placed = met.unionByName(others.select("leader", "block", "own", "rep")).distinct()
+    return placed.select(F.col("leader").alias("g"), (F.col("own") * (1 << 24) + F.col("block")).alias("h"), "rep")
 
 
 def component_table(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row."""
-    spark = docs.sparkSession
-    sketches = cut(sketch(docs, id_col, text_col, words), "sketch")
+    tables = Tables(docs.sparkSession, "neardup")
+    sketches = tables.cut(sketch(docs, id_col, text_col, words), "sketch")
     full = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = cut(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
-    members = cut(_memberships(reps.select("rep", "n", "keys")), "memberships")
-    release(spark)
-    blocks = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = cut(members.hint("merge").join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("rep", "leader"), F.col("blocks")).cast("int")), "blocks")
-    links = cut(_verified(members.select(F.col("leader").alias("g"), F.col("block").alias("h"), "rep"), docs, id_col, text_col, words, percent), "links")
-    release(spark)
+    same = full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    reps = tables.cut(same, "reps")
+    members = tables.cut(_blocks(_memberships(reps.select("rep", "n", "keys"), tables)), "blocks")
+    tables.drop("memberships")
+    placed = members.select(F.col("leader").alias("g"), F.col("block").cast("long").alias("h"), "rep")
+    links = tables.cut(_verified(placed, docs, id_col, text_col, words, percent), "links")
     # Copies of one document that differ from row to row tie their sets' representatives together.
-    ties = full.join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).filter("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("u"))
-    links = links.unionByName(ties.join(several, "u"))
-    labels = connected(links)
-    wide = members.filter("blocks > 1").join(labels, members["rep"] == labels["node"], "left").select("leader", "rep", "block", "blocks", F.coalesce("component", "rep").alias("component"))
-    apart = wide.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("leader")
-    wide = cut(wide.join(apart, "leader"), "apart")
-    if not wide.isEmpty():
-        low, high = F.least("block", "other"), F.greatest("block", "other")
-        pairs = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other != block")
-        pairs = pairs.select("leader", (low.cast("long") * F.col("blocks") + high).alias("h"), "rep")
-        more = _verified(pairs.select(F.col("leader").alias("g"), "h", "rep"), docs, id_col, text_col, words, percent)
-        labels = connected(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    classes = reps.select("a", "b", "n", "rep").join(labels, reps["rep"] == labels["node"], "left").select("a", "b", "n", F.coalesce("component", "rep").alias("_component"))
-    out = sketches.select("doc_id", "n", "a", "b").hint("merge").join(classes, ["a", "b", "n"], "left")
+    ties = full.join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).filter("doc_id != rep")
+    several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    ties = ties.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    labels = connected(links.unionByName(ties), tables)
+    wide = members.filter("blocks > 1").join(labels, F.col("rep") == F.col("node"), "left")
+    wide = wide.select("leader", "rep", "n", "block", F.coalesce("component", "rep").alias("component"))
+    apart = tables.cut(_second_look(tables.cut(wide, "wide"), percent), "apart")
+    if not apart.isEmpty():
+        more = _verified(apart, docs, id_col, text_col, words, percent)
+        labels = connected(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), tables)
+    classes = reps.select("a", "b", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    classes = tables.cut(classes.select("a", "b", "n", F.coalesce("component", "rep").alias("_component")), "classes")
+    tables.drop("reps", "blocks", "links", "wide", "apart")
+    out = sketches.select("doc_id", "n", "a", "b").join(classes, ["a", "b", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -249,5 +307,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the smallest id's; a repeated row of it stays with it."""
-    gone = components(docs, words, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    (name,) = free(docs, "_gone")
+    gone = components(docs, words, percent, id_col, text_col).filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

@@ -1,31 +1,41 @@
 """Line dedup (operator 5) over levelled sorted runs of line hashes, DataFrame operations only.
 
-A run is a table of (key, docs, last): a line's 128-bit hash, the number of documents that hold it and
-the largest of their ids, hash-partitioned and sorted by key in the shared folder.  A new batch is
-merge-anti-joined with the runs for lines never seen, and adds those as a run of its own to level 0; a
-level with ``fanout`` runs is merged into one run of the next, so each key is rewritten once per level.
-Batches are summed by key with partial sums, so a line that a third of all documents hold costs one row
-per task.
+A run has (key, docs, last) rows: a line's 128-bit hash, the number of documents that hold it and the largest of
+their ids.  A level is a table in the shared folder, bucketed by key; all levels have the same buckets, and a run is one
+sorted file a bucket.  A new batch is written in that form, merge-anti-joined with the levels for lines never
+seen, and adds those as a run of its own to level 0; a level with ``fanout`` runs is merged into one run of the next, so
+each key is rewritten once per level.  Anti-joins, merges and the last sums read buckets side by side: nothing is
+exchanged between runs.  Batches are summed by key with partial sums, so a line that a third of all documents
+hold costs one row per task.
 
 Decisions meet lines by key: keys in at least a 2,000th of all (line, document) pairs, fewer than 2,001
 whatever the input, are broadcast; each other key is in fewer rows than that, so a shuffle by key stays even.
+A text's dropped keys are a rising list, at most as long as its lines; each line is looked up by binary search.
 
 Defined results: a null or empty text is one empty line; a line's key is the line without the six ASCII
 white-space characters at both ends, A-Z in lower case; keys shorter than ``min_chars`` never count;
-several rows of one doc_id are one document for counting; a null doc_id counts as one document below
-all ids; an empty table gives no rows; extra columns stay.
+several rows of one doc_id are one document for counting; all rows of null doc_id are one document below
+all ids; an empty table gives no rows; extra columns stay, but for those named like the two counts, which give way to them.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut, release, scratch
+from lexiflow.llm.common import Tables, free, last_at_most, shed_shuffles
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 #: Keys in at least one of so many (line, document) pairs are broadcast.
 HOT = 2_000
+#: Rows that a bucket of a run shall hold at most, on average.
+BUCKET_ROWS = 4_000_000
+#: The counts that ``dedup_lines`` adds.
+COUNTS = ("_n_lines", "_n_dropped")
 _NO_ID = -(1 << 63)
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,84 +47,151 @@ def lines_of(text: Column) -> Column:
 def key_hash(line: Column, min_chars: int = MIN_CHARS) -> Column:
     """128 bits of the key as a pair; null for keys that never count."""
     key = F.btrim(F.translate(line, _AZ, _az), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key, F.lit("~")).alias("b")))
+    pair = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key, F.lit("~")).alias("b"))
+    return F.when(F.length(key) >= min_chars, pair)
+
+
+@contextlib.contextmanager
+def _by_buckets(spark: SparkSession) -> Iterator[None]:
+    """Scans keep buckets, and the order of buckets of one file each; unions claim no partitioning."""
+    wanted = {
+        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+        "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+        "spark.sql.unionOutputPartitioning": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class LineRuns:
     """The levelled store.  Its tables are files in the shared folder, so lost executors lose nothing.
 
-    Runs have no key in common.  What a batch holds of known keys goes to ``hits``, for counts.
+    Runs have no key in common.  What a batch holds of known keys goes to a table of hits, for counts.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.runs, self.hits = spark, fanout, [], []
-
-    def _write(self, run: DataFrame, name: str) -> tuple:
-        path = scratch(self.spark, f"lines-{name}")
-        run.sortWithinPartitions("a", "b").write.parquet(path)
-        return path, run.schema
-
-    def _read(self, tables: list) -> DataFrame:
-        out = None
-        for path, schema in tables:
-            x = self.spark.read.schema(schema).parquet(path)
-            out = x if out is None else out.unionByName(x)
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+        self.runs: dict[int, int] = {}  # runs by level
+        self.files, self.prefix = Tables(spark, "lines"), f"lexiflow_lines_{uuid.uuid4().hex}"
+
+    def _name(self, table: str) -> str:
+        return f"{self.prefix}_{table}"
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        """Adds a sorted file a bucket.  What lies in such buckets already is not exchanged again."""
+        name = self._name(table)
+        path = self.files.paths.get(name) or self.files.new_path(name)
+        with shed_shuffles(self.spark), _by_buckets(self.spark):
+            rows = rows.repartition(self.buckets, "a", "b").sortWithinPartitions("a", "b")
+            writer = rows.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", path)
+            writer.mode("append").saveAsTable(name)
+
+    def _drop(self, table: str) -> None:
+        if self._name(table) in self.files.paths:
+            self.spark.sql(f"DROP TABLE {self._name(table)}")
+            self.files.drop(self._name(table))
+
+    def _read(self, table: str) -> DataFrame:
+        return self.spark.table(self._name(table))
+
+    def _levels(self) -> list[DataFrame]:
+        return [self._read(f"level{k}") for k in sorted(self.runs)]
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """Rows whose key no run holds: a merge anti-join with each level in turn."""
+        for level in self._levels():
+            rows = rows.join(level.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        return rows
+
+    def add(self, lines: DataFrame) -> None:
+        """Adds a batch (a, b, _doc), all of a document's lines, each once."""
+        known = F.col("_doc") != _NO_ID
+        docs = F.count_if(known) + F.max(F.when(known, 0).otherwise(1))
+        rows = lines.groupBy("a", "b").agg(docs.cast("long").alias("docs"), F.max("_doc").alias("last"))
+        if self.runs:
+            self._append(rows, "batch")
+            rows = self._read("batch")
+            for level in self._levels():
+                self._append(rows.join(level.select("a", "b").hint("merge"), ["a", "b"], "left_semi"), "hits")
+            rows = self.unseen(rows)
+        if 0 in self.runs:  # a level cannot be read and written at once
+            self._append(rows, "fresh")
+            rows = self._read("fresh")
+        self._append(rows, "level0")
+        self._drop("fresh")
+        self._drop("batch")
+        level, self.runs[0] = 0, self.runs.get(0, 0) + 1
+        while self.runs[level] >= self.fanout:
+            self._append(self._read(f"level{level}"), f"level{level + 1}")
+            self._drop(f"level{level}")
+            del self.runs[level]
+            level += 1
+            self.runs[level] = self.runs.get(level, 0) + 1
+
+    def table(self, min_docs: int = 1) -> DataFrame:
+        """(a, b, docs, last) over all that was added, of keys in ``min_docs`` documents."""
+        hits, out = None, None
+        if self._name("hits") in self.files.paths:
+            hits = self._read("hits").groupBy("a", "b").agg(F.sum("docs").alias("_docs"), F.max("last").alias("_last"))
+        for rows in self._levels():
+            if hits is not None:
+                docs = F.col("docs") + F.coalesce("_docs", F.lit(0))
+                rows = rows.join(hits.hint("merge"), ["a", "b"], "left")
+                rows = rows.select("a", "b", docs.alias("docs"), F.greatest("last", "_last").alias("last"))
+            rows = rows.filter(F.col("docs") >= min_docs)
+            out = rows if out is None else out.unionByName(rows)
         return out
 
-    @staticmethod
-    def _merge(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """Rows (a, b, ...) whose key no run holds: a merge anti-join with each run in turn."""
-        for _, table in self.runs:
-            lines = lines.join(self._read([table]).select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        return lines
-
-    def add(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch (a, b, _doc), all of a document's lines, each once; returns its keys that were new."""
-        run = self._merge(lines.select("a", "b", F.lit(1).cast("long").alias("docs"), F.col("_doc").alias("last")))
-        if not self.runs:
-            new = self._write(run, "l0")
-        else:
-            run = self._read([self._write(run, "batch")])
-            new = self._write(self.unseen(run), "l0")
-            self.hits.append(self._write(run.join(self._read([new]).hint("merge"), ["a", "b"], "left_anti"), "hits"))
-        self.runs.append((0, new))
-        level = 0
-        while len(full := [r for r in self.runs if r[0] == level]) >= self.fanout:
-            self.runs = [r for r in self.runs if r not in full]
-            self.runs.append((level + 1, self._write(self._read([t for _, t in full]).repartition("a", "b"), f"l{level + 1}")))
-            level += 1
-        return self._read([new])
+    def close(self) -> None:
+        for table in ("hits", *(f"level{k}" for k in self.runs)):
+            self._drop(table)
+
 
-    def table(self) -> DataFrame:
-        """(a, b, docs, last) over all that was added."""
-        return self._merge(self._read([t for _, t in self.runs] + self.hits))
+def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's document, and what tells its texts apart."""
+    return F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)), F.xxhash64(docs[text_col])
 
 
 def document_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(_doc, a, b): each row's different keys."""
-    keys = F.array_distinct(F.filter(F.transform(lines_of(docs[text_col]), lambda x: key_hash(x, min_chars)), lambda k: k.isNotNull()))
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("_doc"), F.explode(keys).alias("_k")).select("_doc", "_k.a", "_k.b")
+    """(_doc, _text, a, b): each row's different keys."""
+    keys = F.filter(F.transform(lines_of(docs[text_col]), lambda x: key_hash(x, min_chars)), lambda k: k.isNotNull())
+    doc, text = _identity(docs, id_col, text_col)
+    out = docs.select(doc.alias("_doc"), text.alias("_text"), F.explode(F.array_distinct(keys)).alias("_k"))
+    return out.select("_doc", "_text", "_k.a", "_k.b")
 
 
-def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(_doc, _drop): for each document that loses lines, their key hashes."""
+def dropped_keys(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT
+) -> DataFrame:
+    """(_doc, _text, _drop): for each text that loses lines, their key hashes, rising."""
     spark = docs.sparkSession
-    lines = document_lines(docs, id_col, text_col, min_chars).dropDuplicates(["_doc", "a", "b"])
+    tables = Tables(spark, "line-dedup")
     batch = F.pmod(F.xxhash64("_doc"), F.lit(batches)).cast("int")
-    lines = cut(lines.withColumn("_batch", batch).sortWithinPartitions("_batch"), "lines")
-    release(spark)
-    store = LineRuns(spark, fanout)
+    lines = document_lines(docs, id_col, text_col, min_chars).withColumn("_batch", batch)
+    lines = tables.cut(lines.sortWithinPartitions("_batch"), "lines")
+    n = lines.count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS))
+    store = LineRuns(spark, buckets, fanout)
     for i in range(batches):
-        store.add(lines.filter(F.col("_batch") == i))
-    common = cut(store.table().filter(F.col("docs") >= min_docs).select("a", "b", "docs", "last"), "lines-common")
-    least = max(min_docs, -(-lines.count() // HOT))
-    meets = lambda x: lines.join(x, ["a", "b"]).filter(F.col("_doc") < F.col("last")).select("_doc", "a", "b")
-    hot = meets(F.broadcast(common.filter(F.col("docs") >= least)))
-    rest = meets(common.filter(F.col("docs") < least).hint("shuffle_hash"))
-    return hot.unionByName(rest).groupBy("_doc").agg(F.collect_list(F.struct("a", "b")).alias("_drop"))
+        store.add(lines.filter(F.col("_batch") == i).select("a", "b", "_doc").distinct())
+    with _by_buckets(spark):
+        common = tables.cut(store.table(min_docs), "common")
+    store.close()
+    least = max(min_docs, -(-n // HOT))
+
+    def met(keys: DataFrame) -> DataFrame:
+        return lines.join(keys, ["a", "b"]).filter(F.col("_doc") < F.col("last")).select("_doc", "_text", "a", "b")
+
+    hot = met(F.broadcast(common.filter(F.col("docs") >= least)))
+    rest = met(common.filter(F.col("docs") < least).hint("shuffle_hash"))
+    drop = F.array_sort(F.collect_set(F.struct("a", "b")))
+    return hot.unionByName(rest).groupBy("_doc", "_text").agg(drop.alias("_drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -124,11 +201,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A text that loses no line stays as it is, null included.
     """
     min_chars = options.get("min_chars", MIN_CHARS)
-    drop = dropped_keys(docs, id_col, text_col, **options)
-    joined = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).join(drop.withColumnRenamed("_doc", "_key").hint("shuffle_hash"), "_key", "left")
-    lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), key_hash(x, min_chars)), F.lit(False)))
-    out = joined.withColumn("_n_lines", F.size(lines).cast("long")).withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    out = out.withColumn("_n_dropped", F.when(F.col("_drop").isNotNull(), F.col("_n_lines") - F.size("_kept")).otherwise(0).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("_n_dropped") > 0, F.concat_ws("\n", "_kept")).otherwise(F.col(text_col)))
-    return out.select(*docs.columns, "_n_lines", "_n_dropped")
+    docs = docs.drop(*COUNTS)
+    doc, text, drop, kept = free(docs, "_doc", "_text", "_drop", "_kept")
+    gone = dropped_keys(docs, id_col, text_col, **options).toDF(doc, text, drop)
+    own, part = _identity(docs, id_col, text_col)
+    joined = docs.withColumns({doc: own, text: part}).join(gone.hint("shuffle_hash"), [doc, text], "left")
+
+    def stays(line: Column) -> Column:
+        key = key_hash(line, min_chars)
+        return ~F.coalesce(F.get(F.col(drop), last_at_most(F.col(drop), key)) == key, F.lit(False))
+
+    lines, loses = lines_of(F.col(text_col)), F.col(drop).isNotNull()
+    n, n_kept = F.size(lines).cast("long"), F.size(kept).cast("long")
+    out = joined.withColumn(kept, F.when(loses, F.filter(lines, stays)))
+    counts = [n.alias(COUNTS[0]), F.when(loses, n - n_kept).otherwise(F.lit(0)).cast("long").alias(COUNTS[1])]
+    reduced = F.when(loses & (n_kept < n), F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    return out.select(*(reduced.alias(c) if c == text_col else F.col(c) for c in docs.columns), *counts)

@@ -174,12 +174,25 @@ def test_toxicity_held_out(spark):
 
 
 def test_line_runs(spark):
-    store = linededup.LineRuns(spark, fanout=2)
-    batch = lambda *rows: spark.createDataFrame(rows, "a long, b long, _doc long")
-    assert store.add(batch((1, 1, 5), (2, 2, 5))).count() == 2
-    assert {r.a for r in store.add(batch((1, 1, 9), (3, 3, 9))).collect()} == {3}
-    assert [level for level, _ in store.runs] == [1]
-    assert {(r.a, r.docs, r["last"]) for r in store.table().collect()} == {(1, 2, 9), (2, 1, 5), (3, 1, 9)}
+    """Batches with keys in common, over levels that fill up, against plain counts."""
+    store, rng = linededup.LineRuns(spark, buckets=4, fanout=2), random.Random(5)
+    seen = collections.defaultdict(set)
+    for i in range(5):
+        rows = sorted({(rng.randrange(60), 1, 100 * i + rng.randrange(9)) for _ in range(80)})
+        batch = spark.createDataFrame(rows, "a long, b long, _doc long")
+        assert {r.a for r in store.unseen(batch).collect()} == {a for a, *_ in rows} - set(seen)
+        store.add(batch)
+        for a, _, doc in rows:
+            seen[a].add(doc)
+        assert sum(n * 2**level for level, n in store.runs.items()) == i + 1
+    want = {(a, len(d), max(d)) for a, d in seen.items()}
+    with linededup._by_buckets(spark):
+        assert {(r.a, r.docs, r["last"]) for r in store.table().collect()} == want
+        for df, joins in ((store.unseen(store._read("hits")), 2), (store.table(), 2)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and plan.count("SortMergeJoin") == joins, plan
+    store.close()
+    assert not store.files.paths
 
 
 def test_lines_keep_the_last_document(spark, docs):

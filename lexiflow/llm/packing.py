@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lexiflow.llm.tokens import default_tokenizer, encoder
+from lexiflow.llm.tokens import encoder, ship
 
 WINDOW = 2048
 #: The closing id of every document.
@@ -129,10 +129,10 @@ def pack_documents(
     window: int = WINDOW, piece: int = PIECE, group_windows: int = GROUP_WINDOWS, slack: int = SLACK,
 ) -> DataFrame:
     """One row per piece: document, its place there, the crc32 of its ids, and its place in a sequence."""
-    path = tokenizer or default_tokenizer()
+    shipped = ship(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        words = encoder(shipped)
         packer = _Packer(window, piece, group_windows, slack, TaskContext.get().partitionId())
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         rows: list[tuple] = []

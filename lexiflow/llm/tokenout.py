@@ -8,8 +8,10 @@ of fixed stride: sequence ``slot`` stands at byte ``(slot - first slot) * stride
 seek to any slot and read on sequentially; ``manifest.json`` is written last and marks a whole output.
 
 Encoding twice moves the ids once and stores them once; an intermediate copy would cost more disk than
-the count costs time.  A shard is written under a name of its attempt and then renamed, so lost tasks leave
-no partial shard.  The driver keeps one count per partition.
+the count costs time.  A task owns a range of shards, so there are at most ``MAX_TASKS`` of them however many
+shards there are.  A shard is written under a name of its attempt and then renamed: lost tasks leave no partial
+shard, a second attempt finds the same bytes in place, and what attempts left is deleted at the end.  Every
+file is in the file system that Spark resolves ``path`` to.  The driver keeps one count per partition.
 
 Defined results: a null or empty text is its closing id alone; each partition's last sequence is filled up
 with ``PAD``; repeated rows are written as rows of their own; an empty table gives no shards and a
@@ -30,9 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import cut, mix, scratch
-from lexiflow.llm.tokens import default_tokenizer, encoder
+from lexiflow.llm.tokens import encoder, ship
 
 WINDOW, CLOSE, PAD, KEY, SHARD_SEQUENCES, ROUNDS = 2048, 1, 0, 20_240_229, 4096, 6
+#: Tasks that write shards, at most.
+MAX_TASKS = 20_000
+_PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())])
+_INDEX = ("doc_id", "start", "length", "ids_crc32", "slot", "offset", "shard", "byte_offset")
+
 
 def feistel(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.ndarray:
     """A permutation of 0..n-1 that ``key`` chooses, or its inverse; values that fall outside walk on along their cycle."""
@@ -65,10 +72,36 @@ class Output:
     index: DataFrame
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """Spark's file system for a path, and the whole path there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark resolves it to."""
+    whole = _hadoop(spark, path)[1].toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def _filesystem(path: str):
+    """The file system of a path with a scheme; one without is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def publish(system, temporary: str, name: str) -> None:
+    """Gives a whole shard its name.  Where another attempt was first its file, of the same bytes, stays."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    try:
+        system.move(temporary, name)
+    except OSError:
+        if system.get_file_info(name).type != fs.FileType.File:
+            raise
+        system.delete_file(temporary)
 
 
 def materialise(
@@ -89,7 +122,8 @@ def materialise(
 
 def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_sequences, wide) -> Output:
     spark = docs.sparkSession
-    path, words = path or scratch(spark, "tokens"), tokenizer or default_tokenizer()
+    path, shipped = qualified(spark, path or scratch(spark, "tokens")), ship(spark, tokenizer)
+    _delete(spark, f"{path}/manifest.json")
     dtype = np.dtype("<u4" if wide else "<u2")
     stride = window * dtype.itemsize
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -97,7 +131,7 @@ def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_seq
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            n += int(encoder(words).counts(batch.column(1)).sum()) + batch.num_rows
+            n += int(encoder(shipped).counts(batch.column(1)).sum()) + batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["part", "ids"])
 
     counts = {r.part: r.ids for r in rows.mapInArrow(count, "part long, ids long").collect()}
@@ -121,13 +155,14 @@ def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_seq
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             slots = feistel(np.array([x[0] for x in out]), total, key)
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]))
-            listed = [[dict(zip(("doc_id", "start", "offset", "length"), p, strict=True)) for p in x[2]] for x in out]
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // shard_sequences).astype(np.int32)), pa.array([x[1] for x in out], pa.binary()), pa.array(listed, kind)], ["slot", "shard", "ids", "pieces"])
+            listed = [[dict(zip(_PIECE.names, p, strict=True)) for p in x[2]] for x in out]
+            shards_of = pa.array((slots // shard_sequences).astype(np.int32))
+            arrays = [pa.array(slots), shards_of, pa.array([x[1] for x in out], pa.binary()), pa.array(listed, pa.list_(_PIECE))]
+            return pa.RecordBatch.from_arrays(arrays, ["slot", "shard", "ids", "pieces"])
 
         for batch in batches:
             doc_ids, out = batch.column(0).to_pylist(), []
-            for row, ids, offsets in encoder(words).encode(batch.column(1)):
+            for row, ids, offsets in encoder(shipped).encode(batch.column(1)):
                 if not wide and len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("ids of this vocabulary need wide=True")
                 closed = np.insert(ids, offsets[1:], CLOSE)
@@ -155,13 +190,13 @@ def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_seq
             yield batch_of([cut_off(np.concatenate(held), pieces)])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, shard, expected, name = None, -1, 0, ""
+        out, shard, expected, name, temporary = None, -1, 0, "", ""
         system, root = _filesystem(path)
         attempt = TaskContext.get().taskAttemptId()
 
         def close() -> None:
             out.close()
-            system.move(f"{name}.{attempt}", name)
+            publish(system, temporary, name)
 
         for batch in batches:
             lines = []
@@ -170,8 +205,9 @@ def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_seq
                     if out is not None:
                         close()
                     shard, expected, name = own, own * shard_sequences, f"{root}/shard-{own:06d}.bin"
-                    system.create_dir(root, recursive=True)
-                    out = system.open_output_stream(f"{name}.{attempt}")
+                    temporary = f"{root}/_attempts/shard-{own:06d}.{attempt}"
+                    system.create_dir(f"{root}/_attempts", recursive=True)
+                    out = system.open_output_stream(temporary)
                 if slot != expected:
                     raise RuntimeError(f"slot {expected} of shard {shard} is missing")
                 out.write(ids)
@@ -179,35 +215,44 @@ def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_seq
                 at = (slot - shard * shard_sequences) * stride
                 for p in pieces:
                     b = p["offset"] * dtype.itemsize
-                    lines.append((p["doc_id"], p["start"], p["length"], zlib.crc32(np.frombuffer(ids, dtype, p["length"], b).astype("<u4")), slot, p["offset"], shard, at + b))
-            kinds = [pa.int64()] * 8
-            names = ["doc_id", "start", "length", "ids_crc32", "slot", "offset", "shard", "byte_offset"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines, strict=True) if lines else [()] * 8, kinds, strict=True)], names)
+                    crc = zlib.crc32(np.frombuffer(ids, dtype, p["length"], b).astype("<u4"))
+                    lines.append((p["doc_id"], p["start"], p["length"], crc, slot, p["offset"], shard, at + b))
+            columns = zip(*lines, strict=True) if lines else [()] * len(_INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(_INDEX))
         if out is not None:
             close()
 
     piece = "array<struct<doc_id: long, start: long, offset: int, length: int>>"
-    schema = "doc_id long, start long, length long, ids_crc32 long, slot long, offset long, shard long, byte_offset long"
+    schema = ", ".join(f"{name} long" for name in _INDEX)
     if total:
+        own = -(-shards // min(shards, MAX_TASKS))  # shards of a task
         sent = rows.mapInArrow(sequences, f"slot long, shard int, ids binary, pieces {piece}")
-        sent = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+        sent = sent.repartitionById(-(-shards // own), F.floor(F.col("shard") / own).cast("int")).sortWithinPartitions("slot")
         index = cut(sent.mapInArrow(write, schema), "token-index")
+        _delete(spark, f"{path}/_attempts")
     else:
         index = spark.createDataFrame([], schema)
-    manifest = {"sequences": total, "window": window, "stride": stride, "dtype": dtype.str, "shard_sequences": shard_sequences, "shards": shards, "key": key, "pad": PAD}
+    manifest = {
+        "sequences": total, "window": window, "stride": stride, "dtype": dtype.str, "shard_sequences": shard_sequences,
+        "shards": shards, "key": key, "pad": PAD,
+    }
     _put(spark, f"{path}/manifest.json", json.dumps(manifest))
     return Output(path, total, shard_sequences, stride, index)
 
 
 def _put(spark: SparkSession, name: str, text: str) -> None:
     """A small file, by Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(name)
-    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    system, path = _hadoop(spark, name)
+    out = system.create(path, True)
     out.write(bytearray(text.encode()))
     out.close()
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    system, path = _hadoop(spark, name)
+    system.delete(path, True)
+
+
 def read_sequences(path: str, slot: int, n: int) -> np.ndarray:
     """``n`` sequences from ``slot`` on, fewer at the end; (n, window) ids."""
     system, root = _filesystem(path)

@@ -1,13 +1,19 @@
 """Token ids of whole texts, word by word.
 
 The word tokenizer drops white space, so a text's ids are its words' ids in order.  Each word is
-encoded once per worker and then found by its 64-bit hash; texts become ids by one gather.
+encoded once per worker and then found by 128 bits of keyed hashes; texts become ids by one gather.
+The tokenizer's file is read on the driver and shipped, so executors need no copy of it.
 """
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 from lexiflow.llm.common import chunks
 
@@ -56,56 +62,59 @@ def default_tokenizer() -> str:
 
 
 class HashIndex:
-    """Open addressing over uint64 keys, with whole arrays per probe; a key's value is its number."""
+    """Open addressing over pairs of uint64, with whole arrays per probe; a pair's value is its number."""
 
     def __init__(self, capacity: int):
         self.mask = (1 << max(4, (2 * capacity).bit_length())) - 1
-        self.keys = np.zeros(self.mask + 1, np.uint64)
-        self.values = np.zeros(self.mask + 1, np.int32)
+        self.keys = np.zeros((2, self.mask + 1), np.uint64)
+        self.values = np.full(self.mask + 1, -1, np.int32)
         self.used = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The numbers of ``keys``, -1 where absent."""
-        keys = np.where(keys == 0, np.uint64(1), keys)
-        out = np.full(len(keys), -1, np.int64)
-        slots = (keys & np.uint64(self.mask)).astype(np.int64)
-        there = self.keys[slots]
-        hit = there == keys
-        out[hit] = self.values[slots[hit]]
-        left = np.flatnonzero(~hit & (there != 0))
-        slots = slots[left]
+        """The numbers of ``keys`` (2, n), -1 where absent."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        left = np.arange(keys.shape[1])
+        slots = (keys[0] & np.uint64(self.mask)).astype(np.int64)
         while len(left):
-            slots = (slots + 1) & self.mask
-            there = self.keys[slots]
-            hit = there == keys[left]
-            out[left[hit]] = self.values[slots[hit]]
-            on = ~hit & (there != 0)
-            left, slots = left[on], slots[on]
+            there = self.values[slots]
+            hit = (there >= 0) & (self.keys[0, slots] == keys[0, left]) & (self.keys[1, slots] == keys[1, left])
+            out[left[hit]] = there[hit]
+            on = ~hit & (there >= 0)
+            left, slots = left[on], (slots[on] + 1) & self.mask
         return out
 
     def add(self, keys: np.ndarray) -> np.ndarray:
         """Numbers new, distinct keys."""
-        keys = np.where(keys == 0, np.uint64(1), keys)
-        numbers = np.arange(self.used, self.used + len(keys))
-        self.used += len(keys)
-        left = np.arange(len(keys))
-        slots = (keys & np.uint64(self.mask)).astype(np.int64)
+        numbers = np.arange(self.used, self.used + keys.shape[1])
+        self.used += len(numbers)
+        left = np.arange(len(numbers))
+        slots = (keys[0] & np.uint64(self.mask)).astype(np.int64)
         while len(left):
-            free = self.keys[slots] == 0
-            self.keys[slots[free]] = keys[left[free]]  # of keys that want one slot the last gets it
-            put = free & (self.keys[slots] == keys[left])
-            self.values[slots[put]] = numbers[left[put]]
+            free = np.flatnonzero(self.values[slots] < 0)
+            self.values[slots[free]] = numbers[left[free]]  # of keys that want one slot the last gets it
+            put = np.zeros(len(left), bool)
+            put[free] = self.values[slots[free]] == numbers[left[free]]
+            self.keys[:, slots[put]] = keys[:, left[put]]
             left, slots = left[~put], (slots[~put] + 1) & self.mask
         return numbers
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """A place of each different pair."""
+    order = np.lexsort(keys)
+    pairs = keys[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+    return order[new]
+
+
 class WordTokenizer:
-    """Encodes Arrow string columns.  ``path`` must be a tokenizer whose words never span white space."""
+    """Encodes Arrow string columns.  ``definition`` is a tokenizer's JSON; its words must never span white space."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, definition: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.cache_words = cache_words
         self._reset()
 
@@ -141,21 +150,20 @@ class WordTokenizer:
         """The cache place of every span."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        hashes = words.hash_spans(starts, ends)
+        hashes = np.stack([words.hash_spans(starts, ends, lane) for lane in (0, 1)])
         found = self.index.find(hashes)
         missing = np.flatnonzero(found < 0)
         if not len(missing):
             return found
-        keys, first = np.unique(hashes[missing], return_index=True)
-        if self.index.used + len(keys) > self.cache_words:
-            keys, first = np.unique(hashes, return_index=True)
-            missing = np.arange(len(hashes))
-            self.cache_words = max(self.cache_words, len(keys))
+        first = missing[_distinct(hashes[:, missing])]
+        if self.index.used + len(first) > self.cache_words:
+            missing, first = np.arange(len(found)), _distinct(hashes)
+            self.cache_words = max(self.cache_words, len(first))
             self._reset()
         raw = words.raw.tobytes()
-        at = missing[first]
-        self._add(keys, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        found[missing] = self.index.find(hashes[missing])
+        spans = zip(starts[first].tolist(), ends[first].tolist(), strict=True)
+        self._add(hashes[:, first], [raw[s:e].decode("utf-8", "replace") for s, e in spans])
+        found[missing] = self.index.find(hashes[:, missing])
         return found
 
     def _chunks(self, column: pa.Array):
@@ -191,9 +199,19 @@ class WordTokenizer:
 
 _encoders: dict[str, WordTokenizer] = {}
 
+#: A shipped tokenizer: its digest and its JSON, some megabytes whatever the input.
+Shipped = tuple[str, Broadcast]
+
+
+def ship(spark: SparkSession, path: str | None = None) -> Shipped:
+    """The tokenizer at ``path``, a file of the driver's, for all workers."""
+    text = Path(path or default_tokenizer()).read_text(encoding="utf-8")
+    return hashlib.sha256(text.encode()).hexdigest(), spark.sparkContext.broadcast(text)
+
 
-def encoder(path: str) -> WordTokenizer:
+def encoder(shipped: Shipped) -> WordTokenizer:
     """One for each worker process: later tasks and passes find the words of earlier ones."""
-    if path not in _encoders:
-        _encoders[path] = WordTokenizer(path)
-    return _encoders[path]
+    key, text = shipped
+    if key not in _encoders:
+        _encoders[key] = WordTokenizer(text.value)
+    return _encoders[key]

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import operator
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def last_at_most(rising: Column, value: Column) -> Column:
     """The place in an array in rising order of its last element <= ``value``; -1 where there is none.  Binary search."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(rising) + F.lit(1.0))).cast("int"))
@@ -114,11 +120,12 @@ def last_at_most(rising: Column, value: Column) -> Column:
     return F.aggregate(steps, start, step)["lo"]
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of an array's elements up to each place, by doubling: n log n, nothing is appended."""
+def running(values: Column, combine: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """An array's sums (or what ``combine`` makes, associative) up to each place, by doubling: n log n, nothing is appended."""
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1.0))).cast("int"))
-    behind = lambda a, i, k: F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))
-    return F.aggregate(rounds, values, lambda a, k: F.transform(a, lambda x, i: x + behind(a, i, k)))
+    before = lambda a, i, k: F.get(a, i - F.call_function("shiftleft", F.lit(1), k))
+    both = lambda a, x, i, k: F.coalesce(combine(before(a, i, k), x), x)
+    return F.aggregate(rounds, values, lambda a, k: F.transform(a, lambda x, i: both(a, x, i, k)))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -7,43 +7,48 @@ too many words in repeated 3-word windows).  Everything happens inside the row:
 source or text length makes one task heavier than its own rows.
 
 Repeated windows are found by sorting longs: the high bits hold the window's hash, the low bits, as many
-as the text needs, its position (54 hash bits for 600 words, 47 for 100,000).  Equal neighbours mark
-positions, and the words under the marked windows are counted as the union of their spans.
+as the text needs, its position.  Equal neighbours mark positions; marked windows are sorted once more by a
+second hash, so a window counts only where both hashes have a twin (over 100 bits together for a million words).
+The words under the windows that are left are counted as the union of their spans.
 
 Defined results: a null or empty text has no words and no lines and fails the base; repeated rows are
-judged alike; texts of any length are read whole; an empty table gives no rows; extra columns stay.
+judged alike; texts of any length are read whole; an empty table gives no rows; extra columns stay, but for one
+named ``_q``, which gives way to the measures in ``measure``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import WORD
+from lexiflow.llm.common import WORD, free, let
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST = 50, 50, 0.5
 #: Largest share of a line's characters that are symbols or exclamation marks; words that need a mark among them.
 MAX_SYMBOLS, MAX_SHOUTS, UNMARKED_CHARS = 0.08, 0.08, 250
+#: Phrases of page furniture in the corpus's languages, lower case.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "terms and conditions", "cookie policy",
     "accept cookies", "use of cookies", "enable javascript", "javascript is disabled", "click here", "read more", "sign in",
     "log in", "subscribe to our newsletter", "share on facebook", "share on twitter", "powered by", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "newsletter abonnieren",
+    "hier klicken", "mehr lesen", "weiterlesen", "jetzt anmelden", "tous droits réservés", "politique de confidentialité",
+    "conditions d'utilisation", "accepter les cookies", "cliquez ici", "lire la suite", "se connecter",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "términos de uso", "aceptar cookies",
+    "haga clic aquí", "leer más", "iniciar sesión",
 )
 #: Phrases that ordinary sentences hold too: they count where they make up half of a line or more.
-COMMON = ("click here", "read more", "sign in", "log in", "powered by")
+COMMON = (
+    "click here", "read more", "sign in", "log in", "powered by", "hier klicken", "mehr lesen", "weiterlesen", "jetzt anmelden",
+    "cliquez ici", "lire la suite", "se connecter", "haga clic aquí", "leer más", "iniciar sesión",
+)
 _PHRASE = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
 #: Marks of any script: punctuation that is no quote, bullet, sign or reference mark.
-_MARKS = r"[.!?,;:…。！？‼‽⁇⁈⁉]|[\p{Po}&&[^\x00-\xFF\u2000-\u206F〃〽・･＂＃％＆＇＊／＠＼]]"
+_USUAL, _NO_MARKS = "[.!?,;:…。！？‼‽⁇⁈⁉]", "〃〽・･＂＃％＆＇＊／＠＼"
+_MARKS = _USUAL + r"|[\p{Po}&&[^\x00-\xFF\u2000-\u206F" + _NO_MARKS + "]]"
 _SYMBOLS = "[#*$%&|<>{}^~=\\\\]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value``, which is computed once a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
@@ -66,17 +71,20 @@ def repeat_words(words: Column) -> Column:
     n = F.size(words)
     bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
 
-    def packed(bits: Column) -> Column:
+    def twins(positions: Column, bits: Column, *seed: Column) -> Column:
+        """Those of ``positions`` whose window's hash another one has."""
         top = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
-        window = lambda i: top(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))) + i.cast("long")
-        return F.transform(F.sequence(F.lit(0), n - 3), window)
+        window = lambda i: F.xxhash64(*seed, *(F.get(words, (i + k).cast("int")) for k in range(3)))
+        packed = F.transform(positions, lambda i: top(window(i)) + i.cast("long"))
+        return let(F.sort_array(packed), lambda s: _marked(s, bits))
 
     def covered(positions: Column) -> Column:
         start = F.struct(F.lit(-3).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
         step = lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(p - a["at"], F.lit(3))).alias("n"))
         return F.aggregate(positions, start, step)["n"]
 
-    found = let(bits, lambda b: let(F.sort_array(packed(b)), lambda s: covered(_marked(s, b))))
+    every = F.sequence(F.lit(0), n - 3)
+    found = let(bits, lambda b: let(twins(every, b), lambda once: covered(twins(once, b, F.lit(11)))))
     return F.when(n > 3, found).otherwise(0).cast("long")
 
 
@@ -99,24 +107,34 @@ def word_count(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
-def measure(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words, base_failed, kept."""
+def _measured(docs: DataFrame, text_col: str, max_lost: float, name: str) -> DataFrame:
+    """``docs`` with the measures in column ``name``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bad = F.filter(lines_with_words(F.col(text_col)), line_fails)
     lost = F.aggregate(bad, F.lit(0).cast("long"), lambda a, x: a + word_count(x))
-    lines = let(lines_with_words(F.col(text_col)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    counts = let(
-        word_array(F.col(text_col)),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words")),
-    )
+    twice = let(lines_with_words(F.col(text_col)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+    def counted(w: Column) -> Column:
+        chars = F.length(F.array_join(w, "")).cast("long")
+        return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), repeat_words(w).alias("n_repeat_words"))
+
     symbols = (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long")
     # Columns of their own, so that the optimizer computes each once however often it is used below.
-    out = docs.withColumns({"_c": counts, "_s": symbols, "_d": lines.cast("long"), "_l": lost})
-    n, r = F.col("_c.n_words"), F.col("_c.n_repeat_words")
+    c, s, d, own = free(docs, "_counts", "_symbols", "_twice", "_lost")
+    out = docs.withColumns({c: let(word_array(F.col(text_col)), counted), s: symbols, d: twice, own: lost})
+    n, r = F.col(c)["n_words"], F.col(c)["n_repeat_words"]
     failed = (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
-    kept = ~failed & (F.col("_l") <= max_lost * n)
-    judged = F.struct("_c.n_words", "_c.word_chars", F.col("_s").alias("n_symbols"), F.col("_d").alias("n_dup_lines"), "_c.n_repeat_words", F.col("_l").alias("lost_words"), failed.alias("base_failed"), kept.alias("kept"))
-    return out.select(*(out[c] for c in docs.columns), judged.alias("_q"))
+    kept = ~failed & (F.col(own) <= max_lost * n)
+    measures = [
+        n.alias("n_words"), F.col(c)["word_chars"].alias("word_chars"), F.col(s).alias("n_symbols"), F.col(d).alias("n_dup_lines"),
+        r.alias("n_repeat_words"), F.col(own).alias("lost_words"), failed.alias("base_failed"), kept.alias("kept"),
+    ]
+    return out.select(*docs.columns, F.struct(*measures).alias(name))
+
+
+def measure(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
+    """``docs`` with _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words, base_failed, kept."""
+    return _measured(docs.drop("_q"), text_col, max_lost, "_q")
 
 
 def clean_text(text: Column) -> Column:
@@ -125,7 +143,9 @@ def clean_text(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: ~(x.rlike(WORD) & line_fails(x))), "\n")
 
 
-def clean_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def clean_documents(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
     """The documents that are kept, without their failing lines."""
-    kept = measure(docs, text_col, **options).filter("_q.kept")
-    return kept.withColumn(text_col, F.when(F.col("_q.lost_words") > 0, clean_text(F.col(text_col))).otherwise(F.col(text_col))).select(*docs.columns)
+    (q,) = free(docs, "_q")
+    kept = _measured(docs, text_col, max_lost, q).filter(F.col(q)["kept"])
+    text = F.when(F.col(q)["lost_words"] > 0, clean_text(F.col(text_col))).otherwise(F.col(text_col))
+    return kept.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))

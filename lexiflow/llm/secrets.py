@@ -6,22 +6,26 @@ follows from one count going down and one going up a step: counts stand in a 128
 the sum of c log2 c changes by two terms.  A run whose best window reaches its threshold is a span, unless
 an allow-list fits it (words, numbers, paths, UUIDs, alphabets) or a base span covers part of it.
 
-A match's place comes from the lengths of the pieces between matches, so each pattern reads the text
-once, and a second time only where it matched.  Everything happens inside the row: no shuffle.
+A match's place comes from running sums of the lengths of the pieces between matches, so each pattern reads the
+text once, and a second time only where it matched; a run finds base spans around it by binary search.  Work grows
+with a text's matches as n log n.  Everything happens inside the row: no shuffle.
 
 Defined results: a null text is empty and has no spans; places are code points, ends exclusive; repeated
 rows give repeated rows; texts of any length are read whole; an empty table gives no rows; extra columns
-stay in ``scan`` and are not read by the query.
+stay, but for those named like the four results of ``scan``, which give way to them there.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.quality import let
+from lexiflow.llm.common import free, last_at_most, let, running
 
 #: Kind, pattern, group that is measured, least length; in the order of the spans' kinds.
 BASE = (
@@ -29,8 +33,10 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}+", 0, 16),  # the runs of [0-9a-f]+ that are long enough: short ones are in every word
 )
+KINDS = (*(kind for kind, *_ in BASE), "entropy")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
+_SPANS = "array<struct<start:int,end:int,value:string>>"
 #: Bits that a window must reach, by class; a window of 20 has 4.32 at most, of hex digits 3.92 at most.
 THRESHOLDS = {"hex": 3.0, "base64": 3.8, "alnum": 3.6}
 ALLOW = (
@@ -48,21 +54,16 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, value) of every match, leftmost and not overlapping; value: what the group holds."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    pieces = F.split(text, pattern, -1)
 
     def placed(hit: Column) -> Column:
-        def walk(pieces: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<start:int,end:int>>").alias("out"))
+        sizes = F.zip_with(F.slice(pieces, 1, F.size(hit)), hit, lambda p, h: F.length(p) + F.length(h))
+        ends = let(sizes, lambda s: running(s))
+        both = F.zip_with(ends, hit, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end")))
+        whole = F.zip_with(both, values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
+        return F.when(F.size(hit) > 0, whole)
 
-            def step(a: Column, i: Column) -> Column:
-                begin = a["at"] + F.length(F.get(pieces, i))
-                end = begin + F.length(F.get(hit, i))
-                return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(begin.alias("start"), end.alias("end"))).alias("out"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(hit) - 1), start, step)["out"]
-
-        return F.when(F.size(hit) > 0, F.zip_with(let(F.split(text, pattern, -1), walk), values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value"))))
-
-    return F.coalesce(let(hits, placed), F.expr("array()").cast("array<struct<start:int,end:int,value:string>>"))
+    return F.coalesce(let(hits, placed), F.expr("array()").cast(_SPANS))
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
@@ -98,18 +99,32 @@ def looks_secret(run: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(run) >= threshold)
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _assign, _access, _hex and _entropy: arrays of (start, end, value)."""
+def _covered(m: Column, taken: list[str]) -> Column:
+    """Whether a span of one of the columns, each rising without overlaps, shares a character with ``m``."""
+
+    def by(name: str) -> Column:
+        last = last_at_most(F.transform(F.col(name), lambda b: b["start"]), m["end"] - 1)
+        return F.coalesce(F.get(F.col(name), last)["end"] > m["start"], F.lit(False))
+
+    return functools.reduce(operator.or_, map(by, taken))
+
+
+def _scanned(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """``docs`` with the spans of the three base kinds and of entropy in columns of these names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def long_enough(least: int):
+    def long_enough(least: int) -> Callable[[Column], Column]:
         return lambda m: F.length(m["value"]) >= least
 
-    for kind, pattern, group, least in BASE:
-        docs = docs.withColumn(f"_{kind}", F.filter(_matches(text, pattern, group), long_enough(least)))
-    taken = F.concat(*(F.col(f"_{kind}") for kind, *_ in BASE))
-    runs = F.filter(_matches(text, CANDIDATE), lambda m: looks_secret(m["value"]) & ~F.exists(taken, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return docs.withColumn("_entropy", runs)
+    for name, (_, pattern, group, least) in zip(names, BASE, strict=False):
+        docs = docs.withColumn(name, F.filter(_matches(text, pattern, group), long_enough(least)))
+    runs = F.filter(_matches(text, CANDIDATE), lambda m: looks_secret(m["value"]) & ~_covered(m, names[:-1]))
+    return docs.withColumn(names[-1], runs)
+
+
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with _assign, _access, _hex and _entropy: arrays of (start, end, value)."""
+    return _scanned(docs, text_col, [f"_{kind}" for kind in KINDS])
 
 
 def spans(kinds: list[str]) -> Column:
@@ -124,10 +139,20 @@ def spans(kinds: list[str]) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """``docs`` with every span replaced; overlapping spans become one mark."""
-    scanned = scan(docs, text_col)
-    flat = F.array_sort(F.transform(F.concat(*(F.col(f"_{k}") for k in ("assign", "access", "hex", "entropy"))), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, m: F.when(m["start"] >= a["at"], F.struct(m["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, m["start"] - a["at"]), F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], m["end"]).alias("at"), a["out"].alias("out")))
-    done = F.aggregate(flat, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_col, F.when(F.size(flat) > 0, done).otherwise(text)).select(*docs.columns)
+    names = free(docs, *(f"_{kind}" for kind in KINDS), "_flat", "_past")
+    flat, past, text = names[-2], names[-1], F.col(text_col)
+    place = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))
+    out = _scanned(docs, text_col, names[:4])
+    out = out.withColumn(flat, F.array_sort(F.transform(F.concat(*map(F.col, names[:4])), place)))
+    out = out.withColumn(past, running(F.transform(F.col(flat), lambda m: m["end"]), F.greatest))
+
+    def piece(m: Column, i: Column) -> Column:
+        """The text since the spans before, and a mark; nothing where they reach into this one."""
+        done = F.coalesce(F.get(F.col(past), i - 1), F.lit(0))
+        between = F.concat(F.substr(text, done + 1, m["start"] - done), F.lit(mark))
+        return F.when(m["start"] >= done, between).otherwise("")
+
+    tail = F.substr(text, F.array_max(past) + 1, F.length(text))
+    whole = F.concat(F.array_join(F.transform(F.col(flat), piece), ""), tail)
+    own = F.when(F.size(flat) > 0, whole).otherwise(text)
+    return out.select(*(own.alias(c) if c == text_col else F.col(c) for c in docs.columns))

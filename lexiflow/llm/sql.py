@@ -82,25 +82,36 @@ def op3() -> str:
             parts.append(f"WHEN (host = {_text(host)} OR ends_with(host, {_text('.' + host)})) AND starts_with(path, {_text(slash + path)}) THEN {_text(out(rule, verdict))}")
         return "CASE " + " ".join(parts) + " END"
 
+    weigh = "CASE x " + " ".join(f"WHEN {_text(t)} THEN {w}::DOUBLE" for t, w in urlfilter.SOFT) + " END"
+    soft = _among(t for t, _ in urlfilter.SOFT)
     return rf"""WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_AZ}', '{_az}') AS host,
-  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-ruled AS (SELECT *, {chain(lambda rule, _: rule)} AS rule, {chain(lambda _, verdict: verdict)} AS said,
-  string_split_regex(lower(host || path), '[^\p{{L}}\p{{N}}]+') AS words FROM parts),
-hit AS (SELECT *, CASE WHEN rule IS NULL THEN len(list_filter(words, lambda x: x IN {_among(urlfilter.STRICT)})) ELSE 0 END::INT AS strict_hits,
-  CASE WHEN rule IS NULL THEN len(list_distinct(list_filter(words, lambda x: x IN {_among(urlfilter.SOFT)}))) ELSE 0 END::INT AS soft_hits FROM ruled)
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN strict_hits > 0 OR soft_hits >= {urlfilter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits FROM hit"""
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, lower(coalesce(url, '')) AS whole FROM pages),
+ruled AS (SELECT *, {chain(lambda rule, _: rule)} AS rule, {chain(lambda _, verdict: verdict)} AS said, string_split_regex(whole, '[^\p{{L}}\p{{N}}]+') AS words FROM parts),
+found AS (SELECT *, CASE WHEN rule IS NULL THEN list_filter(words, lambda x: x IN {_among(urlfilter.STRICT)}) ELSE [] END AS hard,
+  CASE WHEN rule IS NULL THEN list_distinct(list_filter(words, lambda x: x IN {soft})) ELSE [] END AS soft FROM ruled),
+hit AS (SELECT *, len(hard)::INT AS strict_hits, len(soft)::INT AS soft_hits, coalesce(list_sum(list_transform(soft, lambda x: {weigh})), 0)::DOUBLE AS soft_weight FROM found)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN strict_hits > 0 OR (soft_hits >= 2 AND soft_weight >= {urlfilter.SOFT_LIMIT}::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict,
+  strict_hits, soft_hits, soft_weight FROM hit"""
 
 
 def op6() -> str:
     q = quality
     share = lambda pattern: f"(length(line) - length(regexp_replace(line, {_text(pattern)}, '', 'g')))::DOUBLE / length(line)::DOUBLE"
     has = lambda pattern: f"regexp_matches(line, {_text(pattern)})"
-    upper, letter = r"\p{Lu}", r"\p{L}"
+    upper, letter, edge = r"\p{Lu}", r"\p{L}", r"[^\p{L}\p{N}]"
+    # No look-around in this engine: the characters around a phrase are matched, and put back where it is taken out.
+    phrase = lambda among: f"(^|{edge})(?:{'|'.join(among)})($|{edge})"
+    said = lambda among: f"regexp_matches(lower(line), {_text(phrase(among))})"
+    rest = "lower(line)"
+    for _ in range(2):  # neighbours share a character
+        rest = rf"regexp_replace({rest}, {_text(phrase(q.COMMON))}, '\1\2', 'g')"
+    mostly = f"2 * length(trim({rest})) <= length(trim(lower(line)))"
+    others = rf"regexp_matches(regexp_replace(line, '[\x00-\xFF\x{{2000}}-\x{{206F}}{q._NO_MARKS}]', '', 'g'), '\p{{Po}}')"
     navigation = r"len(regexp_extract_all(line, '[\x20\x09-\x0D][|»›•·][\x20\x09-\x0D]')) >= 3"
     fails = f"""({share(q._SYMBOLS + '+')} > {q.MAX_SYMBOLS}::DOUBLE OR {share('!+')} > {q.MAX_SHOUTS}::DOUBLE OR {navigation}
   OR (length(line) >= 12 AND {has(upper + '{2}')} AND {share(upper + '+')} > 0.6::DOUBLE)
-  OR (length(line) <= 300 AND regexp_matches(lower(line), {_text('|'.join(q.BOILERPLATE))}))
-  OR (length(line) >= {q.UNMARKED_CHARS} AND NOT {has('[.!?,;:…。！？]')}) OR NOT {has(letter)})"""
+  OR (length(line) <= 300 AND ({said([x for x in q.BOILERPLATE if x not in q.COMMON])} OR ({said(q.COMMON)} AND {mostly})))
+  OR (length(line) >= {q.UNMARKED_CHARS} AND NOT ({has(q._USUAL)} OR {others})) OR NOT {has(letter)})"""
     return rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{_W}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS lines FROM t),
 tok AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),

@@ -1,15 +1,19 @@
-"""Media columns (operator 10): telephony audio as 8-bit WAV.
+"""Media columns (operator 10): telephony audio as 8-bit or 4-bit WAV files.
 
-mu-law and A-law expand by 256-entry tables built from the companding rule, IMA ADPCM blocks are decoded
-with numpy across blocks (one step per sample position, all blocks at once), and PCM is resampled by
-linear interpolation and stored as 16-bit WAV.
+mu-law and A-law expand by 256-entry tables built from the companding rule, IMA ADPCM blocks of many files are
+decoded together with numpy across blocks (one step per sample position, all blocks at once), and PCM is
+resampled by linear interpolation and stored as 16-bit WAV.
 
-The query stores a text's padded UTF-8 bytes losslessly as mu-law samples in a WAV file, parses that file
-again, and takes features from the samples read back, expanded and resampled.
+``store_texts`` puts a text's padded UTF-8 bytes losslessly into a WAV file as they are: a sample each in mu-law and
+A-law, blocks of one unit in ADPCM; the payload's crc32 chooses the format.  ``convert`` reads any such
+files: the stored bytes, resampled PCM as a WAV file, and features of that.  The query writes the files to a
+table, reads it, converts it, and takes its digests from the columns.  Files are converted a megabyte at a time,
+a longer one alone.
 
 Defined results: a null text is empty; an empty payload is one unit of padding; equal texts give equal
-values whatever their row; texts of any length are read whole, one at a time; an empty table gives no
-rows; extra columns are not read.
+values whatever their row; texts of any length are read whole; an empty table gives no rows; extra columns are
+not read by ``store_texts`` and stay in ``convert``, but for those named like its results, which give way to them; null
+media, and bytes that are no such file, give null results.
 """
 
 from __future__ import annotations
@@ -22,11 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17  # registered WAVE format tags
 #: Bits of a stored sample, by format.
 BITS = {PCM: 16, A_LAW: 8, MU_LAW: 8, IMA_ADPCM: 4}
 UNIT, RATE, STORED_RATE = 192, 8_000, 16_000
+#: Formats of stored texts, by the payload's crc32.
+FORMATS = (MU_LAW, A_LAW, IMA_ADPCM)
+#: Bytes of media that are converted at a time; a longer file is converted alone.
+_AT_ONCE = 1 << 20
+#: What ``convert`` adds.
+RESULTS = T.StructType([T.StructField("samples", T.BinaryType()), T.StructField("pcm_wav", T.BinaryType()), T.StructField("feature", T.StringType())])
 
 
 def _mu_law_table() -> np.ndarray:
@@ -53,8 +64,8 @@ _STEPS = np.array([
     130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060,
     1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484,
     7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
-])
-_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
+], np.int32)
+_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 
 
 def _adpcm_step(value: np.ndarray, index: np.ndarray, nibble: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,27 +75,44 @@ def _adpcm_step(value: np.ndarray, index: np.ndarray, nibble: np.ndarray) -> tup
     return value, np.clip(index + _INDEX[nibble & 7], 0, 88)
 
 
-def decode_adpcm(data: bytes, block: int) -> np.ndarray:
-    """Mono IMA ADPCM: per block a 16-bit first sample, an index, a zero byte, then two samples a byte, low half first.
+def _decode_blocks(blocks: np.ndarray) -> np.ndarray:
+    """Samples (n, 2 * (size - 4) + 1) of n blocks of one size, all at once."""
+    value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
+    index = np.minimum(blocks[:, 2].astype(np.int32), 88)
+    nibbles = np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], axis=2).reshape(len(blocks), -1)
+    steps = np.ascontiguousarray(nibbles.T)
+    out = np.empty((len(steps) + 1, len(blocks)), np.int16)
+    out[0] = value
+    for i, nibble in enumerate(steps, 1):
+        value, index = _adpcm_step(value, index, nibble)
+        out[i] = value
+    return np.ascontiguousarray(out.T)
+
 
+def decode_adpcm_files(files: list[tuple[bytes, int]]) -> list[np.ndarray]:
+    """Mono IMA ADPCM of several (data, block size).
+
+    A block has a 16-bit first sample, an index, a zero byte, then two samples a byte, low half first.
     The last block may be short; a rest of under 4 bytes holds no sample and is passed over.
     """
-    whole, rest = divmod(len(data), block)
-    parts = [np.frombuffer(data, np.uint8, whole * block).reshape(whole, block)] if whole else []
-    if rest >= 4:
-        parts.append(np.frombuffer(data, np.uint8, rest, whole * block).reshape(1, rest))
-    out = []
-    for b in parts:
-        value = b[:, :2].copy().view("<i2")[:, 0].astype(np.int64)
-        index = np.minimum(b[:, 2].astype(np.int64), 88)
-        nibbles = np.stack([b[:, 4:] & 15, b[:, 4:] >> 4], axis=2).reshape(len(b), -1).astype(np.int64)
-        pcm = np.empty((len(b), nibbles.shape[1] + 1), np.int16)
-        pcm[:, 0] = value
-        for i in range(nibbles.shape[1]):
-            value, index = _adpcm_step(value, index, nibbles[:, i])
-            pcm[:, i + 1] = value
-        out.append(pcm.reshape(-1))
-    return np.concatenate(out) if out else np.zeros(0, np.int16)
+    parts: list[list[np.ndarray]] = [[] for _ in files]
+    for block in {block for _, block in files}:
+        own = [(i, len(data) // block) for i, (data, size) in enumerate(files) if size == block and len(data) >= block]
+        if own:
+            whole = b"".join(files[i][0][: n * block] for i, n in own)
+            pcm, at = _decode_blocks(np.frombuffer(whole, np.uint8).reshape(-1, block)), 0
+            for i, n in own:
+                parts[i].append(pcm[at : at + n].reshape(-1))
+                at += n
+    for i, (data, block) in enumerate(files):
+        rest = len(data) % block
+        if rest >= 4:
+            parts[i].append(_decode_blocks(np.frombuffer(data, np.uint8, rest, len(data) - rest).reshape(1, rest)).reshape(-1))
+    return [np.concatenate(x) if x else np.zeros(0, np.int16) for x in parts]
+
+
+def decode_adpcm(data: bytes, block: int) -> np.ndarray:
+    return decode_adpcm_files([(data, block)])[0]
 
 
 def encode_adpcm(pcm: np.ndarray, block: int) -> bytes:
@@ -129,23 +157,31 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
         elif name == b"data":
             if form is None or at + 8 + size > len(media):
                 break
-            if form[1] != 1 or form[5] != BITS.get(form[0]):
+            if form[1] != 1 or form[5] != BITS.get(form[0]) or not form[2] or form[4] < (4 if form[0] == IMA_ADPCM else 1):
                 raise ValueError(f"format {form[0]} with {form[1]} channels of {form[5]} bits is not telephony audio")
             return form[0], form[2], form[4], media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no samples")
 
 
+def decode_files(files: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+    """16-bit PCM of several (format tag, block size, stored bytes)."""
+    packed = [i for i, (tag, *_) in enumerate(files) if tag == IMA_ADPCM]
+    out: list = [None] * len(files)
+    for i, pcm in zip(packed, decode_adpcm_files([(files[i][2], files[i][1]) for i in packed]), strict=True):
+        out[i] = pcm
+    for i, (tag, _, data) in enumerate(files):
+        if tag in TABLES:
+            out[i] = TABLES[tag][np.frombuffer(data, np.uint8)]
+        elif tag == PCM:
+            out[i] = np.frombuffer(data[: len(data) // 2 * 2], "<i2")
+    return out
+
+
 def decode(media: bytes) -> tuple[int, np.ndarray]:
     """(rate, 16-bit PCM) of a mono WAVE file in PCM, mu-law, A-law or IMA ADPCM."""
     tag, rate, block, data = read_wav(media)
-    if tag in TABLES:
-        return rate, TABLES[tag][np.frombuffer(data, np.uint8)]
-    if tag == IMA_ADPCM:
-        return rate, decode_adpcm(data, block)
-    if tag == PCM and block == 2:
-        return rate, np.frombuffer(data[: len(data) // 2 * 2], "<i2")
-    raise ValueError(f"format {tag} is not telephony audio")
+    return rate, decode_files([(tag, block, data)])[0]
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -161,57 +197,80 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return (a + (b - a) * np.minimum(part, to) // to).astype(np.int16)
 
 
-def to_pcm_wav(media: bytes, rate: int = STORED_RATE) -> bytes:
-    """Any of the formats as 16-bit PCM at ``rate``."""
-    own, pcm = decode(media)
-    return write_wav(resample(pcm, own, rate).astype("<i2").tobytes(), PCM, rate, 16, 2)
-
-
 def features(pcm: np.ndarray, rate: int) -> str:
     """Samples, rate, peak, mean square, sign changes: integers only, the same on every machine."""
     x = pcm.astype(np.int64)
     square = int((x * x).sum()) // max(len(x), 1)
-    return f"n={len(x)};rate={rate};peak={int(np.abs(x).max(initial=0))};ms={square};zc={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}"
+    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    return f"n={len(x)};rate={rate};peak={int(np.abs(x).max(initial=0))};ms={square};zc={changes}"
+
+
+def converted(media: list[bytes | None], rate: int = STORED_RATE) -> list[tuple]:
+    """(stored bytes, PCM at ``rate`` as a WAV file, its features) of each file; Nones where there is no telephony audio."""
+    read: list[tuple | None] = []
+    for m in media:
+        try:
+            read.append(read_wav(m))
+        except (ValueError, TypeError, struct.error):
+            read.append(None)
+    pcms = iter(decode_files([(tag, block, data) for tag, _, block, data in filter(None, read)]))
+    out = []
+    for x in read:
+        if x is None:
+            out.append((None, None, None))
+            continue
+        wav = write_wav(resample(next(pcms), x[1], rate).astype("<i2").tobytes(), PCM, rate, 16, 2)
+        out.append((x[3], wav, features(np.frombuffer(read_wav(wav)[3], "<i2"), rate)))
+    return out
+
+
+def to_pcm_wav(media: bytes, rate: int = STORED_RATE) -> bytes:
+    """Any of the formats as 16-bit PCM at ``rate``."""
+    if (wav := converted([media], rate)[0][1]) is None:
+        raise ValueError("not a telephony WAVE file")
+    return wav
 
 
 def convert(media: DataFrame, media_col: str = "media", rate: int = STORED_RATE) -> DataFrame:
-    """``media`` with pcm_wav (null where the bytes are null or no telephony audio) and the feature string."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+    """``media`` with samples (the stored bytes), pcm_wav and feature; null where the bytes are null or no telephony audio."""
+    media = media.drop(*RESULTS.names)
+    at = media.columns.index(media_col)
+    names = [*media.columns, *RESULTS.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum([0, *(len(x) if x is not None else 0 for x in batch.column(at).to_pylist())])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + _AT_ONCE, side="right")) - 1)
+                part = batch.slice(lo, hi - lo)
+                columns = list(zip(*converted(part.column(at).to_pylist(), rate), strict=True))
+                kinds = (pa.binary(), pa.binary(), pa.string())
+                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+                lo = hi
 
-    @F.pandas_udf(T.StructType([T.StructField("pcm_wav", T.BinaryType()), T.StructField("feature", T.StringType())]))
-    def run(column):
-        import pandas as pd
+    return media.mapInArrow(run, T.StructType([*media.schema.fields, *RESULTS.fields]))
 
-        rows = []
-        for m in column:
-            try:
-                wav = to_pcm_wav(bytes(m), rate)
-                rows.append((wav, features(np.frombuffer(read_wav(wav)[3], "<i2"), rate)))
-            except (ValueError, TypeError, struct.error):
-                rows.append((None, None))
-        return pd.DataFrame(rows, columns=["pcm_wav", "feature"])
 
-    return media.withColumn("_audio", run(F.col(media_col))).select(*media.columns, "_audio.pcm_wav", "_audio.feature")
+def store(text: str | None, unit: int = UNIT) -> tuple[int, bytes]:
+    """(bytes of the text, a WAV file that holds them, padded with spaces to a positive multiple of ``unit``)."""
+    raw = (text or "").encode()
+    payload = raw.ljust(max(unit, -(-len(raw) // unit) * unit))
+    tag = FORMATS[zlib.crc32(payload) % len(FORMATS)]
+    return len(raw), write_wav(payload, tag, RATE, BITS[tag], unit if tag == IMA_ADPCM else 1)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT) -> DataFrame:
-    """Per document: what was stored as mu-law WAV, what was read back, and features of the resampled PCM."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """(doc_id, n_bytes, media): each text's bytes as the samples of a WAV file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                padded = max(unit, -(-len(raw) // unit) * unit)
-                media = write_wav(raw.ljust(padded), MU_LAW, RATE, 8, 1)
-                tag, rate, _, back = read_wav(media)
-                pcm = resample(TABLES[tag][np.frombuffer(back, np.uint8)], rate, STORED_RATE)
-                rows.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm, STORED_RATE)))
-            types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = [x.split()[0] for x in schema.split(", ")]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                rows = [store(text, unit) for text in part.column(1).to_pylist()]
+                arrays = [part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "media"])
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm import linededup, media, mixing, neardup, packing, quality, secrets, sql, tokenout, toxicity, urlfilter
+from lexiflow.llm.common import Tables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +66,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    tables = Tables(spark, "media")
+    stored = tables.cut(media.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text")), "stored")
+    out = media.convert(stored)
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        "feature", F.octet_length("pcm_wav").cast("long").alias("pcm_bytes"), F.sha2("pcm_wav", 256).alias("pcm_sha256"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,7 +95,7 @@ FROM judged GROUP BY doc_id
 _OP9 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/mix-1'), 1, 8))::BIGINT % 4096)::INT AS step FROM documents),
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/mix-1'), 1, 8))::BIGINT // 1048576)::INT AS step FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM totals),
 weighted AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS cap FROM ranked),

@@ -5,11 +5,13 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lexiflow.llm import linededup, media, mixing, neardup, packing, quality, queries, secrets, tokenout, tokens, toxicity, urlfilter
@@ -140,6 +142,29 @@ def test_urls(spark):
     assert urlfilter.filter_urls(df).count() == 4
 
 
+def test_vocabulary_table_of_thousands_of_terms(spark, tmp_path):
+    """Weights, boundaries of other scripts, and a table of 20,000 terms against a plain search."""
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcdeéß京") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)})
+    rows = [(t, "strict" if i % 40 == 0 else "soft", round(rng.uniform(0.1, 1.5), 2)) for i, t in enumerate(names)]
+    more = [(rows[1][0], "soft", 0.05), (None, "soft", 1.0), ("", "strict", 1.0)]
+    spark.createDataFrame(rows + more, "term string, kind string, weight double").write.parquet(f"{tmp_path}/v")
+    terms = urlfilter.read_vocabulary(spark, f"{tmp_path}/v")
+    assert len(terms) == len(rows) + 3
+    kinds = {t: (k, w) for t, k, w in rows}
+    urls = ["http://ok.com/" + "".join(rng.choice(names) + rng.choice("-/.½x१ ") for _ in range(rng.randrange(4))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in urlfilter.judge_urls(df, terms=terms, rules=()).collect():
+        words = regex.split(r"[^\p{L}\p{N}]+", urls[r.page_id].lower())
+        strict = sum(kinds.get(x, ("",))[0] == "strict" for x in words)
+        soft = {x: kinds[x][1] for x in words if kinds.get(x, ("",))[0] == "soft"}
+        bad = strict > 0 or (len(soft) > 1 and sum(soft[x] for x in sorted(soft)) >= 2)
+        assert (r.strict_hits, r.soft_hits, r.verdict) == (strict, len(soft), "block" if bad else "allow")
+        assert r.soft_weight == pytest.approx(sum(soft.values()))
+    with pytest.raises(ValueError):
+        urlfilter.Vocabulary([("x", "other", 1.0)], 2.0)
+
+
 def test_urls_are_read_whole(spark):
     urls = ["https://search.example.org/find?q=porn", "http://ok.com/a#x-casino", "www.casino.org/slots", "http://ok.com/bet?x=poker", "http://ok.com/a?q=pornography", "http://x.org/fr/?q=porn", "nohost", None]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -170,7 +195,7 @@ def test_toxicity_held_out(spark):
     scored = queries.op4_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out")
     counts = {(r.toxic, r.predicted): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
     assert counts.get((0, 1), 0) <= 0.01 * counts[(0, 0)]
-    assert counts[(1, 1)] >= 0.85 * (counts[(1, 1)] + counts.get((1, 0), 0))
+    assert counts.get((1, 0), 0) <= 0.1 * counts[(1, 1)]
 
 
 def test_line_runs(spark):
@@ -240,11 +265,74 @@ def test_feistel_is_a_permutation():
         assert sorted(y.tolist()) == x.tolist() and (tokenout.feistel(y, n, 7, back=True) == x).all()
 
 
+def _tokenizer(cache=tokens.CACHE_WORDS):
+    return tokens.WordTokenizer(Path(tokens.default_tokenizer()).read_text(), cache)
+
+
+#: Words that polynomial hashes with an odd base confuse.
+_TWINS = [["".join(x[bin(i).count("1") % 2] for i in range(n)) for x in ("ab", "ba")] for n in (8, 16, 64, 72, 1024, 2048)]
+
+
+def test_words_of_complementary_patterns_differ(spark):
+    rows = [(i, w) for i, w in enumerate(w for pair in _TWINS for w in pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = {r.doc_id: r.component_id for r in neardup.components(docs).collect()}
+    assert got == {i: i for i, _ in rows}
+    encoder = _tokenizer()
+    want = {i: [*encoder.tokenizer.encode(w, add_special_tokens=False).ids, 1] for i, w in rows}
+    crc = {i: zlib.crc32(np.array(x[:512], "<u4").tobytes()) for i, x in want.items()}
+    packed = {r.doc_id: r for r in packing.pack_documents(docs).collect() if r.start == 0}
+    assert {i: (r.doc_tokens, r.ids_crc32) for i, r in packed.items()} == {i: (len(x), crc[i]) for i, x in want.items()}
+    for _, ids, offsets in encoder.encode(pa.array([w for _, w in rows])):
+        for i in range(len(rows)):
+            assert [*ids[offsets[i] : offsets[i + 1]].tolist(), 1] == want[i]
+
+
+def test_word_index_compares_both_hashes():
+    index = tokens.HashIndex(100)
+    keys = np.array([[7, 7, 7, 0, 0], [1, 2, 3, 0, 9]], np.uint64)
+    assert index.add(keys[:, :4]).tolist() == [0, 1, 2, 3]
+    assert index.find(keys).tolist() == [0, 1, 2, 3, -1]
+
+
+def test_shards_after_lost_attempts(spark, docs, tmp_path, monkeypatch):
+    """A second run over what a first one left, several shards a task, and a name that another attempt took."""
+    monkeypatch.setattr(tokenout, "MAX_TASKS", 2)
+    path = f"{tmp_path}/t"
+    first = tokenout.materialise(docs, path=path, window=16, shard_sequences=50)
+    before = tokenout.read_sequences(first.path, 0, first.sequences)
+    (tmp_path / "t/_attempts").mkdir()
+    (tmp_path / "t/_attempts/shard-000000.99").write_bytes(b"half")
+    again = tokenout.materialise(docs, path=path, window=16, shard_sequences=50)
+    assert (tokenout.read_sequences(again.path, 0, again.sequences) == before).all()
+    assert not (tmp_path / "t/_attempts").exists() and again.path.startswith("file://")
+
+    class Strict:
+        """Refuses to rename onto a file, as some stores do."""
+
+        def __init__(self, system):
+            self.system = system
+
+        def move(self, a, b):
+            raise OSError("there")
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+    system, root = tokenout._filesystem(again.path)
+    (tmp_path / "t/x").write_bytes(b"same")
+    tokenout.publish(Strict(system), f"{root}/x", f"{root}/shard-000000.bin")
+    assert not (tmp_path / "t/x").exists()
+    (tmp_path / "t/x").write_bytes(b"same")
+    with pytest.raises(OSError):
+        tokenout.publish(Strict(system), f"{root}/x", f"{root}/shard-999999.bin")
+
+
 def test_token_output_round_trip(spark, docs, tmp_path):
     out = tokenout.materialise(docs, path=f"file://{tmp_path}/t", window=16, shard_sequences=5)
     ids = tokenout.read_sequences(f"{tmp_path}/t", 0, out.sequences)
     assert ids.shape == (out.sequences, 16)
-    encoder = tokens.WordTokenizer(tokens.default_tokenizer())
+    encoder = _tokenizer()
     want = collections.Counter(tuple([*encoder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in EDGE)
     rows = out.index.collect()
     assert sum(r.length for r in rows) == sum(len(k) * v for k, v in want.items())
@@ -259,7 +347,7 @@ def test_token_output_round_trip(spark, docs, tmp_path):
 def test_tokenizer_with_a_small_cache():
     texts = pa.array([r[1] for r in EDGE] + ["a<|endoftext|>b don't É é. x\x1cy Σας! İx...", "It's. we'll, x'. É. ÷, 12,"])
     for cache in (50, 100_000):
-        t = tokens.WordTokenizer(tokens.default_tokenizer(), cache)
+        t = _tokenizer(cache)
         counts, at = t.counts(texts), 0
         for row, ids, offsets in t.encode(texts):
             for i in range(len(offsets) - 1):
@@ -282,7 +370,7 @@ def test_packing_covers_every_id(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.op8_packing(spark, d).toPandas()
     texts = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").text
-    t = tokens.WordTokenizer(tokens.default_tokenizer()).tokenizer
+    t = _tokenizer().tokenizer
     for doc, pieces in rows.groupby("doc_id"):
         ids = np.array([*t.encode(texts[doc], add_special_tokens=False).ids, 1], "<u4")
         pieces, at = pieces.sort_values("start"), 0
@@ -354,11 +442,75 @@ def test_media_of_other_shapes_is_rejected(spark):
     assert [r.pcm_wav is None for r in rows] == [False] * len(good) + [True] * len(bad)
 
 
-def test_media_round_trip(spark, docs):
-    for r in media.store_texts(docs).collect():
-        raw = next((x[1] or "") for x in EDGE if x[0] == r.doc_id).encode()
-        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-    bad = spark.createDataFrame([(1, b"junk"), (2, None), (3, media.write_wav(b"\x00\xff" * 50, media.MU_LAW, 8000, 8, 1))], "id long, media binary")
-    rows = {r.id: r for r in media.convert(bad).collect()}
-    assert rows[1].pcm_wav is None and rows[2].feature is None and media.decode(bytes(rows[3].pcm_wav))[0] == 16000
+def _expanded(tag, byte):
+    """One sample of G.711 by its definition: sign, segment and step in decoded order."""
+    if tag == media.MU_LAW:
+        byte = 255 - byte
+        magnitude = ((byte % 16) * 8 + 132) * 2 ** (byte // 16 % 8) - 132
+        return -magnitude if byte >= 128 else magnitude
+    byte ^= 0x55
+    segment, step = byte // 16 % 8, byte % 16
+    magnitude = step * 16 + 8 if segment == 0 else (step * 16 + 264) * 2 ** (segment - 1)
+    return magnitude if byte >= 128 else -magnitude
+
+
+def _plain_adpcm(data, block):
+    out = []
+    for at in range(0, len(data), block):
+        value, index = int.from_bytes(data[at : at + 2], "little", signed=True), min(data[at + 2], 88)
+        out.append(value)
+        for byte in data[at + 4 : at + block]:
+            for nibble in (byte % 16, byte // 16):
+                step, change = int(media._STEPS[index]), 0
+                for bit, part in ((0, step // 8), (4, step), (2, step // 2), (1, step // 4)):
+                    change += part if bit == 0 or nibble & bit else 0
+                value = max(-32768, min(32767, value - change if nibble >= 8 else value + change))
+                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[nibble % 8]))
+                out.append(value)
+    return out
+
+
+def _plain_media(text):
+    """What the query tells of a text, sample by sample."""
+    raw = text.encode()
+    payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+    tag, bits, block = ((7, 8, 1), (6, 8, 1), (17, 4, 192))[zlib.crc32(payload) % 3]
+    le = lambda *pairs: b"".join(v.to_bytes(n, "little") for v, n in pairs)
+    per_second = 8000 * 192 // 377 if tag == 17 else 8000
+    form = le((tag, 2), (1, 2), (8000, 4), (per_second, 4), (block, 2), (bits, 2)) + (le((2, 2), (377, 2)) if tag == 17 else le((0, 2)))
+    body = b"WAVEfmt " + le((len(form), 4)) + form + b"data" + le((len(payload), 4)) + payload
+    file = b"RIFF" + le((len(body), 4)) + body
+    pcm = _plain_adpcm(payload, 192) if tag == 17 else [_expanded(tag, b) for b in payload]
+    twice = [v for a, b in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for v in (a, a + (b - a) // 2)]
+    changes = sum((a < 0) != (b < 0) for a, b in zip(twice, twice[1:], strict=False))
+    feature = f"n={len(twice)};rate=16000;peak={max(map(abs, twice))};ms={sum(v * v for v in twice) // len(twice)};zc={changes}"
+    sound = b"".join(v.to_bytes(2, "little", signed=True) for v in twice)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return (len(raw), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(file), sha(file), feature), sound
+
+
+def test_media_against_plain_samples(spark, tables):
+    """All three formats, edge rows and whole documents; stored PCM too."""
+    con = duckdb.connect()
+    for d, path in ((tables["edge"], f"{tables['edge']}/documents.parquet/*.parquet"), ("/root/testdata/sf0.001", "/root/testdata/sf0.001/documents.parquet")):
+        want = collections.Counter((i, _plain_media(t or "")[0]) for i, t in con.execute(f"select doc_id, text from '{path}'").fetchall())
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        rows = queries.op10_media(spark, d).collect()
+        assert collections.Counter((r.doc_id, tuple(r[n] for n in names)) for r in rows) == want
+    texts = [f"text number {i} é" * i for i in range(9)]
+    assert {media.read_wav(media.store(t)[1])[0] for t in texts} == set(media.FORMATS)
+    for t, (back, wav, _) in zip(texts, media.converted([media.store(t)[1] for t in texts]), strict=True):
+        sound = _plain_media(t)[1]
+        assert media.read_wav(wav) == (media.PCM, 16000, 2, sound) and back.decode().rstrip(" ") == t.rstrip(" ")
+
+
+def test_media_files_of_any_kind(spark, monkeypatch):
+    """Bad and null files, other columns and names, and files longer than what is converted at a time."""
+    monkeypatch.setattr(media, "_AT_ONCE", 300)
+    good = media.write_wav(b"\x00\xff" * 50, media.MU_LAW, 8000, 8, 1)
+    rows = [(1, b"junk", "a"), (2, None, "b"), (3, good, "c"), (4, b"", None), (5, media.write_wav(b"ab" * 999, media.A_LAW, 8000, 8, 1), "e")]
+    df = spark.createDataFrame(rows, "id long, media binary, feature string").withColumn("_audio", F.lit(1))
+    got = {r.id: r for r in media.convert(df.repartition(1)).collect()}
+    assert [got[i].pcm_wav is None for i in range(1, 6)] == [True, True, False, True, False]
+    assert got[3].samples == b"\x00\xff" * 50 and got[2].feature is None and got[4]._audio == 1
+    assert media.decode(bytes(got[3].pcm_wav))[0] == 16000 and got[5].feature.startswith("n=3996;")

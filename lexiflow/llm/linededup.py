@@ -10,7 +10,8 @@ hold costs one row per task.
 
 Decisions meet lines by key: keys in at least a 2,000th of all (line, document) pairs, fewer than 2,001
 whatever the input, are broadcast; each other key is in fewer rows than that, so a shuffle by key stays even.
-A text's dropped keys are a rising list, at most as long as its lines; each line is looked up by binary search.
+What comes back to a text is the list of places of its lines that go, at most as long as its lines; the text is put
+together from the runs of lines between them, so work is linear in its lines.
 
 Defined results: a null or empty text is one empty line; a line's key is the line without the six ASCII
 white-space characters at both ends, A-Z in lower case; keys shorter than ``min_chars`` never count;
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import Tables, free, last_at_most, shed_shuffles
+from lexiflow.llm.common import Tables, free, let, shed_shuffles
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 #: Keys in at least one of so many (line, document) pairs are broadcast.
@@ -159,17 +160,17 @@ def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Colu
 
 
 def document_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(_doc, _text, a, b): each row's different keys."""
-    keys = F.filter(F.transform(lines_of(docs[text_col]), lambda x: key_hash(x, min_chars)), lambda k: k.isNotNull())
+    """(_doc, _text, _at, a, b): each line that counts, and its place."""
+    keys = F.transform(lines_of(docs[text_col]), lambda x: key_hash(x, min_chars))
     doc, text = _identity(docs, id_col, text_col)
-    out = docs.select(doc.alias("_doc"), text.alias("_text"), F.explode(F.array_distinct(keys)).alias("_k"))
-    return out.select("_doc", "_text", "_k.a", "_k.b")
+    out = docs.select(doc.alias("_doc"), text.alias("_text"), F.posexplode(keys).alias("_at", "_k")).filter("_k IS NOT NULL")
+    return out.select("_doc", "_text", "_at", "_k.a", "_k.b")
 
 
-def dropped_keys(
+def dropped_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT
 ) -> DataFrame:
-    """(_doc, _text, _drop): for each text that loses lines, their key hashes, rising."""
+    """(_doc, _text, _drop): for each text that loses lines, their places, rising."""
     spark = docs.sparkSession
     tables = Tables(spark, "line-dedup")
     batch = F.pmod(F.xxhash64("_doc"), F.lit(batches)).cast("int")
@@ -186,12 +187,11 @@ def dropped_keys(
     least = max(min_docs, -(-n // HOT))
 
     def met(keys: DataFrame) -> DataFrame:
-        return lines.join(keys, ["a", "b"]).filter(F.col("_doc") < F.col("last")).select("_doc", "_text", "a", "b")
+        return lines.join(keys, ["a", "b"]).filter(F.col("_doc") < F.col("last")).select("_doc", "_text", "_at")
 
     hot = met(F.broadcast(common.filter(F.col("docs") >= least)))
     rest = met(common.filter(F.col("docs") < least).hint("shuffle_hash"))
-    drop = F.array_sort(F.collect_set(F.struct("a", "b")))
-    return hot.unionByName(rest).groupBy("_doc", "_text").agg(drop.alias("_drop"))
+    return hot.unionByName(rest).groupBy("_doc", "_text").agg(F.array_sort(F.collect_set("_at")).alias("_drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -200,20 +200,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes where its key is in at least ``min_docs`` documents and this is not the largest of them.
     A text that loses no line stays as it is, null included.
     """
-    min_chars = options.get("min_chars", MIN_CHARS)
     docs = docs.drop(*COUNTS)
-    doc, text, drop, kept = free(docs, "_doc", "_text", "_drop", "_kept")
-    gone = dropped_keys(docs, id_col, text_col, **options).toDF(doc, text, drop)
+    doc, text, drop = free(docs, "_doc", "_text", "_drop")
+    gone = dropped_lines(docs, id_col, text_col, **options).toDF(doc, text, drop)
     own, part = _identity(docs, id_col, text_col)
     joined = docs.withColumns({doc: own, text: part}).join(gone.hint("shuffle_hash"), [doc, text], "left")
-
-    def stays(line: Column) -> Column:
-        key = key_hash(line, min_chars)
-        return ~F.coalesce(F.get(F.col(drop), last_at_most(F.col(drop), key)) == key, F.lit(False))
-
-    lines, loses = lines_of(F.col(text_col)), F.col(drop).isNotNull()
-    n, n_kept = F.size(lines).cast("long"), F.size(kept).cast("long")
-    out = joined.withColumn(kept, F.when(loses, F.filter(lines, stays)))
-    counts = [n.alias(COUNTS[0]), F.when(loses, n - n_kept).otherwise(F.lit(0)).cast("long").alias(COUNTS[1])]
-    reduced = F.when(loses & (n_kept < n), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return out.select(*(reduced.alias(c) if c == text_col else F.col(c) for c in docs.columns), *counts)
+    lines, places = lines_of(F.col(text_col)), F.col(drop)
+
+    def between(lines: Column) -> Column:
+        """The lines before each place that goes, and after the last."""
+        begin = lambda i: F.coalesce(F.get(places, i - 1) + 1, F.lit(0))
+        end = lambda i: F.coalesce(F.get(places, i), F.size(lines))
+        runs = F.transform(F.sequence(F.lit(0), F.size(places)), lambda i: F.slice(lines, begin(i) + 1, end(i) - begin(i)))
+        return F.array_join(F.flatten(runs), "\n")
+
+    reduced = F.when(places.isNotNull(), let(lines, between)).otherwise(F.col(text_col))
+    dropped = F.when(places.isNotNull(), F.size(places)).otherwise(0)
+    counts = [F.size(lines).cast("long").alias(COUNTS[0]), dropped.cast("long").alias(COUNTS[1])]
+    return joined.select(*(reduced.alias(c) if c == text_col else F.col(c) for c in docs.columns), *counts)

@@ -87,12 +87,6 @@ def false_capital(word: Column, context: Column) -> Column:
     return word.rlike("^[A-Z]") & ~word.rlike("^[A-Z]+$") & (starts > 0) & (everywhere == starts)
 
 
-def false_capitals(tokens_: Column, context: Column) -> Column:
-    """The different tokens that are false capitals: each is looked up in the context once, however often it stands there."""
-    capitals = F.array_distinct(F.filter(tokens_, lambda t: t.rlike("^[A-Z]")))
-    return F.filter(capitals, lambda t: false_capital(t, context))
-
-
 _MASK, _BREAK = "\u0001", "\u0002"
 
 
@@ -105,3 +99,8 @@ def sentences(c: Column) -> Column:
 
 def round2(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
+
+
+def split_sentences(c: Column) -> Column:
+    """The sentences that become list items: those with a letter or digit."""
+    return F.filter(sentences(c), lambda s: s.rlike("[A-Za-z0-9]"))

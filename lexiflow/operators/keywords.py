@@ -9,6 +9,7 @@ from lexiflow.functions import scores as S
 from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.functions.patterns import PATTERNS
+from lexiflow.operators import matching
 from lexiflow.sources.tables import tokens
 
 _STOPS, _STARTERS = list(V.STOP_WORDS), list(V.STARTERS)
@@ -19,9 +20,8 @@ def frequency_terms(paras: DataFrame, stops=_STOPS, starters=_STARTERS) -> DataF
 
     The first place is para_idx * 2**32 + tok_idx.
     """
-    raw = F.split("text", r"\s+", -1)
-    # A column of its own below the explode; within one select it would be found anew for every token.
-    t = paras.withColumn("_false", T.false_capitals(raw, F.col("text"))).select("doc_id", "para_idx", "_false", F.posexplode(raw).alias("tok_idx", "raw"))
+    raw = F.posexplode(F.split("text", r"\s+", -1)).alias("tok_idx", "raw")
+    t = matching.with_false_capitals(paras).select("doc_id", "para_idx", "_false", raw)
     dotted = T.trim_edges(F.col("raw"), "A-Za-z.")
     word = T.letters_hyphens(F.col("raw"))
     plain = (F.length(word) >= 3) & ~word.isin(stops) & ~word.isin(starters) & ~F.coalesce(F.array_contains("_false", F.col("raw")), F.lit(False))
@@ -54,10 +54,14 @@ def rare_long_words(paras: DataFrame) -> DataFrame:
     return t.groupBy("doc_id", "word").agg(F.count("*").alias("n")).filter("n <= 2")
 
 
-def full_texts(paras: DataFrame) -> DataFrame:
-    """(doc_id, text): paragraphs joined by spaces, in order."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"]), " ")
-    return paras.groupBy("doc_id").agg(joined.alias("text"))
+def texts_of(paras: DataFrame) -> DataFrame:
+    """(doc_id, paras) of paragraphs that come from many rows of a document or page, which is what bounds a list."""
+    return paras.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", "text"))).alias("paras"))
+
+
+def full_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, text): the paragraphs of a row joined by spaces."""
+    return texts.select("doc_id", F.array_join(F.transform("paras", lambda x: x["text"]), " ").alias("text"))
 
 
 def science_terms(texts: DataFrame, names=None) -> DataFrame:
@@ -81,15 +85,24 @@ def vocabulary_hits(paras: DataFrame, vocab: DataFrame) -> DataFrame:
     return t.distinct().join(vocab.select("term"), "term", "left_semi").select("doc_id", "term")
 
 
-def term_flags(paras: DataFrame, vocab: DataFrame, entities: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, in_science, in_acronym, in_vocabulary, in_entity, source_rank): one union, one shuffle."""
+def term_flags(
+    paras: DataFrame, vocab: DataFrame, entities: DataFrame | None = None, italics: DataFrame | None = None, texts: DataFrame | None = None, stops=_STOPS
+) -> DataFrame:
+    """(doc_id, term, in_science, in_acronym, in_vocabulary, in_entity, source_rank): one union, one shuffle.
+
+    Science terms are those of the patterns and ``italics``; ``entities`` of stop words alone are left out.  ``texts``: the paragraphs by
+    document, where they are at hand.
+    """
+    texts = texts_of(paras) if texts is None else texts
     rows = [
-        (acronyms(paras).select("doc_id", F.col("acronym").alias("term")), "in_acronym", 2),
-        (science_terms(full_texts(paras)).select("doc_id", "term"), "in_science", 3),
+        (acronyms(paras, stops).select("doc_id", F.col("acronym").alias("term")), "in_acronym", 2),
+        (science_terms(full_texts(texts)).select("doc_id", "term"), "in_science", 3),
         (vocabulary_hits(paras, vocab), "in_vocabulary", 4),
     ]
+    if italics is not None:
+        rows.append((italics.select("doc_id", "term"), "in_science", 3))
     if entities is not None:
-        rows.append((entities.select("doc_id", "term"), "in_entity", 1))
+        rows.append((entities.select("doc_id", "term").filter((F.length("term") >= 2) & _worth(F.col("term"), stops)), "in_entity", 1))
     union = None
     for df, name, rank in rows:
         df = df.select("doc_id", "term", F.lit(name).alias("source"), F.lit(rank).alias("rank"))
@@ -98,6 +111,11 @@ def term_flags(paras: DataFrame, vocab: DataFrame, entities: DataFrame | None =
     return union.groupBy("doc_id", "term").agg(*flags, F.min("rank").cast("long").alias("source_rank"))
 
 
+def _worth(term: Column, stops) -> Column:
+    """Not a stop word, not of stop words alone, and with a token that says something."""
+    return ~term.isin(stops) & ~T.all_stop_tokens(term, stops) & T.has_content_token(term, stops)
+
+
 def score_term(n: Column, weight: Column, rank: Column, science: Column, entity: Column, acronym: Column, term: Column) -> Column:
     two = lambda flag: F.when(flag, 2.0).otherwise(1.0)
     specialist = (weight > 1) | science | entity | acronym
@@ -105,52 +123,31 @@ def score_term(n: Column, weight: Column, rank: Column, science: Column, entity:
     return F.log2(n.cast("double") + 1) * weight * rest * two(science) * two(entity) * two(acronym)
 
 
-def _counted(terms: DataFrame, paras: DataFrame) -> DataFrame:
-    """``terms`` (doc_id, term, n, ...) with n from the full text in lower case, 1 at least.
-
-    Between boundaries, a term of word characters alone is a whole run of them: runs are counted once and joined.
-    The few others (points, hyphens, several words) are counted by a regular expression of their own.
-    """
-    plain = F.col("term").rlike("^[a-z0-9_]+$")
-    runs = paras.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("term"))
-    runs = runs.groupBy("doc_id", "term").agg(F.count("*").alias("_n"))
-    single = terms.filter(plain).join(runs, ["doc_id", "term"], "left").withColumn("n", F.coalesce("_n", F.lit(1).cast("long"))).drop("_n")
-    texts = full_texts(paras).select("doc_id", F.lower("text").alias("_text"))
-    pattern = F.concat(F.lit(T.EDGE), T.escape_regex(F.col("term")), F.lit(T.EDGE))
-    rest = terms.filter(~plain).join(texts, "doc_id").withColumn("n", F.greatest(F.regexp_count("_text", pattern), F.lit(1)).cast("long")).drop("_text")
-    return single.select(*terms.columns).unionByName(rest.select(*terms.columns))
-
-
-def keyword_scores(paras: DataFrame, freq: DataFrame, vocab: DataFrame, entities: DataFrame | None = None, stops=_STOPS, starters=_STARTERS) -> DataFrame:
+def keyword_scores(
+    paras: DataFrame, freq: DataFrame, vocab: DataFrame, entities: DataFrame | None = None, italics: DataFrame | None = None,
+    texts: DataFrame | None = None, stops=_STOPS, starters=_STARTERS,
+) -> DataFrame:
     """(doc_id, term, n, score, rank): every term of a document, best first; ties by source, first place, term.
 
-    Terms that only a set holds are counted in the full text, 1 if it has none.
+    Terms that only a set holds are counted in the full text, all of a document's in one pass, 1 if it has none.
     """
+    texts = texts_of(paras) if texts is None else texts
     counts = frequency_terms(paras, stops, starters)
-    flags = term_flags(paras, vocab, entities)
-    terms = counts.join(flags, ["doc_id", "term"], "full")
-    absent = _counted(terms.filter("n IS NULL"), paras)
+    terms = counts.join(term_flags(paras, vocab, entities, italics, texts, stops), ["doc_id", "term"], "full")
+    terms = terms.filter(_worth(F.col("term"), stops))
+    absent = terms.filter("n IS NULL").drop("n")
+    found = matching.count_terms(texts, absent.select("doc_id", "term"))
+    absent = absent.join(found, ["doc_id", "term"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
     terms = terms.filter("n IS NOT NULL").unionByName(absent.select(*terms.columns))
-    terms = terms.filter(~F.col("term").isin(stops) & ~T.all_stop_tokens(F.col("term"), stops) & T.has_content_token(F.col("term"), stops))
     terms = terms.join(freq.withColumnRenamed("word", "term").withColumnRenamed("rank", "_rank"), "term", "left").join(vocab.select("term", "weight"), "term", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
-    score = score_term(F.col("n"), F.coalesce("weight", F.lit(1.0)), F.col("_rank"), flag(F.col("in_science")), flag(F.col("in_entity")), flag(F.col("in_acronym")), F.col("term"))
+    science, entity, acronym = (flag(F.col(c)) for c in ("in_science", "in_entity", "in_acronym"))
+    score = score_term(F.col("n"), F.coalesce("weight", F.lit(1.0)), F.col("_rank"), science, entity, acronym, F.col("term"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.coalesce("source_rank", F.lit(0)), F.coalesce("first", F.lit(1 << 62)), "term")
     scored = terms.withColumn("score", F.round(score, 6))
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).select("doc_id", "term", "n", "score", "rank")
 
 
-def paragraph_top_terms(paras: DataFrame, scored: DataFrame, percent: float = 50) -> DataFrame:
-    """(doc_id, para_idx, term, score, rank): each paragraph's best terms, the top ``percent`` and one at least.
-
-    Containment is an equi-join where a term is one plain word, and a residual test within the document else.
-    """
-    word = F.col("term").rlike("^[a-z0-9_]+$")
-    parts = paras.filter("text != ''").select("doc_id", "para_idx", F.lower("text").alias("_low"))
-    single = parts.select("doc_id", "para_idx", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("term")).join(scored.filter(word), ["doc_id", "term"])
-    many = parts.join(scored.filter(~word), "doc_id").filter(F.regexp_like("_low", F.concat(F.lit(T.EDGE), T.escape_regex(F.col("term")), F.lit(T.EDGE))))
-    columns = ["doc_id", "para_idx", "term", "score", F.col("rank").alias("_ord")]
-    hits = single.select(*columns).unionByName(many.select(*columns))
-    w = Window.partitionBy("doc_id", "para_idx")
-    hits = hits.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "_ord")).cast("long")).withColumn("_n", F.count("*").over(w))
-    return hits.filter(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * (percent / 100)))).select("doc_id", "para_idx", "term", "score", "rank")
+def paragraph_top_terms(paras: DataFrame, scored: DataFrame, percent: float = 50, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, para_idx, term, score, rank): each paragraph's best terms, the top ``percent`` and one at least."""
+    return matching.top_terms(texts_of(paras) if texts is None else texts, scored, percent)

@@ -102,3 +102,21 @@ def read_records_xml(spark, path: str) -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", "DescriptorRecord").schema(schema).load(path)
     own = F.coalesce(F.flatten(F.transform("ConceptList.Concept", lambda c: F.transform(c["TermList"]["Term"], lambda t: t["String"]))), F.array().cast("array<string>"))
     return raw.select(F.monotonically_increasing_id().alias("rec_ord"), F.col("TreeNumberList.TreeNumber").alias("trees"), F.concat(F.array("DescriptorName.String"), own).alias("names"))
+
+
+VOCABULARY = "term string, branch string, weight double"
+
+
+def write_vocabulary_json(vocab: DataFrame, path: str) -> None:
+    """The vocabulary as JSON, one object {term, branch, weight} a line, in as many files as it has parts."""
+    vocab.select("term", "branch", "weight").write.mode("overwrite").json(path)
+
+
+def read_vocabulary_json(spark, path: str, array: bool = False) -> DataFrame:
+    """(term, branch, weight) of such a folder, or of a file that is one JSON ``array`` of the objects; the first of equal terms."""
+    rows = spark.read.schema(VOCABULARY).option("multiLine", array).json(path)
+    if not array:
+        return rows
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    first = F.min_by(F.struct("branch", "weight"), "_at").alias("b")
+    return rows.groupBy("term").agg(first).select("term", "b.branch", "b.weight")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.functions import arrays as A
 from lexiflow.functions import scores as S
 from lexiflow.functions import text as T
 
@@ -32,20 +33,21 @@ def complex_vocabulary(paras: DataFrame, freq: DataFrame, level: str = "medium")
 def underline_tiers(paras: DataFrame, freq: DataFrame, level: str = "medium") -> DataFrame:
     """(doc_id, para_idx, start, end, word, tier): every occurrence, places in code points.
 
-    Places are running sums over the pieces of the paragraph; vocabulary is scored once and joined back.
+    Places are running sums over the pieces between words; vocabulary is scored once and joined back.
     """
-    pieces = T.find_all(F.col("text"), rf"{T.WORD}|(?s:.)")
-    step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when(F.length(p) > 1, F.array_append(a["out"], F.struct(a["at"].alias("start"), p.alias("word")))).otherwise(a["out"]).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,word:string>>)").alias("out"))
-    placed = paras.select("doc_id", "para_idx", F.explode(F.aggregate(pieces, start, step)["out"]).alias("x")).select("doc_id", "para_idx", "x.start", "x.word").filter(~F.col("word").rlike("^[A-Z]"))
+    text, pattern = F.col("text"), T.spark_pattern(T.WORD)
+    found = T.find_all(text, T.WORD)
+    rows = F.zip_with(A.placed(text, found, F.split(text, pattern, -1)), found, lambda p, w: F.struct(p["start"].alias("start"), w.alias("word")))
+    placed = paras.select("doc_id", "para_idx", F.explode(rows).alias("x")).select("doc_id", "para_idx", "x.start", "x.word")
+    placed = placed.filter((F.length("word") > 1) & ~F.col("word").rlike("^[A-Z]"))
     distinct = placed.select("word").distinct().join(freq, "word", "left")
     tiers = distinct.select("word", S.tier(S.complexity(F.col("word"), F.col("rank")), level).alias("tier")).filter("tier IS NOT NULL")
     return placed.join(tiers, "word").select("doc_id", "para_idx", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("word")).cast("long").alias("end"), "word", "tier")
 
 
-def sentence_rows(paras: DataFrame) -> DataFrame:
+def sentence_rows(paras: DataFrame, split=T.sentences) -> DataFrame:
     """(doc_id, para_idx, sent_idx, sentence)."""
-    out = paras.select("doc_id", "para_idx", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    out = paras.select("doc_id", "para_idx", F.posexplode(split(F.col("text"))).alias("sent_idx", "sentence"))
     return out.withColumn("sent_idx", F.col("sent_idx").cast("long"))
 
 
@@ -61,7 +63,7 @@ def sentence_split(paras: DataFrame, scored: DataFrame) -> DataFrame:
     short = paras.join(score.filter(F.length("_t") < 80), "doc_id").filter(F.startswith("text", "_t")).drop("_t")
     first = F.row_number().over(Window.partitionBy("doc_id", "para_idx").orderBy("_ord"))
     matched = long_.unionByName(short).withColumn("_rn", first).filter((F.col("_rn") == 1) & F.col("action").isin("split", "llm"))
-    return sentence_rows(matched.filter(F.size(T.sentences(F.col("text"))) >= 2))
+    return sentence_rows(matched.filter(F.size(T.split_sentences(F.col("text"))) >= 2), T.split_sentences)
 
 
 def citation_parentheticals(texts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import scores as S
@@ -10,7 +10,7 @@ from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import spans, tagging
+from lexiflow.operators import matching, spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import sql as Q
 from lexiflow.sources import html as H
@@ -31,11 +31,15 @@ def _query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return B.spread(B.table(spark, d, "documents").select("doc_id", "text", "lang"))
+    return B.dealt(B.table(spark, d, "documents").select("doc_id", "text", "lang"))
 
 
-def _paras(spark: SparkSession, d: str) -> DataFrame:
-    return B.paragraphs(_docs(spark, d))
+def _paras(spark: SparkSession, d: str, lang: str | None = "en") -> DataFrame:
+    return B.paragraphs(_docs(spark, d), lang)
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return B.texts(_docs(spark, d))
 
 
 def _freq(spark: SparkSession, d: str) -> DataFrame:
@@ -53,17 +57,17 @@ def keyword_frequency(spark, d):
     return K.keyword_frequency(_paras(spark, d))
 
 
-_GATE = f"""{Q.BASE} SELECT doc_id, para_idx, text FROM paras WHERE text <> '' AND len(string_split_regex(text, '\\s+')) >= """
+_GATE = f"""{Q.ALL_LANGUAGES} SELECT doc_id, para_idx, text FROM paras WHERE text <> '' AND len(string_split_regex(text, '\\s+')) >= """
 
 
 @_query(_GATE + "18")
 def paragraphs_18(spark, d):
-    return _paras(spark, d).filter(H.tokens_of(F.col("text")) >= 18)
+    return _paras(spark, d, None).filter(H.tokens_of(F.col("text")) >= 18)
 
 
 @_query(_GATE + "30")
 def body_paragraphs_30(spark, d):
-    return _paras(spark, d).filter(H.tokens_of(F.col("text")) >= 30)
+    return _paras(spark, d, None).filter(H.tokens_of(F.col("text")) >= 30)
 
 
 @_query(f"""{Q.BASE} SELECT doc_id, para_idx, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_idx, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM (SELECT *, {Q.sentences('text')} AS s FROM paras))""")
@@ -88,7 +92,7 @@ def action_summary(spark, d):
 
 @_query(f"""{Q.BASE}, {Q.SCORED}, met AS (SELECT p.doc_id, p.para_idx, p.text, s.action, row_number() OVER (PARTITION BY p.doc_id, p.para_idx ORDER BY s.para_idx) AS rn
   FROM paras p JOIN scored s ON p.doc_id = s.doc_id AND starts_with(p.text, substr(s.text, 1, 80))),
-lists AS (SELECT doc_id, para_idx, {Q.sentences('text')} AS l FROM met WHERE rn = 1 AND action IN ('split', 'llm'))
+lists AS (SELECT doc_id, para_idx, {Q.split_sentences('text')} AS l FROM met WHERE rn = 1 AND action IN ('split', 'llm'))
 SELECT doc_id, para_idx, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_idx, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM lists WHERE len(l) >= 2)""")
 def sentence_split(spark, d):
     paras = _paras(spark, d)
@@ -119,8 +123,6 @@ def underline_tiers(spark, d):
 
 @_query(f"""{Q.BASE}, {Q.ACRONYMS} SELECT doc_id, acronym, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first)::BIGINT AS rank FROM acr""")
 def acronyms(spark, d):
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")).cast("long")
     return K.acronyms(_paras(spark, d)).select("doc_id", "acronym", "n", rank.alias("rank"))
 
@@ -132,15 +134,16 @@ def rare_long_words(spark, d):
 
 @_query(f"""{Q.BASE}, {Q.science()} SELECT * FROM sci""")
 def science_terms(spark, d):
-    return K.science_terms(K.full_texts(_paras(spark, d)))
+    return K.science_terms(K.full_texts(_texts(spark, d)))
 
 
 def _kind(name: str, kinds: tuple[str, ...]):
     def f(spark, d):
-        return K.science_terms(K.full_texts(_paras(spark, d)), kinds)
+        samples = spark.createDataFrame([(i, t, "en") for i, t in Q.SAMPLES], "doc_id long, text string, lang string")
+        return K.science_terms(K.full_texts(B.texts(_docs(spark, d).unionByName(samples))), kinds)
 
     f.__name__ = name
-    _query(f"{Q.BASE}, {Q.science(kinds)} SELECT * FROM sci")(f)
+    _query(f"{Q.WITH_SAMPLES}, {Q.science(kinds)} SELECT * FROM sci")(f)
 
 
 for _name, _kinds in (("genes", ("gene",)), ("loci", ("locus",)), ("suffix_terms", ("suffix",)), ("drugs", ("drug",)), ("formulas", ("formula",)), ("species", ("binomial", "abbreviated"))):
@@ -155,13 +158,14 @@ def vocabulary_hits(spark, d):
 
 @_query(f"""{Q.BASE}, {Q.ACRONYMS}, {Q.science()}, {Q.VOCAB_HITS}, {Q.FLAGS} SELECT * FROM flags""")
 def term_flags(spark, d):
-    return K.term_flags(_paras(spark, d), B.vocabulary(_freq(spark, d)))
+    paras = _paras(spark, d)
+    return K.term_flags(paras, B.vocabulary(_freq(spark, d)), tagging.entities(paras), texts=_texts(spark, d))
 
 
 @_query(f"""{Q.BASE}, {Q.KEYWORDS} SELECT * FROM keywords""")
 def keyword_scores(spark, d):
-    freq = _freq(spark, d)
-    return K.keyword_scores(_paras(spark, d), freq, B.vocabulary(freq))
+    freq, paras = _freq(spark, d), _paras(spark, d)
+    return K.keyword_scores(paras, freq, B.vocabulary(freq), tagging.entities(paras), texts=_texts(spark, d))
 
 
 @_query(f"""{Q.BASE}, {Q.KEYWORDS}, met AS (SELECT p.doc_id, p.para_idx, k.term, k.score, k.rank AS ord FROM paras p JOIN keywords k ON p.doc_id = k.doc_id
@@ -169,7 +173,7 @@ def keyword_scores(spark, d):
 ranked AS (SELECT doc_id, para_idx, term, score, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY score DESC, ord)::BIGINT AS rank, count(*) OVER (PARTITION BY doc_id, para_idx) AS n FROM met)
 SELECT doc_id, para_idx, term, score, rank FROM ranked WHERE rank <= greatest(1, ceil(n * 0.5::DOUBLE))""")
 def paragraph_top_terms(spark, d):
-    return K.paragraph_top_terms(_paras(spark, d), keyword_scores(spark, d))
+    return K.paragraph_top_terms(_paras(spark, d), keyword_scores(spark, d), texts=_texts(spark, d))
 
 
 @_query()
@@ -179,9 +183,9 @@ def bold_spans(spark, d):
 
 @_query(f"""{Q.BASE} SELECT doc_id, raw AS word, count(*)::BIGINT AS n FROM toks WHERE {Q.FALSE_CAPITAL} GROUP BY ALL""")
 def false_capitals(spark, d):
-    raw = F.split("text", r"\s+", -1)
-    t = _paras(spark, d).withColumn("false", T.false_capitals(raw, F.col("text"))).select("doc_id", "false", F.explode(raw).alias("word"))
-    return t.filter(F.array_contains("false", F.col("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    raw = F.explode(F.split("text", r"\s+", -1)).alias("word")
+    t = matching.with_false_capitals(_paras(spark, d)).select("doc_id", "_false", raw)
+    return t.filter(F.array_contains("_false", F.col("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 @_query(r"""SELECT doc_id, content, count(*)::BIGINT AS n, bool_or(regexp_matches(regexp_extract(content, '(\d+)[^\d]*$', 1), '^(19|20)\d{2}$') OR regexp_matches(content, '(?i)\bet\s+al\b')) AS is_citation
@@ -211,9 +215,9 @@ def offset_lookup(spark, d):
     return W.offset_lookup(_offsets(spark, d), marks, ["conv_id", "turn"])
 
 
-@_query(f"""{Q.BASE} SELECT doc_id, para_idx, i - 1 AS piece_idx, piece FROM (SELECT doc_id, para_idx, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, para_idx, regexp_extract_all(text, '\\S+|\\s+') AS l FROM paras))""")
+@_query(f"""{Q.ALL_LANGUAGES} SELECT doc_id, para_idx, i - 1 AS piece_idx, piece FROM (SELECT doc_id, para_idx, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, para_idx, regexp_extract_all(text, '\\S+|\\s+') AS l FROM paras))""")
 def word_pieces(spark, d):
-    return _long(_paras(spark, d).select("doc_id", "para_idx", F.posexplode(T.word_pieces(F.col("text"))).alias("piece_idx", "piece")), "piece_idx")
+    return _long(_paras(spark, d, None).select("doc_id", "para_idx", F.posexplode(T.word_pieces(F.col("text"))).alias("piece_idx", "piece")), "piece_idx")
 
 
 @_query(r"""SELECT doc_id, replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
@@ -222,39 +226,67 @@ def html_escaped(spark, d):
 
 
 def _nodes(spark, d):
-    return H.page_nodes(B.spread(B.table(spark, d, "pages").select("page_id", "html")))
+    sample = spark.createDataFrame([(-1, Q.SAMPLE_PAGE)], "page_id long, html string")
+    return H.page_nodes(B.dealt(B.table(spark, d, "pages").select("page_id", "html")).unionByName(sample))
 
 
-@_query()
+@_query(Q.page_gate(18))
 def page_paragraphs(spark, d):
-    return H.page_paragraphs(_nodes(spark, d)).select("page_id", "node_ord", "tag", "text")
+    return H.numbered(H.page_paragraphs(_nodes(spark, d))).select("page_id", "para_no", "tag", "text")
 
 
-@_query()
+@_query(Q.page_gate(30))
 def page_body_paragraphs(spark, d):
-    return H.body_paragraphs(_nodes(spark, d)).select("page_id", "node_ord", "text")
+    return H.numbered(H.body_paragraphs(_nodes(spark, d))).select("page_id", "para_no", "tag", "text")
 
 
-@_query()
+@_query(Q.page_gate(1))
 def page_split_candidates(spark, d):
-    return H.paragraph_elements(_nodes(spark, d)).select("page_id", "node_ord", "tag", "text")
+    return H.numbered(H.paragraph_elements(_nodes(spark, d))).select("page_id", "para_no", "tag", "text")
 
 
-@_query()
+@_query(f"""WITH {Q.PAGE_NODES} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY b, i)::BIGINT AS node_no, "offset", text FROM nodes
+WHERE regexp_matches(text, '[A-Za-z]') AND length(text) >= 30""")
 def page_text_nodes(spark, d):
-    return H.readable_text(_nodes(spark, d), 30, True).select("page_id", "node_ord", "block_ord", "offset", "text")
+    return H.numbered(H.readable_text(_nodes(spark, d), 30, True), "node_no").select("page_id", "node_no", "offset", "text")
 
 
-@_query()
+@_query(f"WITH {Q.ITALICS} SELECT * FROM italics")
 def page_italic_terms(spark, d):
     return H.italic_terms(_nodes(spark, d))
 
 
-@_query()
+def _as_paras(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("page_id").alias("doc_id"), F.col("node_ord").alias("para_idx"), T.trimmed(F.col("text")).alias("text"))
+
+
+@_query(Q.PAGE_KEYWORDS)
 def page_keywords(spark, d):
-    body = H.body_paragraphs(_nodes(spark, d)).select(F.col("page_id").alias("doc_id"), F.col("node_ord").alias("para_idx"), T.trimmed(F.col("text")).alias("text"))
-    freq = _freq(spark, d)
-    return K.keyword_scores(body, freq, B.vocabulary(freq), tagging.entities(body)).withColumnRenamed("doc_id", "page_id")
+    nodes, freq = _nodes(spark, d), _freq(spark, d)
+    body, italics = _as_paras(H.body_paragraphs(nodes)), H.italic_terms(nodes).withColumnRenamed("page_id", "doc_id")
+    return K.keyword_scores(body, freq, B.vocabulary(freq), tagging.entities(body), italics).withColumnRenamed("doc_id", "page_id")
+
+
+@_query()
+def page_bold_spans(spark, d):
+    nodes = _nodes(spark, d)
+    blocks = H.bold_paragraphs(nodes)
+    top = K.paragraph_top_terms(_as_paras(blocks), page_keywords(spark, d).withColumnRenamed("page_id", "doc_id"))
+    top = top.select(F.col("doc_id").alias("page_id"), F.col("para_idx").alias("block_ord"), "term")
+    return spans.node_spans(H.readable_text(nodes), blocks, top)
+
+
+@_query(f"""WITH {Q.PAGE_PARAS}, paras AS (SELECT page_id AS doc_id, p AS para_idx, text FROM page_paras WHERE text <> ''), {Q.SCORED}, met AS (SELECT p.doc_id, p.para_idx, p.text, s.action,
+  row_number() OVER (PARTITION BY p.doc_id, p.para_idx ORDER BY s.para_idx) AS rn FROM paras p JOIN scored s ON p.doc_id = s.doc_id AND starts_with(p.text, substr(s.text, 1, 80))
+  WHERE len(string_split_regex(s.text, '\\s+')) >= 18),
+lists AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY para_idx) AS para_no, {Q.split_sentences('text')} AS l FROM met WHERE rn = 1 AND action IN ('split', 'llm') AND len({Q.split_sentences('text')}) >= 2)
+SELECT doc_id AS page_id, para_no, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_no, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM lists)""")
+def page_sentence_split(spark, d):
+    nodes = _nodes(spark, d)
+    scored = S.paragraph_scores(_as_paras(H.page_paragraphs(nodes))).select("doc_id", "para_idx", "text", "action")
+    out = W.sentence_split(_as_paras(H.paragraph_elements(nodes)), scored)
+    number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("para_idx")).cast("long")
+    return out.select(F.col("doc_id").alias("page_id"), number.alias("para_no"), "sent_idx", "sentence")
 
 
 @_query(r"""SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
@@ -264,12 +296,13 @@ def page_hosts(spark, d):
     return H.site_enabled(B.table(spark, d, "pages"), state).select("page_id", "host", "enabled")
 
 
-@_query()
+@_query(f"""{Q.BASE}, sents AS (SELECT doc_id, para_idx, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_idx, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM (
+  SELECT *, {Q.sentences('text')} AS s FROM paras))) {Q.POS}""")
 def pos_tags(spark, d):
     return tagging.pos_tags(W.sentence_rows(_paras(spark, d)))
 
 
-@_query()
+@_query(f"""{Q.BASE}, {Q.ENTITIES} SELECT * FROM ents""")
 def named_entities(spark, d):
     return tagging.entities(_paras(spark, d))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.functions.patterns import PATTERNS
+from lexiflow.operators.tagging import ENDINGS, ENTITY, WORDS
 
 
 def quoted(x: str) -> str:
@@ -18,17 +19,61 @@ def among(words) -> str:
 STOPS, STARTERS = among(V.STOP_WORDS), among(V.STARTERS)
 CLEAN = "lower(regexp_replace({0}, '[^a-zA-Z''-]', '', 'g'))"
 
-PARAS = r"""paras AS (SELECT doc_id, i - 1 AS para_idx, regexp_replace(translate(t, chr(160) || chr(65279), '  '), '^\s+|\s+$', '', 'g') AS text
-  FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE lang = 'en')))"""
+def _paras(documents: str) -> str:
+    return rf"""paras AS (SELECT doc_id, i - 1 AS para_idx, regexp_replace(translate(t, chr(160) || chr(65279), '  '), '^\s+|\s+$', '', 'g') AS text
+  FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM {documents})))"""
+
+
+#: Sentences with terms that generated tables lack; queries on such terms read them beside the documents.
+SAMPLES = (
+    (-1, "Deletions at 17p13.1 and Xq28 were found; 9q34 was not. Patients took atorvastatin, imatinib and ibuprofen."),
+    (-2, "Adalimumab and trastuzumab bind. Loss of 17p13.1 is frequent, and doxycycline with amoxicillin did not help."),
+)
+ENGLISH, EVERY = "documents WHERE lang = 'en'", "documents"
+_ROWS = ", ".join(f"({i}, {quoted(t)})" for i, t in SAMPLES)
+SAMPLED = f"(SELECT doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT * FROM (VALUES {_ROWS}) v(doc_id, text))"
+PARAS = _paras(ENGLISH)
 TOKENS = r"""toks AS (SELECT doc_id, para_idx, ctx, i - 1 AS tok_idx, raw, (para_idx << 32) + i - 1 AS place
   FROM (SELECT doc_id, para_idx, text AS ctx, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split_regex(text, '\s+') AS l FROM paras)))"""
 FREQ = rf"""freq AS (SELECT word, (row_number() OVER (ORDER BY n DESC, word) - 1)::BIGINT AS rank FROM (
-  SELECT {CLEAN.format('raw')} AS word, count(*) AS n FROM toks GROUP BY 1) WHERE word <> '' ORDER BY n DESC, word LIMIT 50000)"""
+  SELECT {CLEAN.format('raw')} AS word, count(*) AS n FROM toks GROUP BY 1) WHERE word <> '')"""
 _B = list(V.BRANCH_WEIGHTS)
 VOCAB = f"""vocab AS (SELECT word AS term, [{', '.join(map(quoted, _B))}][((rank // 50) % {len(_B)} + 1)::INT] AS branch,
   [{', '.join(f'{V.BRANCH_WEIGHTS[b]}::DOUBLE' for b in _B)}][((rank // 50) % {len(_B)} + 1)::INT] AS weight FROM freq WHERE rank % 50 = 0 AND length(word) >= 5)"""
 FULL = "full_texts AS (SELECT doc_id, string_agg(text, ' ' ORDER BY para_idx) AS text FROM paras GROUP BY doc_id)"
 BASE = f"WITH {PARAS}, {TOKENS}, {FREQ}, {VOCAB}, {FULL}"
+ALL_LANGUAGES = f"WITH {_paras(EVERY)}"
+WITH_SAMPLES = f"WITH {_paras(SAMPLED)}, {FULL}"
+
+#: A page with what generated pages lack: italics, citations over inline tags, a skipped table, an open list item.
+SAMPLE_PAGE = (
+    "<!DOCTYPE html><html><body><article><h1>On the bones of early people in the caves of the north</h1>"
+    "<p>The remains of <em>Homo sapiens</em> and <i>Homo erectus</i> were compared with those of <em>H. habilis</em> by several groups "
+    "(<a href=\"#1\">Smith</a> <em>et al</em>. 2014b; Jones 2012), and Smith found that the skull of the older form was thicker than all others known.</p>"
+    "<p>Later work (see <b>Methods</b>) agreed with Smith, although the United Nations survey of sites in the region, which Maria Lopez led, "
+    "covered no caves at all. The survey was short. The report &amp; its maps are lost, and nobody has tried to draw them again since then.</p>"
+    "<p>A third paragraph says little about bones.</p></article></body></html>"
+)
+PAGES = f"(SELECT page_id, html FROM pages UNION ALL SELECT -1, {quoted(SAMPLE_PAGE)})"
+_DECODED = "{0}"
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_entity}', '{_char}')"
+#: Raw texts of the paragraphs of a page's article: from each <p> to its end tag, the next one, or the article's end.
+PAGE_PARAS = rf"""raw_paras AS (SELECT page_id, i - 1 AS p, string_split(part, '</p>')[1] AS inner_html FROM (SELECT page_id, unnest(l) AS part, generate_subscripts(l, 1) AS i FROM (
+  SELECT page_id, string_split(string_split(string_split(html, '<article>')[2], '</article>')[1], '<p>') AS l FROM {PAGES})) WHERE i > 1),
+page_paras AS (SELECT page_id, p, trim({_DECODED.format("regexp_replace(inner_html, '<[^>]*>', '', 'g')")}) AS text FROM raw_paras)"""
+
+
+def page_gate(least: int) -> str:
+    return rf"""WITH {PAGE_PARAS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p)::BIGINT AS para_no, 'p' AS tag, text FROM page_paras
+WHERE text <> '' AND len(string_split_regex(text, '\s+')) >= {least}"""
+
+
+#: Text nodes of what is left of a page without scripts, styles, navigation and footer; blocks split it, inline tags split blocks.
+PAGE_NODES = rf"""bodies AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(string_split(html, '<body>')[2], '(?s)<!--.*?-->', '', 'g'), '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g') AS body FROM {PAGES}),
+segments AS (SELECT page_id, unnest(l) AS seg, generate_subscripts(l, 1) AS b FROM (SELECT page_id, string_split_regex(body, '</?(?:p|div|article|h1|body|html)(?: [^>]*)?>') AS l FROM bodies)),
+pieces AS (SELECT page_id, b, {_DECODED.format('unnest(l)')} AS text, generate_subscripts(l, 1) AS i FROM (SELECT page_id, b, string_split_regex(seg, '<[^>]*>') AS l FROM segments)),
+nodes AS (SELECT *, (sum(length(text)) OVER (PARTITION BY page_id, b ORDER BY i) - length(text))::BIGINT AS "offset" FROM pieces WHERE text <> '')"""
 
 
 def sentences(c: str) -> str:
@@ -38,6 +83,10 @@ def sentences(c: str) -> str:
     return f"list_filter(string_split(translate({x}, chr(1), '.'), chr(2)), lambda s: s <> '')"
 
 
+def split_sentences(c: str) -> str:
+    return f"list_filter({sentences(c)}, lambda s: regexp_matches(s, '[A-Za-z0-9]'))"
+
+
 def count(c: str, pattern: str) -> str:
     return f"len(regexp_extract_all({c}, {quoted(pattern)}))"
 
@@ -78,10 +127,12 @@ def science(names=None) -> str:
     return f"sci AS (SELECT doc_id, kind, term, count(*)::BIGINT AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)"
 
 
-VOCAB_HITS = f"hits AS (SELECT DISTINCT t.doc_id, t.term FROM (SELECT doc_id, {CLEAN.format('raw')} AS term FROM toks) t JOIN vocab v USING (term) WHERE length(t.term) >= 2)"
-FLAGS = """flags AS (SELECT doc_id, term, bool_or(source = 'in_science') AS in_science, bool_or(source = 'in_acronym') AS in_acronym, bool_or(source = 'in_vocabulary') AS in_vocabulary, bool_or(source = 'in_entity') AS in_entity, min(r)::BIGINT AS source_rank FROM (
-  SELECT DISTINCT doc_id, acronym AS term, 'in_acronym' AS source, 2 AS r FROM acr UNION ALL SELECT DISTINCT doc_id, term, 'in_science', 3 FROM sci UNION ALL SELECT doc_id, term, 'in_vocabulary', 4 FROM hits) GROUP BY doc_id, term)"""
+#: Italics of pages that are species or names.
+ITALICS = r"""italics AS (SELECT DISTINCT page_id, lower(t) AS term FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '<(?:em|i)>([^<]*)</(?:em|i)>', 1))) AS t FROM """ + PAGES + r""")
+  WHERE length(t) >= 3 AND (regexp_matches(t, '[A-Z][a-z]+\s+[a-z]{3,}') OR regexp_matches(t, '[A-Z]\.\s*[a-z]{3,}') OR regexp_matches(t, '^[A-Z][a-z]{4,}$')))"""
 
+
+VOCAB_HITS = f"hits AS (SELECT DISTINCT t.doc_id, t.term FROM (SELECT doc_id, {CLEAN.format('raw')} AS term FROM toks) t JOIN vocab v USING (term) WHERE length(t.term) >= 2)"
 ESCAPED = r"regexp_replace({0}, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g')"
 FALSE_CAPITAL = rf"""(regexp_matches(raw, '^[A-Z]') AND NOT regexp_matches(raw, '^[A-Z]+$') AND len(regexp_extract_all(ctx, '(?:^|[.!?][\s\n]+)' || {ESCAPED.format('raw')})) > 0
   AND len(regexp_extract_all(ctx, '\b' || {ESCAPED.format('raw')} || '\b')) = len(regexp_extract_all(ctx, '(?:^|[.!?][\s\n]+)' || {ESCAPED.format('raw')})))"""
@@ -93,10 +144,35 @@ _PARTS = r"string_split_regex(trim(term), '\s+')"
 _PART = "regexp_replace(lower(t), '[^a-z''-]', '', 'g')"
 CONTENT = f"len(list_filter({_PARTS}, lambda t: regexp_matches(trim(t), '{T.DOTTED}') OR (length({_PART}) >= 2 AND {_PART} NOT IN {STOPS}))) > 0"
 NOT_ALL_STOP = f"len(list_filter({_PARTS}, lambda t: regexp_matches(trim(t), '{T.DOTTED}') OR {_PART} NOT IN {STOPS})) > 0"
-KEYWORDS = rf"""{ACRONYMS}, {science()}, {VOCAB_HITS}, {FLAGS}, {TERMS},
-merged AS (SELECT coalesce(t.doc_id, f.doc_id) AS doc_id, coalesce(t.term, f.term) AS term, t.n, t.first, coalesce(in_science, false) AS sci, coalesce(in_acronym, false) AS acr, source_rank FROM terms t FULL JOIN flags f ON t.doc_id = f.doc_id AND t.term = f.term),
+ENTITIES = f"ents AS (SELECT DISTINCT doc_id, lower(term) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(ENTITY)}, 1)) AS term FROM paras))"
+_KEPT = f"term NOT IN {STOPS} AND {CONTENT} AND {NOT_ALL_STOP}"
+_FLAGS = f"""{ENTITIES}, sources AS (SELECT DISTINCT doc_id, acronym AS term, 'in_acronym' AS source, 2 AS r FROM acr UNION ALL SELECT DISTINCT doc_id, term, 'in_science', 3 FROM sci
+  UNION ALL SELECT doc_id, term, 'in_science', 3 FROM more_science UNION ALL SELECT doc_id, term, 'in_vocabulary', 4 FROM hits UNION ALL SELECT doc_id, term, 'in_entity', 1 FROM ents WHERE length(term) >= 2 AND {_KEPT}),
+flags AS (SELECT doc_id, term, bool_or(source = 'in_science') AS in_science, bool_or(source = 'in_acronym') AS in_acronym, bool_or(source = 'in_vocabulary') AS in_vocabulary,
+  bool_or(source = 'in_entity') AS in_entity, min(r)::BIGINT AS source_rank FROM sources GROUP BY doc_id, term)"""
+_NO_MORE = "more_science AS (SELECT NULL::BIGINT AS doc_id, NULL AS term WHERE false)"
+FLAGS = f"{_NO_MORE}, {_FLAGS}"
+
+
+def _keywords(more: str) -> str:
+    return rf"""{ACRONYMS}, {science()}, {VOCAB_HITS}, {more}, {_FLAGS}, {TERMS},
+merged AS (SELECT coalesce(t.doc_id, f.doc_id) AS doc_id, coalesce(t.term, f.term) AS term, t.n, t.first, coalesce(in_science, false) AS sci, coalesce(in_acronym, false) AS acr, coalesce(in_entity, false) AS ent, source_rank FROM terms t FULL JOIN flags f ON t.doc_id = f.doc_id AND t.term = f.term),
 counted AS (SELECT m.* REPLACE (coalesce(m.n, greatest(1, len(regexp_extract_all(lower(x.text), '\b' || {ESCAPED.format('m.term')} || '\b'))))::BIGINT AS n) FROM merged m JOIN full_texts x USING (doc_id)),
 looked AS (SELECT c.*, c.term AS word, f.rank, coalesce(v.weight, 1.0::DOUBLE) AS weight FROM counted c LEFT JOIN freq f ON c.term = f.word LEFT JOIN vocab v ON c.term = v.term
-  WHERE c.term NOT IN {STOPS} AND {CONTENT.replace('term)', 'c.term)')} AND {NOT_ALL_STOP.replace('term)', 'c.term)')}),
-keyed AS (SELECT *, round(log2(n::DOUBLE + 1) * weight * (CASE WHEN weight > 1 OR sci OR acr THEN {RARITY_BONUS} ELSE greatest({COMPLEXITY}, 1.0::DOUBLE) END) * (CASE WHEN sci THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN acr THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM looked),
+  WHERE {_KEPT.replace('term ', 'c.term ', 1).replace('trim(term)', 'trim(c.term)')}),
+keyed AS (SELECT *, round(log2(n::DOUBLE + 1) * weight * (CASE WHEN weight > 1 OR sci OR ent OR acr THEN {RARITY_BONUS} ELSE greatest({COMPLEXITY}, 1.0::DOUBLE) END) * (CASE WHEN sci THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN ent THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN acr THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM looked),
 keywords AS (SELECT doc_id, term, n, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, coalesce(source_rank, 0), coalesce(first, 1::BIGINT << 62), term)::BIGINT AS rank FROM keyed)"""
+
+
+KEYWORDS = _keywords(_NO_MORE)
+_MORE = f"{ITALICS}, more_science AS (SELECT page_id AS doc_id, term FROM italics)"
+#: Keywords of body paragraphs of pages, with ranks and vocabulary of the documents.
+PAGE_KEYWORDS = rf"""WITH {PARAS}, {TOKENS}, {FREQ}, {VOCAB} SELECT * FROM (WITH {PAGE_PARAS},
+paras AS (SELECT page_id AS doc_id, p AS para_idx, regexp_replace(translate(text, chr(160) || chr(65279), '  '), '^\s+|\s+$', '', 'g') AS text FROM page_paras
+  WHERE text <> '' AND len(string_split_regex(text, '\s+')) >= 30), {TOKENS}, {FULL}, {_keywords(_MORE)} SELECT doc_id AS page_id, term, n, score, rank FROM keywords)"""
+#: Parts of speech by closed word lists and endings.
+_PART = {"Verb": "verbs", "Adjective": "adjectives", "Noun": "nouns"}
+_POS = " ".join(f"WHEN regexp_matches(low, '(?:{'|'.join(ends.split())})$') THEN '{_PART[tag]}'" for tag, ends in ENDINGS)
+POS = f"""SELECT doc_id, para_idx, sent_idx, i - 1 AS term_idx, word AS text, pos FROM (SELECT *, CASE {_POS} ELSE 'nouns' END AS pos FROM (SELECT *, lower(word) AS low FROM (
+  SELECT doc_id, para_idx, sent_idx, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(sentence, '[A-Za-z][A-Za-z''-]*') AS l FROM sents)))
+  WHERE low NOT IN {among(WORDS)} AND length(regexp_replace(word, '[^a-zA-Z]', '', 'g')) >= 4)"""

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import values as V
@@ -19,7 +19,7 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _ENDS_P = frozenset((*V.BLOCK_TAGS, "ul", "ol", "table", "form", "nav", "pre", "hr", "figure", "dl", "menu"))
 _LEAF_CHILDREN = frozenset(("p", "div", "section", "article", "ul", "ol", "table"))
 
-BLOCK_SCHEMA = "page_id long, node_ord long, tag string, root_rank int, ancestors array<string>, text string, is_leaf boolean, block_ord long, kind string, offset long"
+BLOCK_SCHEMA = "page_id long, node_ord long, tag string, root_rank int, ancestors array<string>, text string, is_leaf boolean, block_ord long, kind string, offset long, raw string"
 
 
 class _Node:
@@ -116,7 +116,8 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     """Rows of kind block (block tags), inline (em and i) and text (text nodes), in document order.
 
     root_rank is -1 for rows outside the page's content root (all rows are inside where a page has none);
-    offset is a text node's place in its block's text.  A null page has no rows.
+    offset is a text node's place in its block's raw text; text is without white space at the ends, but for text nodes.  A null
+    page has no rows.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,9 +144,10 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                 for x in sorted(tree.done, key=lambda x: x.ord):
                     kind = "block" if x.tag in V.BLOCK_TAGS else "inline" if x.tag in ("em", "i") else None
                     if kind:
-                        rows.append((page, x.ord, x.tag, rank if inside(x) else -1, x.ancestors(), "".join(x.parts).strip(), not (x.children & _LEAF_CHILDREN), x.ord, kind, 0))
+                        raw, leaf = "".join(x.parts), not (x.children & _LEAF_CHILDREN)
+                        rows.append((page, x.ord, x.tag, rank if inside(x) else -1, x.ancestors(), raw.strip(), leaf, x.ord, kind, 0, raw))
                 for n, x, data, block, offset in tree.texts:
-                    rows.append((page, n, x.tag, rank if inside(x) else -1, [x.tag, *x.ancestors()], data, True, block.ord, "text", offset))
+                    rows.append((page, n, x.tag, rank if inside(x) else -1, [x.tag, *x.ancestors()], data, True, block.ord, "text", offset, data))
             yield pd.DataFrame(rows, columns=columns)
 
     return pages.select(id_col, html_col).mapInPandas(run, BLOCK_SCHEMA)
@@ -165,26 +167,42 @@ def body_paragraphs(nodes: DataFrame, least: int = 30) -> DataFrame:
     return page_paragraphs(nodes, least, ("p",)).filter(~F.arrays_overlap("ancestors", F.array(*map(F.lit, V.NOISE_TAGS))))
 
 
+def _unblocked() -> Column:
+    return ~F.arrays_overlap("ancestors", F.array(*map(F.lit, V.BLOCKED_TAGS)))
+
+
 def paragraph_elements(nodes: DataFrame, least: int = 65) -> DataFrame:
-    """A page's p where it has three or more; else those and all leaf div and section of ``least`` words."""
+    """A page's p where it has three or more; else those and all leaf div and section of ``least`` words.
+
+    Elements below a blocked tag count, but are left out.
+    """
     inside = nodes.filter((F.col("kind") == "block") & (F.col("root_rank") >= 0))
     n = inside.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("_p"))
     leaf = F.col("tag").isin("div", "section") & F.col("is_leaf") & (tokens_of(F.col("text")) >= least)
-    return inside.join(n, "page_id").filter((F.col("tag") == "p") | ((F.col("_p") < 3) & leaf)).drop("_p")
+    return inside.join(n, "page_id").filter(((F.col("tag") == "p") | ((F.col("_p") < 3) & leaf)) & _unblocked()).drop("_p")
+
+
+def bold_paragraphs(nodes: DataFrame) -> DataFrame:
+    """All p under the content root outside blocked tags, of any length."""
+    return nodes.filter((F.col("kind") == "block") & (F.col("root_rank") >= 0) & (F.col("tag") == "p") & _unblocked())
 
 
 def readable_text(nodes: DataFrame, shortest: int = 0, need_allowed: bool = False) -> DataFrame:
     """Text nodes outside blocked tags that hold a letter; for tagging, below an allowed tag and not short."""
-    blocked, allowed = (F.array(*map(F.lit, x)) for x in (V.BLOCKED_TAGS, V.ALLOWED_TAGS))
-    out = nodes.filter((F.col("kind") == "text") & ~F.arrays_overlap("ancestors", blocked) & F.col("text").rlike("[A-Za-z]") & (F.length("text") >= shortest))
-    return out.filter(F.arrays_overlap("ancestors", allowed)) if need_allowed else out
+    out = nodes.filter((F.col("kind") == "text") & _unblocked() & F.col("text").rlike("[A-Za-z]") & (F.length("text") >= shortest))
+    return out.filter(F.arrays_overlap("ancestors", F.array(*map(F.lit, V.ALLOWED_TAGS)))) if need_allowed else out
+
+
+def numbered(nodes: DataFrame, name: str = "para_no") -> DataFrame:
+    """``nodes`` with their number within the page, from 1."""
+    return nodes.withColumn(name, F.row_number().over(Window.partitionBy("page_id").orderBy("node_ord")).cast("long"))
 
 
 def italic_terms(nodes: DataFrame) -> DataFrame:
     """(page_id, term): italics that hold a binomial or abbreviated species, or are one capitalised name."""
-    t = F.col("text")
+    t = F.trim(F.col("text"))
     good = (F.length(t) >= 3) & (t.rlike(r"[A-Z][a-z]+\s+[a-z]{3,}") | t.rlike(r"[A-Z]\.\s*[a-z]{3,}") | t.rlike("^[A-Z][a-z]{4,}$"))
-    return nodes.filter((F.col("kind") == "inline") & good).select("page_id", F.lower("text").alias("term")).distinct()
+    return nodes.filter((F.col("kind") == "inline") & good).select("page_id", F.lower(t).alias("term")).distinct()
 
 
 def site_enabled(pages: DataFrame, state: Column, url_col: str = "url") -> DataFrame:

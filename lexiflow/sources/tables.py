@@ -16,11 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files make fewer parts than that; large inputs stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as the session's ``lexiflow.input.partitions`` says; as its files lie where that is unset.
+
+    For inputs of one or two row groups, which would keep all but a core or two idle.
+    """
+    parts = df.sparkSession.conf.get("lexiflow.input.partitions", None)
+    return df.repartition(int(parts)) if parts else df
+
+
+def texts(docs: DataFrame, lang: str | None = "en") -> DataFrame:
+    """(doc_id, paras): a document's trimmed lines in order, in the row."""
+    docs = docs if lang is None else docs.filter(F.col("lang") == lang)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    line = lambda x, i: F.struct(i.cast("long").alias("para_idx"), T.trimmed(x).alias("text"))
+    return docs.select("doc_id", F.transform(lines, line).alias("paras"))
 
 
 def paragraphs(docs: DataFrame, lang: str | None = "en") -> DataFrame:

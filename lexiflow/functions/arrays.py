@@ -37,8 +37,8 @@ def last_at_most(rising: Column, value: Column) -> Column:
     return F.aggregate(steps, start, step)["lo"]
 
 
-def placed(text: Column, hits: Column, pieces: Column) -> Column:
-    """(start, end) of each of ``hits`` in ``text``, in code points; ``pieces`` is the text split by the same pattern."""
+def placed(hits: Column, pieces: Column) -> Column:
+    """(start, end) of each of a text's matches, in code points; ``pieces`` is the text split by the same pattern."""
 
     def places(hit: Column) -> Column:
         sizes = F.zip_with(F.slice(pieces, 1, F.size(hit)), hit, lambda p, h: F.length(p) + F.length(h))

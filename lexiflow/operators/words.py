@@ -37,7 +37,7 @@ def underline_tiers(paras: DataFrame, freq: DataFrame, level: str = "medium") ->
     """
     text, pattern = F.col("text"), T.spark_pattern(T.WORD)
     found = T.find_all(text, T.WORD)
-    rows = F.zip_with(A.placed(text, found, F.split(text, pattern, -1)), found, lambda p, w: F.struct(p["start"].alias("start"), w.alias("word")))
+    rows = F.zip_with(A.placed(found, F.split(text, pattern, -1)), found, lambda p, w: F.struct(p["start"].alias("start"), w.alias("word")))
     placed = paras.select("doc_id", "para_idx", F.explode(rows).alias("x")).select("doc_id", "para_idx", "x.start", "x.word")
     placed = placed.filter((F.length("word") > 1) & ~F.col("word").rlike("^[A-Z]"))
     distinct = placed.select("word").distinct().join(freq, "word", "left")

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import WORD, free, let
+from lexiflow.functions.arrays import let
+from lexiflow.llm.common import WORD, free
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST = 50, 50, 0.5
 #: Largest share of a line's characters that are symbols or exclamation marks; words that need a mark among them.

@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import functools
 import math
-import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import free, last_at_most, let, running
+from lexiflow.functions.arrays import last_at_most, let, placed, running
+from lexiflow.llm.common import free
 
 #: Kind, pattern, group that is measured, least length; in the order of the spans' kinds.
 BASE = (
@@ -56,14 +56,9 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pieces = F.split(text, pattern, -1)
 
-    def placed(hit: Column) -> Column:
-        sizes = F.zip_with(F.slice(pieces, 1, F.size(hit)), hit, lambda p, h: F.length(p) + F.length(h))
-        ends = let(sizes, lambda s: running(s))
-        both = F.zip_with(ends, hit, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end")))
-        whole = F.zip_with(both, values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
-        return F.when(F.size(hit) > 0, whole)
-
-    return F.coalesce(let(hits, placed), F.expr("array()").cast(_SPANS))
+    whole = lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value"))
+    found = let(hits, lambda hit: F.when(F.size(hit) > 0, F.zip_with(placed(hit, pieces), values, whole)))
+    return F.coalesce(found, F.expr("array()").cast(_SPANS))
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
@@ -99,14 +94,19 @@ def looks_secret(run: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(run) >= threshold)
 
 
-def _covered(m: Column, taken: list[str]) -> Column:
-    """Whether a span of one of the columns, each rising without overlaps, shares a character with ``m``."""
+def _uncovered(runs: Column, taken: list[str]) -> Column:
+    """Those of ``runs`` that share no character with the spans of the columns, each rising without overlaps."""
+
+    def without(found: Column, name: str) -> Column:
+        spans = F.col(name)
+
+        def apart(m: Column, starts: Column) -> Column:
+            return ~F.coalesce(F.get(spans, last_at_most(starts, m["end"] - 1))["end"] > m["start"], F.lit(False))
 
-    def by(name: str) -> Column:
-        last = last_at_most(F.transform(F.col(name), lambda b: b["start"]), m["end"] - 1)
-        return F.coalesce(F.get(F.col(name), last)["end"] > m["start"], F.lit(False))
+        own = let(F.transform(spans, lambda b: b["start"]), lambda starts: F.filter(found, lambda m: apart(m, starts)))
+        return F.when(F.size(spans) > 0, own).otherwise(found)
 
-    return functools.reduce(operator.or_, map(by, taken))
+    return functools.reduce(without, taken, runs)
 
 
 def _scanned(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
@@ -118,8 +118,10 @@ def _scanned(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
 
     for name, (_, pattern, group, least) in zip(names, BASE, strict=False):
         docs = docs.withColumn(name, F.filter(_matches(text, pattern, group), long_enough(least)))
-    runs = F.filter(_matches(text, CANDIDATE), lambda m: looks_secret(m["value"]) & ~_covered(m, names[:-1]))
-    return docs.withColumn(names[-1], runs)
+    runs = F.filter(_matches(text, CANDIDATE), lambda m: looks_secret(m["value"]))
+    # A column of its own, so that it is computed once however often it is looked at.
+    docs = docs.withColumn(names[-1], runs)
+    return docs.withColumn(names[-1], _uncovered(F.col(names[-1]), names[:-1]))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -128,6 +130,44 @@ def test_neardup_against_all_pairs(spark, monkeypatch, words, percent, block):
     assert got == _brute_components(rows, words, percent)
 
 
+def test_a_large_group_costs_few_blocks(spark, monkeypatch):
+    """Near copies of one text in many blocks, with documents between the thresholds, and what the second look reads."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng, seen = random.Random(8), []
+    look = neardup._second_look
+    monkeypatch.setattr(neardup, "_second_look", lambda wide, percent: seen.append((wide.count(), (out := look(wide, percent)).count())) or out)
+    base = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for _ in range(rng.choice((1, 1, 1, 2, 6, 9))):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.components(df, 3, 85).collect()}
+    assert got == _brute_components(rows, 3, 85)
+    # A third of the documents link with none: these meet all others, which is less than half of every block with every other.
+    assert seen and all(read < 0.5 * members * 400 / 16 for members, read in seen), seen
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_recall_at_the_threshold(spark, percent):
+    """Pairs whose sets share exactly ``percent`` of their union, one component each at most; 99 % are found."""
+    rng, rows = random.Random(percent), []
+    for i in range(600):
+        # n common words, then k of each one's own: sets of words in threes.
+        n = {85: 150, 80: 106}[percent]
+        common = [f"c{i}_{j}" for j in range(n)]
+        k = 13
+        rows += [(2 * i + side, " ".join(common + [f"s{side}_{i}_{rng.randrange(10**9)}" for _ in range(k)])) for side in (0, 1)]
+    both, union = n - 2, n - 2 + 2 * k
+    assert 100 * both >= percent * union and 100 * both < (percent + 2) * union
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in neardup.components(df, 3, percent).collect()}
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+    assert sum(c != d for d, c in got.items()) >= 0.99 * 600
+
+
 def test_star_contraction(spark):
     path = [(i, i + 1) for i in range(30)] + [(100, 102), (102, 101)]
     got = dict(map(tuple, neardup.connected(spark.createDataFrame(path, "u long, v long")).collect()))
@@ -514,3 +554,220 @@ def test_media_files_of_any_kind(spark, monkeypatch):
     assert [got[i].pcm_wav is None for i in range(1, 6)] == [True, True, False, True, False]
     assert got[3].samples == b"\x00\xff" * 50 and got[2].feature is None and got[4]._audio == 1
     assert media.decode(bytes(got[3].pcm_wav))[0] == 16000 and got[5].feature.startswith("n=3996;")
+
+
+def _plain_toxicity(learn, texts):
+    """The query's fit and score in plain loops: {text: score}.  ``learn``: {text: label}."""
+    bits, mask = toxicity.BITS, (1 << 64) - 1
+
+    def bucket(key):
+        h = key & mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = ((h ^ (h >> shift)) * factor) & mask
+        return (h ^ (h >> 31)) >> (64 - bits)
+
+    def words(text):
+        """Each word's grams."""
+        out = []
+        for w in re.split(rb"[ \t\n\x0b\x0c\r]+", text.encode().lower()):
+            if w:
+                s = b" " + w + b" "
+                grams = {bucket(int.from_bytes(s[i : i + 5], "big") + 1) for i in range(len(s) - 4)}
+                if len(w) >= toxicity.BEGINNING - 2:
+                    grams.add(bucket(int.from_bytes(s[1 : toxicity.BEGINNING], "big") + (1 << 63)))
+                out.append(grams)
+        return out
+
+    seen, rows = [collections.Counter(), collections.Counter()], [0, 0]
+    for t, y in learn.items():
+        rows[y] += 1
+        seen[y].update(set().union(*words(t)))
+    everything, weights = sum(seen[0].values()) + sum(seen[1].values()), {}
+    for g in set(seen[0]) | set(seen[1]):
+        n0, n1 = seen[0][g], seen[1][g]
+        a = toxicity.PRIOR * (n0 + n1) / everything + 0.5
+        delta = math.log((n1 + a) / (rows[1] + 1)) - math.log((n0 + a) / (rows[0] + 1))
+        share, ratio = rows[1] / sum(rows), 0.0
+        for n, part in ((n1, share), (n0, 1 - share)):
+            ratio += n * math.log(n / ((n0 + n1) * part)) if n else 0.0
+        z = math.copysign(math.sqrt(max(0.0, 2 * ratio)), delta)
+        if any(z >= least and delta >= odds for least, odds in toxicity.SIGNIFICANT):
+            weights[g] = float(np.float32(min(delta, toxicity.MAX_SCORE)))
+
+    def passages(text):
+        """Tokens, and the scores of all maximal segments: the best stretch, then left and right of it."""
+        value = [max((weights[g] for g in grams if g in weights), default=-toxicity.GAP) for grams in words(text)]
+
+        def best(lo, hi):
+            top = max(((sum(value[i:j]), -(j - i), i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0,))
+            return [] if top[0] <= 0 else [*best(lo, top[2]), top[0], *best(top[3], hi)]
+
+        return len(value), best(0, len(value))
+
+    found = {t: passages(t) for t in {*learn, *texts}}
+    clean = [s for t, y in learn.items() if not y for s in found[t][1]]
+    toxic = sorted(s for t, y in learn.items() if y for s in found[t][1])
+    tokens = max(1, sum(found[t][0] for t, y in learn.items() if not y))
+    typical = float(np.median(toxic)) if toxic else 1.0
+    tail = [*clean, min(typical, toxicity.MAX_SCORE)]
+    lam = min(3.0, max(0.2, len(tail) / max(1e-9, sum(s - min(tail) for s in tail))))
+    k = len(tail) / tokens * math.exp(lam * min(tail))
+    evidence = lambda t: math.log1p(sum(max(0.0, lam * s - math.log(k * max(1, found[t][0]))) for s in found[t][1]))
+    x, y = [evidence(t) for t in learn], list(learn.values())
+
+    def logistic(target):
+        a = b = 0.0
+        for _ in range(50):
+            p = [1 / (1 + math.exp(-max(-30, min(30, a + b * v)))) for v in x]
+            ga, gb = sum(t - q for t, q in zip(target, p, strict=True)) - 0.01 * a, sum((t - q) * v for t, q, v in zip(target, p, x, strict=True)) - b
+            w = [q * (1 - q) for q in p]
+            aa, ab, bb = sum(w) + 0.01, sum(q * v for q, v in zip(w, x, strict=True)), sum(q * v * v for q, v in zip(w, x, strict=True)) + 1
+            det = aa * bb - ab * ab
+            da, db = (bb * ga - ab * gb) / det, (aa * gb - ab * ga) / det
+            a, b = a + da, b + db
+            if max(abs(da), abs(db)) < 1e-8:
+                break
+        return a, b
+
+    a, b = logistic(y)
+    if (none := [t for v, t in zip(x, y, strict=True) if v == 0]):
+        wrong, right = sum(none) / len(none), list(map(float, y))
+        for _ in range(100):
+            p = [1 / (1 + math.exp(-max(-30, min(30, a + b * v)))) for v in x]
+            now = [q / max(1e-12, q + (1 - q) * wrong) if t else 0.0 for q, t in zip(p, y, strict=True)]
+            if max(abs(m - n) for m, n in zip(now, right, strict=True)) < 1e-9:
+                break
+            right = now
+            a, b = logistic(right)
+    return {t: 1 / (1 + math.exp(-max(-30, min(30, a + b * evidence(t))))) for t in texts}
+
+
+def test_toxicity_against_plain_loops(spark, tmp_path):
+    """The whole query on 300 documents: copies with different labels, several labels, nulls, held-out rows."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    bad = ["grumptious", "snarlword", "vilé", "grumptest"]
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 5 == 0
+        text = [rng.choice(vocab) for _ in range(rng.randrange(1, 45))]
+        for _ in range(rng.randrange(1, 5) if toxic else i % 37 == 1):
+            text[rng.randrange(len(text))] = rng.choice(bad)
+        rows.append((i, rng.choice((" ", "  ", "\n")).join(text)))
+        labels.append((i, 1, int(toxic)))
+    rows += [(400, rows[1][1]), (401, rows[5][1]), (402, None), (403, ""), (404, "Grumptious SNARLWORD " * 4)]
+    labels += [(400, 1, 1), (401, 1, 0), (402, 1, 0), (1, 0, 0), (7, 1, 2), (404, 1, None), (None, 1, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op4_toxicity(spark, str(tmp_path)).collect()
+    own = {}
+    for i, _, y in labels:
+        if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1:
+            own[i] = max(own.get(i, 0), y)
+    learn = {}
+    for i, text in rows:
+        if i in own:
+            learn[text or ""] = max(learn.get(text or "", 0), own[i])
+    want = _plain_toxicity(learn, {t or "" for _, t in rows})
+    texts = dict(rows)
+    assert len({round(v, 6) for v in want.values()}) > 20 and len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(want[texts[r.doc_id] or ""], abs=1e-6)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
+
+
+def test_mixing_of_many_sources(spark):
+    """Targets against plain water filling, ties of ratios, a null source, joins without broadcasts, plain draws."""
+    rng = random.Random(9)
+    sources = [None, "", *{"".join(rng.choice("aábß京") for _ in range(3)) for _ in range(60)}]
+    rows = [(i, " ".join(["w"] * rng.choice((0, 1, 5, 40))), sources[i % len(sources)]) for i in range(900)] + [(901, None, "empty"), (None, "w w", None), (5, "w", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    size = collections.Counter()
+    for _, text, source in rows:
+        size[source] += len((text or "").split())
+    ordered = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(ordered)}
+    left, full, total = set(ordered), 0.0, 1.5 * sum(size.values())
+    while True:
+        level = (total - full) / sum(weight[s] for s in left) if left else 0
+        over = {s for s in left if level * weight[s] > 2 * size[s]}
+        if not over:
+            break
+        full, left = full + sum(2 * size[s] for s in over), left - over
+    want = {s: min(2.0 * size[s], level * weight[s]) if s in left else 2.0 * size[s] for s in ordered}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen = []
+    for limit in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            for fitted in (True, False):
+                drawn = mixing.draw_copies(df, fitted=fitted).collect()
+                assert len(drawn) == len(rows)
+                for r in drawn:
+                    assert r._target == pytest.approx(want[r.source]) and r._source_size == size[r.source]
+                    rate = want[r.source] / size[r.source] if size[r.source] else 0
+                    assert math.floor(rate) <= r._copies <= math.floor(rate) + 1
+                    draw = int(hashlib.md5(f"{'' if r.doc_id is None else r.doc_id}/mix-1".encode()).hexdigest()[:8], 16)
+                    if not fitted:
+                        assert r._copies == math.floor(rate) + (draw < math.floor((rate - math.floor(rate)) * 2**32))
+                seen.append(sorted((str(r.doc_id), str(r.source), r._copies) for r in drawn))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert seen[:2] == seen[2:]
+
+
+CLASHES = [
+    "_q", "_c", "_l", "_s", "_d", "_counts", "_symbols", "_twice", "_lost", "_key", "_drop", "_kept", "_doc", "_text", "_n_lines", "_n_dropped", "_at",
+    "_size", "_source", "_name", "_copies", "_copy", "_draw", "_salt", "_whole", "_edge", "_target", "_source_size", "_step", "_assign", "_access",
+    "_hex", "_entropy", "_flat", "_past", "_gone", "rep", "leader", "block", "a", "b", "keys", "media", "pcm_wav", "samples", "feature", "score",
+]
+
+
+@pytest.mark.parametrize("name", ["clean_documents", "dedup_lines", "drop_near_duplicates", "mix", "redact", "filter_urls", "measure", "scan", "draw_copies", "convert"])
+def test_columns_with_clashing_names(spark, docs, name):
+    """Operators that keep columns keep those that are named like their own, and give the same rows."""
+    operator, given = {
+        "clean_documents": (quality.clean_documents, ()), "dedup_lines": (linededup.dedup_lines, linededup.COUNTS),
+        "drop_near_duplicates": (neardup.drop_near_duplicates, ()), "mix": (mixing.mix, ()), "redact": (secrets.redact, ()),
+        "filter_urls": (lambda df: urlfilter.filter_urls(df, url_col="text"), ()), "measure": (quality.measure, ("_q",)),
+        "scan": (secrets.scan, tuple(f"_{k}" for k in secrets.KINDS)), "draw_copies": (mixing.draw_copies, mixing.RESULTS),
+        "convert": (lambda df: media.convert(df.withColumn("media", F.lit(b"x"))), media.RESULTS.names),
+    }[name]
+    base = docs.select("doc_id", "text", "lang", "source")
+    more = base.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    if name != "measure":
+        base = base.unionByName(spark.createDataFrame([(30, "Good words go here, as they do. " * 20, "en", "a")], base.schema))
+        more = base.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    plain, clash = operator(base), operator(more)
+    own = [c for c in plain.columns if c not in given]
+    assert sorted(map(str, plain.select(own).collect())) == sorted(map(str, clash.select(own).collect()))
+    kept = [c for c in CLASHES if c not in given and c != "media"]
+    assert all(clash.columns.count(c) == 1 for c in clash.columns) and set(kept) <= set(clash.columns)
+    assert all(r[c] == CLASHES.index(c) for r in clash.select(kept).collect() for c in kept)
+
+
+def test_repeated_windows_of_very_long_texts(spark, monkeypatch):
+    """With few hash bits a first hash has many false twins; the second one leaves true ones alone."""
+    words = [f"w{i}" for i in range(20_000)] + ["x", "y", "z", "w1", "w2", "w3", "w4", "x", "y", "z"]
+    text = " ".join(words)
+    r = quality.measure(spark.createDataFrame([(text,)], "text string")).select("_q.*").first()
+    seen = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+    cover = {i + k for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if seen[g] > 1 for k in range(3)}
+    assert r.n_repeat_words == len(cover)
+    # Bits as of a text of 2**40 words leave 24 for a hash: some ten pairs of windows share the first by chance.
+    short = spark.createDataFrame([(words[:20_000] + ["w1", "w2", "w3"],)], "w array<string>")
+    monkeypatch.setattr(quality.F, "log2", lambda c: F.lit(40.0))
+    assert short.select(quality.repeat_words(F.col("w"))).first()[0] == 6
+
+
+def test_many_matches_and_lines_in_one_text(spark):
+    """100,000 secrets in one text, and three documents of 100,000 shared lines, in seconds."""
+    began = time.time()
+    text = " ".join(f"{i:016x}" for i in range(100_000))
+    r = secrets.scan(spark.createDataFrame([(text,)], "text string")).select(F.size("_hex").alias("n"), F.col("_hex")[99_999]["end"].alias("end")).first()
+    assert (r.n, r.end) == (100_000, len(text))
+    lines = "\n".join(f"a line that is shared by three, number {i}" for i in range(100_000))
+    df = spark.createDataFrame([(i, lines) for i in range(3)], "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in linededup.dedup_lines(df).select("doc_id", "_n_dropped", F.length("text").alias("n")).collect()}
+    assert [(rows[i]._n_dropped, rows[i].n) for i in range(3)] == [(100_000, 0), (100_000, 0), (0, len(lines))]
+    assert time.time() - began < 120

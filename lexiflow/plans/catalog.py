@@ -311,15 +311,22 @@ _A = '[{"word": "exit", "score": 9, "tags": ["n"]}, {"word": "quit", "score": 8,
 _B = '[{"meanings": [{"partOfSpeech": "Verb", "synonyms": ["forsake"], "definitions": [{"definition": "To leave a place.", "synonyms": ["vacate"]}, {"definition": "To go out of a place.", "synonyms": []}]}, {"partOfSpeech": "Noun", "synonyms": [], "definitions": [{"definition": "Permission to be absent.", "synonyms": ["holiday"]}]}]}]'
 
 
-def lexicon_rows(spark: SparkSession) -> DataFrame:
-    """A small static lexicon in the two sources' shapes; a broken and a missing source among them."""
-    return spark.createDataFrame([("Leave", _A, _B), ("unknown", None, "broken"), ("stop", _A, None)], "word string, a string, b string")
+#: A small static lexicon in the two sources' shapes; a broken and a missing source among them.
+LEXICON = (("Leave", _A, _B), ("unknown", None, "broken"), ("stop", _A, None))
+RANKS = (("exit", 900), ("quit", 1200), ("depart", 9000), ("abandon", 4000), ("vacate", 15000))
+_CARDS = f"WITH {Q.cards(LEXICON, RANKS)}"
 
 
-@_query()
+@_query(f"{_CARDS} SELECT * FROM cards")
 def synonym_cards(spark, d):
-    freq = spark.createDataFrame([("exit", 900), ("quit", 1200), ("depart", 9000), ("abandon", 4000), ("vacate", 15000)], "word string, rank long")
-    return L.synonym_cards(lexicon_rows(spark), freq)
+    lexicon = spark.createDataFrame(list(LEXICON), "word string, a string, b string")
+    return L.synonym_cards(lexicon, spark.createDataFrame(list(RANKS), "word string, rank long"))
+
+
+@_query(f"{_CARDS}, {Q.SHOWN}")
+def shown_cards(spark, d):
+    shown = [L.shown(synonym_cards(spark, d), tier).withColumn("tier", F.lit(tier)) for tier in ("lite", "full")]
+    return shown[0].unionByName(shown[1]).select("word", "tier", "synonyms", "definitions")
 
 
 def records(spark: SparkSession) -> DataFrame:

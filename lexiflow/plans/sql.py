@@ -176,3 +176,44 @@ _POS = " ".join(f"WHEN regexp_matches(low, '(?:{'|'.join(ends.split())})$') THEN
 POS = f"""SELECT doc_id, para_idx, sent_idx, i - 1 AS term_idx, word AS text, pos FROM (SELECT *, CASE {_POS} ELSE 'nouns' END AS pos FROM (SELECT *, lower(word) AS low FROM (
   SELECT doc_id, para_idx, sent_idx, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(sentence, '[A-Za-z][A-Za-z''-]*') AS l FROM sents)))
   WHERE low NOT IN {among(WORDS)} AND length(regexp_replace(word, '[^a-zA-Z]', '', 'g')) >= 4)"""
+
+
+def cards(lexicon, ranks) -> str:
+    """CTEs that end in cards(word, pos, synonyms, definition, entry), from rows (word, a, b) of JSON and (word, rank)."""
+    value = lambda x: "NULL" if x is None else quoted(x)
+    rows = ", ".join(f"({', '.join(map(value, r))})" for r in lexicon)
+    known = ", ".join(f"({quoted(w)}, {r}::BIGINT)" for w, r in ranks)
+    a = '[{"word":"VARCHAR","score":"INTEGER","tags":["VARCHAR"]}]'
+    b = '[{"meanings":[{"partOfSpeech":"VARCHAR","synonyms":["VARCHAR"],"definitions":[{"definition":"VARCHAR","synonyms":["VARCHAR"]}]}]}]'
+    tags = " ".join(f"WHEN list_contains(x.tags, '{k}') THEN '{v}'" for k, v in (("n", "noun"), ("v", "verb"), ("adj", "adjective"), ("adv", "adverb")))
+    prefix = "length(word) >= 3 AND length(synonym) >= 3 AND substr(synonym, 1, 3) = substr(word, 1, 3)"
+    unfit = rf"length(synonym) NOT BETWEEN 2 AND 20 OR synonym = word OR ({prefix}) OR contains(synonym, word) OR contains(word, synonym) OR len(string_split_regex(synonym, '\s+')) > 2"
+    short = r"CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(substr(text, 1, 200), '\s+\S*$', '') || '…' END"
+    return rf"""lex AS (SELECT lower(word) AS word, CASE WHEN json_valid(a) THEN a END AS a, CASE WHEN json_valid(b) THEN b END AS b FROM (VALUES {rows}) v(word, a, b)),
+ranks AS (SELECT * FROM (VALUES {known}) v(synonym, rank)),
+first_source AS (SELECT word, CASE {tags} ELSE 'other' END AS pos, trim(lower(x.word)) AS synonym, i - 1 AS ord FROM (SELECT word, unnest(l) AS x, generate_subscripts(l, 1) AS i
+  FROM (SELECT word, from_json(a, '{a}') AS l FROM lex WHERE a IS NOT NULL)) WHERE i <= 30),
+entries AS (SELECT word, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS e FROM (SELECT word, from_json(b, '{b}') AS l FROM lex WHERE b IS NOT NULL)),
+meanings AS (SELECT word, e, unnest(x.meanings) AS m, generate_subscripts(x.meanings, 1) - 1 AS k FROM entries),
+senses AS (SELECT word, e, k, lower(coalesce(m.partOfSpeech, 'other')) AS pos, m.synonyms AS own, unnest(m.definitions) AS d, generate_subscripts(m.definitions, 1) - 1 AS j FROM meanings),
+second_source AS (SELECT word, pos, trim(lower(unnest(l))) AS synonym, (((1 + e) * 1000 + k) * 1000 + j) * 1000 + generate_subscripts(l, 1) - 1 AS ord
+  FROM (SELECT *, list_concat(coalesce(d.synonyms, []), coalesce(own, [])) AS l FROM senses)),
+syns AS (SELECT word AS head, pos, synonym AS word, min(ord)::BIGINT AS ord FROM (SELECT * FROM first_source UNION ALL SELECT * FROM second_source)
+  WHERE synonym <> '' AND NOT ({unfit}) GROUP BY ALL),
+scored_syns AS (SELECT s.*, {COMPLEXITY} AS score FROM (SELECT s.*, r.rank FROM syns s LEFT JOIN ranks r ON r.synonym = s.word) s),
+lists AS (SELECT head, pos, list(word ORDER BY score, ord, word) AS r, min(ord) AS first FROM scored_syns GROUP BY ALL),
+lengths AS (SELECT *, list_transform(r, lambda x: length(x)) AS n FROM lists),
+three AS (SELECT head, pos, first, CASE WHEN len(r) <= 3 THEN r ELSE list_filter([r[list_position(n, list_min(n))], r[1], r[list_position(n, list_max(n))]],
+  lambda x, i: list_position([r[list_position(n, list_min(n))], r[1], r[list_position(n, list_max(n))]], x) = i) END AS synonyms FROM lengths),
+told AS (SELECT word AS head, pos, arg_min({short}, e * 1000000 + k * 1000 + j) AS definition FROM (SELECT *, d.definition AS text FROM senses)
+  WHERE coalesce(text, '') <> '' AND NOT regexp_matches(lower(text), '\b' || {ESCAPED.format('word')} || '\b') GROUP BY ALL),
+cards AS (SELECT coalesce(t.head, d.head) AS word, coalesce(t.pos, d.pos) AS pos, coalesce(synonyms, []) AS synonyms, definition,
+  row_number() OVER (PARTITION BY coalesce(t.head, d.head) ORDER BY (coalesce(t.pos, d.pos) IN ('noun', 'proper noun'))::INT, coalesce(first, 1::BIGINT << 62), coalesce(t.pos, d.pos))::BIGINT AS entry
+  FROM three t FULL JOIN told d ON t.head = d.head AND t.pos = d.pos)"""
+
+
+#: What a card shows, by tier.
+SHOWN = r"""every AS (SELECT word, flatten(list(synonyms ORDER BY entry)) AS s, list(definition ORDER BY entry) FILTER (WHERE definition IS NOT NULL) AS d FROM cards GROUP BY word),
+fit AS (SELECT word, list_filter(s, lambda x, i: list_position(s, x) = i) AS s, list_filter(coalesce(d, []), lambda t: len(s) <= 3 OR
+  len(list_filter(string_split_regex(lower(t), '\W+'), lambda w: length(w) > length(substr(word, 1, 5)) AND contains(w, substr(word, 1, 5)))) = 0) AS d FROM every)
+SELECT word, 'lite' AS tier, s[1:2] AS synonyms, d[1:1] AS definitions FROM fit UNION ALL SELECT word, 'full', s[1:4], d FROM fit"""

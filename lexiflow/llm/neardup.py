@@ -10,16 +10,18 @@ probability 1e-3, at 80 % with 6e-3, at 90 % with 3e-5; chance collisions stay r
 2. Representatives that share a table key meet under the bucket's leader, the member with most collisions in
    all tables, so a group of near copies meets under few leaders.  No pair is emitted: memberships
    (leader, document) are linear in the tables.
-3. A leader's members are dealt to blocks of bounded size; a task holds one block, gets whole texts, and counts
-   every pair's intersection exactly by a product of 0/1 matrices.  It emits a spanning forest of its links.
+3. A leader's members are dealt to blocks of bounded size, the leader itself to all of them, so that blocks of one
+   group of copies join by it; a task holds one block, gets whole texts, and counts every pair's intersection
+   exactly by a product of 0/1 matrices.  It emits a spanning forest of its links.
 4. Components come from alternating star contraction over the links, in Spark.
 5. Where a leader has several blocks that components don't join yet, its stragglers (members outside its
    largest component) are verified against every block that they can reach: sets link only where
    100 * smaller >= percent * larger, so a straggler meets members of such sizes alone.  Members of the largest
    component need no second look at each other, and no link between different texts is lost to the blocks.
 
-Spark chooses the joins: a side is broadcast only where Spark finds it under its size limit.  Leaders with very
-many members are salted in joins.  All that is sent on is in tables of the shared folder, deleted once used;
+Joins of per-document tables are merge joins at every size: none of these tables has a bound, and the plan that
+is tested small is the one that runs large.  Elsewhere (links, components) Spark broadcasts a side where it finds it
+under its size limit.  Leaders with very many members are salted in joins.  All that is sent on is in tables of the shared folder, deleted once used;
 nothing per document reaches the driver.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; a text of fewer words
@@ -150,10 +152,9 @@ def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return [(i, r) for i in range(m) if (r := root(i)) != i]
 
 
-def _verified(placed: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(u, v), u > v: links within each group of ``placed`` (g, h, rep)."""
-    texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
-    rows = placed.join(texts, "rep").select("g", "h", "rep", "text")
+def _verified(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v), u > v: links within each group of ``placed`` (g, h, rep), by the ``texts`` (rep, text) of all its members."""
+    rows = placed.hint("merge").join(texts, "rep").select("g", "h", "rep", "text")
     rows = rows.repartition("g", "h").sortWithinPartitions("g", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def connected(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
         small = large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e"))
@@ -221,12 +222,13 @@ def _memberships(reps: DataFrame, tables: Tables) -> DataFrame:
     pairs = [(a, b, i * SIDE + j) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[1])]
     rows = reps.select("rep", "n", F.explode(F.array(*(F.xxhash64(a, b, F.lit(t)) for a, b, t in pairs))).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = tables.cut(rows.join(shared, "key"), "buckets")
+    rows = tables.cut(rows.hint("merge").join(shared, "key"), "buckets")
     weight = rows.groupBy("rep").agg(F.sum("size").alias("weight"))
-    rows = rows.join(weight, "rep")
+    rows = rows.hint("merge").join(weight, "rep")
     first = F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")
     leader = rows.groupBy("key").agg(first).select("key", (-F.col("top.rep")).alias("leader"))
-    out = tables.cut(rows.join(leader, "key").select("leader", "rep", "n").distinct(), "memberships")
+    out = rows.hint("merge").join(leader, "key").select("leader", "rep", "n").distinct()
+    out = tables.cut(out, "memberships")
     tables.drop("buckets")
     return out
 
@@ -269,6 +271,13 @@ def _second_look(wide: DataFrame, percent: int) -> DataFrame:
     return placed.select(F.col("leader").alias("g"), (F.col("own") * (1 << 24) + F.col("block")).alias("h"), "rep")
 
 
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v): different components that ``links`` join."""
+    for name in ("u", "v"):
+        links = links.join(labels.toDF(name, f"_{name}"), name, "left").withColumn(name, F.coalesce(f"_{name}", name)).drop(f"_{name}")
+    return links.filter("u != v").distinct()
+
+
 def component_table(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row."""
     tables = Tables(docs.sparkSession, "neardup")
@@ -278,23 +287,35 @@ def component_table(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     reps = tables.cut(same, "reps")
     members = tables.cut(_blocks(_memberships(reps.select("rep", "n", "keys"), tables)), "blocks")
     tables.drop("memberships")
-    placed = members.select(F.col("leader").alias("g"), F.col("block").cast("long").alias("h"), "rep")
-    links = tables.cut(_verified(placed, docs, id_col, text_col, words, percent), "links")
+    # All texts move once; those of members are kept for both looks.
+    texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
+    texts = tables.cut(texts.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi"), "texts")
+    own = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    everywhere = members.filter("blocks > 1 AND rep = leader").select("leader", own, "rep")
+    placed = members.select("leader", "block", "rep").unionByName(everywhere.filter(F.col("block").isNotNull())).distinct()
+    placed = placed.select(F.col("leader").alias("g"), F.col("block").cast("long").alias("h"), "rep")
+    links = tables.cut(_verified(placed, texts, words, percent), "links")
     # Copies of one document that differ from row to row tie their sets' representatives together.
-    ties = full.join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).filter("doc_id != rep")
     several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-    ties = ties.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    ties = full.select("doc_id", "a", "b", "n").join(several, "doc_id").join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"])
+    ties = ties.filter("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     labels = connected(links.unionByName(ties), tables)
     wide = members.filter("blocks > 1").join(labels, F.col("rep") == F.col("node"), "left")
     wide = wide.select("leader", "rep", "n", "block", F.coalesce("component", "rep").alias("component"))
-    apart = tables.cut(_second_look(tables.cut(wide, "wide"), percent), "apart")
-    if not apart.isEmpty():
-        more = _verified(apart, docs, id_col, text_col, words, percent)
-        labels = connected(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), tables)
-    classes = reps.select("a", "b", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    wide = tables.cut(wide, "wide")
+    if not wide.isEmpty():
+        more = _verified(_second_look(wide, percent), texts, words, percent)
+        joins = tables.cut(_between(more, labels), "joins")
+        if not joins.isEmpty():
+            merged = connected(joins, tables).toDF("_old", "_new")
+            renamed = labels.join(merged, F.col("component") == F.col("_old"), "left")
+            # A component of one node has no label yet.
+            alone = merged.join(labels, F.col("_old") == F.col("node"), "left_anti").toDF("node", "component")
+            labels = renamed.select("node", F.coalesce("_new", "component").alias("component")).unionByName(alone)
+    classes = reps.select("a", "b", "n", "rep").hint("merge").join(labels, F.col("rep") == F.col("node"), "left")
     classes = tables.cut(classes.select("a", "b", "n", F.coalesce("component", "rep").alias("_component")), "classes")
-    tables.drop("reps", "blocks", "links", "wide", "apart")
-    out = sketches.select("doc_id", "n", "a", "b").join(classes, ["a", "b", "n"], "left")
+    tables.drop(*(name for name in list(tables.paths) if name not in ("sketch", "classes")))
+    out = sketches.select("doc_id", "n", "a", "b").hint("merge").join(classes, ["a", "b", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -61,7 +61,7 @@ class Tables:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and reads it back: its lineage ends."""
         path = self.new_path(name)
-        with shed_shuffles(self.spark):
+        with settings(self.spark):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -76,16 +76,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return Tables(df.sparkSession, name).cut(df, name)
 
 
+#: Settings of queries that write tables: shuffle files go when their query ends, not with the driver's next collection, and
+#: what is sent to Python at a time is small, for JVM buffers and workers do not shrink again.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
+
+
 @contextlib.contextmanager
-def shed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries that run inside go when their query ends, not with the driver's next collection."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, wanted: dict[str, str] = _SETTINGS) -> Iterator[None]:
+    """The session with these settings, and then with its own again."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

@@ -22,12 +22,17 @@ def frequency_terms(paras: DataFrame, stops=_STOPS, starters=_STARTERS) -> DataF
     """
     raw = F.posexplode(F.split("text", r"\s+", -1)).alias("tok_idx", "raw")
     t = matching.with_false_capitals(paras).select("doc_id", "para_idx", "_false", raw)
+    # A document's different tokens are counted as they stand, and cleaned once each.
+    place = F.shiftleft(F.col("para_idx").cast("long"), 32) + F.col("tok_idx")
+    is_false = F.coalesce(F.array_contains("_false", F.col("raw")), F.lit(False))
+    t = t.groupBy("doc_id", "raw", is_false.alias("false")).agg(F.count("*").alias("n"), F.min(place).alias("first"))
     dotted = T.trim_edges(F.col("raw"), "A-Za-z.")
     word = T.letters_hyphens(F.col("raw"))
-    plain = (F.length(word) >= 3) & ~word.isin(stops) & ~word.isin(starters) & ~F.coalesce(F.array_contains("_false", F.col("raw")), F.lit(False))
-    term = F.when(T.is_dotted(dotted), F.when(~T.dotted_form(dotted).isin(stops), T.dotted_form(dotted))).when(plain, word)
-    place = F.shiftleft(F.col("para_idx").cast("long"), 32) + F.col("tok_idx")
-    return t.select("doc_id", term.alias("term"), place.alias("place")).filter("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    plain = (F.length(word) >= 3) & ~word.isin(stops) & ~word.isin(starters) & ~F.col("false")
+    points = F.contains("raw", F.lit(".")) & T.is_dotted(dotted)
+    term = F.when(points, F.when(~T.dotted_form(dotted).isin(stops), T.dotted_form(dotted))).when(plain, word)
+    t = t.select("doc_id", term.alias("term"), "n", "first").filter("term IS NOT NULL")
+    return t.groupBy("doc_id", "term").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def keyword_frequency(paras: DataFrame, k: int = 5, stops=_STOPS, starters=_STARTERS) -> DataFrame:
@@ -132,13 +137,10 @@ def keyword_scores(
     Terms that only a set holds are counted in the full text, all of a document's in one pass, 1 if it has none.
     """
     texts = texts_of(paras) if texts is None else texts
-    counts = frequency_terms(paras, stops, starters)
-    terms = counts.join(term_flags(paras, vocab, entities, italics, texts, stops), ["doc_id", "term"], "full")
-    terms = terms.filter(_worth(F.col("term"), stops))
-    absent = terms.filter("n IS NULL").drop("n")
-    found = matching.count_terms(texts, absent.select("doc_id", "term"))
-    absent = absent.join(found, ["doc_id", "term"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
-    terms = terms.filter("n IS NOT NULL").unionByName(absent.select(*terms.columns))
+    counts, flags = frequency_terms(paras, stops, starters), term_flags(paras, vocab, entities, italics, texts, stops)
+    found = matching.count_terms(texts, flags.select("doc_id", "term")).withColumnRenamed("n", "_found")
+    terms = counts.join(flags.join(found, ["doc_id", "term"], "left"), ["doc_id", "term"], "full")
+    terms = terms.filter(_worth(F.col("term"), stops)).withColumn("n", F.coalesce("n", "_found", F.lit(1).cast("long")))
     terms = terms.join(freq.withColumnRenamed("word", "term").withColumnRenamed("rank", "_rank"), "term", "left").join(vocab.select("term", "weight"), "term", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
     science, entity, acronym = (flag(F.col(c)) for c in ("in_science", "in_entity", "in_acronym"))

@@ -81,15 +81,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _OP5 = r"""
-WITH lines AS (
-  SELECT doc_id, i, line, CASE WHEN length(k) >= 20 THEN k END AS k FROM (
-    SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-    FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))),
-common AS (SELECT k, max(doc_id) AS keep FROM lines WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-judged AS (SELECT l.*, c.k IS NOT NULL AND l.doc_id < c.keep AS gone FROM lines l LEFT JOIN common c ON l.k = c.k)
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, id, i, line, CASE WHEN length(k) >= 20 THEN k END AS k FROM (
+    SELECT r, id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM (SELECT r, id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT r, id, string_split(text, chr(10)) AS l FROM t)))),
+common AS (SELECT k, max(id) AS keep FROM lines WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT id) >= 3),
+judged AS (SELECT l.*, c.k IS NOT NULL AND l.id < c.keep AS gone FROM lines l LEFT JOIN common c ON l.k = c.k),
+done AS (SELECT r, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM judged GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM t JOIN done USING (r)
 """
 
 _OP9 = r"""

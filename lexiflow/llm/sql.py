@@ -55,21 +55,23 @@ FROM t LEFT JOIN joined USING (r)"""
 
 
 def op2(words: int = 3, percent: int = 85) -> str:
-    """Takes each doc_id to be there once."""
+    """By rows, as a doc_id may stand in several: its rows with shingles are linked."""
     ahead = ", ".join(f"lead(a, {k}) OVER o AS a{k}" for k in range(1, words))
     gram = " || ' ' || ".join(["a"] + [f"a{k}" for k in range(1, words)])
-    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '{_W}') AS w FROM documents),
-tok AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w WHERE len(w) >= {words}),
-grams AS (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, i, a, {ahead} FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE a{words - 1} IS NOT NULL
-  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND {words - 1}),
-sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM grams GROUP BY doc_id),
-inter AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-links AS (SELECT u, v FROM inter JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * inter.n >= {percent} * (a.n + b.n - inter.n)),
+    return rf"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '{_W}') AS w FROM documents),
+tok AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w WHERE len(w) >= {words}),
+grams AS (SELECT DISTINCT r, {gram} AS g FROM (SELECT r, i, a, {ahead} FROM tok WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE a{words - 1} IS NOT NULL
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND {words - 1}),
+sizes AS (SELECT r, doc_id, count(*)::BIGINT AS n FROM grams JOIN w USING (r) GROUP BY r, doc_id),
+known AS (SELECT grams.* FROM grams JOIN w USING (r) WHERE doc_id IS NOT NULL),
+inter AS (SELECT x.r AS u, y.r AS v, count(*) AS n FROM known x JOIN known y ON x.g = y.g AND x.r < y.r GROUP BY ALL),
+links AS (SELECT u, v FROM inter JOIN sizes a ON a.r = u JOIN sizes b ON b.r = v WHERE 100 * inter.n >= {percent} * (a.n + b.n - inter.n)
+  UNION SELECT a.r, b.r FROM sizes a JOIN sizes b ON a.doc_id = b.doc_id AND a.r < b.r),
 both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
-reach(d, c) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT e.v, reach.c FROM reach JOIN both_ways e ON e.u = reach.d),
+reach(d, c) AS (SELECT r, doc_id FROM sizes UNION SELECT e.v, reach.c FROM reach JOIN both_ways e ON e.u = reach.d),
 least_of AS (SELECT d, min(c) AS c FROM reach GROUP BY d)
-SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.c, w.doc_id) AS component_id, coalesce(l.c, w.doc_id) = w.doc_id AS kept
-FROM w LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_of l ON l.d = w.doc_id"""
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, CASE WHEN w.doc_id IS NOT NULL THEN coalesce(l.c, w.doc_id) END AS component_id, coalesce(l.c = w.doc_id, true) AS kept
+FROM w LEFT JOIN sizes s USING (r) LEFT JOIN least_of l ON l.d = w.r"""
 
 
 def op3() -> str:

@@ -21,20 +21,19 @@ all ids; an empty table gives no rows; extra columns stay, but for those named l
 
 from __future__ import annotations
 
-import contextlib
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import Tables, free, let, shed_shuffles
+from lexiflow.functions.arrays import let
+from lexiflow.llm.common import Tables, free, settings
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 #: Keys in at least one of so many (line, document) pairs are broadcast.
 HOT = 2_000
-#: Rows that a bucket of a run shall hold at most, on average.
-BUCKET_ROWS = 4_000_000
+#: Rows that a bucket holds at most, on average; fewer where that takes no more than so many buckets.
+BUCKET_ROWS, SMALL_BUCKET, SMALL_BUCKETS = 4_000_000, 250_000, 1_000
 #: The counts that ``dedup_lines`` adds.
 COUNTS = ("_n_lines", "_n_dropped")
 _NO_ID = -(1 << 63)
@@ -52,22 +51,12 @@ def key_hash(line: Column, min_chars: int = MIN_CHARS) -> Column:
     return F.when(F.length(key) >= min_chars, pair)
 
 
-@contextlib.contextmanager
-def _by_buckets(spark: SparkSession) -> Iterator[None]:
-    """Scans keep buckets, and the order of buckets of one file each; unions claim no partitioning."""
-    wanted = {
-        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
-        "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
-        "spark.sql.unionOutputPartitioning": "false",
-    }
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+#: Scans keep buckets, and the order of buckets of one file each; unions claim no partitioning.
+_BY_BUCKETS = {
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.unionOutputPartitioning": "false",
+}
 
 
 class LineRuns:
@@ -88,9 +77,10 @@ class LineRuns:
         """Adds a sorted file a bucket.  What lies in such buckets already is not exchanged again."""
         name = self._name(table)
         path = self.files.paths.get(name) or self.files.new_path(name)
-        with shed_shuffles(self.spark), _by_buckets(self.spark):
+        with settings(self.spark), settings(self.spark, _BY_BUCKETS):
             rows = rows.repartition(self.buckets, "a", "b").sortWithinPartitions("a", "b")
-            writer = rows.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", path)
+            # Hashes do not compress.
+            writer = rows.write.option("compression", "none").bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", path)
             writer.mode("append").saveAsTable(name)
 
     def _drop(self, table: str) -> None:
@@ -163,7 +153,10 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
     """(_doc, _text, _at, a, b): each line that counts, and its place."""
     keys = F.transform(lines_of(docs[text_col]), lambda x: key_hash(x, min_chars))
     doc, text = _identity(docs, id_col, text_col)
-    out = docs.select(doc.alias("_doc"), text.alias("_text"), F.posexplode(keys).alias("_at", "_k")).filter("_k IS NOT NULL")
+    # Below the explode; within one select a text would be hashed anew for each of its lines.  (An outer explode, for a
+    # plain one would have the keys computed twice, once to see whether there are any.)
+    rows = docs.select(doc.alias("_doc"), text.alias("_text"), keys.alias("_keys"))
+    out = rows.select("_doc", "_text", F.posexplode_outer("_keys").alias("_at", "_k")).filter("_k IS NOT NULL")
     return out.select("_doc", "_text", "_at", "_k.a", "_k.b")
 
 
@@ -177,11 +170,11 @@ def dropped_lines(
     lines = document_lines(docs, id_col, text_col, min_chars).withColumn("_batch", batch)
     lines = tables.cut(lines.sortWithinPartitions("_batch"), "lines")
     n = lines.count()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS))
+    buckets = max(1, -(-n // BUCKET_ROWS), min(-(-n // SMALL_BUCKET), SMALL_BUCKETS))
     store = LineRuns(spark, buckets, fanout)
     for i in range(batches):
         store.add(lines.filter(F.col("_batch") == i).select("a", "b", "_doc").distinct())
-    with _by_buckets(spark):
+    with settings(spark, _BY_BUCKETS):
         common = tables.cut(store.table(min_docs), "common")
     store.close()
     least = max(min_docs, -(-n // HOT))
@@ -191,7 +184,7 @@ def dropped_lines(
 
     hot = met(F.broadcast(common.filter(F.col("docs") >= least)))
     rest = met(common.filter(F.col("docs") < least).hint("shuffle_hash"))
-    return hot.unionByName(rest).groupBy("_doc", "_text").agg(F.array_sort(F.collect_set("_at")).alias("_drop"))
+    return hot.unionByName(rest).groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("_at")).alias("_drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -323,6 +323,16 @@ def test_offsets_rebuild_text(spark):
     assert "".join(_one(spark, T.word_pieces, "a  bc\nd")) == "a  bc\nd"
 
 
+def _science(spark, text, kind):
+    rows = K.science_terms(spark.createDataFrame([(1, text)], "doc_id long, text string"), (kind,)).collect()
+    return {r.term: r.n for r in rows}
+
+
+def test_formulas_keep_digits_at_their_ends(spark):
+    """The second match ends with 1, the third with 2: its place in the list is not trimmed off."""
+    assert _science(spark, "NaCl KBr1 TiO2 KBr1", "formula") == {"nacl": 1, "kbr1": 2, "tio2": 1}
+
+
 def test_partition_count_does_not_matter(spark):
     paras = _paras(spark, *["alpha beta gamma delta alpha beta. Alpha beta. TNF rose in Homo sapiens."] * 3)
     freq = spark.createDataFrame([("alpha", 10)], "word string, rank long")

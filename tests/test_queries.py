@@ -333,6 +333,10 @@ def test_formulas_keep_digits_at_their_ends(spark):
     assert _science(spark, "NaCl KBr1 TiO2 KBr1", "formula") == {"nacl": 1, "kbr1": 2, "tio2": 1}
 
 
+def test_science_terms_keep_digits_at_their_ends(spark):
+    assert _science(spark, "Xq28 17p13.1 then 2q2", "locus") == {"xq28": 1, "17p13.1": 1, "2q2": 1}
+
+
 def test_partition_count_does_not_matter(spark):
     paras = _paras(spark, *["alpha beta gamma delta alpha beta. Alpha beta. TNF rose in Homo sapiens."] * 3)
     freq = spark.createDataFrame([("alpha", 10)], "word string, rank long")

@@ -337,6 +337,12 @@ def test_science_terms_keep_digits_at_their_ends(spark):
     assert _science(spark, "Xq28 17p13.1 then 2q2", "locus") == {"xq28": 1, "17p13.1": 1, "2q2": 1}
 
 
+def test_flags_keep_digits_at_their_ends(spark):
+    vocab = spark.createDataFrame([("zzz", "C", 1.5)], "term string, branch string, weight double")
+    flags = K.term_flags(_paras(spark, "the Mg12 and the Ab21 of it"), vocab)
+    assert {r.term for r in flags.filter("in_science").collect()} == {"mg12", "ab21"}
+
+
 def test_partition_count_does_not_matter(spark):
     paras = _paras(spark, *["alpha beta gamma delta alpha beta. Alpha beta. TNF rose in Homo sapiens."] * 3)
     freq = spark.createDataFrame([("alpha", 10)], "word string, rank long")

@@ -343,6 +343,10 @@ def test_flags_keep_digits_at_their_ends(spark):
     assert {r.term for r in flags.filter("in_science").collect()} == {"mg12", "ab21"}
 
 
+def test_genes_keep_digits_at_their_ends(spark):
+    assert _science(spark, "TP53 BRCA1 BRCA2 TP53", "gene") == {"tp53": 2, "brca1": 1, "brca2": 1}
+
+
 def test_partition_count_does_not_matter(spark):
     paras = _paras(spark, *["alpha beta gamma delta alpha beta. Alpha beta. TNF rose in Homo sapiens."] * 3)
     freq = spark.createDataFrame([("alpha", 10)], "word string, rank long")

@@ -347,6 +347,13 @@ def test_genes_keep_digits_at_their_ends(spark):
     assert _science(spark, "TP53 BRCA1 BRCA2 TP53", "gene") == {"tp53": 2, "brca1": 1, "brca2": 1}
 
 
+def test_references_without_a_semicolon_stay(spark):
+    """Text cut inside a reference is not decoded, as in SQL; whole references are, and scripts are left alone."""
+    html = "<body><p>one&amp;&amp</p><p>two &ampx; &copy; &#65; & &lt</p><script>a && b &amp;</script></body>"
+    nodes = H.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")).filter("kind = 'text'")
+    assert [r.text for r in nodes.orderBy("node_ord").collect()] == ["one&&amp", "two &ampx; \u00a9 A & &lt", "a && b &amp;"]
+
+
 def test_partition_count_does_not_matter(spark):
     paras = _paras(spark, *["alpha beta gamma delta alpha beta. Alpha beta. TNF rose in Homo sapiens."] * 3)
     freq = spark.createDataFrame([("alpha", 10)], "word string, rank long")

@@ -354,6 +354,15 @@ def test_references_without_a_semicolon_stay(spark):
     assert [r.text for r in nodes.orderBy("node_ord").collect()] == ["one&&amp", "two &ampx; \u00a9 A & &lt", "a && b &amp;"]
 
 
+def test_page_keywords_keep_digits_at_their_ends(spark, tmp_path):
+    words = " ".join(["word"] * 30)
+    html = f"<html><body><article><p>{words} Xy77 Mg1 Ab2 and more</p></article></body></html>"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.term for r in catalog.page_keywords(spark, str(tmp_path)).filter("page_id = 1").collect()}
+    assert {"xy77", "mg1", "ab2"} <= got and not {"mg", "ab"} & got
+
+
 def test_partition_count_does_not_matter(spark):
     paras = _paras(spark, *["alpha beta gamma delta alpha beta. Alpha beta. TNF rose in Homo sapiens."] * 3)
     freq = spark.createDataFrame([("alpha", 10)], "word string, rank long")

@@ -189,6 +189,19 @@ def test_spans(text, terms, want):
     assert spans.marked_text(text, found, "", "") == text
 
 
+def test_seeds_against_their_pattern():
+    """At every place, also where terms begin alike, hold marks, or are no words."""
+    rng = random.Random(4)
+    terms = ["the", "there", "in in", "u.s.", "u.s", "il-6", "il", "tnf-α", "tnf", "a", "mc", "-6", "'s", "é", "x\tx", "paris", "x", "k", "ab_c", "that's", "", ".", "s."]
+    words = ["The", "There", "PARIS", "Paris's", "U.S.", "u.s", "IL-6", "il", "TNF-α", "in in", "x\tx", "\u212a", "Ab_c", "that's", "É", "x’s", "x'S,", "(a)", "[mc]"]
+    for _ in range(1500):
+        text = "".join(rng.choice(words) + rng.choice((" ", "  ", "\n", ". ", ", ", "", "-", "'s ", "\x1c", "\xa0")) for _ in range(rng.randrange(12)))
+        some = rng.sample(terms, rng.randrange(1, 8))
+        pattern = spans.seed_pattern(some)
+        want = [(m.start(), m.end()) for at in range(len(text) + 1) if (m := pattern.match(text, at))]
+        assert spans.seeds(text, some) == want, (text, some)
+
+
 def test_spans_look_back_over_any_gap():
     gap = " " * 300
     assert not spans.opens_sentence(f"He met{gap}Smith", 306) and spans.opens_sentence(f"He left.{gap}Smith", 308)

@@ -17,7 +17,7 @@ from lexiflow.functions import scores as S
 from lexiflow.functions import text as T
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import matching, spans, tagging
+from lexiflow.operators import matching, spans, tagging, terms
 from lexiflow.operators import words as W
 from lexiflow.plans import catalog
 from lexiflow.plans import sql as Q
@@ -202,6 +202,19 @@ def test_seeds_against_their_pattern():
         assert spans.seeds(text, some) == want, (text, some)
 
 
+def test_document_terms_by_plain_patterns():
+    """Counts, places and sources of a document against one pattern a rule; lower case letter by letter, as in SQL."""
+    stops = frozenset(("the", "in"))
+    paras = [(0, "The U.S. team met RNA's. Team spirit; vin\u0130RNA's Homo sapiens"), (2, "il-6 and TP53 rose. The team, NASA team")]
+    rows = {t: (n, first, sources) for t, n, first, sources in terms.Reader(stops, ()).read(paras, ["maria lopez"], None)}
+    assert rows["team"] == (3, 2, terms.COUNTED | terms.WORD)
+    assert rows["u.s."] == (1, 1, terms.COUNTED | terms.ACRONYM)
+    assert rows["rna"][0] == 1 and rows["rna"][2] & terms.ACRONYM and rows["rna"][2] & terms.SCIENCE
+    assert rows["homo sapiens"] == (1, None, terms.SCIENCE) and rows["maria lopez"] == (1, None, terms.ENTITY)
+    assert rows["nasa"][2] & terms.ACRONYM and "the" not in rows
+    assert rows["tp53"][2] == terms.SCIENCE and rows["il-"][1] == 2 << 32
+
+
 def test_spans_look_back_over_any_gap():
     gap = " " * 300
     assert not spans.opens_sentence(f"He met{gap}Smith", 306) and spans.opens_sentence(f"He left.{gap}Smith", 308)

@@ -35,6 +35,8 @@ from lexiflow.llm.common import cut, mix, scratch
 from lexiflow.llm.tokens import encoder, ship
 
 WINDOW, CLOSE, PAD, KEY, SHARD_SEQUENCES, ROUNDS = 2048, 1, 0, 20_240_229, 4096, 6
+#: Cached words per worker: two passes meet every word, and nothing else needs memory here, so more than ``tokens`` keeps.
+CACHE_WORDS = 2_000_000
 #: Tasks that write shards, at most.
 MAX_TASKS = 20_000
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())])
@@ -131,7 +133,7 @@ def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_seq
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            n += int(encoder(shipped).counts(batch.column(1)).sum()) + batch.num_rows
+            n += int(encoder(shipped, CACHE_WORDS).counts(batch.column(1)).sum()) + batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["part", "ids"])
 
     counts = {r.part: r.ids for r in rows.mapInArrow(count, "part long, ids long").collect()}
@@ -162,7 +164,7 @@ def _materialise(docs, path, tokenizer, id_col, text_col, window, key, shard_seq
 
         for batch in batches:
             doc_ids, out = batch.column(0).to_pylist(), []
-            for row, ids, offsets in encoder(shipped).encode(batch.column(1)):
+            for row, ids, offsets in encoder(shipped, CACHE_WORDS).encode(batch.column(1)):
                 if not wide and len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("ids of this vocabulary need wide=True")
                 closed = np.insert(ids, offsets[1:], CLOSE)

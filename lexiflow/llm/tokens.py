@@ -197,7 +197,7 @@ class WordTokenizer:
             yield row, ids, np.concatenate([[0], ends])[first]
 
 
-_encoders: dict[str, WordTokenizer] = {}
+_encoders: dict[tuple[str, int], WordTokenizer] = {}
 
 #: A shipped tokenizer: its digest and its JSON, some megabytes whatever the input.
 Shipped = tuple[str, Broadcast]
@@ -209,9 +209,9 @@ def ship(spark: SparkSession, path: str | None = None) -> Shipped:
     return hashlib.sha256(text.encode()).hexdigest(), spark.sparkContext.broadcast(text)
 
 
-def encoder(shipped: Shipped) -> WordTokenizer:
-    """One for each worker process: later tasks and passes find the words of earlier ones."""
+def encoder(shipped: Shipped, cache_words: int = CACHE_WORDS) -> WordTokenizer:
+    """One for each worker process and size of cache: later tasks and passes find the words of earlier ones."""
     key, text = shipped
-    if key not in _encoders:
-        _encoders[key] = WordTokenizer(text.value)
-    return _encoders[key]
+    if (key, cache_words) not in _encoders:
+        _encoders[key, cache_words] = WordTokenizer(text.value, cache_words)
+    return _encoders[key, cache_words]

@@ -771,3 +771,14 @@ def test_many_matches_and_lines_in_one_text(spark):
     rows = {r.doc_id: r for r in linededup.dedup_lines(df).select("doc_id", "_n_dropped", F.length("text").alias("n")).collect()}
     assert [(rows[i]._n_dropped, rows[i].n) for i in range(3)] == [(100_000, 0), (100_000, 0), (0, len(lines))]
     assert time.time() - began < 120
+
+
+def test_token_output_keeps_more_words_than_other_operators(spark):
+    """An encoder of its own, with a larger cache; a cache of any size gives the same ids."""
+    from lexiflow.llm import tokenout, tokens
+
+    shipped = tokens.ship(spark)
+    large, small = tokens.encoder(shipped, tokenout.CACHE_WORDS), tokens.encoder(shipped, 3)
+    assert tokens.encoder(shipped, 3) is small is not large and large.index.mask > tokens.encoder(shipped).index.mask
+    column = pa.array(["one two three four, five", "six one two", None, ""])
+    assert large.counts(column).tolist() == small.counts(column).tolist() == small.counts(column).tolist()

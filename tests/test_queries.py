@@ -215,6 +215,13 @@ def test_document_terms_by_plain_patterns():
     assert rows["tp53"][2] == terms.SCIENCE and rows["il-"][1] == 2 << 32
 
 
+def test_top_terms_by_letters_as_in_sql(spark):
+    """A capital I with a dot is one ASCII letter in lower case, so that no boundary lies behind it."""
+    scored = spark.createDataFrame([(1, "rna", 2.0, 1), (1, "il-6", 1.0, 2)], "doc_id long, term string, score double, rank long")
+    rows = K.paragraph_top_terms(_paras(spark, "vin\u0130RNA il-6", "RNA, IL-6"), scored, 100).collect()
+    assert {(r.para_idx, r.term, r["rank"]) for r in rows} == {(0, "il-6", 1), (1, "rna", 1), (1, "il-6", 2)}
+
+
 def test_spans_look_back_over_any_gap():
     gap = " " * 300
     assert not spans.opens_sentence(f"He met{gap}Smith", 306) and spans.opens_sentence(f"He left.{gap}Smith", 308)

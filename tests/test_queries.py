@@ -380,6 +380,35 @@ def test_genes_keep_digits_at_their_ends(spark):
     assert _science(spark, "TP53 BRCA1 BRCA2 TP53", "gene") == {"tp53": 2, "brca1": 1, "brca2": 1}
 
 
+#: Final sigmas, a capital I with a dot, a long s, a Kelvin sign, vertical tabs and other white space.
+ODD = (
+    "Both IL-\u039f\u0394\u039f\u03a39 and TNF-A\u03a31 rose, TNF-\u03a3 fell.",
+    "The protea\u017fe, a \u212ainase and \u017fkinase cut it; abca\u017fe\u017fkinase in \u0130stanbul did not.",
+    "Then Homo\x0bsapiens, Homo\tsapiens and E.\x0bcoli met AB\x0bCD and XY\x0b here. New\x0bYork.\x0bNew names \u2028\n\x0bWide open.",
+)
+
+
+def _odd_rows_equal_sql(spark, tmp_path, name):
+    rows = [(i, text, "en") for i, text in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = " ".join(["word"] * 29)
+    pages = [(i, f"<html><body><article><p>\n{words}</p><p>{words} {text}\x0b</p><p>{words}\u3000</p></article></body></html>") for i, text in enumerate(ODD)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    found = con.execute(catalog.oracle_sql()[name])
+    names = [x[0] for x in found.description]
+    want = sorted(tuple(map(str, r)) for r in found.fetchall())
+    assert want and sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == want
+
+
+def test_genes_of_odd_rows(spark, tmp_path):
+    _odd_rows_equal_sql(spark, tmp_path, "genes")
+    assert _science(spark, ODD[0], "gene") == {"il-\u03bf\u03b4\u03bf\u03c39": 1, "tnf-a\u03c31": 1, "tnf": 1}
+
+
 def test_references_without_a_semicolon_stay(spark):
     """Text cut inside a reference is not decoded, as in SQL; whole references are, and scripts are left alone."""
     html = "<body><p>one&amp;&amp</p><p>two &ampx; &copy; &#65; & &lt</p><script>a && b &amp;</script></body>"

@@ -409,6 +409,12 @@ def test_genes_of_odd_rows(spark, tmp_path):
     assert _science(spark, ODD[0], "gene") == {"il-\u03bf\u03b4\u03bf\u03c39": 1, "tnf-a\u03c31": 1, "tnf": 1}
 
 
+def test_science_terms_of_odd_rows(spark, tmp_path):
+    _odd_rows_equal_sql(spark, tmp_path, "science_terms")
+    assert _science(spark, ODD[1], "suffix") == {"protea\u017fe": 1, "kinase": 1, "abca\u017fe\u017fkinase": 1}
+    assert _science(spark, ODD[2], "binomial") == {"homo\tsapiens": 1, "new names": 1, "wide open": 1}
+
+
 def test_references_without_a_semicolon_stay(spark):
     """Text cut inside a reference is not decoded, as in SQL; whole references are, and scripts are left alone."""
     html = "<body><p>one&amp;&amp</p><p>two &ampx; &copy; &#65; & &lt</p><script>a && b &amp;</script></body>"

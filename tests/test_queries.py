@@ -420,6 +420,11 @@ def test_tokens_of_odd_rows(spark, tmp_path, name):
     _odd_rows_equal_sql(spark, tmp_path, name)
 
 
+@pytest.mark.parametrize("name", ["page_keywords", "page_body_paragraphs", "keyword_scores"])
+def test_page_terms_of_odd_rows(spark, tmp_path, name):
+    _odd_rows_equal_sql(spark, tmp_path, name)
+
+
 def test_references_without_a_semicolon_stay(spark):
     """Text cut inside a reference is not decoded, as in SQL; whole references are, and scripts are left alone."""
     html = "<body><p>one&amp;&amp</p><p>two &ampx; &copy; &#65; & &lt</p><script>a && b &amp;</script></body>"

@@ -1,0 +1,87 @@
+"""Terms and phrase spans of whole pages: a page is parsed once for its terms and once for its spans.
+
+The rules are those of the filters in ``sources.html`` and of the operators over their rows, which stay for other uses.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexiflow.functions import values as V
+from lexiflow.operators import matching, spans, tagging
+from lexiflow.operators import terms as O
+from lexiflow.sources import html as H
+
+_ROWS, _SLICE = 50_000, 64
+_ENTITY = re.compile(tagging.ENTITY)
+_SPANS = {"page_id": pa.int64(), "block_ord": pa.int64(), "node_ord": pa.int64(), "start": pa.int64(), "end": pa.int64(), "phrase": pa.string()}
+
+
+def by_page(pages: DataFrame) -> DataFrame:
+    """(page_id, htmls): rows of one page as one, which are read as one page."""
+    return pages.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.collect_list("html").alias("htmls"))
+
+
+def page_terms(pages: DataFrame, stops=V.STOP_WORDS, starters=V.STARTERS) -> DataFrame:
+    """(doc_id, term, n, first, sources) of body paragraphs, as ``document_terms`` gives them."""
+    stops, starters = list(stops), list(starters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, out = O.Reader(stops, starters), []
+        for batch in matching.pieces(batches, _SLICE):
+            for page, htmls in matching.read(batch):
+                lines, italics = [], set()
+                for body, terms, _, _ in map(H.parts, htmls):
+                    lines += body
+                    italics |= terms
+                names = {name.lower() for _, text in lines for name in _ENTITY.findall(text)}
+                out += ((page, *row) for row in reader.read(sorted(lines), names, italics)) if lines else ()
+                if len(out) >= _ROWS:
+                    yield matching.batch_of(out, O.KINDS)
+                    out = []
+        if out:
+            yield matching.batch_of(out, O.KINDS)
+
+    return pages.select("page_id", "htmls").mapInArrow(run, O.SCHEMA)
+
+
+def page_spans(pages: DataFrame, scored: DataFrame, percent: float = 50, stops=V.STOP_WORDS) -> DataFrame:
+    """(page_id, block_ord, node_ord, start, end, phrase), as ``node_spans`` gives them over the top terms of bold paragraphs.
+
+    ``pages``: page_id, htmls; ``scored``: page_id, term and rank in the page.
+    """
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    own = scored.groupBy("page_id").agg(ranked.alias("ranked")).select("page_id", F.col("ranked.term").alias("terms"))
+    stop_set = frozenset(stops)
+
+    def rows(htmls: list[str], terms: list[str]) -> Iterator[tuple]:
+        order = {term: i for i, term in enumerate(terms)}
+        blocks, nodes, places, lows = {}, {}, [], []
+        for _, _, bold, text_nodes in map(H.parts, htmls):
+            for place, text, raw in bold:
+                blocks.setdefault(place, (set(), []))[1].append(raw)
+                places.append(place)
+                lows.append(matching.lower(text))
+            for block, *node in text_nodes:
+                nodes.setdefault(block, []).append(node)
+        for place, best in zip(places, matching.best_terms(lows, order, percent), strict=True):
+            blocks[place][0].update(best)
+        for place, (wanted, raws) in blocks.items():
+            if wanted and place in nodes:
+                inside = sorted(nodes[place])
+                for raw in raws:
+                    found = spans.spans_of_nodes([(text, offset) for _, offset, text in inside], sorted(wanted), stop_set, raw)
+                    yield from ((place, n, s, e, text[s:e]) for (n, _, text), f in zip(inside, found, strict=True) for s, e in f)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in matching.pieces(batches, _SLICE):
+            found = [(page, *row) for page, htmls, terms in matching.read(batch) for row in rows(htmls, terms)]
+            yield matching.batch_of(found, _SPANS)
+
+    schema = "page_id long, block_ord long, node_ord long, start long, end long, phrase string"
+    return pages.join(own, "page_id").select("page_id", "htmls", "terms").mapInArrow(run, schema)

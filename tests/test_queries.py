@@ -425,6 +425,27 @@ def test_page_terms_of_odd_rows(spark, tmp_path, name):
     _odd_rows_equal_sql(spark, tmp_path, name)
 
 
+def test_page_spans_by_two_readings_of_a_page(spark, tmp_path):
+    """Terms and spans in one pass over a page each give what the operators over its nodes give; rows of one page are one page."""
+    spark.createDataFrame([(1, " ".join(ODD), "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = "The people of Africa met Maria Lopez in New York and the groups of Homo sapiens there, " * 2
+    html = "<nav><p>{0} in nav</p></nav><main><p>\n{1}{0}</p><div>{0} Africa</div><p>{1}(see <i>Homo erectus</i>, Lopez 2012) <em>\u00a0Sapiens </em>{0}</p><aside><p>{1}</p></aside></main>"
+    rows = [(i % 3, html.format(ODD[i % 3], words[i:])) for i in range(4)] + [(None, html), (7, None), (8, "<p>short Africa</p>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    d = str(tmp_path)
+    nodes, freq = catalog._nodes(spark, d), catalog._freq(spark, d)
+    body, italics = catalog._as_paras(H.body_paragraphs(nodes)), H.italic_terms(nodes).withColumnRenamed("page_id", "doc_id")
+    scored = K.keyword_scores(body, freq, B.vocabulary(freq), tagging.entities(body), italics)
+    top = K.paragraph_top_terms(catalog._as_paras(H.bold_paragraphs(nodes)), scored).select(F.col("doc_id").alias("page_id"), F.col("para_idx").alias("block_ord"), "term")
+    plain = spans.node_spans(H.readable_text(nodes), H.bold_paragraphs(nodes), top)
+    found = catalog.page_bold_spans(spark, d)
+    want = sorted(map(tuple, plain.collect()))
+    assert {r[0] for r in want} == {-1, 0, 1, 2} and sorted(map(tuple, found.collect())) == want
+    assert sorted(map(tuple, catalog.page_keywords(spark, d).collect())) == sorted(map(tuple, scored.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("MapInArrow.*phrase|MapInArrow.*sources", plan)) == 2 and "MapInPandas" not in plan
+
+
 def test_references_without_a_semicolon_stay(spark):
     """Text cut inside a reference is not decoded, as in SQL; whole references are, and scripts are left alone."""
     html = "<body><p>one&amp;&amp</p><p>two &ampx; &copy; &#65; & &lt</p><script>a && b &amp;</script></body>"

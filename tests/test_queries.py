@@ -376,6 +376,21 @@ def test_flags_keep_digits_at_their_ends(spark):
     assert {r.term for r in flags.filter("in_science").collect()} == {"mg12", "ab21"}
 
 
+def test_flags_come_from_one_pass(spark, tmp_path):
+    """Rows without an id are one document; stop words are flagged where a pattern takes them; tokens are not exploded."""
+    rows = [(None, "AS seen by Maria Lopez, BRCA1"), (None, "then TNF"), (1, "by The Of, by Maria The of"), (2, None)]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalog.term_flags(spark, str(tmp_path))
+    found = con.execute(catalog.oracle_sql()["term_flags"])
+    names = [x[0] for x in found.description]
+    want = sorted(tuple(map(str, r)) for r in found.fetchall())
+    assert want and sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == want
+    # Those of entities alone: paragraphs and names.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 2
+
+
 def test_genes_keep_digits_at_their_ends(spark):
     assert _science(spark, "TP53 BRCA1 BRCA2 TP53", "gene") == {"tp53": 2, "brca1": 1, "brca2": 1}
 

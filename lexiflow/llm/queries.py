@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import linededup, media, mixing, neardup, packing, quality, secrets, sql, tokenout, toxicity, urlfilter
+from lexiflow.llm import hardneg, linededup, media, mixing, neardup, packing, quality, secrets, sql, tokenout, toxicity, urlfilter
 from lexiflow.llm.common import Tables
 
 
@@ -76,8 +76,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+_QUERIES = (
+    op1_secrets, op2_neardup, op3_urls, op4_toxicity, op5_lines, op6_quality, op7_token_output, op8_packing, op9_mixing, op10_media, op12_hard_negatives,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_neardup, op3_urls, op4_toxicity, op5_lines, op6_quality, op7_token_output, op8_packing, op9_mixing, op10_media)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _OP5 = r"""
@@ -119,4 +129,4 @@ FROM sized s JOIN wants w ON s.source IS NOT DISTINCT FROM w.source JOIN edges e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": sql.op1(), "op2_neardup": sql.op2(), "op3_urls": sql.op3(), "op5_lines": _OP5, "op6_quality": sql.op6(), "op9_mixing": _OP9}
+    return {"op1_secrets": sql.op1(), "op2_neardup": sql.op2(), "op3_urls": sql.op3(), "op5_lines": _OP5, "op6_quality": sql.op6(), "op9_mixing": _OP9, "op12_hard_negatives": sql.OP12}

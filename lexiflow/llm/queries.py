@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import hardneg, linededup, media, mixing, neardup, packing, quality, secrets, sql, tokenout, toxicity, urlfilter
+from lexiflow.llm import hardneg, linededup, media, mixing, neardup, packing, quality, resample, secrets, sql, tokenout, toxicity, urlfilter
 from lexiflow.llm.common import Tables
 
 
@@ -81,8 +81,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text")
+    return resample.resample(docs, target)
+
+
 _QUERIES = (
     op1_secrets, op2_neardup, op3_urls, op4_toxicity, op5_lines, op6_quality, op7_token_output, op8_packing, op9_mixing, op10_media, op12_hard_negatives,
+    op13_resampling,
 )
 
 
@@ -129,4 +135,4 @@ FROM sized s JOIN wants w ON s.source IS NOT DISTINCT FROM w.source JOIN edges e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": sql.op1(), "op2_neardup": sql.op2(), "op3_urls": sql.op3(), "op5_lines": _OP5, "op6_quality": sql.op6(), "op9_mixing": _OP9, "op12_hard_negatives": sql.OP12}
+    return {"op1_secrets": sql.op1(), "op2_neardup": sql.op2(), "op3_urls": sql.op3(), "op5_lines": _OP5, "op6_quality": sql.op6(), "op9_mixing": _OP9, "op12_hard_negatives": sql.OP12, "op13_resampling": sql.OP13}

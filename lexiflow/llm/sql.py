@@ -141,3 +141,27 @@ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positi
 FROM positives JOIN scored USING (anchor_id)
 WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
 """
+
+
+_FEATURES = r"""SELECT {0} AS r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature
+  FROM (SELECT {0}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {1})"""
+#: A string's crc32, a byte at a time over its hexadecimal form; t.crc has the change by each byte.
+_CRC = """xor(4294967295, list_reduce(list_transform(range(0, strlen(feature)), lambda j: ('0x' || substr(hex(encode(feature)), 2 * j + 1, 2))::BIGINT),
+  lambda a, b: xor(t.crc[xor(a, b) % 256 + 1], a // 256), 4294967295))"""
+OP13 = f"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i)) AS crc),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+own AS (SELECT r, feature, count(*)::BIGINT AS n FROM ({_FEATURES.format('r', 'd')}) GROUP BY ALL),
+wanted AS (SELECT feature, count(*)::BIGINT AS n FROM ({_FEATURES.format('1', 'benchmark')}) GROUP BY feature),
+known AS (SELECT feature, {_CRC} % 10000 AS bucket FROM (SELECT feature FROM own UNION SELECT feature FROM wanted), t),
+s AS (SELECT bucket, sum(n) AS n FROM own JOIN known USING (feature) GROUP BY bucket), b AS (SELECT bucket, sum(n) AS n FROM wanted JOIN known USING (feature) GROUP BY bucket),
+totals AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM b), 0)::DOUBLE AS t),
+gains AS (SELECT bucket, floor(1000 * ln(((coalesce(b.n, 0) + 1)::DOUBLE * (totals.s + 10000)) / ((coalesce(s.n, 0) + 1)::DOUBLE * (totals.t + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN b USING (bucket), totals),
+sums AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS total FROM own JOIN known USING (feature) JOIN gains USING (bucket) GROUP BY r),
+weights AS (SELECT d.r, doc_id, coalesce(n_features, 0)::BIGINT AS n_features, ((coalesce(total, 0) - ((coalesce(total, 0) % n) + n) % n) // n)::BIGINT AS weight
+  FROM (SELECT *, greatest(coalesce(n_features, 1), 1)::HUGEINT AS n FROM d LEFT JOIN sums USING (r)) d),
+scores AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM weights),
+fit AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST, n_features, weight)::BIGINT AS rank, count(*) OVER () AS n FROM scores WHERE n_features >= 39)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scores LEFT JOIN fit USING (r)
+"""

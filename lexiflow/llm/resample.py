@@ -4,7 +4,8 @@ Features are words and pairs of neighbouring words, as strings.
 
 1. Each task counts the features of its texts, some MB at a time: words become places in a dictionary of these texts, pairs are
    pairs of places, so only different features are made into strings, once each, and leave the task with their counts.
-2. Spark sums counts by string: the corpus's dictionary.  Each string is hashed there once, and buckets sum its counts.
+2. Parts of the strings' space, so many that each stays small, sum counts by string: the corpus's dictionary.  Each string is
+   hashed there once, and buckets sum its counts.
 3. A bucket's gain says how much likelier the target makes it than the corpus.  Gains (``buckets`` numbers, whatever the
    corpus's size) are broadcast and join the different features of a task's texts by their bucket; a document's weight is the
    mean over its own features.  A shuffle of every (document, feature) would be some times as large as the corpus.
@@ -33,7 +34,7 @@ from lexiflow.llm.common import Tables
 
 BUCKETS, PERCENT, LEAST_WORDS, SEED = 10_000, 25, 20, "7:"
 COLUMNS = ["doc_id", "n_features", "weight", "score", "rank"]
-_CHUNK_BYTES, _LONG, _ROWS = 1 << 24, 64, 1 << 19
+_CHUNK_BYTES, _PART_BYTES, _LONG = 1 << 23, 1 << 24, 64
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _SIGNS = np.uint32(0xFFFFFFFF)
@@ -92,7 +93,11 @@ class _Features:
         places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(places), pa.py_buffer(data[inside]))
         encoded = words.dictionary_encode()
-        self.words, self.code = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # Words in order, so that neighbouring strings are alike and compress well.
+        order = pc.sort_indices(encoded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.words, self.code = encoded.dictionary.take(pa.array(order)), place[encoded.indices.to_numpy(zero_copy_only=False)]
         apart = np.ones(max(len(sizes) - 1, 0), bool)
         inner = self.first[1:-1]
         apart[inner[(inner > 0) & (inner < len(sizes))] - 1] = False
@@ -103,20 +108,35 @@ class _Features:
         """Words of each text."""
         return np.diff(self.first)
 
-    def dictionary(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """(strings, counts) of the different features."""
-        yield self.words, np.bincount(self.code, minlength=len(self.words))
+    def blocks(self, parts: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+        """The different features with their counts, dealt to ``parts`` by a hash: (part, features, bytes, strings, counts), compressed."""
+        data, starts, sizes = self._word_bytes()
+        state = crc_states(data, starts, sizes, np.full(len(sizes), _SIGNS)).astype(np.uint64)
+        used = np.bincount(self.code, minlength=len(self.words))
         pairs, n = np.unique(self.keys, return_counts=True)
-        for at in range(0, len(pairs), _ROWS):
-            part = pairs[at : at + _ROWS]
-            one, two = (self.words.take(pa.array(x)) for x in (part >> 32, part & 0xFFFFFFFF))
-            yield pc.binary_join_element_wise(one, two, pa.scalar(" ", pa.large_string())), n[at : at + _ROWS]
+        one, two = pairs >> 32, pairs & 0xFFFFFFFF
+        of_word = (common.mix(state) % np.uint64(parts)).astype(np.int64)
+        of_pair = (common.mix(state[one] << np.uint64(32) | state[two]) % np.uint64(parts)).astype(np.int64)
+        words, in_part = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
+        word_end, pair_end = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=parts))]) for x in (of_word, of_pair))
+        for part in range(parts):
+            w, p = words[word_end[part] : word_end[part + 1]], in_part[pair_end[part] : pair_end[part + 1]]
+            if not len(w) + len(p):
+                continue
+            first, second = (self.words.take(pa.array(x[p])) for x in (one, two))
+            joined = pc.binary_join_element_wise(first, second, pa.scalar(" ", pa.large_string()))
+            strings = pa.concat_arrays([self.words.take(pa.array(w)), joined])
+            raw = pc.binary_join(pa.ListArray.from_arrays([0, len(strings)], strings), pa.scalar("\n", strings.type))[0].as_buffer()
+            counts = np.concatenate([used[w], n[p]]).tobytes()
+            yield part, len(strings), raw.size, pa.compress(raw, "zstd", asbytes=True), pa.compress(counts, "zstd", asbytes=True)
+
+    def _word_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(self.words.buffers()[1], np.int64)[self.words.offset : self.words.offset + len(self.words) + 1]
+        return np.frombuffer(self.words.buffers()[2] or b"", np.uint8), offsets[:-1], np.diff(offsets)
 
     def sums(self, gains: np.ndarray) -> np.ndarray:
         """Each text's sum of gains over its features; different features are hashed once."""
-        offsets = np.frombuffer(self.words.buffers()[1], np.int64)[self.words.offset : self.words.offset + len(self.words) + 1]
-        data = np.frombuffer(self.words.buffers()[2] or b"", np.uint8)
-        starts, sizes = offsets[:-1], np.diff(offsets)
+        data, starts, sizes = self._word_bytes()
         state = crc_states(data, starts, sizes, np.full(len(sizes), _SIGNS))
         gain = lambda s: gains[(s ^ _SIGNS).astype(np.int64) % len(gains)]
         pairs, place = np.unique(self.keys, return_inverse=True)
@@ -154,15 +174,30 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
 
 
 def dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(feature, n): every different feature of all texts with its count."""
+    """(feature, n): every different feature of all texts with its count.
+
+    Features travel by the thousand, compressed, to the part that a hash of the string gives; a part has about ``_PART_BYTES`` of
+    text, however much there is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for column in _gathered(batches):
-            for strings, n in _Features(column).dictionary():
-                yield pa.RecordBatch.from_arrays([strings.cast(pa.string()), pa.array(n, pa.int64())], ["feature", "n"])
+            for block in _Features(column).blocks(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in block], ["part", "n", "size", "strings", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        strings, counts = [], []
+        for n, size, packed, packed_counts in zip(*(table.column(c).to_pylist() for c in ("n", "size", "strings", "counts")), strict=True):
+            whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int64)), pa.decompress(packed, size, "zstd"))
+            strings.append(pc.split_pattern(whole, "\n").flatten())
+            counts.append(pa.array(np.frombuffer(pa.decompress(packed_counts, 8 * n, "zstd"), np.int64)))
+        summed = pa.table({"feature": pa.chunked_array(strings), "n": pa.chunked_array(counts)}).group_by("feature").aggregate([("n", "sum")])
+        return pa.table({"feature": summed.column("feature").cast(pa.string()), "n": summed.column("n_sum")})
 
     own = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    parts = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _PART_BYTES))
+    blocks = own.mapInArrow(run, "part long, n long, size long, strings binary, counts binary")
+    return blocks.groupBy("part").applyInArrow(merge, "feature string, n long")
 
 
 def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -176,8 +211,9 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, text_col:
     corpus = bucket_counts(dictionary(docs, text_col), buckets).withColumnRenamed("n", "s")
     wanted = bucket_counts(dictionary(target, target_col), buckets).withColumnRenamed("n", "t")
     counts = np.zeros((2, buckets), np.int64)
-    for bucket, s, t in corpus.join(wanted, "bucket", "full").collect():
-        counts[:, bucket] = s or 0, t or 0
+    with common.settings(docs.sparkSession):
+        for bucket, s, t in corpus.join(wanted, "bucket", "full").collect():
+            counts[:, bucket] = s or 0, t or 0
     (s, t), (all_s, all_t) = counts.astype(float), counts.sum(1).astype(float)
     return np.floor(1000 * np.log((t + 1) * (all_s + buckets) / ((s + 1) * (all_t + buckets)))).astype(np.int64)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import hardneg, linededup, media, mixing, neardup, packing, quality, resample, secrets, sql, tokenout, toxicity, urlfilter
+from lexiflow.llm import hardneg, linededup, media, mixing, neardup, packing, pii, quality, resample, secrets, sql, tokenout, toxicity, urlfilter
 from lexiflow.llm.common import Tables
 
 
@@ -76,6 +76,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("_spans")
+    base = F.filter(spans, lambda s: s["base"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    found = pii.scan(docs, pii.fit(pii.label(pii.sample(docs))))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.mine(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
@@ -87,8 +96,8 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    op1_secrets, op2_neardup, op3_urls, op4_toxicity, op5_lines, op6_quality, op7_token_output, op8_packing, op9_mixing, op10_media, op12_hard_negatives,
-    op13_resampling,
+    op1_secrets, op2_neardup, op3_urls, op4_toxicity, op5_lines, op6_quality, op7_token_output, op8_packing, op9_mixing, op10_media, op11_pii,
+    op12_hard_negatives, op13_resampling,
 )
 
 

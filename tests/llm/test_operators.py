@@ -31,6 +31,11 @@ EDGE = [
     (13, "Quite other words under the very same number", "de", "c"), (None, "a line that many documents share.", None, None),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
+#: Anchors 0, 100 and 200; ties, repeated rows, nulls, components that are no numbers, and the label that becomes another.
+VECTORS = [
+    (0, [1.0, 0.5], 1), (100, [0.5, 1.0], 1), (200, [0.0, 0.0], 2), *((i, [0.5, 0.25], 1 + i % 3) for i in range(1, 40)), (3, [0.5, 0.25], 1), (3, [0.5, 0.25], 1),
+    (50, None, 1), (51, [1.0, None], 1), (52, [float("nan"), 1.0], 1), (53, [float("inf"), 1.0], 1), (54, [1.0, 1.0], None), (None, [1.0, 1.0], 1), (300, [-1.0, -1.0], 7),
+]
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +55,10 @@ def tables(spark, docs, tmp_path_factory):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         urls = [(1, "http://a.b.net/x"), (2, None), (3, "nohost"), (None, "HTTPS://X.ORG/fr/1?q#z"), (1, "http://a.b.net/x")] if name == "edge" else []
         spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{d}/pages.parquet")
+        vectors = VECTORS if name == "edge" else []
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumn("vec", F.lit(1)).write.parquet(f"{d}/embeddings.parquet")
+        items = [(1, "One TWO three"), (2, None), (2, ""), (None, "one two é9")] if name == "edge" else []
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
         out[name] = d
     return out
 
@@ -60,6 +69,8 @@ def test_edge_rows(spark, tables, name, kind):
     rows = queries.queries()[name](spark, tables[kind]).collect()
     if kind == "empty":
         assert rows == []
+    elif name == "op12_hard_negatives":
+        assert {r.anchor_id for r in rows} <= {0, 100, 200} and rows
     elif name not in ("op3_urls", "op7_token_output", "op8_packing"):
         assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in EDGE)
     if kind == "edge" and name in ("op7_token_output", "op8_packing"):
@@ -434,7 +445,8 @@ def test_equals_sql(spark, tables, name):
     for d, path in (("/root/testdata/sf0.01", "/root/testdata/sf0.01/documents.parquet"), (tables["edge"], f"{tables['edge']}/documents.parquet/*.parquet")):
         con = duckdb.connect()
         con.execute(f"create view documents as select * from '{path}'")
-        con.execute(f"create view pages as select * from '{path.replace('documents', 'pages')}'")
+        for other in ("pages", "embeddings", "benchmark"):
+            con.execute(f"create view {other} as select * from '{path.replace('documents', other)}'")
         found = con.execute(queries.oracle_sql()[name])
         names = [x[0] for x in found.description]
         df = queries.queries()[name](spark, d)

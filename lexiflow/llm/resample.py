@@ -34,7 +34,7 @@ from lexiflow.llm.common import Tables
 
 BUCKETS, PERCENT, LEAST_WORDS, SEED = 10_000, 25, 20, "7:"
 COLUMNS = ["doc_id", "n_features", "weight", "score", "rank"]
-_CHUNK_BYTES, _PART_BYTES, _LONG = 1 << 23, 1 << 24, 64
+_CHUNK_BYTES, _PART_BYTES, _LONG = 1 << 23, 1 << 23, 64
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _SIGNS = np.uint32(0xFFFFFFFF)
@@ -197,7 +197,7 @@ def dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     own = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _PART_BYTES))
     blocks = own.mapInArrow(run, "part long, n long, size long, strings binary, counts binary")
-    return blocks.groupBy("part").applyInArrow(merge, "feature string, n long")
+    return blocks.repartition(parts, "part").groupBy("part").applyInArrow(merge, "feature string, n long")
 
 
 def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> DataFrame:

@@ -14,28 +14,26 @@ EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))
 #: For the same patterns in an engine whose \b is ASCII.
 WORD = r"\b[A-Za-z][A-Za-z'-]*\b"
 DOTTED = r"^([a-zA-Z]\.)+[a-zA-Z]?$"
-#: White space as SQL has it: Java's \s and Python's hold the vertical tab, too.
-SPACE = r"[ \t\n\f\r]"
+#: White space as ECMAScript has it, for classes; neither Java's \s nor Python's nor SQL's is this set.
+BLANKS = " \t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE, NO_SPACE = f"[{BLANKS}]", f"[^{BLANKS}]"
 
 
-def folded(pattern: str) -> str:
-    """``pattern`` with SQL's white space and, where it leaves case aside, the long s and the Kelvin sign, which are letters to SQL then."""
-    if pattern.startswith("(?i)"):
-        pattern = re.sub("a-zA-Z|(?<!\\\\)[sk](?![-?])", lambda m: {"s": "[s\u017f]", "k": "[k\u212a]"}.get(m[0], "a-zA-Z\u017f\u212a"), pattern)
-    return pattern.replace(r"\s", SPACE)
+def spelled(pattern: str) -> str:
+    """``pattern`` with its white space spelled out, inside classes and outside."""
+    out, inside = [], False
+    for part in re.findall(r"\\.|.", pattern, re.S):
+        inside = part == "[" or (inside and part != "]")
+        out.append({r"\s": BLANKS if inside else SPACE, r"\S": NO_SPACE}.get(part, part))
+    return "".join(out)
 
 
 def spark_pattern(pattern: str) -> str:
-    return pattern.replace(r"\b", EDGE)
-
-
-def lower(c: Column) -> Column:
-    """Letter by letter, as SQL does: no final sigma, and a capital I with a dot is one letter."""
-    return F.lower(F.translate(c, "\u0130\u03a3", "i\u03c3"))
+    return spelled(pattern).replace(r"\b", EDGE)
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, " ﻿", "  "), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def tokens(c: Column) -> Column:
@@ -43,7 +41,7 @@ def tokens(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def find_all(c: Column, pattern: str) -> Column:
@@ -82,25 +80,7 @@ def escape_html(c: Column) -> Column:
 
 def word_pieces(c: Column) -> Column:
     """Words and the white space between them; joined they are the text."""
-    return F.regexp_extract_all(c, F.lit(r"\S+|\s+"), F.lit(0))
-
-
-def all_stop_tokens(phrase: Column, stops: list[str]) -> Column:
-    clean = lambda t: F.regexp_replace(F.lower(t), "[^a-z'-]", "")
-    return F.forall(F.split(F.trim(phrase), f"{SPACE}+"), lambda t: ~is_dotted(t) & clean(t).isin(stops))
-
-
-def has_content_token(phrase: Column, stops: list[str]) -> Column:
-    clean = lambda t: F.regexp_replace(F.lower(t), "[^a-z'-]", "")
-    return F.exists(F.split(F.trim(phrase), f"{SPACE}+"), lambda t: is_dotted(t) | ((F.length(clean(t)) >= 2) & ~clean(t).isin(stops)))
-
-
-def false_capital(word: Column, context: Column) -> Column:
-    """Capitalised, not all capitals, and only ever at the start of a sentence of the context."""
-    w = escape_regex(word)
-    starts = F.regexp_count(context, F.concat(F.lit(r"(?:^|[.!?][\s\n]+)"), w))
-    everywhere = F.regexp_count(context, F.concat(F.lit(EDGE), w, F.lit(EDGE)))
-    return word.rlike("^[A-Z]") & ~word.rlike("^[A-Z]+$") & (starts > 0) & (everywhere == starts)
+    return F.regexp_extract_all(c, F.lit(spelled(r"\S+|\s+")), F.lit(0))
 
 
 _MASK, _BREAK = "\u0001", "\u0002"
@@ -108,8 +88,8 @@ _MASK, _BREAK = "\u0001", "\u0002"
 
 def sentences(c: Column) -> Column:
     """Array of sentences: no break after an abbreviation or before a lower-case continuation."""
-    x = F.regexp_replace(collapse(c), rf"(?i)(^|\s)({'|'.join(V.ABBREVIATIONS)})\.", f"$1$2{_MASK}")
-    x = F.regexp_replace(x, r"([.!?])\s+([^a-z\s])", f"$1{_BREAK}$2")
+    x = F.regexp_replace(collapse(c), rf"(?i)(^| )({'|'.join(V.ABBREVIATIONS)})\.", f"$1$2{_MASK}")
+    x = F.regexp_replace(x, "([.!?]) ([^a-z ])", f"$1{_BREAK}$2")
     return F.filter(F.split(F.translate(x, _MASK, "."), _BREAK, -1), lambda s: s != "")
 
 

@@ -54,7 +54,7 @@ def science_terms(texts: DataFrame, names=None) -> DataFrame:
     """(doc_id, kind, term, n) per pattern, lower case."""
     # F.trim itself would take an element's place as the characters to trim.
     bare = lambda t: F.trim(t)
-    found = [F.transform(F.filter(F.transform(T.find_all(F.col("text"), T.folded(p)), bare), _at_least(least)), _tagged(name)) for name, p, least in PATTERNS if names is None or name in names]
+    found = [F.transform(F.filter(F.transform(T.find_all(F.col("text"), p), bare), _at_least(least)), _tagged(name)) for name, p, least in PATTERNS if names is None or name in names]
     out = texts.select("doc_id", F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.kind", "x.term")
     return out.groupBy("doc_id", "kind", "term").agg(F.count("*").alias("n"))
 
@@ -64,7 +64,7 @@ def _at_least(least: int):
 
 
 def _tagged(name: str):
-    return lambda t: F.struct(F.lit(name).alias("kind"), T.lower(t).alias("term"))
+    return lambda t: F.struct(F.lit(name).alias("kind"), F.lower(t).alias("term"))
 
 
 def vocabulary_hits(paras: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -74,14 +74,15 @@ def vocabulary_hits(paras: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def term_flags(
-    paras: DataFrame, vocab: DataFrame, entities: DataFrame | None = None, italics: DataFrame | None = None, texts: DataFrame | None = None, stops=_STOPS
-) -> DataFrame:
+    paras: DataFrame, vocab: DataFrame, entities: DataFrame | None = None, italics: DataFrame | None = None, texts: DataFrame | None = None,
+    stops=_STOPS, ids: DataFrame | None = None,
+) -> DataFrame:
     """(doc_id, term, in_science, in_acronym, in_vocabulary, in_entity, source_rank): one pass over each text.
 
     Science terms are those of the patterns and ``italics``; ``entities`` of stop words alone are left out.  ``texts``: the paragraphs by
     document, where they are at hand.
     """
-    terms = O.document_flags(texts_of(paras) if texts is None else texts, entities, italics, stops)
+    terms = O.document_flags(texts_of(paras) if texts is None else texts, entities, italics, stops, ids)
     terms = terms.join(vocab.select("term").distinct().withColumn("_listed", F.lit(True)), "term", "left")
     has = lambda bit: F.col("sources").bitwiseAND(bit) > 0
     flags = {"in_science": has(O.SCIENCE), "in_acronym": has(O.ACRONYM), "in_vocabulary": has(O.WORD) & F.coalesce("_listed", F.lit(False)), "in_entity": has(O.ENTITY)}
@@ -99,13 +100,13 @@ def score_term(n: Column, weight: Column, rank: Column, science: Column, entity:
 
 def keyword_scores(
     paras: DataFrame, freq: DataFrame, vocab: DataFrame, entities: DataFrame | None = None, italics: DataFrame | None = None,
-    texts: DataFrame | None = None, stops=_STOPS, starters=_STARTERS,
+    texts: DataFrame | None = None, stops=_STOPS, starters=_STARTERS, ids: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, term, n, score, rank): every term of a document, best first; ties by source, first place, term.
 
     Terms that only a set holds are counted in the full text, all of a document's in one pass, 1 if it has none.
     """
-    return scored_terms(O.document_terms(texts_of(paras) if texts is None else texts, entities, italics, stops, starters), freq, vocab)
+    return scored_terms(O.document_terms(texts_of(paras) if texts is None else texts, entities, italics, stops, starters, ids), freq, vocab)
 
 
 def scored_terms(terms: DataFrame, freq: DataFrame, vocab: DataFrame) -> DataFrame:

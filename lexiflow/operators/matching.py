@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.functions import text as T
+
 _WORD = frozenset(ascii_letters + digits + "_")
-_SPACE = frozenset(" \t\n\f\r")
-_SPACES = re.compile("[ \t\n\f\r]+")
-#: What ``str.split`` takes for white space beside these.
-_OTHER_SPACES = re.compile("[\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACES, _BLANK = re.compile(f"{T.SPACE}+"), re.compile(T.SPACE)
+#: What ``str.split`` takes for white space beside these, or does not.
+_OTHER_SPACES = re.compile("[\x1c-\x1f\x85\ufeff]")
 _CAPITALS = re.compile("[A-Z]+")
 _RUN, _CAPITAL_RUN = re.compile("[A-Za-z0-9_]+"), re.compile(r"\b[A-Z]\w*", re.A)
-_GLUE = re.compile(r"[^\w \t\n\f\r](?=\w)", re.A)
+_GLUE = re.compile(rf"[^\w{T.BLANKS}](?=\w)", re.A)
 _TO_RUNS = bytes(b if chr(b) in _WORD else 32 for b in range(256))
 _LONG, _SLICE = 64, 256
 
@@ -42,15 +43,10 @@ def _automaton(terms):
 
 
 def split(text: str) -> list[str]:
-    """Tokens between white space as SQL has it, which is ASCII without the vertical tab; none empty."""
+    """Tokens between white space; none empty."""
     return [t for t in _SPACES.split(text) if t] if _OTHER_SPACES.search(text) else text.split()
 
 
-def lower(text: str) -> str:
-    """Letter by letter, as SQL does: no final sigma, and a capital I with a dot is one letter."""
-    return text.lower() if text.isascii() else text.replace("\u0130", "i").replace("\u03a3", "\u03c3").lower()
-
-
 def _run_bytes(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TO_RUNS).split()
 
@@ -131,7 +127,7 @@ def top_terms(texts: DataFrame, scored: DataFrame, percent: float = 50) -> DataF
         for batch in pieces(batches, _SLICE):
             rows = []
             for doc, places, whole, terms, scores, ranks in read(batch):
-                lows = [lower(text or "") for text in whole]
+                lows = [(text or "").lower() for text in whole]
                 order = {term: (-score, rank) for term, score, rank in zip(terms, scores, ranks, strict=True)}
                 for place, best in zip(places, best_terms(lows, order, percent), strict=True):
                     rows += ((doc, place, term, -order[term][0], i) for i, term in enumerate(best, 1))
@@ -170,7 +166,7 @@ def false_capitals(text: str, tokens: list[str] | None = None) -> list[str]:
     ``tokens``: those of ``split``, where they are at hand.
     """
     tokens = split(text) if tokens is None else tokens
-    opens, openers = text[:1] not in _SPACE, Counter()
+    opens, openers = not _BLANK.match(text), Counter()
     for token in tokens:
         if opens and "A" <= token[0] <= "Z":
             openers[token] += 1
@@ -207,7 +203,7 @@ def _false_mixed(text: str, words: list[str]) -> list[str]:
             everywhere[word] += 1
             past[word] = end
         mark = start - 1
-        while mark >= 0 and text[mark] in _SPACE:
+        while mark >= 0 and _BLANK.match(text[mark]):
             mark -= 1
         opens = start == 0 or (0 <= mark < start - 1 and text[mark] in ".!?")
         # A match begins at the mark, which a match before must not have taken.

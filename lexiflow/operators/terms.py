@@ -22,6 +22,8 @@ COUNTED, WORD, ENTITY, ACRONYM, SCIENCE = 1, 2, 4, 8, 16
 SCHEMA = "doc_id long, term string, n long, first long, sources int"
 KINDS = {"doc_id": pa.int64(), "term": pa.string(), "n": pa.int64(), "first": pa.int64(), "sources": pa.int32()}
 _ROWS, _CACHE, _SLICE = 50_000, 300_000, 256
+#: Repeated ids up to so many are broadcast, more are joined by shuffling.
+FEW = 10_000
 _DOTTED, _CAPITALS_DOTTED, _SHORT = re.compile(r"(?:[a-zA-Z]\.)+[a-zA-Z]?"), re.compile(r"(?:[A-Z]\.)+[A-Z]?"), re.compile("[A-Z]{2,6}")
 #: From the first to the last of such characters.
 _POINTS, _CAPITALS, _LETTERS = (re.compile(f"[{k}](?:.*[{k}])?", re.S) for k in ("A-Z.", "A-Z", "A-Za-z."))
@@ -29,9 +31,7 @@ _NO_WORD, _NO_LOWER, _SPACES = re.compile("[^a-zA-Z'-]"), re.compile("[^a-z'-]")
 _RUN_ONLY = re.compile("[a-z0-9_]+")
 _RUN_KINDS = ("suffix", "drug")
 _BY_RUN = [(re.compile(p, re.A), least) for name, p, least in PATTERNS if name in _RUN_KINDS]
-_BY_TEXT = [(re.compile(T.folded(p), re.A), least) for name, p, least in PATTERNS if name not in _RUN_KINDS]
-#: Of texts with a long s or a Kelvin sign, which these patterns take for letters.
-_BY_LETTERS = [(re.compile(T.folded(p), re.A), least) for name, p, least in PATTERNS if name in _RUN_KINDS]
+_BY_TEXT = [(re.compile(T.spelled(p), re.A), least) for name, p, least in PATTERNS if name not in _RUN_KINDS]
 
 
 def _inner(kept: re.Pattern, raw: str) -> str:
@@ -125,15 +125,15 @@ class Reader:
         yield from self._rows(text, runs, counts, sources)
 
     def _science(self, text, runs, italics, sources) -> None:
-        known, odd = self.runs, "\u017f" in text or "\u212a" in text
-        for run in () if odd else runs:
+        known = self.runs
+        for run in runs:
             if known[run] if run in known else self._science_run(run):
                 low = run.lower()
                 sources[low] = sources.get(low, 0) | SCIENCE
-        for pattern, least in _BY_TEXT + _BY_LETTERS if odd else _BY_TEXT:
+        for pattern, least in _BY_TEXT:
             for found in {m[0] for m in pattern.finditer(text)}:
                 if len(found := found.strip(" ")) >= least:
-                    low = matching.lower(found)
+                    low = found.lower()
                     sources[low] = sources.get(low, 0) | SCIENCE
         for term in italics or ():
             sources[term] = sources.get(term, 0) | SCIENCE
@@ -165,7 +165,7 @@ class Reader:
                 others.append((term, bits))
         if not others:
             return
-        low = matching.lower(text)
+        low = text.lower()
         # Of letters that are no ASCII these two have ASCII ones in lower case.
         if "\u0130" in text or "\u212a" in text:
             lower_runs = matching.runs(low)
@@ -180,28 +180,47 @@ class Reader:
             yield term, (mixed[term] if term in mixed else lower_runs.get(term, 0)) or 1, None, bits
 
 
-def document_terms(texts: DataFrame, entities: DataFrame | None, italics: DataFrame | None, stops, starters) -> DataFrame:
+def document_terms(texts: DataFrame, entities: DataFrame | None, italics: DataFrame | None, stops, starters, ids: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, n, first, sources) by document; rows with WORD alone are terms only where a vocabulary holds them.
 
-    ``texts``: doc_id and paras, rows of one document as one; terms of documents without text are left out.
+    ``texts``: doc_id and paras, and maybe arrays ``entities`` and ``italics`` in the row in place of tables; rows of one document count
+    as one, rows without an id as none.  ``ids``: the documents' doc_id, where a cheaper table has them.
     """
-    return _read(texts.filter("doc_id IS NOT NULL"), entities, italics, stops, starters, Reader.read, KINDS, SCHEMA)
+    return _read(texts, entities, italics, stops, starters, Reader.read, KINDS, SCHEMA, ids)
 
 
-def document_flags(texts: DataFrame, entities: DataFrame | None, italics: DataFrame | None, stops) -> DataFrame:
-    """(doc_id, term, sources) by document; rows with WORD alone are terms only where a vocabulary holds them.  Rows without an id are one document."""
+def document_flags(texts: DataFrame, entities: DataFrame | None, italics: DataFrame | None, stops, ids: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, sources) by document; rows with WORD alone are terms only where a vocabulary holds them."""
     kinds = {name: KINDS[name] for name in ("doc_id", "term", "sources")}
-    return _read(texts, entities, italics, stops, (), Reader.flags, kinds, "doc_id long, term string, sources int")
+    return _read(texts, entities, italics, stops, (), Reader.flags, kinds, "doc_id long, term string, sources int", ids)
 
 
-def _read(texts, entities, italics, stops, starters, read, kinds, schema) -> DataFrame:
-    rows = texts.groupBy("doc_id").agg(F.flatten(F.collect_list("paras")).alias("paras"))
+def merged(texts: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``texts`` (doc_id and arrays) with rows of one doc_id as one and none without an id.
+
+    Repeated ids are looked for first, among ids alone; only their rows are shuffled.
+    """
+    texts = texts.filter("doc_id IS NOT NULL")
+    again = (texts if ids is None else ids).filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    n = len(again.take(FEW + 1))
+    if not n:
+        return texts
+    again = F.broadcast(again) if n <= FEW else again
+    arrays = [F.flatten(F.collect_list(c)).alias(c) for c in texts.columns if c != "doc_id"]
+    many = texts.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(*arrays)
+    return texts.join(again, "doc_id", "left_anti").unionByName(many)
+
+
+def _read(texts, entities, italics, stops, starters, read, kinds, schema, ids) -> DataFrame:
+    rows = merged(texts, ids)
     for name, df in (("entities", entities), ("italics", italics)):
+        if name in texts.columns:
+            continue
         if df is None:
             rows = rows.withColumn(name, F.lit(None).cast("array<string>"))
         else:
-            own = df.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("term").alias(name))
-            rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+            own = df.groupBy("doc_id").agg(F.collect_set("term").alias(name))
+            rows = rows.join(own, "doc_id", "left")
     stops, starters = list(stops), list(starters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +245,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
     lower = bytes.maketrans(letters.upper(), letters)
     kept = letters + letters.upper() + b"'-"
     dropped = bytes(b for b in range(256) if b not in kept)
-    # To SQL a vertical tab is no white space, and it is cleaned off.
+    blank = re.compile(f"[{T.BLANKS[6:]}]+")  # white space beyond ASCII
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Tokens are counted as they stand and cleaned once each; a task holds so many at most.
@@ -245,7 +264,8 @@ def token_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    n.update(text.as_py().encode().replace(b"\x0b", b"").replace(b"\xc2\xa0", b" ").replace(b"\xef\xbb\xbf", b" ").split())
+                    whole = text.as_py()
+                    n.update((whole if whole.isascii() else blank.sub(" ", whole)).encode().split())
                     if len(n) >= _CACHE:
                         yield from rows()
         yield from rows()

@@ -75,7 +75,7 @@ def citation_parentheticals(texts: DataFrame) -> DataFrame:
 
 def word_offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, word_idx, start, word): words of a text with the characters before them, one between words."""
-    out = rows.select(*keys, F.posexplode(F.split(T.trimmed(F.col("text")), r"\s+", -1)).alias("word_idx", "word"))
+    out = rows.select(*keys, F.posexplode(F.split(T.trimmed(F.col("text")), f"{T.SPACE}+", -1)).alias("word_idx", "word"))
     before = F.sum(F.length("word") + 1).over(Window.partitionBy(*keys).orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1))
     return out.select(*keys, F.col("word_idx").cast("long").alias("word_idx"), F.coalesce(before, F.lit(0)).cast("long").alias("start"), "word")
 

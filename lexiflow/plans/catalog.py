@@ -10,7 +10,7 @@ from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import matching, pages, spans, tagging
+from lexiflow.operators import matching, spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import sql as Q
 from lexiflow.sources import html as H
@@ -24,7 +24,7 @@ def _query(sql: str | None = None):
     def add(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = T.spelled(sql)
         return f
 
     return add
@@ -42,6 +42,15 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return B.texts(_docs(spark, d))
 
 
+def _named_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with the names in them, in the row."""
+    return _texts(spark, d).withColumn("entities", tagging.entity_array())
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
+
+
 def _freq(spark: SparkSession, d: str) -> DataFrame:
     return B.frequency_list(_docs(spark, d))
 
@@ -139,11 +148,10 @@ def science_terms(spark, d):
 
 def _kind(name: str, kinds: tuple[str, ...]):
     def f(spark, d):
-        samples = spark.createDataFrame([(i, t, "en") for i, t in Q.SAMPLES], "doc_id long, text string, lang string")
-        return K.science_terms(K.full_texts(B.texts(_docs(spark, d).unionByName(samples))), kinds)
+        return K.science_terms(K.full_texts(_texts(spark, d)), kinds)
 
     f.__name__ = name
-    _query(f"{Q.WITH_SAMPLES}, {Q.science(kinds)} SELECT * FROM sci")(f)
+    _query(f"{Q.WITH_TEXTS}, {Q.science(kinds)} SELECT * FROM sci")(f)
 
 
 for _name, _kinds in (("genes", ("gene",)), ("loci", ("locus",)), ("suffix_terms", ("suffix",)), ("drugs", ("drug",)), ("formulas", ("formula",)), ("species", ("binomial", "abbreviated"))):
@@ -156,27 +164,24 @@ def vocabulary_hits(spark, d):
     return K.vocabulary_hits(_paras(spark, d), vocab).join(vocab, "term").select("doc_id", "term", "branch", "weight")
 
 
-@_query(f"""{Q.BASE}, {Q.ACRONYMS}, {Q.science()}, {Q.VOCAB_HITS}, {Q.FLAGS} SELECT * FROM flags""")
+@_query(f"""{Q.BASE}, {Q.ACRONYMS}, {Q.science()}, {Q.VOCAB_HITS}, {Q.FLAGS} SELECT * FROM flags WHERE doc_id IS NOT NULL""")
 def term_flags(spark, d):
-    paras = _paras(spark, d)
-    return K.term_flags(paras, B.vocabulary(_freq(spark, d)), tagging.entities(paras), texts=_texts(spark, d))
+    return K.term_flags(None, B.vocabulary(_freq(spark, d)), texts=_named_texts(spark, d), ids=_ids(spark, d))
 
 
 @_query(f"""{Q.BASE}, {Q.KEYWORDS} SELECT * FROM keywords""")
 def keyword_scores(spark, d):
-    freq, paras = _freq(spark, d), _paras(spark, d)
-    return K.keyword_scores(paras, freq, B.vocabulary(freq), tagging.entities(paras), texts=_texts(spark, d))
+    freq = _freq(spark, d)
+    return K.keyword_scores(None, freq, B.vocabulary(freq), texts=_named_texts(spark, d), ids=_ids(spark, d))
 
 
-@_query(f"""{Q.BASE}, {Q.KEYWORDS}, met AS (SELECT p.doc_id, p.para_idx, k.term, k.score, k.rank AS ord FROM paras p JOIN keywords k ON p.doc_id = k.doc_id
-  WHERE p.text <> '' AND regexp_matches(lower(p.text), '\\b' || {Q.ESCAPED.format('k.term')} || '\\b')),
-ranked AS (SELECT doc_id, para_idx, term, score, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY score DESC, ord)::BIGINT AS rank, count(*) OVER (PARTITION BY doc_id, para_idx) AS n FROM met)
-SELECT doc_id, para_idx, term, score, rank FROM ranked WHERE rank <= greatest(1, ceil(n * 0.5::DOUBLE))""")
+@_query(f"""{Q.BASE}, {Q.KEYWORDS}, {Q.TOP_TERMS} SELECT * FROM top""")
 def paragraph_top_terms(spark, d):
-    return K.paragraph_top_terms(_paras(spark, d), keyword_scores(spark, d), texts=_texts(spark, d))
+    return K.paragraph_top_terms(None, keyword_scores(spark, d), texts=_texts(spark, d))
 
 
-@_query()
+@_query(f"""{Q.BASE}, {Q.KEYWORDS}, {Q.TOP_TERMS}, blocks AS (SELECT doc_id, para_idx, text, text AS raw, 0 AS "offset", terms FROM paras JOIN
+  (SELECT doc_id, para_idx, list(term) AS terms FROM top GROUP BY ALL) USING (doc_id, para_idx)), {Q.SPANS} SELECT doc_id, para_idx, "start", "end", phrase FROM spans""")
 def bold_spans(spark, d):
     return spans.bold_spans(_paras(spark, d), paragraph_top_terms(spark, d))
 
@@ -188,13 +193,13 @@ def false_capitals(spark, d):
     return t.filter(F.array_contains("_false", F.col("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-@_query(r"""SELECT doc_id, content, count(*)::BIGINT AS n, bool_or(regexp_matches(regexp_extract(content, '(\d+)[^\d]*$', 1), '^(19|20)\d{2}$') OR regexp_matches(content, '(?i)\bet\s+al\b')) AS is_citation
+@_query(r"""SELECT doc_id, content, count(*)::BIGINT AS n, bool_or(regexp_matches(regexp_extract(content, '(\d+)[^\d]*$', 1), '^(19|20)\d{2}$') OR regexp_matches(content, '\b[eE][tT]\s+[aA][lL]\b')) AS is_citation
 FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\(([^()]*)\)', 1)) AS content FROM documents) GROUP BY doc_id, content""")
 def citation_parentheticals(spark, d):
     return W.citation_parentheticals(B.table(spark, d, "documents"))
 
 
-_OFFSETS = r"""WITH trimmed AS (SELECT conv_id, turn, string_split_regex(regexp_replace(translate(coalesce(text, ''), chr(160) || chr(65279), '  '), '^\s+|\s+$', '', 'g'), '\s+') AS l FROM conversations),
+_OFFSETS = r"""WITH trimmed AS (SELECT conv_id, turn, string_split_regex(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+') AS l FROM conversations),
 ws AS (SELECT conv_id, turn, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS word_idx FROM trimmed),
 offs AS (SELECT conv_id, turn, word_idx, (sum(length(word) + 1) OVER (PARTITION BY conv_id, turn ORDER BY word_idx) - length(word) - 1)::BIGINT AS start, word FROM ws)"""
 
@@ -226,38 +231,37 @@ def html_escaped(spark, d):
 
 
 def _pages(spark, d):
-    sample = spark.createDataFrame([(-1, Q.SAMPLE_PAGE)], "page_id long, html string")
-    return B.dealt(B.table(spark, d, "pages").select("page_id", "html")).unionByName(sample)
+    return B.dealt(B.table(spark, d, "pages").select("page_id", "html"))
 
 
-def _nodes(spark, d):
-    return H.page_nodes(_pages(spark, d))
+def _trees(spark, d):
+    return H.page_trees(_pages(spark, d))
 
 
 @_query(Q.page_gate(18))
 def page_paragraphs(spark, d):
-    return H.numbered(H.page_paragraphs(_nodes(spark, d))).select("page_id", "para_no", "tag", "text")
+    return H.numbered(H.page_paragraphs(_trees(spark, d))).select("page_id", "para_no", "tag", "text")
 
 
 @_query(Q.page_gate(30))
 def page_body_paragraphs(spark, d):
-    return H.numbered(H.body_paragraphs(_nodes(spark, d))).select("page_id", "para_no", "tag", "text")
+    return H.numbered(H.body_paragraphs(_trees(spark, d))).select("page_id", "para_no", "tag", "text")
 
 
 @_query(Q.page_gate(1))
 def page_split_candidates(spark, d):
-    return H.numbered(H.paragraph_elements(_nodes(spark, d))).select("page_id", "para_no", "tag", "text")
+    return H.numbered(H.paragraph_elements(_trees(spark, d))).select("page_id", "para_no", "tag", "text")
 
 
 @_query(f"""WITH {Q.PAGE_NODES} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY b, i)::BIGINT AS node_no, "offset", text FROM nodes
 WHERE regexp_matches(text, '[A-Za-z]') AND length(text) >= 30""")
 def page_text_nodes(spark, d):
-    return H.numbered(H.readable_text(_nodes(spark, d), 30, True), "node_no").select("page_id", "node_no", "offset", "text")
+    return H.numbered(H.readable_text(_trees(spark, d), 30, True), "node_no").select("page_id", "node_no", "offset", "text")
 
 
 @_query(f"WITH {Q.ITALICS} SELECT * FROM italics")
 def page_italic_terms(spark, d):
-    return H.italic_terms(_nodes(spark, d))
+    return H.italic_terms(_trees(spark, d))
 
 
 def _as_paras(nodes: DataFrame) -> DataFrame:
@@ -266,13 +270,22 @@ def _as_paras(nodes: DataFrame) -> DataFrame:
 
 @_query(Q.PAGE_KEYWORDS)
 def page_keywords(spark, d):
-    freq = _freq(spark, d)
-    return K.scored_terms(pages.page_terms(pages.by_page(_pages(spark, d))), freq, B.vocabulary(freq)).withColumnRenamed("doc_id", "page_id")
+    freq, trees = _freq(spark, d), _trees(spark, d)
+    texts = H.body_texts(trees, italics=True).withColumn("entities", tagging.entity_array())
+    ids = B.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"))
+    return K.keyword_scores(None, freq, B.vocabulary(freq), texts=texts, ids=ids).withColumnRenamed("doc_id", "page_id")
 
 
-@_query()
+@_query(Q.PAGE_BOLD_SPANS)
 def page_bold_spans(spark, d):
-    return pages.page_spans(pages.by_page(_pages(spark, d)), page_keywords(spark, d))
+    ids = B.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"))
+    return spans.page_spans(H.bold_blocks(_trees(spark, d)), page_keywords(spark, d), ids=ids)
+
+
+@_query(f"""WITH {Q.PAGE_NODES} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY b, i)::BIGINT AS node_no, tag, n_chars FROM nodes
+WHERE regexp_matches(text, '[A-Za-z]')""")
+def page_nearest_blocks(spark, d):
+    return H.numbered(H.nearest_blocks(_trees(spark, d)), "node_no").select("page_id", "node_no", "tag", "n_chars")
 
 
 @_query(f"""WITH {Q.PAGE_PARAS}, paras AS (SELECT page_id AS doc_id, p AS para_idx, text FROM page_paras WHERE text <> ''), {Q.SCORED}, met AS (SELECT p.doc_id, p.para_idx, p.text, s.action,
@@ -281,9 +294,9 @@ def page_bold_spans(spark, d):
 lists AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY para_idx) AS para_no, {Q.split_sentences('text')} AS l FROM met WHERE rn = 1 AND action IN ('split', 'llm') AND len({Q.split_sentences('text')}) >= 2)
 SELECT doc_id AS page_id, para_no, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_no, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM lists)""")
 def page_sentence_split(spark, d):
-    nodes = _nodes(spark, d)
-    scored = S.paragraph_scores(_as_paras(H.page_paragraphs(nodes))).select("doc_id", "para_idx", "text", "action")
-    out = W.sentence_split(_as_paras(H.paragraph_elements(nodes)), scored)
+    trees = _trees(spark, d)
+    scored = S.paragraph_scores(_as_paras(H.page_paragraphs(trees))).select("doc_id", "para_idx", "text", "action")
+    out = W.sentence_split(_as_paras(H.paragraph_elements(trees)), scored)
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("para_idx")).cast("long")
     return out.select(F.col("doc_id").alias("page_id"), number.alias("para_no"), "sent_idx", "sentence")
 

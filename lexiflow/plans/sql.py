@@ -1,7 +1,9 @@
-"""DuckDB SQL of the queries, from the same dictionaries; its \\b is ASCII."""
+"""DuckDB SQL of the queries, from the same dictionaries; its \\b is ASCII.  White space in it, \\s, is spelled out by the catalog."""
 
 from __future__ import annotations
 
+import re
+
 from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.functions.patterns import PATTERNS
@@ -18,20 +20,26 @@ def among(words) -> str:
 
 STOPS, STARTERS = among(V.STOP_WORDS), among(V.STARTERS)
 CLEAN = "lower(regexp_replace({0}, '[^a-zA-Z''-]', '', 'g'))"
+TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+#: Lower case with final sigmas and a dot on the letter i, which ``lower`` leaves out.  Marks between letters are no letters here.
+LOWER = r"lower(replace(regexp_replace({0}, '(\pL)Σ(\PL|$)', '\1ς\2', 'g'), 'İ', 'i̇'))"
+
+
+def ascii_case(pattern: str) -> str:
+    """A pattern that leaves the case of ASCII letters aside, and of these alone."""
+    if not pattern.startswith("(?i)"):
+        return pattern
+    both = lambda m: f"[{m[0]}{m[0].swapcase()}]" if len(m[0]) == 1 else m[0]
+    return re.sub(r"\\.|\[[^\]]*\]|[A-Za-z]", both, pattern[4:])
+
+
 
 def _paras(documents: str) -> str:
-    return rf"""paras AS (SELECT doc_id, i - 1 AS para_idx, regexp_replace(translate(t, chr(160) || chr(65279), '  '), '^\s+|\s+$', '', 'g') AS text
+    return rf"""paras AS (SELECT doc_id, i - 1 AS para_idx, {TRIM.format('t')} AS text
   FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM {documents})))"""
 
 
-#: Sentences with terms that generated tables lack; queries on such terms read them beside the documents.
-SAMPLES = (
-    (-1, "Deletions at 17p13.1 and Xq28 were found; 9q34 was not. Patients took atorvastatin, imatinib and ibuprofen."),
-    (-2, "Adalimumab and trastuzumab bind. Loss of 17p13.1 is frequent, and doxycycline with amoxicillin did not help."),
-)
 ENGLISH, EVERY = "documents WHERE lang = 'en'", "documents"
-_ROWS = ", ".join(f"({i}, {quoted(t)})" for i, t in SAMPLES)
-SAMPLED = f"(SELECT doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT * FROM (VALUES {_ROWS}) v(doc_id, text))"
 PARAS = _paras(ENGLISH)
 TOKENS = r"""toks AS (SELECT doc_id, para_idx, ctx, i - 1 AS tok_idx, raw, (para_idx << 32) + i - 1 AS place
   FROM (SELECT doc_id, para_idx, text AS ctx, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split_regex(text, '\s+') AS l FROM paras)))"""
@@ -43,25 +51,15 @@ VOCAB = f"""vocab AS (SELECT word AS term, [{', '.join(map(quoted, _B))}][((rank
 FULL = "full_texts AS (SELECT doc_id, string_agg(text, ' ' ORDER BY para_idx) AS text FROM paras GROUP BY doc_id)"
 BASE = f"WITH {PARAS}, {TOKENS}, {FREQ}, {VOCAB}, {FULL}"
 ALL_LANGUAGES = f"WITH {_paras(EVERY)}"
-WITH_SAMPLES = f"WITH {_paras(SAMPLED)}, {FULL}"
-
-#: A page with what generated pages lack: italics, citations over inline tags, a skipped table, an open list item.
-SAMPLE_PAGE = (
-    "<!DOCTYPE html><html><body><article><h1>On the bones of early people in the caves of the north</h1>"
-    "<p>The remains of <em>Homo sapiens</em> and <i>Homo erectus</i> were compared with those of <em>H. habilis</em> by several groups "
-    "(<a href=\"#1\">Smith</a> <em>et al</em>. 2014b; Jones 2012), and Smith found that the skull of the older form was thicker than all others known.</p>"
-    "<p>Later work (see <b>Methods</b>) agreed with Smith, although the United Nations survey of sites in the region, which Maria Lopez led, "
-    "covered no caves at all. The survey was short. The report &amp; its maps are lost, and nobody has tried to draw them again since then.</p>"
-    "<p>A third paragraph says little about bones.</p></article></body></html>"
-)
-PAGES = f"(SELECT page_id, html FROM pages UNION ALL SELECT -1, {quoted(SAMPLE_PAGE)})"
+WITH_TEXTS = f"WITH {PARAS}, {FULL}"
+
 _DECODED = "{0}"
 for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-    _DECODED = f"replace({_DECODED}, '{_entity}', '{_char}')"
+    _DECODED = f"regexp_replace({_DECODED}, '{_entity}?', '{_char}', 'g')"  # the semicolon may be missing
 #: Raw texts of the paragraphs of a page's article: from each <p> to its end tag, the next one, or the article's end.
 PAGE_PARAS = rf"""raw_paras AS (SELECT page_id, i - 1 AS p, string_split(part, '</p>')[1] AS inner_html FROM (SELECT page_id, unnest(l) AS part, generate_subscripts(l, 1) AS i FROM (
-  SELECT page_id, string_split(string_split(string_split(html, '<article>')[2], '</article>')[1], '<p>') AS l FROM {PAGES})) WHERE i > 1),
-page_paras AS (SELECT page_id, p, trim({_DECODED.format("regexp_replace(inner_html, '<[^>]*>', '', 'g')")}) AS text FROM raw_paras)"""
+  SELECT page_id, string_split(string_split(string_split(html, '<article>')[2], '</article>')[1], '<p>') AS l FROM pages)) WHERE i > 1),
+page_paras AS (SELECT page_id, p, {TRIM.format(_DECODED.format("regexp_replace(inner_html, '<[^>]*>', '', 'g')"))} AS text FROM raw_paras)"""
 
 
 def page_gate(least: int) -> str:
@@ -70,15 +68,17 @@ WHERE text <> '' AND len(string_split_regex(text, '\s+')) >= {least}"""
 
 
 #: Text nodes of what is left of a page without scripts, styles, navigation and footer; blocks split it, inline tags split blocks.
-PAGE_NODES = rf"""bodies AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(string_split(html, '<body>')[2], '(?s)<!--.*?-->', '', 'g'), '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g') AS body FROM {PAGES}),
-segments AS (SELECT page_id, unnest(l) AS seg, generate_subscripts(l, 1) AS b FROM (SELECT page_id, string_split_regex(body, '</?(?:p|div|article|h1|body|html)(?: [^>]*)?>') AS l FROM bodies)),
-pieces AS (SELECT page_id, b, {_DECODED.format('unnest(l)')} AS text, generate_subscripts(l, 1) AS i FROM (SELECT page_id, b, string_split_regex(seg, '<[^>]*>') AS l FROM segments)),
-nodes AS (SELECT *, (sum(length(text)) OVER (PARTITION BY page_id, b ORDER BY i) - length(text))::BIGINT AS "offset" FROM pieces WHERE text <> '')"""
+PAGE_NODES = rf"""bodies AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(string_split(html, '<body>')[2], '(?s)<!--.*?-->', '', 'g'), '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g') AS body FROM pages),
+segments AS (SELECT page_id, unnest(l) AS seg, generate_subscripts(l, 1) AS b, tags FROM (SELECT page_id, string_split_regex(body, '</?(?:p|div|article|h1|body|html)(?: [^>]*)?>') AS l,
+  regexp_extract_all(body, '<(/?(?:p|div|article|h1|body|html))(?: [^>]*)?>', 1) AS tags FROM bodies)),
+pieces AS (SELECT page_id, b, tags[b - 1] AS tag, {_DECODED.format('unnest(l)')} AS text, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split_regex(seg, '<[^>]*>') AS l FROM segments)),
+nodes AS (SELECT *, (sum(length(text)) OVER (PARTITION BY page_id, b ORDER BY i) - length(text))::BIGINT AS "offset", (sum(length(text)) OVER (PARTITION BY page_id, b))::BIGINT AS n_chars
+  FROM pieces WHERE text <> '')"""
 
 
 def sentences(c: str) -> str:
     x = rf"regexp_replace({c}, '\s+', ' ', 'g')"
-    x = rf"regexp_replace(trim({x}), '(?i)(^|\s)({'|'.join(V.ABBREVIATIONS)})\.', '\1\2' || chr(1), 'g')"
+    x = rf"regexp_replace(trim({x}), '(^|\s)({ascii_case('(?i)' + '|'.join(V.ABBREVIATIONS))})\.', '\1\2' || chr(1), 'g')"
     x = rf"regexp_replace({x}, '([.!?])\s+([^a-z\s])', '\1' || chr(2) || '\2', 'g')"
     return f"list_filter(string_split(translate({x}, chr(1), '.'), chr(2)), lambda s: s <> '')"
 
@@ -123,12 +123,12 @@ ACRONYMS = rf"""acr AS (SELECT doc_id, acronym, count(*)::BIGINT AS n, min(place
 
 
 def science(names=None) -> str:
-    parts = [f"SELECT doc_id, '{name}' AS kind, lower(t) AS term FROM (SELECT doc_id, trim(unnest(regexp_extract_all(text, {quoted(p)}))) AS t FROM full_texts) WHERE length(t) >= {least}" for name, p, least in PATTERNS if names is None or name in names]
+    parts = [f"SELECT doc_id, '{name}' AS kind, {LOWER.format('t')} AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(ascii_case(p))})) AS t FROM full_texts) WHERE length(t) >= {least}" for name, p, least in PATTERNS if names is None or name in names]
     return f"sci AS (SELECT doc_id, kind, term, count(*)::BIGINT AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)"
 
 
 #: Italics of pages that are species or names.
-ITALICS = r"""italics AS (SELECT DISTINCT page_id, lower(t) AS term FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '<(?:em|i)>([^<]*)</(?:em|i)>', 1))) AS t FROM """ + PAGES + r""")
+ITALICS = r"""italics AS (SELECT DISTINCT page_id, lower(t) AS term FROM (SELECT page_id, """ + TRIM.format("unnest(regexp_extract_all(html, '<(?:em|i)>([^<]*)</(?:em|i)>', 1))") + r""" AS t FROM pages)
   WHERE length(t) >= 3 AND (regexp_matches(t, '[A-Z][a-z]+\s+[a-z]{3,}') OR regexp_matches(t, '[A-Z]\.\s*[a-z]{3,}') OR regexp_matches(t, '^[A-Z][a-z]{4,}$')))"""
 
 
@@ -151,25 +151,84 @@ _FLAGS = f"""{ENTITIES}, sources AS (SELECT DISTINCT doc_id, acronym AS term, 'i
 flags AS (SELECT doc_id, term, bool_or(source = 'in_science') AS in_science, bool_or(source = 'in_acronym') AS in_acronym, bool_or(source = 'in_vocabulary') AS in_vocabulary,
   bool_or(source = 'in_entity') AS in_entity, min(r)::BIGINT AS source_rank FROM sources GROUP BY doc_id, term)"""
 _NO_MORE = "more_science AS (SELECT NULL::BIGINT AS doc_id, NULL AS term WHERE false)"
-FLAGS = f"{_NO_MORE}, {_FLAGS}"
+FLAGS = f"{_NO_MORE}, {_FLAGS}"  # of rows with an id
 
 
 def _keywords(more: str) -> str:
     return rf"""{ACRONYMS}, {science()}, {VOCAB_HITS}, {more}, {_FLAGS}, {TERMS},
 merged AS (SELECT coalesce(t.doc_id, f.doc_id) AS doc_id, coalesce(t.term, f.term) AS term, t.n, t.first, coalesce(in_science, false) AS sci, coalesce(in_acronym, false) AS acr, coalesce(in_entity, false) AS ent, source_rank FROM terms t FULL JOIN flags f ON t.doc_id = f.doc_id AND t.term = f.term),
-counted AS (SELECT m.* REPLACE (coalesce(m.n, greatest(1, len(regexp_extract_all(lower(x.text), '\b' || {ESCAPED.format('m.term')} || '\b'))))::BIGINT AS n) FROM merged m JOIN full_texts x USING (doc_id)),
+counted AS (SELECT m.* REPLACE (coalesce(m.n, greatest(1, len(regexp_extract_all({LOWER.format('x.text')}, '\b' || {ESCAPED.format('m.term')} || '\b'))))::BIGINT AS n) FROM merged m JOIN full_texts x USING (doc_id)),
 looked AS (SELECT c.*, c.term AS word, f.rank, coalesce(v.weight, 1.0::DOUBLE) AS weight FROM counted c LEFT JOIN freq f ON c.term = f.word LEFT JOIN vocab v ON c.term = v.term
   WHERE {_KEPT.replace('term ', 'c.term ', 1).replace('trim(term)', 'trim(c.term)')}),
 keyed AS (SELECT *, round(log2(n::DOUBLE + 1) * weight * (CASE WHEN weight > 1 OR sci OR ent OR acr THEN {RARITY_BONUS} ELSE greatest({COMPLEXITY}, 1.0::DOUBLE) END) * (CASE WHEN sci THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN ent THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN acr THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM looked),
 keywords AS (SELECT doc_id, term, n, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, coalesce(source_rank, 0), coalesce(first, 1::BIGINT << 62), term)::BIGINT AS rank FROM keyed)"""
 
 
+TOP_TERMS = f"""met AS (SELECT p.doc_id, p.para_idx, k.term, k.score, k.rank AS ord FROM paras p JOIN keywords k ON p.doc_id = k.doc_id
+  WHERE p.text <> '' AND regexp_matches({LOWER.format('p.text')}, '\\b' || {ESCAPED.format('k.term')} || '\\b')),
+top AS (SELECT * EXCLUDE (ord, n) FROM (SELECT doc_id, para_idx, term, score, row_number() OVER w AS rank, ord, count(*) OVER (PARTITION BY doc_id, para_idx) AS n FROM met
+  WINDOW w AS (PARTITION BY doc_id, para_idx ORDER BY score DESC, ord)) WHERE rank <= greatest(1, ceil(n * 0.5::DOUBLE)))"""
+_ASCII_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BARS, _TITLES = among(sorted(V.BREAKERS | V.DETERMINERS)), among(sorted(V.TITLES))
+_RIGHT = r"-[a-zA-Z][a-zA-Z''-]*|[''’]s\s+[A-Z][a-zA-Z''-]*|\s+[A-Z][a-zA-Z''-]*"
+#: The same of the text before, reversed.
+_LEFT = r"-[a-zA-Z]+|\s+[a-zA-Z''-]+[A-Z]"
+#: Whether text that goes on, reversed, with ``{0}`` ends a sentence.
+_ENDS = rf"(CASE WHEN regexp_matches({{0}}, '^\s*[\n\r]') OR regexp_matches({{0}}, '^\s*$') THEN true WHEN regexp_matches({{0}}, '^\s*[!?]') THEN true WHEN NOT regexp_matches({{0}}, '^\s*\.') THEN false ELSE lower(reverse(regexp_extract({{0}}, '^\s*\.([a-zA-Z]*)', 1))) NOT IN {_TITLES} END)"
+#: The steps of a list before the first that fails, ``{1}`` by number; ``{2}`` of each.
+_UNTIL = "coalesce(list_position(list_transform(range(1, len({0}) + 1), lambda k: {1}), true) - 1, len({0}))"
+_WORD_PART = r"regexp_extract_all({0}, '[a-zA-Z''-]+\s*|[^a-zA-Z''-]+')"
+_STOPPED = "list_sum(list_transform(({0})[1:coalesce(list_position(list_transform({0}, lambda x: {1} IN " + STOPS + r"), false) - 1, len({0}))], lambda x: length(x)))"
+_CITED = r"(regexp_matches(substr(raw, 1, {0}), '\([^()]*$') AND regexp_matches(substr(raw, {1} + 1), '^[^()]*\)') AND (regexp_matches({2}, '(?:^|[^0-9])(?:19|20)[0-9][0-9][^0-9]*$') OR regexp_matches({2}, '\b[eE][tT]\s+[aA][lL]\b')))"
+_INNER = r"regexp_extract(substr(raw, 1, {0}), '\(([^()]*)$', 1) || substr(raw, {0} + 1, {1} - {0}) || regexp_extract(substr(raw, {1} + 1), '^([^()]*)\)', 1)"
+
+
+def _span_sql() -> str:
+    """CTEs from blocks (doc_id, para_idx, text, raw, offset, terms; other columns stay) to spans."""
+    steps = lambda c: rf"regexp_extract_all(regexp_extract({c}, '^(?:{_RIGHT if c == 'rest' else _LEFT})*'), '{_RIGHT if c == 'rest' else _LEFT}')"
+    total = lambda c, n: f"coalesce(list_sum(list_transform({c}[1:{n}], lambda x: length(x))), 0)::BIGINT"
+    right = rf"regexp_matches(r[k], '^\s') AND (lower(regexp_extract(r[k], '[a-zA-Z''-]+')) IN {_BARS} OR regexp_matches(r[k], '^\s*[\n\r]') OR (k = 1 AND {_ENDS.format('reverse(substr(text, 1, e))')}))"
+    left = rf"regexp_matches(l[k], '^\s') AND (lower(reverse(regexp_extract(l[k], '[a-zA-Z''-]+'))) IN {_BARS} OR {_ENDS.format('substr(rev, ' + total('l', 'k') + ' + 1)')})"
+    lead = f"coalesce({_STOPPED.format(_WORD_PART.format('{0}'), 'regexp_replace(x, ' + chr(39) + chr(92) + 's+$' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, 0)::BIGINT"
+    tail = f"coalesce({_STOPPED.format(_WORD_PART.format('reverse({0})'), 'reverse(regexp_replace(x, ' + chr(39) + chr(92) + 's+$' + chr(39) + ', ' + chr(39) + chr(39) + '))')}, 0)::BIGINT"
+    return rf"""numbered_blocks AS (SELECT *, row_number() OVER () AS bid, {_ASCII_LOW.format('text')} AS low FROM blocks),
+cut AS (SELECT bid, low, length(t) AS size, t LIKE '% %' AS several, string_split(low, t) AS l, t FROM (SELECT bid, low, {_ASCII_LOW.format('unnest(terms)')} AS t FROM numbered_blocks)),
+placed_terms AS (SELECT bid, low, size, several, t, (sum(length(piece) + size) OVER (PARTITION BY bid, t ORDER BY i) - size)::BIGINT AS s FROM (
+  SELECT bid, low, size, several, t, unnest(l[1:len(l) - 1]) AS piece, generate_subscripts(l[1:len(l) - 1], 1) AS i FROM cut)),
+ended AS (SELECT bid, s, size, CASE WHEN several THEN s + size
+    WHEN regexp_matches(substr(low, s, 1), '[a-z0-9_]') = regexp_matches(t, '^[a-z0-9_]') AND s > 0 OR s = 0 AND NOT regexp_matches(t, '^[a-z0-9_]') THEN NULL
+    WHEN regexp_matches(substr(low, s + size + 1, 3), '^[''’]s(?:[\s\-.,;:!?()\[\]]|$)') THEN s + size + 2
+    WHEN regexp_matches(substr(low, s + size + 1, 1), '^(?:[\s\-.,;:!?()\[\]]|$)') THEN s + size END AS e FROM placed_terms),
+seeds AS (SELECT bid, s, arg_max(e, size) AS e FROM ended WHERE e IS NOT NULL GROUP BY bid, s),
+around AS (SELECT bid, s, e, text, substr(text, e + 1) AS rest, reverse(substr(text, 1, s)) AS rev FROM seeds JOIN numbered_blocks USING (bid)),
+stepped AS (SELECT *, {steps('rest')} AS r, {steps('rev')} AS l FROM around),
+grown AS (SELECT bid, s, s - {total('l', _UNTIL.format('l', left))} AS a, e + {total('r', _UNTIL.format('r', right))} AS b FROM stepped),
+listed AS (SELECT bid, list({{'s': s, 'a': a::BIGINT, 'b': b::BIGINT, 'last': 0::BIGINT, 'past': 0::BIGINT, 'found': []::STRUCT("start" BIGINT, "end" BIGINT)[]}} ORDER BY s) AS seeds FROM grown GROUP BY bid),
+walked AS (SELECT bid, list_reduce(seeds, lambda acc, x: CASE WHEN x.s < acc.past THEN acc ELSE list_transform([greatest(acc.last, x.a)], lambda first:
+  list_transform([first + {lead.format('substr(text, first + 1, x.b - first)')}], lambda s0: list_transform([greatest(s0, x.b - {tail.format('substr(text, s0 + 1, x.b - s0)')})], lambda e0:
+  list_transform([s0 < e0 AND NOT {_CITED.format('(s0 + "offset")', '(e0 + "offset")', _INNER.format('(s0 + "offset")', '(e0 + "offset")'))}], lambda ok:
+    {{'s': x.s, 'a': x.a, 'b': x.b, 'last': CASE WHEN ok THEN e0 ELSE acc.last END, 'past': CASE WHEN e0 <= acc.past THEN greatest(e0, acc.past + 1) ELSE e0 END,
+      'found': CASE WHEN ok THEN list_append(acc.found, {{'start': s0, 'end': e0}}) ELSE acc.found END}})[1])[1])[1])[1] END,
+  {{'s': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT, 'last': 0::BIGINT, 'past': 0::BIGINT, 'found': []::STRUCT("start" BIGINT, "end" BIGINT)[]}}).found AS found
+  FROM listed JOIN numbered_blocks USING (bid)),
+spans AS (SELECT b.* EXCLUDE (bid, low, terms), f."start", f."end", substr(text, f."start" + 1, f."end" - f."start") AS phrase FROM (SELECT bid, unnest(found) AS f FROM walked) JOIN numbered_blocks b USING (bid))"""
+
+
+SPANS = _span_sql()
 KEYWORDS = _keywords(_NO_MORE)
 _MORE = f"{ITALICS}, more_science AS (SELECT page_id AS doc_id, term FROM italics)"
 #: Keywords of body paragraphs of pages, with ranks and vocabulary of the documents.
 PAGE_KEYWORDS = rf"""WITH {PARAS}, {TOKENS}, {FREQ}, {VOCAB} SELECT * FROM (WITH {PAGE_PARAS},
-paras AS (SELECT page_id AS doc_id, p AS para_idx, regexp_replace(translate(text, chr(160) || chr(65279), '  '), '^\s+|\s+$', '', 'g') AS text FROM page_paras
+paras AS (SELECT page_id AS doc_id, p AS para_idx, text FROM page_paras
   WHERE text <> '' AND len(string_split_regex(text, '\s+')) >= 30), {TOKENS}, {FULL}, {_keywords(_MORE)} SELECT doc_id AS page_id, term, n, score, rank FROM keywords)"""
+#: Spans in text nodes of paragraphs of pages; terms as in their keywords.
+PAGE_BOLD_SPANS = rf"""WITH {PARAS}, {TOKENS}, {FREQ}, {VOCAB} SELECT * FROM (WITH {PAGE_PARAS}, {PAGE_NODES},
+whole AS (SELECT page_id, b, string_agg(text, '' ORDER BY i) AS raw, dense_rank() OVER (PARTITION BY page_id ORDER BY b) AS para_no FROM nodes WHERE tag = 'p' GROUP BY page_id, b),
+paras AS (SELECT page_id AS doc_id, p AS para_idx, text FROM page_paras WHERE text <> '' AND len(string_split_regex(text, '\s+')) >= 30), {TOKENS}, {FULL}, {_keywords(_MORE)},
+bold AS (SELECT page_id AS doc_id, b AS para_idx, {TRIM.format('raw')} AS text FROM whole), {TOP_TERMS.replace('paras p', 'bold p')},
+blocks AS (SELECT n.page_id, w.para_no, row_number() OVER (PARTITION BY n.page_id, n.b ORDER BY n.i) AS node_no, n.text, w.raw, n."offset", t.terms
+  FROM nodes n JOIN whole w USING (page_id, b) JOIN (SELECT doc_id, para_idx, list(term) AS terms FROM top GROUP BY ALL) t ON t.doc_id = n.page_id AND t.para_idx = n.b WHERE regexp_matches(n.text, '[A-Za-z]')),
+{SPANS} SELECT page_id, para_no, node_no, "start", "end", phrase FROM spans)"""
 #: Parts of speech by closed word lists and endings.
 _PART = {"Verb": "verbs", "Adjective": "adjectives", "Noun": "nouns"}
 _POS = " ".join(f"WHEN regexp_matches(low, '(?:{'|'.join(ends.split())})$') THEN '{_PART[tag]}'" for tag, ends in ENDINGS)

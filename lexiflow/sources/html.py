@@ -1,55 +1,45 @@
-"""HTML pages to rows: blocks under the content root, inline elements and text nodes, by one tolerant pass.
+"""HTML pages as trees of intervals: one tolerant pass, linear in the page, and structure by containment.
 
-The standard library's tokenizer feeds a small tree builder (an open <p> ends at the next block tag).
-Structural predicates are plain column filters over the ancestors that each row carries.
+The standard library's tokenizer feeds a small tree builder (an open <p> ends at the next block tag).  A page becomes one row:
+its elements with the numbers at which they open (``pre``) and of the last thing inside (``post``), and its text nodes with
+theirs.  What contains what is a question of intervals: an element holds all that has numbers from pre + 1 to post.  So no
+node carries its ancestors or its text; an element's text is the run of text nodes inside.
+
+Inside a set of tags: the outermost elements of the set lie apart and in order, so a binary search for the last that opens before a
+node tells (``apart``).  The nearest block around a node: blocks, opened and closed, are marks on the line of numbers, and the
+last mark before the node tells (``blocks_of``).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.entities import html5
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.functions import arrays as A
 from lexiflow.functions import text as T
 from lexiflow.functions import values as V
-from lexiflow.operators import matching
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS_P = frozenset((*V.BLOCK_TAGS, "ul", "ol", "table", "form", "nav", "pre", "hr", "figure", "dl", "menu"))
 _LEAF_CHILDREN = frozenset(("p", "div", "section", "article", "ul", "ol", "table"))
-
-_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
-#: What SQL trims: spaces of all widths, but no line breaks and tabs.
-_BLANK = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-#: Code points that no text holds by rule: one that a page does not hold stands for its marks that are no reference.
-_UNUSED = tuple(map(chr, range(0xFDD0, 0xFDF0)))
+_BLOCKS = frozenset(V.BLOCK_TAGS)
+#: Tags that a filter asks for; other elements leave no row, only numbers.
+_KEPT = frozenset((*V.BLOCK_TAGS, *V.NOISE_TAGS, *V.BLOCKED_TAGS, *V.ALLOWED_TAGS, "em", "i"))
 #: Italics that are species or names.
-_NAMED = (rf"[A-Z][a-z]+{T.SPACE}+[a-z]{{3,}}", rf"[A-Z]\.{T.SPACE}*[a-z]{{3,}}", "^[A-Z][a-z]{4,}")
-_NAMES = tuple(re.compile(p) for p in (*_NAMED[:2], _NAMED[2] + r"\Z"))
-_NOISE, _BLOCKED = frozenset(V.NOISE_TAGS), frozenset(V.BLOCKED_TAGS)
-_LETTER, _SPACES = re.compile("[A-Za-z]"), re.compile(f"{T.SPACE}+")
-
-BLOCK_SCHEMA = "page_id long, node_ord long, tag string, root_rank int, ancestors array<string>, text string, is_leaf boolean, block_ord long, kind string, offset long, raw string"
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "parent", "ord", "parts", "size", "children", "roots")
+_NAMED = (r"[A-Z][a-z]+\s+[a-z]{3,}", r"[A-Z]\.\s*[a-z]{3,}", r"^[A-Z][a-z]{4,}\z")
 
-    def __init__(self, tag, attrs, parent, order):
-        self.tag, self.attrs, self.parent, self.ord, self.parts, self.size, self.children = tag, attrs, parent, order, [], 0, set()
-        self.roots = (parent.roots if parent else ()) + ((rank,) if (rank := _root_rank(tag, attrs)) is not None else ())
-
-    def ancestors(self) -> list[str]:
-        out, x = [], self.parent
-        while x is not None:
-            out.append(x.tag)
-            x = x.parent
-        return out
+_NODE = {"pre": pa.int32(), "post": pa.int32(), "tag": pa.string(), "leaf": pa.bool_(), "outer": pa.int32(), "begin": pa.int32(), "size": pa.int32(), "first": pa.int32(), "last": pa.int32()}
+_TEXT = {"pre": pa.int32(), "begin": pa.int32(), "text": pa.string()}
+_ROOT = {"rank": pa.int32(), "pre": pa.int32(), "post": pa.int32()}
+#: outer: the block around an element; begin, size: characters before it and inside; first, last: its text nodes, from 0, last exclusive.
+TREE = (
+    "page_id long, nodes array<struct<pre: int, post: int, tag: string, leaf: boolean, outer: int, begin: int, size: int, first: int, last: int>>, "
+    "texts array<struct<pre: int, begin: int, text: string>>, root struct<rank: int, pre: int, post: int>"
+)
 
 
 def _root_rank(tag: str, attrs: dict) -> int | None:
@@ -66,184 +56,237 @@ def _root_rank(tag: str, attrs: dict) -> int | None:
 
 
 class _Tree(HTMLParser):
-    def __init__(self):
+    """Elements and texts of a page, each numbered once."""
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.top = self.at = _Node("#root", {}, None, 0)
-        self.n, self.done, self.texts, self.root_of, self.mark = 0, [], [], {}, None
-
-    def read(self, html: str):
-        """The page's tree.  Only references that end in a semicolon are decoded: ``&amp`` at a cut stays as it is."""
-        if "&" in html and (mark := next((c for c in _UNUSED if c not in html), None)):
-            self.mark = mark
-            known = lambda m: m[1] is not None and (m[1][0] == "#" or m[1] in html5)
-            html = _REFERENCE.sub(lambda m: m[0] if known(m) else mark + m[0][1:], html)
+        self.n, self.size = 0, 0
+        self.open: list[dict] = []  # elements around the place of reading
+        self.opened: dict[str, int] = {}
+        self.blocks: list[int] = [0]
+        self.nodes: list[dict] = []
+        self.texts: list[dict] = []
+        self.roots: dict[int, dict] = {}
         self.feed(html)
-        return self.finish()
+        self.close()
+        while self.open:
+            self._pop()
+        self.root = self.roots[min(self.roots)] if self.roots else {"rank": 5, "pre": 0, "post": self.n}
 
     def handle_starttag(self, tag, attrs):
         if tag in _ENDS_P:
             self._close("p")
         self.n += 1
-        self.at.children.add(tag)
-        node = _Node(tag, dict(attrs), self.at, self.n)
-        rank = _root_rank(tag, node.attrs)
-        if rank is not None and rank not in self.root_of:
-            self.root_of[rank] = node
+        if self.open and tag in _LEAF_CHILDREN:
+            self.open[-1]["leaf"] = False
         if tag in _VOID:
             return
-        self.at = node
+        node = {"pre": self.n, "tag": tag, "leaf": True, "outer": self.blocks[-1], "begin": self.size, "first": len(self.texts)}
+        rank = _root_rank(tag, dict(attrs))
+        if rank is not None and rank not in self.roots:
+            self.roots[rank] = node
+            node["rank"] = rank
+        if tag in _KEPT:
+            self.nodes.append(node)
+        if tag in _BLOCKS:
+            self.blocks.append(self.n)
+        self.open.append(node)
+        self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
             self.handle_endtag(tag)
 
-    def _close(self, tag):
-        x = self.at
-        while x.parent is not None and x.tag != tag:
-            if tag == "p" and x.tag in V.BLOCK_TAGS:
-                return
-            x = x.parent
-        if x.parent is None:
-            return
-        while self.at is not x:
-            self.done.append(self.at)
-            self.at = self.at.parent
-        self.done.append(x)
-        self.at = x.parent
-
     def handle_endtag(self, tag):
         self._close(tag)
 
+    def _close(self, tag):
+        """Ends the innermost open element of the tag and all inside it; a p only up to the next block outside."""
+        if not self.opened.get(tag):
+            return
+        if tag == "p":
+            for node in reversed(self.open):
+                if node["tag"] == "p":
+                    break
+                if node["tag"] in _BLOCKS:
+                    return
+        while self._pop() != tag:
+            pass
+
+    def _pop(self) -> str:
+        node = self.open.pop()
+        node["post"], node["last"], node["size"] = self.n, len(self.texts), self.size - node["begin"]
+        self.opened[node["tag"]] -= 1
+        if node["tag"] in _BLOCKS:
+            self.blocks.pop()
+        return node["tag"]
+
     def handle_data(self, data):
-        if self.mark:
-            data = data.replace(self.mark, "&")
         self.n += 1
-        block = x = self.at
-        while x is not None and x.tag not in V.BLOCK_TAGS:
-            x = x.parent
-        block = x or self.top
-        self.texts.append((self.n, self.at, data, block, block.size))
-        x = self.at
-        while x is not None:
-            x.parts.append(data)
-            x.size += len(data)
-            x = x.parent
-
-    def finish(self):
-        self.close()
-        while self.at.parent is not None:
-            self.done.append(self.at)
-            self.at = self.at.parent
-        return self
+        self.texts.append({"pre": self.n, "begin": self.size, "text": data})
+        self.size += len(data)
 
 
-def _root(tree: _Tree) -> tuple[int, _Node]:
-    """Rank and node of the content root; the page's top where it has none."""
-    best = min(tree.root_of) if tree.root_of else None
-    return (5, tree.top) if best is None else (best, tree.root_of[best])
+def page_trees(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """A row for each page: its elements, its text nodes and its content root.  A null page has no row."""
+    kinds = [pa.int64(), pa.list_(pa.struct(list(_NODE.items()))), pa.list_(pa.struct(list(_TEXT.items()))), pa.struct(list(_ROOT.items()))]
+    names = ["page_id", "nodes", "texts", "root"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # few pages at a time are Python objects
+                part = batch.slice(at, 64)
+                trees = list(map(_Tree, part.column(1).to_pylist()))
+                columns = part.column(0), *([getattr(t, name) for t in trees] for name in names[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-def _inside(x: _Node | None, root: _Node) -> bool:
-    while x is not None and x is not root:
-        x = x.parent
-    return x is not None
+    own = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).cast("long"), html_col)
+    return own.mapInArrow(run, TREE)
 
 
-def parts(html: str, least: int = 30) -> tuple[list[tuple], set[str], list[tuple], list[tuple]]:
-    """A page's body paragraphs (place, text), italic terms, bold paragraphs (place, text, raw) and readable text nodes (block, place, offset, text).
+def outermost(tags) -> Column:
+    """(pre, post) of the elements of these tags that lie in no other of them, in order."""
+    own = F.filter("nodes", lambda n: n["tag"].isin(*tags))
+    far = lambda found: A.running(F.transform(found, lambda n: n["post"]), F.greatest)
+    place = lambda n: F.struct(n["pre"].alias("pre"), n["post"].alias("post"))
+    outer = lambda found, past: F.transform(F.filter(found, lambda n, i: (i == 0) | (n["pre"] > F.get(past, i - 1))), place)
+    return A.let(own, lambda found: A.let(far(found), lambda past: outer(found, past)))
 
-    The same as the filters over ``page_nodes`` give, texts without white space at the ends, in one pass over the page.
-    """
-    tree = _Tree().read(html)
-    root = _root(tree)[1]
-    body, italics, bold, nodes = [], set(), [], []
-    for x in tree.done:
-        if x.tag in ("em", "i"):
-            term = "".join(x.parts).strip(_BLANK)
-            if len(term) >= 3 and any(p.search(term) for p in _NAMES):
-                italics.add(matching.lower(term))
-        elif x.tag == "p" and _inside(x, root):
-            above, raw = x.ancestors(), "".join(x.parts)
-            text = raw.strip(_BLANK)
-            bare = text.replace("\xa0", " ").replace("\ufeff", " ").strip(" \t\n\f\r")
-            if text and len(_SPACES.split(text)) >= least and _NOISE.isdisjoint(above):
-                body.append((x.ord, bare))
-            if _BLOCKED.isdisjoint(above):
-                bold.append((x.ord, bare, raw))
-    for n, x, data, block, offset in tree.texts:
-        if x.tag not in _BLOCKED and _LETTER.search(data) and _BLOCKED.isdisjoint(x.ancestors()):
-            nodes.append((block.ord, n, offset, data))
-    return body, italics, bold, nodes
-
-
-def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Rows of kind block (block tags), inline (em and i) and text (text nodes), in document order.
-
-    root_rank is -1 for rows outside the page's content root (all rows are inside where a page has none);
-    offset is a text node's place in its block's raw text; text is without spaces at the ends, but for text nodes.  A null
-    page has no rows.
-    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
-        for frame in frames:
-            rows = []
-            for page, html in zip(frame[id_col], frame[html_col], strict=True):
-                if html is None:
-                    continue
-                tree = _Tree().read(html)
-                rank, root = _root(tree)
-                for x in sorted(tree.done, key=lambda x: x.ord):
-                    kind = "block" if x.tag in V.BLOCK_TAGS else "inline" if x.tag in ("em", "i") else None
-                    if kind:
-                        raw, leaf = "".join(x.parts), not (x.children & _LEAF_CHILDREN)
-                        rows.append((page, x.ord, x.tag, rank if _inside(x, root) else -1, x.ancestors(), raw.strip(_BLANK), leaf, x.ord, kind, 0, raw))
-                for n, x, data, block, offset in tree.texts:
-                    rows.append((page, n, x.tag, rank if _inside(x, root) else -1, [x.tag, *x.ancestors()], data, True, block.ord, "text", offset, data))
-            yield pd.DataFrame(rows, columns=columns)
-
-    return pages.select(id_col, html_col).mapInPandas(run, BLOCK_SCHEMA)
+def apart(found: Column, sets: Column, body: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of an array and a test of numbers: inside one of the elements of ``sets``?  The last that opens before tells."""
+
+    def within(starts: Column, ends: Column) -> Callable[[Column], Column]:
+        return lambda pre: (F.size(starts) > 0) & F.coalesce(F.get(ends, A.last_at_most(starts, pre - 1)) >= pre, F.lit(False))
+
+    # Starts and ends are worked out once a row, before the array is gone through.
+    ends = F.transform(sets, lambda n: n["post"])
+    return A.let(F.transform(sets, lambda n: n["pre"]), lambda s: A.let(ends, lambda e: body(found, within(s, e))))
+
+
+def _in_root(pre: Column) -> Column:
+    root = F.col("root")
+    return (pre > root["pre"]) & (pre <= root["post"])
+
+
+def _raw(n: Column) -> Column:
+    return F.array_join(F.transform(F.slice("texts", n["first"] + 1, n["last"] - n["first"]), lambda t: t["text"]), "")
+
+
+def _element(n: Column) -> Column:
+    return F.struct(n["pre"].cast("long").alias("node_ord"), n["tag"].alias("tag"), T.trimmed(_raw(n)).alias("text"))
+
+
+def _rows(trees: DataFrame, elements: Column) -> DataFrame:
+    return trees.select("page_id", F.explode(elements).alias("_x")).select("page_id", "_x.*")
 
 
 def tokens_of(c: Column) -> Column:
     return F.when(c == "", 0).otherwise(F.size(F.split(c, f"{T.SPACE}+", -1)))
 
 
-def page_paragraphs(nodes: DataFrame, least: int = 18, tags=("p", "li")) -> DataFrame:
-    """p and li under the content root with ``least`` tokens or more."""
-    return nodes.filter((F.col("kind") == "block") & (F.col("root_rank") >= 0) & F.col("tag").isin(*tags) & (tokens_of(F.col("text")) >= least))
+def _long_enough(elements: Column, least: int) -> Column:
+    return F.filter(F.transform(elements, _element), lambda x: tokens_of(x["text"]) >= least)
 
 
-def body_paragraphs(nodes: DataFrame, least: int = 30) -> DataFrame:
-    """p under the content root, outside noise containers."""
-    return page_paragraphs(nodes, least, ("p",)).filter(~F.arrays_overlap("ancestors", F.array(*map(F.lit, V.NOISE_TAGS))))
+def page_paragraphs(trees: DataFrame, least: int = 18, tags=("p", "li")) -> DataFrame:
+    """(page_id, node_ord, tag, text): p and li under the content root with ``least`` tokens or more."""
+    return _rows(trees, _long_enough(F.filter("nodes", lambda n: n["tag"].isin(*tags) & _in_root(n["pre"])), least))
 
 
-def _unblocked() -> Column:
-    return ~F.arrays_overlap("ancestors", F.array(*map(F.lit, V.BLOCKED_TAGS)))
+def _outside(found: Column, tags) -> Column:
+    """Those of some nodes that lie in no element of these tags."""
+    return apart(found, outermost(tags), lambda nodes, within: F.filter(nodes, lambda n: ~within(n["pre"])))
 
 
-def paragraph_elements(nodes: DataFrame, least: int = 65) -> DataFrame:
-    """A page's p where it has three or more; else those and all leaf div and section of ``least`` words.
+def _body(least: int) -> Column:
+    return _long_enough(_outside(F.filter("nodes", lambda n: (n["tag"] == "p") & _in_root(n["pre"])), V.NOISE_TAGS), least)
 
-    Elements below a blocked tag count, but are left out.
-    """
-    inside = nodes.filter((F.col("kind") == "block") & (F.col("root_rank") >= 0))
-    n = inside.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("_p"))
-    leaf = F.col("tag").isin("div", "section") & F.col("is_leaf") & (tokens_of(F.col("text")) >= least)
-    return inside.join(n, "page_id").filter(((F.col("tag") == "p") | ((F.col("_p") < 3) & leaf)) & _unblocked()).drop("_p")
+
+def body_paragraphs(trees: DataFrame, least: int = 30) -> DataFrame:
+    """p under the content root, outside noise containers."""
+    return _rows(trees, _body(least))
 
 
-def bold_paragraphs(nodes: DataFrame) -> DataFrame:
-    """All p under the content root outside blocked tags, of any length."""
-    return nodes.filter((F.col("kind") == "block") & (F.col("root_rank") >= 0) & (F.col("tag") == "p") & _unblocked())
+def body_texts(trees: DataFrame, least: int = 30, italics: bool = False) -> DataFrame:
+    """(doc_id, paras, and italics where asked for): the same in the row, as ``tables.texts`` gives those of documents; pages without any are left out."""
+    para = lambda x: F.struct(x["node_ord"].alias("para_idx"), x["text"].alias("text"))
+    more = [_italics().alias("italics")] if italics else []
+    rows = trees.select(F.col("page_id").alias("doc_id"), F.transform(_body(least), para).alias("paras"), *more)
+    return rows.filter(F.size("paras") > 0)
 
 
-def readable_text(nodes: DataFrame, shortest: int = 0, need_allowed: bool = False) -> DataFrame:
-    """Text nodes outside blocked tags that hold a letter; for tagging, below an allowed tag and not short."""
-    out = nodes.filter((F.col("kind") == "text") & _unblocked() & F.col("text").rlike("[A-Za-z]") & (F.length("text") >= shortest))
-    return out.filter(F.arrays_overlap("ancestors", F.array(*map(F.lit, V.ALLOWED_TAGS)))) if need_allowed else out
+def paragraph_elements(trees: DataFrame, least: int = 65) -> DataFrame:
+    """A page's p where it has three or more; else those and all leaf div and section of ``least`` words.
+
+    Elements below a blocked tag count, but are left out.
+    """
+    rooted = F.filter("nodes", lambda n: _in_root(n["pre"]) & n["tag"].isin("p", "div", "section"))
+    few = F.size(F.filter(rooted, lambda n: n["tag"] == "p")) < 3
+    dense = lambda n: n["leaf"] & (tokens_of(T.trimmed(_raw(n))) >= least)
+    wanted = A.let(few, lambda f: F.filter(rooted, lambda n: (n["tag"] == "p") | (f & dense(n))))
+    return _rows(trees, F.transform(_outside(wanted, V.BLOCKED_TAGS), _element))
+
+
+def bold_blocks(trees: DataFrame) -> DataFrame:
+    """(page_id, paras, nodes): a page's p under the content root outside blocked tags, of any length, with their whole
+    texts, and its readable text nodes with the block around each; arrays in document order."""
+    own = _outside(F.filter("nodes", lambda n: (n["tag"] == "p") & _in_root(n["pre"])), V.BLOCKED_TAGS)
+    para = lambda n: F.struct(n["pre"].cast("long").alias("para_idx"), T.trimmed(_raw(n)).alias("text"), _raw(n).alias("raw"))
+    return trees.select("page_id", F.transform(own, para).alias("paras"), _readable(0, False).alias("nodes"))
+
+
+def blocks_of() -> Column:
+    """Marks (at, block) on the line of numbers: from ``at`` on, ``block`` is the nearest block around; the last at a number counts."""
+    blocks = F.filter("nodes", lambda n: n["tag"].isin(*V.BLOCK_TAGS) & (n["post"] > n["pre"]))
+    mark = lambda at, start, block: F.struct(at.alias("at"), start.alias("start"), (-block).alias("order"), block.alias("block"))
+    # An element's own text follows its number; where several end at once, the outermost's surroundings count.
+    opened = F.transform(blocks, lambda n: mark(n["pre"] + 1, F.lit(1), n["pre"]))
+    closed = F.transform(blocks, lambda n: mark(n["post"] + 1, F.lit(0), n["outer"]))
+    return F.array_sort(F.concat(opened, closed))
+
+
+def _readable(shortest: int, need_allowed: bool) -> Column:
+    lettered = F.filter("texts", lambda t: t["text"].rlike("[A-Za-z]") & (F.length(t["text"]) >= shortest))
+    fit = _outside(lettered, V.BLOCKED_TAGS)
+    if need_allowed:
+        fit = apart(fit, outermost(V.ALLOWED_TAGS), lambda found, within: F.filter(found, lambda t: within(t["pre"])))
+    blocks = F.filter("nodes", lambda n: n["tag"].isin(*V.BLOCK_TAGS))
+
+    def node(t: Column, n: Column, b: Column) -> Column:
+        offset = (t["begin"] - F.coalesce(b["begin"], F.lit(0))).cast("long")
+        return F.struct(
+            t["pre"].cast("long").alias("node_ord"), n.cast("long").alias("block_ord"), offset.alias("offset"), t["text"].alias("text"),
+            b["tag"].alias("tag"), b["size"].cast("long").alias("n_chars"),
+        )
+
+    def placed(found: Column, at: Column, number: Column, all_: Column, starts: Column) -> Column:
+        block_of = lambda t: F.coalesce(F.get(number, A.last_at_most(at, t["pre"])), F.lit(0))
+        block = lambda n: F.when(n > 0, F.get(all_, A.last_at_most(starts, n)))
+        return F.transform(found, lambda t: A.let(block_of(t), lambda n: A.let(block(n), lambda b: node(t, n, b))))
+
+    def lined(marks: Column, all_: Column) -> Column:
+        at, number = F.transform(marks, lambda m: m["at"]), F.transform(marks, lambda m: m["block"])
+        starts = F.transform(all_, lambda b: b["pre"])
+        return A.let(fit, lambda f: A.let(at, lambda a: A.let(number, lambda k: A.let(starts, lambda s: placed(f, a, k, all_, s)))))
+
+    return A.let(blocks_of(), lambda marks: A.let(blocks, lambda all_: lined(marks, all_)))
+
+
+def readable_text(trees: DataFrame, shortest: int = 0, need_allowed: bool = False) -> DataFrame:
+    """(page_id, node_ord, block_ord, offset, text, tag, n_chars): text nodes outside blocked tags that hold a letter; for tagging, below an
+    allowed tag and not short.  block_ord is the nearest block around, 0 where there is none; offset the node's
+    place in that block's text, tag and n_chars that block's."""
+    return _rows(trees, _readable(shortest, need_allowed))
+
+
+def nearest_blocks(trees: DataFrame, shortest: int = 0) -> DataFrame:
+    """(page_id, node_ord, block_ord, tag, n_chars): the nearest block around every readable text node below an allowed tag, with
+    its text's length.  block_ord 0, without a tag, is the page itself.
+    """
+    found = readable_text(trees, shortest, True)
+    return found.select("page_id", "node_ord", "block_ord", "tag", "n_chars")
 
 
 def numbered(nodes: DataFrame, name: str = "para_no") -> DataFrame:
@@ -251,11 +294,15 @@ def numbered(nodes: DataFrame, name: str = "para_no") -> DataFrame:
     return nodes.withColumn(name, F.row_number().over(Window.partitionBy("page_id").orderBy("node_ord")).cast("long"))
 
 
-def italic_terms(nodes: DataFrame) -> DataFrame:
+def _italics() -> Column:
+    texts = F.transform(F.filter("nodes", lambda n: n["tag"].isin("em", "i")), lambda n: T.trimmed(_raw(n)))
+    named = lambda t: t.rlike(T.spelled(_NAMED[0])) | t.rlike(T.spelled(_NAMED[1])) | t.rlike(_NAMED[2])
+    return F.array_distinct(F.transform(F.filter(texts, lambda t: (F.length(t) >= 3) & named(t)), F.lower))
+
+
+def italic_terms(trees: DataFrame) -> DataFrame:
     """(page_id, term): italics that hold a binomial or abbreviated species, or are one capitalised name."""
-    t = F.trim(F.col("text"))
-    good = (F.length(t) >= 3) & (t.rlike(_NAMED[0]) | t.rlike(_NAMED[1]) | t.rlike(_NAMED[2] + r"\z"))
-    return nodes.filter((F.col("kind") == "inline") & good).select("page_id", T.lower(t).alias("term")).distinct()
+    return trees.select("page_id", F.explode(_italics()).alias("term")).distinct()
 
 
 def site_enabled(pages: DataFrame, state: Column, url_col: str = "url") -> DataFrame:

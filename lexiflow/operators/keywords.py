@@ -11,6 +11,7 @@ from lexiflow.functions import values as V
 from lexiflow.functions.patterns import PATTERNS
 from lexiflow.operators import matching
 from lexiflow.operators import terms as O
+from lexiflow.operators import words as W
 from lexiflow.sources.tables import tokens
 
 _STOPS, _STARTERS = list(V.STOP_WORDS), list(V.STARTERS)
@@ -114,8 +115,8 @@ def scored_terms(terms: DataFrame, freq: DataFrame, vocab: DataFrame) -> DataFra
     # What depends on a word alone is worked out once a word, before the words of documents meet it.
     ranked = freq.select(F.col("word").alias("term"), F.col("rank").alias("_rank"), S.complexity(F.col("word"), F.col("rank")).alias("_complexity"))
     weighted = vocab.select("term", F.col("weight").alias("_weight"), F.lit(True).alias("_listed"))
-    known = ranked.join(weighted, "term", "full").hint("shuffle_hash")
-    terms = terms.join(known, "term", "left")
+    known = ranked.join(weighted, "term", "full")
+    terms = W.by_word(terms, known, F.col("_rank") < W.COMMON, "term")
     has = lambda bit: F.col("sources").bitwiseAND(bit) > 0
     science, entity, acronym = (has(bit) for bit in (O.SCIENCE, O.ENTITY, O.ACRONYM))
     listed = has(O.WORD) & F.coalesce("_listed", F.lit(False))

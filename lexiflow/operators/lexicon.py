@@ -33,6 +33,71 @@ def pos_of_tags(tags: Column) -> Column:
     return F.when(has("n"), "noun").when(has("v"), "verb").when(has("adj"), "adjective").when(has("adv"), "adverb").otherwise("other")
 
 
+#: Endings by which a word of the corpus is taken for a part of speech: tag of the first source, name of the second, endings.
+ENDINGS = (("v", "Verb", ("ed", "ing")), ("adv", "Adverb", ("ly",)), ("adj", "Adjective", ("ous", "ful", "al")))
+MOST_FOLLOWERS, MOST_BEFORE, MOST_PLACES = 40, 10, 3
+
+
+def _by_ending(word: Column, place: int, other: str) -> Column:
+    out = F.lit(other)
+    for entry in reversed(ENDINGS):
+        out = F.when(word.rlike(f"(?:{'|'.join(entry[2])})$"), entry[place]).otherwise(out)
+    return out
+
+
+def _best(rows: DataFrame, by: str, order: list, most: int, item: Column, name: str) -> DataFrame:
+    """(word, name): the first ``most`` rows of each ``by``, as an array (a top-k payload)."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    kept = rows.withColumn("_rank", rank).filter(F.col("_rank") <= most)
+    items = F.array_sort(F.collect_list(F.struct("_rank", item.alias("item"))))
+    return kept.groupBy(F.col(by).alias("word")).agg(F.transform(items, lambda x: x["item"]).alias(name))
+
+
+def corpus_lexicon(texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """(word, a, b): a lexicon in the two sources' shapes, from what stands beside the words ``heads`` (word) in ``texts`` (doc_id, paras).
+
+    The first source has a head's most frequent followers with their counts, the second the words most frequent before it, and
+    as definitions the paragraphs after the first ones that hold it.  A source without anything is null.
+    """
+    words = texts.select("doc_id", F.posexplode("paras").alias("at", "p")).select(
+        "doc_id", F.col("p.para_idx").alias("para_idx"), F.transform(F.split("p.text", f"{T.SPACE}+", -1), T.letters_hyphens).alias("w")
+    )
+    pair = F.transform("w", lambda x, i: F.struct(x.alias("first"), F.get("w", i + 1).alias("second")))
+    pairs = words.select(F.explode(pair).alias("x")).select("x.*").filter("first <> '' AND second <> ''").groupBy("first", "second").agg(F.count("*").alias("n"))
+    own = lambda name: heads.select(F.col("word").alias(name))
+    tagged = F.struct(F.col("second").alias("word"), F.col("n").cast("int").alias("score"), F.array(_by_ending(F.col("second"), 0, "n")).alias("tags"))
+    after = _best(pairs.join(own("first"), "first", "left_semi"), "first", [F.desc("n"), "second"], MOST_FOLLOWERS, tagged, "a")
+    before = _best(pairs.join(own("second"), "second", "left_semi"), "second", [F.desc("n"), "first"], MOST_BEFORE, F.col("first"), "before")
+    held = words.select("doc_id", "para_idx", F.explode(F.array_distinct("w")).alias("word")).join(own("word"), "word", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("word").orderBy("doc_id", "para_idx"))
+    held = held.withColumn("_rank", rank).filter(F.col("_rank") <= MOST_PLACES)  # places first; texts join what is left
+    following = texts.select("doc_id", F.explode("paras").alias("p")).select("doc_id", (F.col("p.para_idx") - 1).alias("para_idx"), F.col("p.text").alias("definition"))
+    item = F.struct("definition", F.array().cast("array<string>").alias("synonyms"))
+    told = held.join(following, ["doc_id", "para_idx"]).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("_rank", item.alias("item")))).alias("d"))
+    told = told.select("word", F.transform("d", lambda x: x["item"]).alias("definitions"))
+    senses = before.join(told, "word", "full")
+    none = F.array().cast("array<string>")
+    meaning = F.struct(
+        _by_ending(F.col("word"), 1, "Noun").alias("partOfSpeech"), F.coalesce("before", none).alias("synonyms"),
+        F.coalesce("definitions", F.array().cast("array<struct<definition: string, synonyms: array<string>>>")).alias("definitions"),
+    )
+    second = senses.select("word", F.to_json(F.array(F.struct(F.array(meaning).alias("meanings")))).alias("b"))
+    return heads.select("word").join(after.select("word", F.to_json("a").alias("a")), "word", "left").join(second, "word", "left")
+
+
+def records_of(docs: DataFrame) -> DataFrame:
+    """(rec_ord, trees, names): documents as descriptor records, with two branches by number and the first three tokens as names."""
+    branch = lambda n: F.substring(F.lit(BRANCHES), (n % len(BRANCHES) + 1).cast("int"), F.lit(1))
+    n = F.col("doc_id")
+    trees = F.array(F.concat(branch(n), F.lit("04."), (n % 7).cast("string")), F.concat(branch(F.floor(n / len(BRANCHES))), F.lit("12")))
+    names = F.slice(T.tokens(F.coalesce("text", F.lit(""))), 1, 3)
+    return docs.filter("doc_id IS NOT NULL").select(n.alias("rec_ord"), trees.alias("trees"), names.alias("names"))
+
+
+#: Branches that documents take in turn; not all of them have a weight.
+BRANCHES = "CDZGHANBEFIJ"
+
+
 def synonyms(lexicon: DataFrame) -> DataFrame:
     """(word, pos, synonym, ord) from ``lexicon`` (word, a, b: JSON); a missing or broken source counts as empty."""
     lex = lexicon.select(F.lower("word").alias("word"), F.from_json("a", SOURCE_A).alias("a"), F.from_json("b", SOURCE_B).alias("b"))
@@ -57,7 +122,7 @@ def definitions(lexicon: DataFrame) -> DataFrame:
 
 def synonym_cards(lexicon: DataFrame, freq: DataFrame) -> DataFrame:
     """(word, pos, synonyms, definition, entry): simplest synonyms first, three at most; nouns last; empty entries left out."""
-    syn = synonyms(lexicon).join(F.broadcast(freq.withColumnRenamed("word", "synonym")), "synonym", "left")
+    syn = synonyms(lexicon).join(freq.withColumnRenamed("word", "synonym"), "synonym", "left")
     syn = syn.withColumn("score", S.complexity(F.col("synonym"), F.col("rank")))
     ranked = syn.groupBy("word", "pos").agg(F.array_sort(F.collect_list(F.struct("score", "ord", "synonym"))).alias("r"), F.min("ord").alias("first"))
     by_length = lambda sign: F.array_sort(F.transform("r", lambda x, i: F.struct((sign * F.length(x["synonym"])).alias("l"), i.alias("i"), x["synonym"].alias("synonym"))))[0]["synonym"]
@@ -91,7 +156,7 @@ def vocabulary_from_records(records: DataFrame) -> DataFrame:
     weights = F.create_map(*(F.lit(x) for kv in V.BRANCH_WEIGHTS.items() for x in kv))
     tree = records.select("rec_ord", F.posexplode("trees").alias("i", "tree")).withColumn("branch", F.substring("tree", 1, 1)).withColumn("weight", F.try_element_at(weights, F.col("branch"))).filter("weight IS NOT NULL")
     best = tree.groupBy("rec_ord").agg(F.max_by(F.struct("branch", "weight"), F.struct("weight", -F.col("i"))).alias("b"))
-    names = records.select("rec_ord", F.posexplode("names").alias("i", "name")).withColumn("term", F.trim(F.lower("name"))).filter((F.length("term") >= 2) & ~F.col("term").rlike(r"^\d+$"))
+    names = records.select("rec_ord", F.posexplode("names").alias("i", "name")).withColumn("term", T.trimmed(F.lower("name"))).filter((F.length("term") >= 2) & ~F.col("term").rlike(r"^\d+$"))
     first = names.join(best, "rec_ord").groupBy("term").agg(F.min_by("b", F.struct("rec_ord", "i")).alias("b"))
     return first.select("term", "b.branch", "b.weight")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions import arrays as A
@@ -22,27 +22,55 @@ def word_complexity(paras: DataFrame, freq: DataFrame) -> DataFrame:
     return scored.select("word", "n", S.syllables_word(F.col("word")).cast("long").alias("syllables"), F.round(S.complexity(F.col("word"), F.col("rank")), 6).alias("score"))
 
 
+#: Words of a rank below this are looked up in a broadcast list, which is as long as this at most; others by shuffling.
+COMMON = 2000
+
+
+def by_word(rows: DataFrame, words: DataFrame, common: Column, on: str = "word", undecided: Column | None = None) -> DataFrame:
+    """``rows`` left joined with ``words`` (unique ``on``), those that are ``common`` apart, so that no frequent word meets in one task.
+
+    ``common`` must hold for a bounded number of words.  ``undecided``: of rows with common words, which go on, by columns of ``words``.
+    """
+    values = [c for c in words.columns if c != on]
+    packed = words.select(on, F.struct(*values).alias("_w"), F.coalesce(common, F.lit(False)).alias("_c"))
+    few = packed.filter("_c").select(on, F.col("_w").alias("_a"))
+    many = packed.filter("NOT _c").select(F.col(on).alias("_key"), F.col("_w").alias("_b"))
+    out = rows.join(F.broadcast(few), on, "left")
+    if undecided is not None:
+        out = out.select("*", *(F.col("_a")[c].alias(f"_a_{c}") for c in values)).filter(F.col("_a").isNull() | undecided).drop(*(f"_a_{c}" for c in values))
+    # Rows that are done with are dealt out evenly: their key is no word.
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*(c for c in rows.columns)), F.lit(1024)).cast("string"))
+    out = out.withColumn("_key", F.when(F.col("_a").isNotNull(), spread).otherwise(F.col(on))).join(many, "_key", "left")
+    value = F.coalesce("_a", "_b")
+    return out.select(*rows.columns, *(value[c].alias(c) for c in values))
+
+
+def _tiered(rows: DataFrame, freq: DataFrame, level: str) -> DataFrame:
+    """``rows`` with the tier of their word, those without one left out.  A word that no list holds has no rank."""
+    ranked = freq.withColumn("tier", S.tier(S.complexity(F.col("word"), F.col("rank")), level))
+    out = by_word(rows, ranked, F.col("rank") < COMMON, undecided=F.col("_a_tier").isNotNull())
+    unknown = S.tier(S.complexity(F.col("word"), F.lit(None).cast("long")), level)
+    return out.withColumn("tier", F.when(F.col("rank").isNull(), unknown).otherwise(F.col("tier"))).filter("tier IS NOT NULL").drop("rank")
+
+
 def complex_vocabulary(paras: DataFrame, freq: DataFrame, level: str = "medium") -> DataFrame:
     """(doc_id, word, n, tier): words never capitalised that reach the level."""
     n = words(paras).filter(~F.col("word").rlike("^[A-Z]")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    distinct = n.select("word").distinct().join(freq, "word", "left")
-    tiers = distinct.select("word", S.tier(S.complexity(F.col("word"), F.col("rank")), level).alias("tier")).filter("tier IS NOT NULL")
-    return n.join(tiers, "word").select("doc_id", "word", "n", "tier")
+    return _tiered(n, freq, level).select("doc_id", "word", "n", "tier")
 
 
 def underline_tiers(paras: DataFrame, freq: DataFrame, level: str = "medium") -> DataFrame:
     """(doc_id, para_idx, start, end, word, tier): every occurrence, places in code points.
 
-    Places are running sums over the pieces between words; vocabulary is scored once and joined back.
+    Places are running sums over the pieces between words; common words are done with before anything is shuffled.
     """
     text, pattern = F.col("text"), T.spark_pattern(T.WORD)
     found = T.find_all(text, T.WORD)
     rows = F.zip_with(A.placed(found, F.split(text, pattern, -1)), found, lambda p, w: F.struct(p["start"].alias("start"), w.alias("word")))
     placed = paras.select("doc_id", "para_idx", F.explode(rows).alias("x")).select("doc_id", "para_idx", "x.start", "x.word")
-    placed = placed.filter((F.length("word") > 1) & ~F.col("word").rlike("^[A-Z]"))
-    distinct = placed.select("word").distinct().join(freq, "word", "left")
-    tiers = distinct.select("word", S.tier(S.complexity(F.col("word"), F.col("rank")), level).alias("tier")).filter("tier IS NOT NULL")
-    return placed.join(tiers, "word").select("doc_id", "para_idx", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("word")).cast("long").alias("end"), "word", "tier")
+    out = _tiered(placed.filter((F.length("word") > 1) & ~F.col("word").rlike("^[A-Z]")), freq, level)
+    start = F.col("start").cast("long")
+    return out.select("doc_id", "para_idx", start.alias("start"), (start + F.length("word")).alias("end"), "word", "tier")
 
 
 def sentence_rows(paras: DataFrame, split=T.sentences) -> DataFrame:
@@ -51,19 +79,34 @@ def sentence_rows(paras: DataFrame, split=T.sentences) -> DataFrame:
     return out.withColumn("sent_idx", F.col("sent_idx").cast("long"))
 
 
-def sentence_split(paras: DataFrame, scored: DataFrame) -> DataFrame:
+#: A score's text counts by so many characters.
+HEAD = 80
+
+
+def sentence_split(paras: DataFrame, scored: DataFrame, split=None) -> DataFrame:
     """(doc_id, para_idx, sent_idx, sentence): list items of paragraphs scored split or llm, two sentences at least.
 
-    A paragraph takes the first score of its document whose text's first 80 characters open it: an equi-join
-    on those 80 characters, and on the whole of shorter score texts by a residual within the document.
+    A paragraph takes the first score of its document whose text's first 80 characters open it, by an equi-join: a paragraph's own
+    beginnings, of the lengths that its document's scores have (80 at most), against the different beginnings of scores.  Paragraphs
+    of one doc_id and para_idx take the same score.  ``paras`` may have these lengths in the row (``lengths``, an array).
     """
-    key = F.substring("text", 1, 80)
-    score = scored.select("doc_id", F.col("text").alias("_t"), F.col("para_idx").alias("_ord"), "action")
-    long_ = paras.withColumn("_key", key).join(score.filter(F.length("_t") >= 80).withColumn("_key", F.substring("_t", 1, 80)).drop("_t"), ["doc_id", "_key"]).drop("_key")
-    short = paras.join(score.filter(F.length("_t") < 80), "doc_id").filter(F.startswith("text", "_t")).drop("_t")
-    first = F.row_number().over(Window.partitionBy("doc_id", "para_idx").orderBy("_ord"))
-    matched = long_.unionByName(short).withColumn("_rn", first).filter((F.col("_rn") == 1) & F.col("action").isin("split", "llm"))
-    return sentence_rows(matched.filter(F.size(T.split_sentences(F.col("text"))) >= 2), T.split_sentences)
+    head = F.substring("text", 1, HEAD)
+    first = scored.select("doc_id", head.alias("_key"), F.struct("para_idx", "action").alias("_s")).groupBy("doc_id", "_key").agg(F.min("_s").alias("_s"))
+    rows = paras
+    if "lengths" not in paras.columns:
+        rows = paras.join(first.groupBy("doc_id").agg(F.collect_set(F.length("_key")).alias("lengths")), "doc_id")
+    beginnings = F.transform(F.filter("lengths", lambda n: n <= F.length("text")), lambda n: F.substring(F.col("text"), F.lit(1), n))
+    opened = rows.select("doc_id", "para_idx", F.explode(beginnings).alias("_key")).join(first, ["doc_id", "_key"])
+    met = opened.groupBy("doc_id", "para_idx").agg(F.min("_s").alias("_s")).filter(F.col("_s.action").isin("split", "llm")).select("doc_id", "para_idx")
+    chosen = paras.drop("lengths").join(met, ["doc_id", "para_idx"], "left_semi")
+    split = split or T.split_sentences
+    return sentence_rows(chosen.filter(F.size(T.split_sentences(F.col("text"))) >= 2), split)
+
+
+def heads_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, para_idx, text, lengths) of ``texts`` (doc_id, paras): paragraphs with the lengths that beginnings in their row have."""
+    lengths = F.array_distinct(F.transform("paras", lambda p: F.least(F.length(p["text"]), F.lit(HEAD))))
+    return texts.select("doc_id", lengths.alias("lengths"), F.explode("paras").alias("p")).select("doc_id", "p.para_idx", "p.text", "lengths")
 
 
 def citation_parentheticals(texts: DataFrame) -> DataFrame:
@@ -73,16 +116,25 @@ def citation_parentheticals(texts: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "content").agg(F.count("*").alias("n")).withColumn("is_citation", year | F.col("content").rlike(T.spark_pattern(r"(?i)\bet\s+al\b")))
 
 
+def _starts(words: Column) -> Column:
+    """Characters before each word, one between words."""
+    return A.let(A.running(F.transform(words, lambda w: F.length(w) + 1)), lambda ends: F.zip_with(ends, words, lambda e, w: (e - F.length(w) - 1).cast("long")))
+
+
 def word_offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, word_idx, start, word): words of a text with the characters before them, one between words."""
-    out = rows.select(*keys, F.posexplode(F.split(T.trimmed(F.col("text")), f"{T.SPACE}+", -1)).alias("word_idx", "word"))
-    before = F.sum(F.length("word") + 1).over(Window.partitionBy(*keys).orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1))
-    return out.select(*keys, F.col("word_idx").cast("long").alias("word_idx"), F.coalesce(before, F.lit(0)).cast("long").alias("start"), "word")
-
-
-def offset_lookup(offsets: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, at, word_idx, word): for each place the last word that starts there or before; word 0 where none does."""
-    w = Window.partitionBy(*keys).orderBy("word_idx")
-    spans = offsets.withColumn("_next", F.lead("start").over(w))
-    joined = marks.join(spans, keys).filter(((F.col("start") <= F.col("at")) | (F.col("word_idx") == 0)) & (F.col("_next").isNull() | (F.col("at") < F.col("_next"))))
-    return joined.select(*keys, "at", "word_idx", "word")
+    """(keys, word_idx, start, word): words of a text with the characters before them, one between words; each row for itself."""
+    words = F.split(T.trimmed(F.col("text")), f"{T.SPACE}+", -1)
+    placed = A.let(words, lambda w: F.zip_with(_starts(w), w, lambda s, x: F.struct(s.alias("start"), x.alias("word"))))
+    return rows.select(*keys, F.posexplode(placed).alias("word_idx", "x")).select(*keys, F.col("word_idx").cast("long").alias("word_idx"), "x.start", "x.word")
+
+
+def offset_lookup(rows: DataFrame, places: Column, keys: list[str]) -> DataFrame:
+    """(keys, at, word_idx, word): for each of a row's ``places`` the last word that starts there or before; word 0 where none does."""
+    words = F.split(T.trimmed(F.col("text")), f"{T.SPACE}+", -1)
+
+    def found(w: Column, starts: Column, at: Column) -> Column:
+        place = lambda i: F.struct(at.alias("at"), i.cast("long").alias("word_idx"), F.get(w, i).alias("word"))
+        return A.let(F.greatest(A.last_at_most(starts, at), F.lit(0)), place)
+
+    looked = A.let(words, lambda w: A.let(_starts(w), lambda s: F.transform(places, lambda at: found(w, s, at))))
+    return rows.select(*keys, F.explode(looked).alias("x")).select(*keys, "x.*")

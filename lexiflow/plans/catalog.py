@@ -99,13 +99,11 @@ def action_summary(spark, d):
     return S.paragraph_scores(_paras(spark, d)).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@_query(f"""{Q.BASE}, {Q.SCORED}, met AS (SELECT p.doc_id, p.para_idx, p.text, s.action, row_number() OVER (PARTITION BY p.doc_id, p.para_idx ORDER BY s.para_idx) AS rn
-  FROM paras p JOIN scored s ON p.doc_id = s.doc_id AND starts_with(p.text, substr(s.text, 1, 80))),
-lists AS (SELECT doc_id, para_idx, {Q.split_sentences('text')} AS l FROM met WHERE rn = 1 AND action IN ('split', 'llm'))
+@_query(f"""{Q.BASE}, {Q.SCORED}, met AS (SELECT p.doc_id, p.para_idx, arg_min(s.action, s.para_idx) AS action FROM paras p JOIN scored s ON p.doc_id = s.doc_id AND starts_with(p.text, substr(s.text, 1, 80)) GROUP BY ALL),
+lists AS (SELECT doc_id, para_idx, {Q.split_sentences('text')} AS l FROM paras JOIN met USING (doc_id, para_idx) WHERE action IN ('split', 'llm'))
 SELECT doc_id, para_idx, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_idx, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM lists WHERE len(l) >= 2)""")
 def sentence_split(spark, d):
-    paras = _paras(spark, d)
-    return W.sentence_split(paras, S.paragraph_scores(paras).select("doc_id", "para_idx", "text", "action"))
+    return W.sentence_split(W.heads_of(_texts(spark, d)), S.paragraph_scores(_paras(spark, d)).select("doc_id", "para_idx", "text", "action"))
 
 
 _WORDS = f"occ AS (SELECT doc_id, para_idx, unnest(regexp_extract_all(text, {Q.quoted(T.WORD)})) AS word FROM paras)"
@@ -199,25 +197,25 @@ def citation_parentheticals(spark, d):
     return W.citation_parentheticals(B.table(spark, d, "documents"))
 
 
-_OFFSETS = r"""WITH trimmed AS (SELECT conv_id, turn, string_split_regex(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+') AS l FROM conversations),
-ws AS (SELECT conv_id, turn, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS word_idx FROM trimmed),
-offs AS (SELECT conv_id, turn, word_idx, (sum(length(word) + 1) OVER (PARTITION BY conv_id, turn ORDER BY word_idx) - length(word) - 1)::BIGINT AS start, word FROM ws)"""
+_OFFSETS = r"""WITH trimmed AS (SELECT row_number() OVER () AS r, conv_id, turn, string_split_regex(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+') AS l FROM conversations),
+ws AS (SELECT r, conv_id, turn, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS word_idx FROM trimmed),
+offs AS (SELECT r, conv_id, turn, word_idx, (sum(length(word) + 1) OVER (PARTITION BY r ORDER BY word_idx) - length(word) - 1)::BIGINT AS start, word FROM ws)"""
 
 
-def _offsets(spark, d):
-    return W.word_offsets(B.table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), ["conv_id", "turn"])
+def _turns(spark, d):
+    return B.table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-@_query(f"{_OFFSETS} SELECT * FROM offs")
+@_query(f"{_OFFSETS} SELECT conv_id, turn, word_idx, start, word FROM offs")
 def word_offsets(spark, d):
-    return _offsets(spark, d)
+    return W.word_offsets(_turns(spark, d), ["conv_id", "turn"])
 
 
-@_query(f"""{_OFFSETS}, marks AS (SELECT conv_id, turn, unnest([0, 10, 100])::BIGINT AS at FROM conversations)
-SELECT m.conv_id, m.turn, m.at, max(o.word_idx)::BIGINT AS word_idx, arg_max(o.word, o.word_idx) AS word FROM marks m JOIN offs o ON m.conv_id = o.conv_id AND m.turn = o.turn AND (o.start <= m.at OR o.word_idx = 0) GROUP BY ALL""")
+@_query(f"""{_OFFSETS}, marks AS (SELECT r, unnest([0, 10, 100])::BIGINT AS at FROM trimmed)
+SELECT o.conv_id, o.turn, m.at, max(o.word_idx)::BIGINT AS word_idx, arg_max(o.word, o.word_idx) AS word FROM marks m JOIN offs o ON m.r = o.r AND (o.start <= m.at OR o.word_idx = 0) GROUP BY o.r, o.conv_id, o.turn, m.at""")
 def offset_lookup(spark, d):
-    marks = B.table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 10, 100)))).alias("at"))
-    return W.offset_lookup(_offsets(spark, d), marks, ["conv_id", "turn"])
+    places = F.array(*(F.lit(x).cast("long") for x in (0, 10, 100)))
+    return W.offset_lookup(_turns(spark, d), places, ["conv_id", "turn"])
 
 
 @_query(f"""{Q.ALL_LANGUAGES} SELECT doc_id, para_idx, i - 1 AS piece_idx, piece FROM (SELECT doc_id, para_idx, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, para_idx, regexp_extract_all(text, '\\S+|\\s+') AS l FROM paras))""")
@@ -288,10 +286,9 @@ def page_nearest_blocks(spark, d):
     return H.numbered(H.nearest_blocks(_trees(spark, d)), "node_no").select("page_id", "node_no", "tag", "n_chars")
 
 
-@_query(f"""WITH {Q.PAGE_PARAS}, paras AS (SELECT page_id AS doc_id, p AS para_idx, text FROM page_paras WHERE text <> ''), {Q.SCORED}, met AS (SELECT p.doc_id, p.para_idx, p.text, s.action,
-  row_number() OVER (PARTITION BY p.doc_id, p.para_idx ORDER BY s.para_idx) AS rn FROM paras p JOIN scored s ON p.doc_id = s.doc_id AND starts_with(p.text, substr(s.text, 1, 80))
-  WHERE len(string_split_regex(s.text, '\\s+')) >= 18),
-lists AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY para_idx) AS para_no, {Q.split_sentences('text')} AS l FROM met WHERE rn = 1 AND action IN ('split', 'llm') AND len({Q.split_sentences('text')}) >= 2)
+@_query(f"""WITH {Q.PAGE_PARAS}, paras AS (SELECT page_id AS doc_id, p AS para_idx, text FROM page_paras WHERE text <> ''), {Q.SCORED}, met AS (SELECT p.doc_id, p.para_idx, arg_min(s.action, s.para_idx) AS action FROM paras p JOIN scored s ON p.doc_id = s.doc_id AND starts_with(p.text, substr(s.text, 1, 80))
+  WHERE len(string_split_regex(s.text, '\\s+')) >= 18 GROUP BY ALL),
+lists AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY para_idx) AS para_no, {Q.split_sentences('text')} AS l FROM paras JOIN met USING (doc_id, para_idx) WHERE action IN ('split', 'llm') AND len({Q.split_sentences('text')}) >= 2)
 SELECT doc_id AS page_id, para_no, i - 1 AS sent_idx, sentence FROM (SELECT doc_id, para_no, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM lists)""")
 def page_sentence_split(spark, d):
     trees = _trees(spark, d)
@@ -319,41 +316,30 @@ def named_entities(spark, d):
     return tagging.entities(_paras(spark, d))
 
 
-_A = '[{"word": "exit", "score": 9, "tags": ["n"]}, {"word": "quit", "score": 8, "tags": ["v"]}, {"word": "leaving behind it", "score": 7, "tags": ["v"]}, {"word": "depart", "score": 6, "tags": ["v"]}, {"word": "go away", "score": 5, "tags": ["v"]}, {"word": "abandon", "score": 4, "tags": ["v"]}, {"word": "leaf", "score": 3, "tags": ["n"]}]'
-_B = '[{"meanings": [{"partOfSpeech": "Verb", "synonyms": ["forsake"], "definitions": [{"definition": "To leave a place.", "synonyms": ["vacate"]}, {"definition": "To go out of a place.", "synonyms": []}]}, {"partOfSpeech": "Noun", "synonyms": [], "definitions": [{"definition": "Permission to be absent.", "synonyms": ["holiday"]}]}]}]'
+_CARDS = f"{Q.BASE}, {Q.LEXICON}, {Q.CARDS}"
 
 
-#: A small static lexicon in the two sources' shapes; a broken and a missing source among them.
-LEXICON = (("Leave", _A, _B), ("unknown", None, "broken"), ("stop", _A, None))
-RANKS = (("exit", 900), ("quit", 1200), ("depart", 9000), ("abandon", 4000), ("vacate", 15000))
-_CARDS = f"WITH {Q.cards(LEXICON, RANKS)}"
+def _cards(spark, d):
+    freq = _freq(spark, d)
+    lexicon = L.corpus_lexicon(_texts(spark, d), B.vocabulary(freq).select(F.col("term").alias("word")))
+    return L.synonym_cards(lexicon, freq)
 
 
 @_query(f"{_CARDS} SELECT * FROM cards")
 def synonym_cards(spark, d):
-    lexicon = spark.createDataFrame(list(LEXICON), "word string, a string, b string")
-    return L.synonym_cards(lexicon, spark.createDataFrame(list(RANKS), "word string, rank long"))
+    return _cards(spark, d)
 
 
 @_query(f"{_CARDS}, {Q.SHOWN}")
 def shown_cards(spark, d):
-    shown = [L.shown(synonym_cards(spark, d), tier).withColumn("tier", F.lit(tier)) for tier in ("lite", "full")]
+    cards = _cards(spark, d)
+    shown = [L.shown(cards, tier).withColumn("tier", F.lit(tier)) for tier in ("lite", "full")]
     return shown[0].unionByName(shown[1]).select("word", "tier", "synonyms", "definitions")
 
 
-def records(spark: SparkSession) -> DataFrame:
-    rows = [(0, ["C04.1", "D02.5"], ["Neoplasms", "Tumors", "Cancer "]), (1, ["Z01"], ["Africa"]), (2, ["H01", "G02"], ["Cell Biology", "Cancer", "7"]), (3, ["D12", "D13"], ["Enzymes", "x"])]
-    return spark.createDataFrame(rows, "rec_ord long, trees array<string>, names array<string>")
-
-
-@_query("""WITH rec(rec_ord, trees, names) AS (VALUES (0, ['C04.1', 'D02.5'], ['Neoplasms', 'Tumors', 'Cancer ']), (1, ['Z01'], ['Africa']), (2, ['H01', 'G02'], ['Cell Biology', 'Cancer', '7']), (3, ['D12', 'D13'], ['Enzymes', 'x'])),
-w(branch, weight) AS (VALUES """ + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in V.BRANCH_WEIGHTS.items()) + r"""),
-tree AS (SELECT rec_ord, unnest(trees) AS t, generate_subscripts(trees, 1) AS i FROM rec),
-best AS (SELECT rec_ord, w.branch, weight FROM tree JOIN w ON w.branch = substr(t, 1, 1) QUALIFY row_number() OVER (PARTITION BY rec_ord ORDER BY weight DESC, i) = 1),
-named AS (SELECT rec_ord, trim(lower(unnest(names))) AS term, generate_subscripts(names, 1) AS i FROM rec)
-SELECT term, branch, weight FROM named JOIN best USING (rec_ord) WHERE length(term) >= 2 AND NOT regexp_matches(term, '^\d+$') QUALIFY row_number() OVER (PARTITION BY term ORDER BY rec_ord, i) = 1""")
+@_query(Q.DICTIONARY)
 def vocabulary_dictionary(spark, d):
-    return L.vocabulary_from_records(records(spark))
+    return L.vocabulary_from_records(L.records_of(_docs(spark, d)))
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ import re
 from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.functions.patterns import PATTERNS
+from lexiflow.operators import lexicon as L
 from lexiflow.operators.tagging import ENDINGS, ENTITY, WORDS
 
 
@@ -237,19 +238,32 @@ POS = f"""SELECT doc_id, para_idx, sent_idx, i - 1 AS term_idx, word AS text, po
   WHERE low NOT IN {among(WORDS)} AND length(regexp_replace(word, '[^a-zA-Z]', '', 'g')) >= 4)"""
 
 
-def cards(lexicon, ranks) -> str:
-    """CTEs that end in cards(word, pos, synonyms, definition, entry), from rows (word, a, b) of JSON and (word, rank)."""
-    value = lambda x: "NULL" if x is None else quoted(x)
-    rows = ", ".join(f"({', '.join(map(value, r))})" for r in lexicon)
-    known = ", ".join(f"({quoted(w)}, {r}::BIGINT)" for w, r in ranks)
+def _by_ending(c: str, place: int, other: str) -> str:
+    return "(CASE " + " ".join(f"WHEN regexp_matches({c}, '(?:{'|'.join(e[2])})$') THEN '{e[place]}'" for e in L.ENDINGS) + f" ELSE '{other}' END)"
+
+
+#: A lexicon from the words beside those of the vocabulary.
+LEXICON = rf"""words AS (SELECT doc_id, para_idx, tok_idx, {CLEAN.format('raw')} AS w FROM toks),
+pairs AS (SELECT first, second, count(*)::INT AS n FROM (SELECT w AS first, lead(w) OVER (PARTITION BY doc_id, para_idx ORDER BY tok_idx) AS second FROM words) WHERE first <> '' AND second <> '' GROUP BY ALL),
+followers AS (SELECT first AS word, list({{'word': second, 'score': n, 'tags': [{_by_ending('second', 0, 'n')}]}} ORDER BY r) AS a FROM (
+  SELECT *, row_number() OVER (PARTITION BY first ORDER BY n DESC, second) AS r FROM pairs WHERE first IN (SELECT term FROM vocab)) WHERE r <= {L.MOST_FOLLOWERS} GROUP BY first),
+before AS (SELECT second AS word, list(first ORDER BY r) AS s FROM (
+  SELECT *, row_number() OVER (PARTITION BY second ORDER BY n DESC, first) AS r FROM pairs WHERE second IN (SELECT term FROM vocab)) WHERE r <= {L.MOST_BEFORE} GROUP BY second),
+held AS (SELECT w AS word, doc_id, para_idx, row_number() OVER (PARTITION BY w ORDER BY doc_id, para_idx) AS r FROM (SELECT DISTINCT w, doc_id, para_idx FROM words WHERE w IN (SELECT term FROM vocab))),
+told_by AS (SELECT h.word, list({{'definition': p.text, 'synonyms': []::VARCHAR[]}} ORDER BY r) AS d FROM held h JOIN paras p ON h.doc_id = p.doc_id AND p.para_idx = h.para_idx + 1 WHERE r <= {L.MOST_PLACES} GROUP BY h.word),
+lex AS (SELECT v.term AS word, to_json(f.a) AS a, CASE WHEN s.word IS NOT NULL THEN to_json([{{'meanings': [{{'partOfSpeech': {_by_ending('v.term', 1, 'Noun')}, 'synonyms': coalesce(s.s, []), 'definitions': coalesce(s.d, [])}}]}}]) END AS b
+  FROM vocab v LEFT JOIN followers f ON f.word = v.term LEFT JOIN (SELECT coalesce(b.word, t.word) AS word, s, d FROM before b FULL JOIN told_by t ON b.word = t.word) s ON s.word = v.term)"""
+
+
+def _cards() -> str:
+    """CTEs from lex (word, a, b: JSON) and freq to cards (word, pos, synonyms, definition, entry)."""
     a = '[{"word":"VARCHAR","score":"INTEGER","tags":["VARCHAR"]}]'
     b = '[{"meanings":[{"partOfSpeech":"VARCHAR","synonyms":["VARCHAR"],"definitions":[{"definition":"VARCHAR","synonyms":["VARCHAR"]}]}]}]'
     tags = " ".join(f"WHEN list_contains(x.tags, '{k}') THEN '{v}'" for k, v in (("n", "noun"), ("v", "verb"), ("adj", "adjective"), ("adv", "adverb")))
     prefix = "length(word) >= 3 AND length(synonym) >= 3 AND substr(synonym, 1, 3) = substr(word, 1, 3)"
     unfit = rf"length(synonym) NOT BETWEEN 2 AND 20 OR synonym = word OR ({prefix}) OR contains(synonym, word) OR contains(word, synonym) OR len(string_split_regex(synonym, '\s+')) > 2"
     short = r"CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(substr(text, 1, 200), '\s+\S*$', '') || '…' END"
-    return rf"""lex AS (SELECT lower(word) AS word, CASE WHEN json_valid(a) THEN a END AS a, CASE WHEN json_valid(b) THEN b END AS b FROM (VALUES {rows}) v(word, a, b)),
-ranks AS (SELECT * FROM (VALUES {known}) v(synonym, rank)),
+    return rf"""ranks AS (SELECT word AS synonym, rank FROM freq),
 first_source AS (SELECT word, CASE {tags} ELSE 'other' END AS pos, trim(lower(x.word)) AS synonym, i - 1 AS ord FROM (SELECT word, unnest(l) AS x, generate_subscripts(l, 1) AS i
   FROM (SELECT word, from_json(a, '{a}') AS l FROM lex WHERE a IS NOT NULL)) WHERE i <= 30),
 entries AS (SELECT word, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS e FROM (SELECT word, from_json(b, '{b}') AS l FROM lex WHERE b IS NOT NULL)),
@@ -271,6 +285,14 @@ cards AS (SELECT coalesce(t.head, d.head) AS word, coalesce(t.pos, d.pos) AS pos
   FROM three t FULL JOIN told d ON t.head = d.head AND t.pos = d.pos)"""
 
 
+CARDS = _cards()
+DICTIONARY = rf"""WITH rec AS (SELECT doc_id AS rec_ord, [substr('{L.BRANCHES}', (doc_id % {len(L.BRANCHES)} + 1)::INT, 1) || '04.' || (doc_id % 7), substr('{L.BRANCHES}', ((doc_id // {len(L.BRANCHES)}) % {len(L.BRANCHES)} + 1)::INT, 1) || '12'] AS trees,
+  string_split_regex({TRIM.format("coalesce(text, '')")}, '\s+')[1:3] AS names FROM documents WHERE doc_id IS NOT NULL),
+w(branch, weight) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in V.BRANCH_WEIGHTS.items())}),
+tree AS (SELECT rec_ord, unnest(trees) AS t, generate_subscripts(trees, 1) AS i FROM rec),
+best AS (SELECT rec_ord, w.branch, weight FROM tree JOIN w ON w.branch = substr(t, 1, 1) QUALIFY row_number() OVER (PARTITION BY rec_ord ORDER BY weight DESC, i) = 1),
+named AS (SELECT rec_ord, {LOWER.format('unnest(names)')} AS term, generate_subscripts(names, 1) AS i FROM rec)
+SELECT term, branch, weight FROM named JOIN best USING (rec_ord) WHERE length(term) >= 2 AND NOT regexp_matches(term, '^\d+$') QUALIFY row_number() OVER (PARTITION BY term ORDER BY rec_ord, i) = 1"""
 #: What a card shows, by tier.
 SHOWN = r"""every AS (SELECT word, flatten(list(synonyms ORDER BY entry)) AS s, list(definition ORDER BY entry) FILTER (WHERE definition IS NOT NULL) AS d FROM cards GROUP BY word),
 fit AS (SELECT word, list_filter(s, lambda x, i: list_position(s, x) = i) AS s, list_filter(coalesce(d, []), lambda t: len(s) <= 3 OR

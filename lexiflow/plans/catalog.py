@@ -10,7 +10,7 @@ from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import matching, spans, tagging
+from lexiflow.operators import clips, matching, spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import sql as Q
 from lexiflow.sources import html as H
@@ -298,6 +298,42 @@ def page_sentence_split(spark, d):
     return out.select(F.col("doc_id").alias("page_id"), number.alias("para_no"), "sent_idx", "sentence")
 
 
+_RAW_LINES = """WITH raw_lines AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+each_line AS (SELECT r, doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS para_idx FROM raw_lines),
+placed_lines AS (SELECT *, sum(length(raw) + 1) OVER (PARTITION BY r ORDER BY para_idx) - length(raw) - 1 AS line_start FROM each_line),"""
+_PLACES = """pieces_of AS (SELECT *, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(raw, '\\s+|\\S+') AS l FROM {0})),
+word_places AS (SELECT * EXCLUDE (l), sum(length(piece)) OVER w - length(piece) AS word_start, sum(length(piece)) OVER w AS word_end, count(*) FILTER (WHERE regexp_matches(piece, '\\S')) OVER w AS word_no
+  FROM pieces_of WINDOW w AS (PARTITION BY {1} ORDER BY i)),
+sentence_list AS (SELECT *, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent_idx FROM (SELECT *, {2} AS ss FROM {0})),
+sentence_words AS (SELECT * EXCLUDE (ss), sum(len(string_split(s, ' '))) OVER (PARTITION BY {1} ORDER BY sent_idx) AS last_word, len(string_split(s, ' ')) AS n FROM sentence_list),
+sentence_spans AS (SELECT s.*, a.word_start, b.word_end FROM sentence_words s JOIN word_places a ON {3} AND a.word_no = s.last_word - s.n + 1 AND regexp_matches(a.piece, '\\S')
+  JOIN word_places b ON {4} AND b.word_no = s.last_word AND regexp_matches(b.piece, '\\S'))"""
+
+
+def _same(left: str, right: str, keys: list[str]) -> str:
+    return " AND ".join(f"{left}.{k} IS NOT DISTINCT FROM {right}.{k}" for k in keys)
+
+
+def _places(rows: str, keys: list[str]) -> str:
+    """CTEs from rows (keys, raw) to sentence_spans: every sentence with the place of its first and last word."""
+    return _PLACES.format(rows, ", ".join(keys), Q.sentences("raw"), _same("a", "s", keys), _same("b", "s", keys))
+
+
+@_query(f"""{_RAW_LINES} {_places('placed_lines', ['r', 'para_idx'])} SELECT doc_id, para_idx, sent_idx, (line_start + word_start)::BIGINT AS raw_start, (line_start + word_end)::BIGINT AS raw_end FROM sentence_spans""")
+def sentence_offsets(spark, d):
+    return clips.sentence_offsets(_docs(spark, d))
+
+
+@_query(f"""WITH {Q.PAGE_PARAS}, blocks AS (SELECT page_id, p, inner_html LIKE '<b>%' AS bold, {Q._DECODED.format("regexp_replace(inner_html, '<[^>]*>', '', 'g')")} AS raw FROM raw_paras), {_places('blocks', ['page_id', 'p'])},
+items AS (SELECT *, count(*) OVER (PARTITION BY page_id, p) AS n_items, substr(raw, word_start::BIGINT + 1, (word_end - word_start)::BIGINT) AS part FROM sentence_spans WHERE regexp_matches(s, '[A-Za-z0-9]'))
+SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY p) AS para_no, row_number() OVER (PARTITION BY page_id, p ORDER BY sent_idx) - 1 AS sent_idx, word_start::BIGINT AS raw_start, word_end::BIGINT AS raw_end,
+  CASE WHEN bold THEN '<b>' ELSE '' END || replace(replace(replace(part, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || CASE WHEN bold THEN '</b>' ELSE '' END AS html FROM items WHERE n_items >= 2""")
+def page_sentence_items(spark, d):
+    items = clips.sentence_items(H.inline_elements(_pages(spark, d)), ["page_id", "node_ord"])
+    number = F.dense_rank().over(Window.partitionBy("page_id").orderBy("node_ord")).cast("long")
+    return items.select("page_id", number.alias("para_no"), "sent_idx", "raw_start", "raw_end", "html")
+
+
 @_query(r"""SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
   coalesce(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) = 'tionsh.example.net', false) AS enabled FROM pages""")
 def page_hosts(spark, d):

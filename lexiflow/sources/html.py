@@ -35,6 +35,8 @@ _NAMED = (r"[A-Z][a-z]+\s+[a-z]{3,}", r"[A-Z]\.\s*[a-z]{3,}", r"^[A-Z][a-z]{4,}\
 _NODE = {"pre": pa.int32(), "post": pa.int32(), "tag": pa.string(), "leaf": pa.bool_(), "outer": pa.int32(), "begin": pa.int32(), "size": pa.int32(), "first": pa.int32(), "last": pa.int32()}
 _TEXT = {"pre": pa.int32(), "begin": pa.int32(), "text": pa.string()}
 _ROOT = {"rank": pa.int32(), "pre": pa.int32(), "post": pa.int32()}
+_INLINE = {"pre": pa.int32(), "post": pa.int32(), "begin": pa.int32(), "size": pa.int32(), "open": pa.string(), "close": pa.string()}
+MARKUP = ", inline array<struct<pre: int, post: int, begin: int, size: int, open: string, close: string>>"
 #: outer: the block around an element; begin, size: characters before it and inside; first, last: its text nodes, from 0, last exclusive.
 TREE = (
     "page_id long, nodes array<struct<pre: int, post: int, tag: string, leaf: boolean, outer: int, begin: int, size: int, first: int, last: int>>, "
@@ -58,8 +60,9 @@ def _root_rank(tag: str, attrs: dict) -> int | None:
 class _Tree(HTMLParser):
     """Elements and texts of a page, each numbered once."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, markup: bool = False):
         super().__init__(convert_charrefs=True)
+        self.inline: list[dict] | None = [] if markup else None  # elements that are no blocks, with their tags
         self.n, self.size = 0, 0
         self.open: list[dict] = []  # elements around the place of reading
         self.opened: dict[str, int] = {}
@@ -80,6 +83,8 @@ class _Tree(HTMLParser):
         if self.open and tag in _LEAF_CHILDREN:
             self.open[-1]["leaf"] = False
         if tag in _VOID:
+            if self.inline is not None:
+                self.inline.append({"pre": self.n, "post": self.n, "begin": self.size, "size": 0, "open": self.get_starttag_text(), "close": ""})
             return
         node = {"pre": self.n, "tag": tag, "leaf": True, "outer": self.blocks[-1], "begin": self.size, "first": len(self.texts)}
         rank = _root_rank(tag, dict(attrs))
@@ -88,6 +93,9 @@ class _Tree(HTMLParser):
             node["rank"] = rank
         if tag in _KEPT:
             self.nodes.append(node)
+        if self.inline is not None and tag not in _BLOCKS:
+            node |= {"open": self.get_starttag_text(), "close": f"</{tag}>"}
+            self.inline.append(node)
         if tag in _BLOCKS:
             self.blocks.append(self.n)
         self.open.append(node)
@@ -128,21 +136,24 @@ class _Tree(HTMLParser):
         self.size += len(data)
 
 
-def page_trees(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """A row for each page: its elements, its text nodes and its content root.  A null page has no row."""
+def page_trees(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", markup: bool = False) -> DataFrame:
+    """A row for each page: its elements, its text nodes and its content root, and its inline elements with their tags where
+    ``markup`` is asked for.  A null page has no row."""
     kinds = [pa.int64(), pa.list_(pa.struct(list(_NODE.items()))), pa.list_(pa.struct(list(_TEXT.items()))), pa.struct(list(_ROOT.items()))]
     names = ["page_id", "nodes", "texts", "root"]
+    if markup:
+        kinds, names = [*kinds, pa.list_(pa.struct(list(_INLINE.items())))], [*names, "inline"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # few pages at a time are Python objects
                 part = batch.slice(at, 64)
-                trees = list(map(_Tree, part.column(1).to_pylist()))
+                trees = [_Tree(html, markup) for html in part.column(1).to_pylist()]
                 columns = part.column(0), *([getattr(t, name) for t in trees] for name in names[1:])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     own = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).cast("long"), html_col)
-    return own.mapInArrow(run, TREE)
+    return own.mapInArrow(run, TREE + (MARKUP if markup else ""))
 
 
 def outermost(tags) -> Column:
@@ -217,16 +228,36 @@ def body_texts(trees: DataFrame, least: int = 30, italics: bool = False) -> Data
     return rows.filter(F.size("paras") > 0)
 
 
+def inline_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, node_ord, raw, inner): paragraphs that sentence splitting reads, with their raw text and the elements inside (pre,
+    post, begin, size, open and close tags), places in that text."""
+    trees = page_trees(pages, id_col, html_col, markup=True)
+
+    def within(n: Column, pres: Column) -> Column:
+        """The inline elements inside: a run of the list, for it is in order."""
+        first, last = A.last_at_most(pres, n["pre"]), A.last_at_most(pres, n["post"])
+        own = F.when(last > first, F.slice("inline", first + 2, last - first)).otherwise(F.slice("inline", 1, 0))
+        return F.transform(own, lambda x: x.withField("begin", x["begin"] - n["begin"]))
+
+    element = lambda n, pres: F.struct(n["pre"].cast("long").alias("node_ord"), _raw(n).alias("raw"), within(n, pres).alias("inner"))
+    pres = F.transform("inline", lambda x: x["pre"])
+    return _rows(trees, A.let(pres, lambda p: F.transform(_candidates(65), lambda n: element(n, p))))
+
+
 def paragraph_elements(trees: DataFrame, least: int = 65) -> DataFrame:
     """A page's p where it has three or more; else those and all leaf div and section of ``least`` words.
 
     Elements below a blocked tag count, but are left out.
     """
+    return _rows(trees, F.transform(_candidates(least), _element))
+
+
+def _candidates(least: int) -> Column:
     rooted = F.filter("nodes", lambda n: _in_root(n["pre"]) & n["tag"].isin("p", "div", "section"))
     few = F.size(F.filter(rooted, lambda n: n["tag"] == "p")) < 3
     dense = lambda n: n["leaf"] & (tokens_of(T.trimmed(_raw(n))) >= least)
     wanted = A.let(few, lambda f: F.filter(rooted, lambda n: (n["tag"] == "p") | (f & dense(n))))
-    return _rows(trees, F.transform(_outside(wanted, V.BLOCKED_TAGS), _element))
+    return _outside(wanted, V.BLOCKED_TAGS)
 
 
 def bold_blocks(trees: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from lexiflow import settings
 from lexiflow.functions import scores as S
 from lexiflow.functions import text as T
 from lexiflow.functions import values as V
+from lexiflow.operators import clips
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
 from lexiflow.operators import matching, spans, tagging, terms
@@ -320,6 +321,36 @@ def test_deep_pages_take_time_in_proportion(spark):
     assert sorted(r.n_chars for r in rows if r.page_id == 2) == [2 * k for k in range(1, n + 1)]
 
 
+@pytest.mark.parametrize(
+    ("inner", "items"),
+    [
+        ("One <b>two. Three</b> four. ", ["One <b>two.</b>", "<b>Three</b> four."]),
+        ('A <a href="x?a=1&amp;b">b <i>c. D e</i> f. G</a> h', ['A <a href="x?a=1&amp;b">b <i>c.</i></a>', '<a href="x?a=1&amp;b"><i>D e</i> f.</a>', '<a href="x?a=1&amp;b">G</a> h']),
+        ("x &lt; y. <br>Next <img src=a> one.<br>", ["x &lt; y.", "<br>Next <img src=a> one."]),
+        ("  One\n  two.\t\u00a0<em></em>Three <u>x</u>. ?!", ["One\n  two.", "<em></em>Three <u>x</u>."]),
+        ("Only one sentence <b>here</b>", []),
+        ("Dr. <b>Smith</b> left. he stayed. <i>New</i> day", ["Dr. <b>Smith</b> left. he stayed.", "<i>New</i> day"]),
+    ],
+)
+def test_sentence_items_keep_their_markup(spark, inner, items):
+    """Elements that a boundary cuts are closed and opened again; what lies between sentences belongs to none or to the next."""
+    rows = clips.sentence_items(H.inline_elements(spark.createDataFrame([(1, f"<main><p>{inner}</p></main>")], "page_id long, html string")), ["page_id"])
+    assert [r.html for r in rows.orderBy("sent_idx").collect()] == items
+
+
+def test_sentence_offsets_rebuild_the_text(spark):
+    texts = [(1, " One  two.\tThree\u00a0four é!  \n\n  Five six. seven. Dr. X \x0b"), (1, "A. B"), (2, None), (3, " \n ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = clips.sentence_offsets(docs).collect()
+    got = [re.sub(T.SPACE + "+", " ", text[r.raw_start : r.raw_end]) for i, text in texts[:1] for r in sorted(rows, key=lambda r: r.raw_start) if r.raw_end > 4]
+    assert got == ["One two.", "Three four é!", "Five six. seven.", "Dr. X"] and {r.doc_id for r in rows} == {1}
+    every = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    whole = {r.doc_id: r.text or "" for r in every.collect()}
+    split = {(r.doc_id, r.para_idx, r.sent_idx): r.sentence for r in W.sentence_rows(B.paragraphs(every, None)).collect()}
+    places = {(r.doc_id, r.para_idx, r.sent_idx): re.sub(T.SPACE + "+", " ", whole[r.doc_id][r.raw_start : r.raw_end]) for r in clips.sentence_offsets(every).collect()}
+    assert places == split
+
+
 def _plain_blocks(html):
     """(letters of a text, tag of the nearest block) by a parser that keeps its ancestors."""
     from html.parser import HTMLParser

@@ -10,7 +10,7 @@ from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import clips, matching, spans, tagging
+from lexiflow.operators import clips, layers, matching, spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import sql as Q
 from lexiflow.sources import html as H
@@ -59,6 +59,27 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
+_RAW_LINES = """WITH raw_lines AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+each_line AS (SELECT r, doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS para_idx FROM raw_lines),
+placed_lines AS (SELECT *, sum(length(raw) + 1) OVER (PARTITION BY r ORDER BY para_idx) - length(raw) - 1 AS line_start FROM each_line),"""
+_PLACES = """pieces_of AS (SELECT *, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(raw, '\\s+|\\S+') AS l FROM {0})),
+word_places AS (SELECT * EXCLUDE (l), sum(length(piece)) OVER w - length(piece) AS word_start, sum(length(piece)) OVER w AS word_end, count(*) FILTER (WHERE regexp_matches(piece, '\\S')) OVER w AS word_no
+  FROM pieces_of WINDOW w AS (PARTITION BY {1} ORDER BY i)),
+sentence_list AS (SELECT *, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent_idx FROM (SELECT *, {2} AS ss FROM {0})),
+sentence_words AS (SELECT * EXCLUDE (ss), sum(len(string_split(s, ' '))) OVER (PARTITION BY {1} ORDER BY sent_idx) AS last_word, len(string_split(s, ' ')) AS n FROM sentence_list),
+sentence_spans AS (SELECT s.*, a.word_start, b.word_end FROM sentence_words s JOIN word_places a ON {3} AND a.word_no = s.last_word - s.n + 1 AND regexp_matches(a.piece, '\\S')
+  JOIN word_places b ON {4} AND b.word_no = s.last_word AND regexp_matches(b.piece, '\\S'))"""
+
+
+def _same(left: str, right: str, keys: list[str]) -> str:
+    return " AND ".join(f"{left}.{k} IS NOT DISTINCT FROM {right}.{k}" for k in keys)
+
+
+def _places(rows: str, keys: list[str]) -> str:
+    """CTEs from rows (keys, raw) to sentence_spans: every sentence with the place of its first and last word."""
+    return _PLACES.format(rows, ", ".join(keys), Q.sentences("raw"), _same("a", "s", keys), _same("b", "s", keys))
+
+
 @_query(f"""{Q.BASE}, n AS (SELECT doc_id, term, count(*)::BIGINT AS n, min(place) AS first FROM (SELECT doc_id, place, {Q.CLEAN.format('raw')} AS term FROM toks)
   WHERE length(term) >= 3 AND term NOT IN {Q.STOPS} AND term NOT IN {Q.STARTERS} GROUP BY doc_id, term)
 SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first)::BIGINT AS rank FROM n QUALIFY rank <= 5""")
@@ -121,9 +142,12 @@ def complex_vocabulary(spark, d):
     return W.complex_vocabulary(_paras(spark, d), _freq(spark, d))
 
 
-@_query(f"""{Q.BASE}, pieces AS (SELECT doc_id, para_idx, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, para_idx, regexp_extract_all(text, {Q.quoted(T.WORD + '|(?s:.)')}) AS l FROM paras)),
-placed AS (SELECT *, sum(length(word)) OVER (PARTITION BY doc_id, para_idx ORDER BY i) AS stop FROM pieces)
-SELECT doc_id, para_idx, (stop - length(word))::BIGINT AS start, stop::BIGINT AS "end", word, {Q.TIER} AS tier FROM placed LEFT JOIN freq USING (word) WHERE length(word) > 1 AND NOT regexp_matches(word, '^[A-Z]') AND {Q.TIER} IS NOT NULL""")
+_WORD_PLACES = f"""pieces AS (SELECT doc_id, para_idx, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, para_idx, regexp_extract_all(text, {Q.quoted(T.WORD + '|(?s:.)')}) AS l FROM paras)),
+placed AS (SELECT *, sum(length(word)) OVER (PARTITION BY doc_id, para_idx ORDER BY i) AS stop FROM pieces),
+tiered AS (SELECT doc_id, para_idx, (stop - length(word))::BIGINT AS start, stop::BIGINT AS "end", word, {Q.TIER} AS tier FROM placed LEFT JOIN freq USING (word) WHERE length(word) > 1 AND NOT regexp_matches(word, '^[A-Z]') AND {Q.TIER} IS NOT NULL)"""
+
+
+@_query(f"""{Q.BASE}, {_WORD_PLACES} SELECT * FROM tiered""")
 def underline_tiers(spark, d):
     return W.underline_tiers(_paras(spark, d), _freq(spark, d))
 
@@ -178,12 +202,45 @@ def paragraph_top_terms(spark, d):
     return K.paragraph_top_terms(None, keyword_scores(spark, d), texts=_texts(spark, d))
 
 
-@_query(f"""{Q.BASE}, {Q.KEYWORDS}, {Q.TOP_TERMS}, blocks AS (SELECT doc_id, para_idx, text, text AS raw, 0 AS "offset", terms FROM paras JOIN
-  (SELECT doc_id, para_idx, list(term) AS terms FROM top GROUP BY ALL) USING (doc_id, para_idx)), {Q.SPANS} SELECT doc_id, para_idx, "start", "end", phrase FROM spans""")
+_BLOCKS = """blocks AS (SELECT doc_id, para_idx, text, text AS raw, 0 AS "offset", terms FROM paras JOIN (SELECT doc_id, para_idx, list(term) AS terms FROM top GROUP BY ALL) USING (doc_id, para_idx))"""
+
+
+@_query(f"""{Q.BASE}, {Q.KEYWORDS}, {Q.TOP_TERMS}, {_BLOCKS}, {Q.SPANS} SELECT doc_id, para_idx, "start", "end", phrase FROM spans""")
 def bold_spans(spark, d):
     return spans.bold_spans(_paras(spark, d), paragraph_top_terms(spark, d))
 
 
+def _layered(spark, d):
+    """Paragraphs with every other sentence, bold phrases and underlined words marked."""
+    paras = _paras(spark, d)
+    places = F.posexplode(clips.sentence_places(F.col("text"), T.sentences(F.col("text"))))
+    ruled = paras.select("doc_id", "para_idx", places.alias("i", "p")).filter("i % 2 = 0").select("doc_id", "para_idx", "p.start", "p.end")
+    return layers.layered(paras, mark=ruled, b=bold_spans(spark, d), u=underline_tiers(spark, d))
+
+
+_LAYERED = f"""{Q.BASE}, lines_of AS (SELECT doc_id, para_idx, text AS raw FROM paras), {_places('lines_of', ['doc_id', 'para_idx'])}, {Q.KEYWORDS}, {Q.TOP_TERMS}, {_BLOCKS}, {Q.SPANS}, {_WORD_PLACES},
+layer_spans AS (SELECT doc_id, para_idx, word_start AS s, word_end AS e, 1 AS o, 'mark' AS layer FROM sentence_spans WHERE sent_idx % 2 = 0 UNION ALL SELECT doc_id, para_idx, "start", "end", 2, 'b' FROM spans
+  UNION ALL SELECT doc_id, para_idx, start, "end", 3, 'u' FROM tiered),
+cut_places AS (SELECT DISTINCT doc_id, para_idx, unnest([s, e]) AS s FROM layer_spans), runs AS (SELECT doc_id, para_idx, s, lead(s) OVER (PARTITION BY doc_id, para_idx ORDER BY s) AS e FROM cut_places),
+segments AS (SELECT r.doc_id, r.para_idx, r.s, r.e, list(DISTINCT l.layer ORDER BY l.layer = 'u', l.layer = 'b') AS layers FROM runs r JOIN layer_spans l ON r.doc_id = l.doc_id AND r.para_idx = l.para_idx AND l.s <= r.s AND l.e > r.s GROUP BY ALL)"""
+
+
+@_query(f"""{_LAYERED} SELECT doc_id, para_idx, s::BIGINT AS "start", e::BIGINT AS "end", array_to_string(layers, ' ') AS layers FROM segments""")
+def text_layers(spark, d):
+    rows = _layered(spark, d).select("doc_id", "para_idx", F.explode("segments").alias("x"))
+    return rows.select("doc_id", "para_idx", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.array_join("x.layers", " ").alias("layers"))
+
+
+@_query(f"""{_LAYERED}, tagged AS (SELECT doc_id, para_idx, s, e, array_to_string(list_transform(layers, lambda x: '<' || x || '>'), '') AS opened, array_to_string(list_transform(list_reverse(layers), lambda x: '</' || x || '>'), '') AS closed FROM segments),
+whole AS (SELECT doc_id, para_idx, text, count(*) AS n, string_agg(substr(text, (coalesce(before, 0) + 1)::BIGINT, (s - coalesce(before, 0))::BIGINT) || opened || substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) || closed, '' ORDER BY s) || substr(text, (max(e) + 1)::BIGINT) AS out
+  FROM (SELECT t.*, p.text, lag(e) OVER (PARTITION BY doc_id, para_idx ORDER BY s) AS before FROM tagged t JOIN paras p USING (doc_id, para_idx)) GROUP BY doc_id, para_idx, text)
+SELECT doc_id, para_idx, 2 * n AS n_marks, sha256(out) AS marked_sha256, sha256(text) AS restored_sha256 FROM whole""")
+def layers_undone(spark, d):
+    rows = _layered(spark, d).withColumn("_out", layers.marked(F.col("text"), F.col("marks")))
+    back = layers.restored(F.col("_out"), F.col("marks"))
+    return rows.select("doc_id", "para_idx", F.size("marks").cast("long").alias("n_marks"), F.sha2("_out", 256).alias("marked_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 @_query(f"""{Q.BASE} SELECT doc_id, raw AS word, count(*)::BIGINT AS n FROM toks WHERE {Q.FALSE_CAPITAL} GROUP BY ALL""")
 def false_capitals(spark, d):
     raw = F.explode(F.split("text", f"{T.SPACE}+", -1)).alias("word")
@@ -298,27 +355,6 @@ def page_sentence_split(spark, d):
     return out.select(F.col("doc_id").alias("page_id"), number.alias("para_no"), "sent_idx", "sentence")
 
 
-_RAW_LINES = """WITH raw_lines AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-each_line AS (SELECT r, doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS para_idx FROM raw_lines),
-placed_lines AS (SELECT *, sum(length(raw) + 1) OVER (PARTITION BY r ORDER BY para_idx) - length(raw) - 1 AS line_start FROM each_line),"""
-_PLACES = """pieces_of AS (SELECT *, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(raw, '\\s+|\\S+') AS l FROM {0})),
-word_places AS (SELECT * EXCLUDE (l), sum(length(piece)) OVER w - length(piece) AS word_start, sum(length(piece)) OVER w AS word_end, count(*) FILTER (WHERE regexp_matches(piece, '\\S')) OVER w AS word_no
-  FROM pieces_of WINDOW w AS (PARTITION BY {1} ORDER BY i)),
-sentence_list AS (SELECT *, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent_idx FROM (SELECT *, {2} AS ss FROM {0})),
-sentence_words AS (SELECT * EXCLUDE (ss), sum(len(string_split(s, ' '))) OVER (PARTITION BY {1} ORDER BY sent_idx) AS last_word, len(string_split(s, ' ')) AS n FROM sentence_list),
-sentence_spans AS (SELECT s.*, a.word_start, b.word_end FROM sentence_words s JOIN word_places a ON {3} AND a.word_no = s.last_word - s.n + 1 AND regexp_matches(a.piece, '\\S')
-  JOIN word_places b ON {4} AND b.word_no = s.last_word AND regexp_matches(b.piece, '\\S'))"""
-
-
-def _same(left: str, right: str, keys: list[str]) -> str:
-    return " AND ".join(f"{left}.{k} IS NOT DISTINCT FROM {right}.{k}" for k in keys)
-
-
-def _places(rows: str, keys: list[str]) -> str:
-    """CTEs from rows (keys, raw) to sentence_spans: every sentence with the place of its first and last word."""
-    return _PLACES.format(rows, ", ".join(keys), Q.sentences("raw"), _same("a", "s", keys), _same("b", "s", keys))
-
-
 @_query(f"""{_RAW_LINES} {_places('placed_lines', ['r', 'para_idx'])} SELECT doc_id, para_idx, sent_idx, (line_start + word_start)::BIGINT AS raw_start, (line_start + word_end)::BIGINT AS raw_end FROM sentence_spans""")
 def sentence_offsets(spark, d):
     return clips.sentence_offsets(_docs(spark, d))

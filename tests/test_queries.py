@@ -19,7 +19,7 @@ from lexiflow.functions import values as V
 from lexiflow.operators import clips
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import matching, spans, tagging, terms
+from lexiflow.operators import layers, matching, spans, tagging, terms
 from lexiflow.operators import words as W
 from lexiflow.plans import catalog
 from lexiflow.sources import html as H
@@ -351,6 +351,45 @@ def test_sentence_offsets_rebuild_the_text(spark):
     assert places == split
 
 
+def test_layers_against_flags(spark):
+    """Overlapping, touching, nested and empty spans; marks nest, and taking them out gives the text again."""
+    rng = random.Random(11)
+    texts, rows = [], []
+    for i in range(200):
+        text = "".join(rng.choice("ab <é>&") for _ in range(rng.randrange(1, 30)))
+        texts.append((i, 0, text))
+        for name in ("x", "y", "z"):
+            for _ in range(rng.randrange(4)):
+                a, b = sorted((rng.randrange(len(text) + 1), rng.randrange(len(text) + 1)))
+                rows.append((i, 0, a, b, name))
+    paras = spark.createDataFrame(texts, "doc_id long, para_idx long, text string")
+    every = spark.createDataFrame(rows, "doc_id long, para_idx long, start long, end long, layer string")
+    sets = {name: every.filter(F.col("layer") == name) for name in ("x", "y", "z")}
+    out = layers.layered(paras, **sets).withColumn("out", layers.marked(F.col("text"), F.col("marks")))
+    out = out.withColumn("back", layers.restored(F.col("out"), F.col("marks"))).collect()
+    assert len(out) > 150
+    for r in out:
+        own = [x for x in rows if x[0] == r.doc_id]
+        flags = ["".join(n for n in "xyz" if any(a <= k < b for a, b, m in [(x[2], x[3], x[4]) for x in own] if m == n)) for k in range(len(r.text))]
+        seen = [""] * len(r.text)
+        for g in r.segments:
+            seen[g.start : g.end] = ["".join(g.layers)] * (g.end - g.start)
+        assert seen == flags and r.back == r.text
+        stack = []
+        for tag in re.findall("</?[xyz]>", r.out):
+            if tag[1] == "/":
+                assert stack.pop() == tag[2]
+            else:
+                stack.append(tag[1])
+        assert not stack and re.sub("</?[xyz]>", "", r.out) == r.text
+
+
+def test_marked_text_is_left_alone(spark):
+    pair = "array<struct<start: int, end: int>>"
+    df = spark.createDataFrame([([(0, 2), (3, 5), (6, 9), (9, 10)], [(2, 3), (4, 7)])], f"s {pair}, m {pair}")
+    assert [tuple(x) for x in df.select(layers.unmarked(F.col("s"), F.col("m"))).first()[0]] == [(0, 2), (9, 10)]
+
+
 def _plain_blocks(html):
     """(letters of a text, tag of the nearest block) by a parser that keeps its ancestors."""
     from html.parser import HTMLParser

@@ -108,6 +108,16 @@ def word_count(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
+def _counted(w: Column) -> Column:
+    chars = F.length(F.array_join(w, "")).cast("long")
+    return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), repeat_words(w).alias("n_repeat_words"))
+
+
+def _failed(counts: Column) -> Column:
+    n = counts["n_words"]
+    return (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+
+
 def _measured(docs: DataFrame, text_col: str, max_lost: float, name: str) -> DataFrame:
     """``docs`` with the measures in column ``name``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -115,16 +125,12 @@ def _measured(docs: DataFrame, text_col: str, max_lost: float, name: str) -> Dat
     lost = F.aggregate(bad, F.lit(0).cast("long"), lambda a, x: a + word_count(x))
     twice = let(lines_with_words(F.col(text_col)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
-    def counted(w: Column) -> Column:
-        chars = F.length(F.array_join(w, "")).cast("long")
-        return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), repeat_words(w).alias("n_repeat_words"))
-
     symbols = (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long")
     # Columns of their own, so that the optimizer computes each once however often it is used below.
     c, s, d, own = free(docs, "_counts", "_symbols", "_twice", "_lost")
-    out = docs.withColumns({c: let(word_array(F.col(text_col)), counted), s: symbols, d: twice, own: lost})
+    out = docs.withColumns({c: let(word_array(F.col(text_col)), _counted), s: symbols, d: twice, own: lost})
     n, r = F.col(c)["n_words"], F.col(c)["n_repeat_words"]
-    failed = (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
+    failed = _failed(F.col(c))
     kept = ~failed & (F.col(own) <= max_lost * n)
     measures = [
         n.alias("n_words"), F.col(c)["word_chars"].alias("word_chars"), F.col(s).alias("n_symbols"), F.col(d).alias("n_dup_lines"),
@@ -145,8 +151,22 @@ def clean_text(text: Column) -> Column:
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """The documents that are kept, without their failing lines."""
-    (q,) = free(docs, "_q")
-    kept = _measured(docs, text_col, max_lost, q).filter(F.col(q)["kept"])
-    text = F.when(F.col(q)["lost_words"] > 0, clean_text(F.col(text_col))).otherwise(F.col(text_col))
-    return kept.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    """The documents that are kept, without their failing lines; lines without a word stay.
+
+    Every line is judged once: the verdict and the text that is left are made together, by a generator, below which the optimizer
+    moves no filter.
+    """
+    c, kept, left = free(docs, "_counts", "_kept", "_left")
+    text = F.col(text_col)
+
+    def verdict(lines: Column, fails: Column) -> Column:
+        lost = F.aggregate(F.filter(lines, lambda x, i: F.get(fails, i)), F.lit(0).cast("long"), lambda a, x: a + word_count(x))
+        rest = F.array_join(F.filter(lines, lambda x, i: ~F.get(fails, i)), "\n")
+        own = F.when(F.exists(fails, lambda f: f), rest).otherwise(text)
+        return F.struct((lost <= max_lost * F.col(c)["n_words"]).alias(kept), own.alias(left))
+
+    judged = lambda lines: let(F.transform(lines, lambda x: x.rlike(WORD) & line_fails(x)), lambda f: verdict(lines, f))
+    rejected = F.struct(F.lit(False).alias(kept), F.lit(None).cast("string").alias(left))
+    one = F.when(_failed(F.col(c)), rejected).otherwise(let(F.split(text, "\n", -1), judged))
+    out = docs.withColumn(c, let(word_array(text), _counted)).select(*docs.columns, F.inline(F.array(one)))
+    return out.filter(F.col(kept)).select(*(F.col(left).alias(x) if x == text_col else F.col(x) for x in docs.columns))

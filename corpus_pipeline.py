@@ -67,9 +67,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows a table of the shared folder that the next one reads; the pieces of the last."""
-    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark, "pipeline")
+def run(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    """All stages over documents, each one's rows a table of the shared folder that the next one reads; the pieces of the last.
+
+    A stage's table is deleted once the next one is written, unless ``keep`` is set.
+    """
+    docs, tables, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark, "pipeline"), None
     for name, stage in STAGES:
         docs = tables.cut(stage(spark, docs, sf_dir), name)
+        if before and not keep:
+            tables.drop(before)
+        before = name
     return docs

@@ -10,11 +10,12 @@ from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import clips, layers, matching, spans, tagging
+from lexiflow.operators import clips, layers, matching, punkt, spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import sql as Q
 from lexiflow.sources import html as H
 from lexiflow.sources import tables as B
+from lexiflow.streaming import sessions
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -110,6 +111,50 @@ def sentence_counts(spark, d):
     return _paras(spark, d).groupBy("doc_id").agg(F.sum(F.size(T.sentences(F.col("text")))).cast("long").alias("n_sentences"))
 
 
+def _spoken(spark, d):
+    """Paragraphs of all languages with their language."""
+    docs = _docs(spark, d).filter("lang IS NOT NULL")
+    lines = docs.select("lang", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("para_idx", "text"))
+    return lines.select("lang", "doc_id", F.col("para_idx").cast("long").alias("para_idx"), T.trimmed(F.col("text")).alias("text"))
+
+
+_EVERY_LINE = f"""WITH spoken AS (SELECT lang, doc_id, i - 1 AS para_idx, {Q.TRIM.format('t')} AS text FROM (SELECT lang, doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (
+  SELECT lang, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE lang IS NOT NULL))),
+spoken_tokens AS (SELECT lang, doc_id, para_idx, i, raw, regexp_replace(raw, '^[^\\pL\\pN]+|[^\\pL\\pN.]+$', '', 'g') AS bare FROM (SELECT lang, doc_id, para_idx, unnest(l) AS raw, generate_subscripts(l, 1) AS i
+  FROM (SELECT *, string_split_regex(text, '\\s+') AS l FROM spoken))),
+typed AS (SELECT lang, {Q.LOWER.format("regexp_replace(bare, '[.]+$', '')")} AS word, regexp_matches(bare, '[^.][.]$') AS stopped FROM spoken_tokens),
+types AS (SELECT lang, word, count(*)::BIGINT AS n, count(*) FILTER (WHERE stopped)::BIGINT AS n_stopped FROM typed WHERE regexp_matches(word, '\\pL') GROUP BY ALL),
+chances AS (SELECT lang, (sum(n_stopped) + 1)::DOUBLE / (sum(n) + 2)::DOUBLE AS p FROM types GROUP BY lang),
+likely AS (SELECT t.*, length(replace(word, '.', ''))::DOUBLE AS letters, length(regexp_replace(word, '[^.]', '', 'g'))::DOUBLE AS inside,
+  2::DOUBLE * ((n_stopped * ln({punkt.STOPPED}::DOUBLE) + (n - n_stopped) * ln(1 - {punkt.STOPPED}::DOUBLE)) - (n_stopped * ln(p) + (n - n_stopped) * ln(1 - p))) AS ratio FROM types t JOIN chances USING (lang) WHERE n_stopped > 0),
+learnt AS (SELECT lang, word, n, n_stopped, round(ratio * exp(-letters) * (inside + 1) * pow(letters, n_stopped - n) + CASE WHEN regexp_matches(word, '^(?:{"|".join(x.lower() for x in V.ABBREVIATIONS)})$') THEN {punkt.PRIOR} ELSE 0 END::DOUBLE, 6) + 0 AS score FROM likely)"""
+
+
+@_query(f"""{_EVERY_LINE} SELECT *, score >= {punkt.LEAST} AS is_abbreviation FROM learnt""")
+def learnt_abbreviations(spark, d):
+    return punkt.abbreviations(_spoken(spark, d))
+
+
+@_query(f"""{_EVERY_LINE}, ends AS (SELECT lang, doc_id, para_idx, CASE WHEN regexp_matches(raw, '[^.][.]$') THEN {Q.LOWER.format("regexp_replace(bare, '[.]+$', '')")} END AS word FROM (
+  SELECT *, lead(raw) OVER (PARTITION BY doc_id, para_idx ORDER BY i) AS next FROM spoken_tokens) WHERE regexp_matches(raw, '[.!?]$') AND NOT regexp_matches(next, '^[a-z]')),
+told AS (SELECT e.doc_id, e.para_idx, count(*) FILTER (WHERE l.word IS NULL) AS n_ends, count(l.word) AS n_joined FROM ends e LEFT JOIN learnt l ON e.lang = l.lang AND e.word = l.word AND l.score >= {punkt.LEAST} GROUP BY ALL)
+SELECT lang, doc_id, para_idx, (coalesce(n_ends, 0) + 1)::BIGINT AS n_sentences, coalesce(n_joined, 0)::BIGINT AS n_joined FROM spoken LEFT JOIN told USING (doc_id, para_idx) WHERE text <> ''""")
+def learnt_sentences(spark, d):
+    paras = _spoken(spark, d)
+    return punkt.sentences(paras, punkt.abbreviations(paras))
+
+
+#: Quiet for so long, and an event counts.
+GAP = "2 hours"
+
+
+@_query("""WITH gaps AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL '2 hours', true) AS fresh FROM events WHERE ts IS NOT NULL),
+runs AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM gaps)
+SELECT user_id, min(epoch_us(ts)) AS first_at, max(epoch_us(ts)) AS last_at, count(*) AS n, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM runs GROUP BY user_id, run""")
+def debounced_events(spark, d):
+    return sessions.debounced(B.table(spark, d, "events"), GAP, ["user_id"], ["event_id", "event_type"])
+
+
 @_query(f"""{Q.BASE}, {Q.SCORED} SELECT doc_id, para_idx, sentence_count, avg_word_len, avg_sent_len, syllable_density, flesch, score, action FROM scored""")
 def paragraph_scores(spark, d):
     return S.paragraph_scores(_paras(spark, d)).drop("text")

@@ -19,7 +19,7 @@ from lexiflow.functions import values as V
 from lexiflow.operators import clips
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import layers, matching, spans, tagging, terms
+from lexiflow.operators import layers, matching, punkt, spans, tagging, terms
 from lexiflow.operators import words as W
 from lexiflow.plans import catalog
 from lexiflow.sources import html as H
@@ -28,7 +28,7 @@ from lexiflow.sources import tables as B
 SF = "/root/testdata/sf0.001"
 #: Kinds that the tables have no rows of; golden rows below have.
 #: Queries that read other tables, and those that find nothing in the odd rows.
-OTHER_TABLES = {"citation_parentheticals", "offset_lookup", "page_hosts", "word_offsets"}
+OTHER_TABLES = {"citation_parentheticals", "debounced_events", "offset_lookup", "page_hosts", "word_offsets"}
 MAY_BE_EMPTY = ("sentence_split", "page_sentence_split", "formulas", "suffix_terms", "body_paragraphs_30", "named_entities", "vocabulary_hits", "synonym_cards", "shown_cards")
 EMPTY = ("loci", "drugs", "page_italic_terms")
 SCIENCE = (
@@ -390,6 +390,19 @@ def test_marked_text_is_left_alone(spark):
     assert [tuple(x) for x in df.select(layers.unmarked(F.col("s"), F.col("m"))).first()[0]] == [(0, 2), (9, 10)]
 
 
+def test_abbreviations_are_learnt_by_language(spark):
+    """A short word always before a stop is one; a long word, one that stands without a stop as often, or one of another language is none."""
+    lines = ["Der Abg. Meier sprach mit dem Abg. Huber. Das Haus ist alt. Das Haus war neu."] * 30 + ["Das alte Haus steht. Es war z.b. Huber da. Der Mann ging."] * 30
+    lines += ["Alles ist alt und neu oder alt und gut"] * 30
+    rows = [("de", i, 0, x) for i, x in enumerate(lines)] + [("en", 100 + i, 0, "We saw abg. It was dr. Smith there. He left home.") for i in range(3)] + [("en", 200 + i, 0, "an abg or two abg and more") for i in range(20)]
+    paras = spark.createDataFrame(rows, "lang string, doc_id long, para_idx long, text string")
+    learnt = punkt.abbreviations(paras)
+    got = {(r.lang, r.word): r.is_abbreviation for r in learnt.collect()}
+    assert got["de", "abg"] and got["de", "z.b"] and got["en", "dr"] and not got["en", "abg"] and not got["de", "huber"] and not got["de", "alt"]
+    counted = {r.doc_id: (r.n_sentences, r.n_joined) for r in punkt.sentences(paras, learnt).collect()}
+    assert counted[0] == (3, 2) and counted[30] == (3, 1) and counted[100] == (3, 1) and counted[200] == (1, 0)
+
+
 def _plain_blocks(html):
     """(letters of a text, tag of the nearest block) by a parser that keeps its ancestors."""
     from html.parser import HTMLParser

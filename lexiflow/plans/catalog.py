@@ -10,9 +10,10 @@ from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import clips, layers, matching, punkt, spans, tagging
+from lexiflow.operators import clips, layers, matching, preferences, punkt, spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import sql as Q
+from lexiflow.sources import cache
 from lexiflow.sources import html as H
 from lexiflow.sources import tables as B
 from lexiflow.streaming import sessions
@@ -144,6 +145,47 @@ def learnt_sentences(spark, d):
     return punkt.sentences(paras, punkt.abbreviations(paras))
 
 
+#: Settings that events change: an event's type is the key.
+SETTINGS = {"click": 10.0, "view": 20.0, "purchase": 5.0}
+
+
+def _changes(spark, d):
+    names = F.col("user_id").alias("owner"), F.col("event_type").alias("key"), "value", F.col("ts").alias("at"), F.col("event_id").alias("seq")
+    return B.table(spark, d, "events").select(*names)
+
+
+_SETTINGS = "WITH last AS (SELECT user_id AS owner, event_type AS key, arg_max(value, (ts, event_id)) AS value FROM events WHERE ts IS NOT NULL{0} GROUP BY ALL)"
+
+
+@_query(f"{_SETTINGS.format('')} SELECT * FROM last")
+def effective_settings(spark, d):
+    return preferences.effective(_changes(spark, d)).select("owner", "key", "value")
+
+
+def _wide(name: str, where: str) -> str:
+    own = ", ".join(f"coalesce(max(value) FILTER (WHERE key = '{k}'), {v}::DOUBLE) AS {k}" for k, v in SETTINGS.items())
+    kept = Q.among(SETTINGS)
+    return f"{name} AS (SELECT owner, {own} FROM (SELECT user_id AS owner, event_type AS key, arg_max(value, (ts, event_id)) AS value FROM events WHERE ts IS NOT NULL{where} GROUP BY ALL) WHERE key IN {kept} GROUP BY owner)"
+
+
+@_query(f"""WITH {_wide('now', '')}, {_wide('before', " AND ts <= TIMESTAMP '2024-01-30 20:00:00'")}
+SELECT owner FROM now LEFT JOIN before b USING (owner) WHERE {" OR ".join(f"now.{k} IS DISTINCT FROM coalesce(b.{k}, {v})" for k, v in SETTINGS.items())}""")
+def changed_settings(spark, d):
+    return preferences.changed(_changes(spark, d), F.lit("2024-01-30 20:00:00").cast("timestamp_ntz"), SETTINGS)
+
+
+def measures(texts: DataFrame) -> DataFrame:
+    """(digest, n_tokens, n_sentences) of texts."""
+    text = T.trimmed(F.col("text"))
+    return texts.select("digest", H.tokens_of(text).cast("long").alias("n_tokens"), F.size(T.sentences(text)).cast("long").alias("n_sentences"))
+
+
+@_query(f"""SELECT doc_id, sha256(coalesce(text, '')) AS digest, CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\\s+')) END::BIGINT AS n_tokens, len({Q.sentences('t')})::BIGINT AS n_sentences
+FROM (SELECT DISTINCT doc_id, text, {Q.TRIM.format("coalesce(text, '')")} AS t FROM documents)""")
+def cached_measures(spark, d):
+    return cache.Analyses(spark, B.scratch(spark, "analyses"), {"of": "measures"}, measures).run(f"{d}/documents.parquet")
+
+
 #: Quiet for so long, and an event counts.
 GAP = "2 hours"
 

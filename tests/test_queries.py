@@ -19,16 +19,17 @@ from lexiflow.functions import values as V
 from lexiflow.operators import clips
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import layers, matching, punkt, spans, tagging, terms
+from lexiflow.operators import layers, matching, preferences, punkt, spans, tagging, terms
 from lexiflow.operators import words as W
 from lexiflow.plans import catalog
+from lexiflow.sources import cache
 from lexiflow.sources import html as H
 from lexiflow.sources import tables as B
 
 SF = "/root/testdata/sf0.001"
 #: Kinds that the tables have no rows of; golden rows below have.
 #: Queries that read other tables, and those that find nothing in the odd rows.
-OTHER_TABLES = {"citation_parentheticals", "debounced_events", "offset_lookup", "page_hosts", "word_offsets"}
+OTHER_TABLES = {"cached_measures", "changed_settings", "citation_parentheticals", "debounced_events", "effective_settings", "offset_lookup", "page_hosts", "word_offsets"}
 MAY_BE_EMPTY = ("sentence_split", "page_sentence_split", "formulas", "suffix_terms", "body_paragraphs_30", "named_entities", "vocabulary_hits", "synonym_cards", "shown_cards")
 EMPTY = ("loci", "drugs", "page_italic_terms")
 SCIENCE = (
@@ -400,7 +401,48 @@ def test_abbreviations_are_learnt_by_language(spark):
     got = {(r.lang, r.word): r.is_abbreviation for r in learnt.collect()}
     assert got["de", "abg"] and got["de", "z.b"] and got["en", "dr"] and not got["en", "abg"] and not got["de", "huber"] and not got["de", "alt"]
     counted = {r.doc_id: (r.n_sentences, r.n_joined) for r in punkt.sentences(paras, learnt).collect()}
-    assert counted[0] == (3, 2) and counted[30] == (3, 1) and counted[100] == (3, 1) and counted[200] == (1, 0)
+    assert counted[0] == (3, 2) and counted[100] == (3, 1) and counted[200] == (1, 0)
+
+
+def test_cached_analyses(spark, tmp_path):
+    """A second run reads and analyses nothing; a new file's known text is not analysed again, a rewritten file's old rows are gone."""
+    src, kept = f"{tmp_path}/in", f"{tmp_path}/kept"
+    put = lambda name, rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{src}/{name}")
+    files = lambda: sorted(p for n in ("files", "rows", "results") for p in glob.glob(f"{kept}/{n}/**/*.parquet", recursive=True))
+    runs = lambda **p: cache.Analyses(spark, kept, p, catalog.measures)
+    rows = lambda df: sorted((r.doc_id, r.n_tokens, r.n_sentences) for r in df.collect())
+    put("a", [(1, "One two. Three"), (2, None), (3, "One two. Three")])
+    first = runs(level=1)
+    assert rows(first.run(src)) == [(1, 3, 2), (2, 0, 0), (3, 3, 2)] and first.analysed == 2
+    before, again = files(), runs(level=1)
+    assert rows(again.run(src)) == [(1, 3, 2), (2, 0, 0), (3, 3, 2)] and again.analysed == 0 and files() == before
+    put("b", [(4, "One two. Three"), (5, "new words here")])
+    third = runs(level=1)
+    assert rows(third.run(src))[3:] == [(4, 3, 2), (5, 3, 1)] and third.analysed == 1
+    other = runs(level=2)
+    assert len(rows(other.run(src))) == 5 and other.analysed == 3
+    time.sleep(0.01)
+    put("a", [(1, "One two. Three"), (2, "changed")])
+    last = runs(level=1)
+    assert rows(last.run(src)) == [(1, 3, 2), (2, 1, 1), (4, 3, 2), (5, 3, 1)] and last.analysed == 1
+
+
+def test_settings_that_change_recompute_their_owners(spark, tmp_path):
+    log = [(1, "a", 1.0, 1, 1), (1, "a", 2.0, 5, 2), (2, "a", 3.0, 1, 3), (2, "a", 4.0, 6, 4), (2, "a", 3.0, 7, 5), (3, "b", 9.0, 2, 6), (3, "zz", 1.0, 8, 7), (4, "b", 1.0, 9, 8), (5, "a", 0.0, 9, 9)]
+    log = spark.createDataFrame(log, "owner long, key string, value double, at long, seq long")
+    defaults = {"a": 0.0, "b": 0.0}
+    owners = preferences.changed(log, F.lit(4), defaults)
+    assert sorted(r.owner for r in owners.collect()) == [1, 4]
+    compute = lambda who, state: preferences.parameters(state, defaults).join(who, "owner", "left_semi").select("owner", (F.col("a") * 10 + F.col("b")).alias("x"))
+    every, early, path = log.select("owner").distinct(), log.filter("at <= 4"), f"{tmp_path}/t"
+    preferences.write(compute(every, early), path, 2)
+    preferences.refresh(spark, path, owners, lambda who: compute(who, log), 2)
+    got = sorted((r.owner, r.x) for r in spark.read.parquet(path).collect())
+    want = sorted((r.owner, r.x) for r in compute(every, log).collect())
+    assert got == [r for r in want if r[0] != 5] and (5, 0.0) in want
+    touched = glob.glob(f"{path}/bucket=*/*.parquet")
+    preferences.refresh(spark, path, owners.limit(0), lambda who: compute(who, log), 2)
+    assert glob.glob(f"{path}/bucket=*/*.parquet") == touched
 
 
 def _plain_blocks(html):

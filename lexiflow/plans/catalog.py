@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import scores as S
+from lexiflow.functions import tables as TF
 from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import clips, layers, matching, preferences, punkt, spans, tagging
+from lexiflow.operators import clips, hmm, layers, matching, preferences, punkt, spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import sql as Q
 from lexiflow.sources import cache
@@ -424,6 +425,12 @@ def page_bold_spans(spark, d):
     return spans.page_spans(H.bold_blocks(_trees(spark, d)), page_keywords(spark, d), ids=ids)
 
 
+@_query(f"""SELECT page_id, generate_subscripts(l, 1) AS block_no, unnest(l) AS tag FROM (SELECT page_id, regexp_extract_all(html, '<({"|".join(V.BLOCK_TAGS)})(?: [^>]*)?>', 1) AS l FROM pages WHERE html IS NOT NULL)""")
+def page_outline(spark, d):
+    TF.register(spark)
+    return spark.sql("SELECT p.page_id, o.block_no, o.tag FROM {pages} p, LATERAL page_outline(p.html, 'blocks') o", pages=_pages(spark, d))
+
+
 @_query(f"""WITH {Q.PAGE_NODES} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY b, i)::BIGINT AS node_no, tag, n_chars FROM nodes
 WHERE regexp_matches(text, '[A-Za-z]')""")
 def page_nearest_blocks(spark, d):
@@ -470,6 +477,11 @@ def pos_tags(spark, d):
     return tagging.pos_tags(W.sentence_rows(_paras(spark, d)))
 
 
+@_query()
+def hmm_tags(spark, d):
+    return hmm.pos_tags(W.sentence_rows(_paras(spark, d)), _freq(spark, d))
+
+
 @_query(f"""{Q.BASE}, {Q.ENTITIES} SELECT * FROM ents""")
 def named_entities(spark, d):
     return tagging.entities(_paras(spark, d))

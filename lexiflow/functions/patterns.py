@@ -7,6 +7,7 @@ def _longest_first(parts) -> str:
     return "|".join(sorted(parts, key=len, reverse=True))
 
 
+# The patterns, their least lengths and their order.
 PATTERNS = (
     ("gene", r"\b(?:[A-Z]{2,5}\d*(?:-[A-Za-zα-ωΑ-Ω0-9]+)*|[a-z]{1,3}[A-Z]{2,4}\d*|[A-Z][a-z]{1,2}\d{1,2})\b", 2),
     ("locus", r"\b(?:\d{1,2}|[XY])[pq]\d+(?:\.\d+)?\b", 3),

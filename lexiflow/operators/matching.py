@@ -90,30 +90,6 @@ def batch_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
-def count_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term, n): hits of a document's terms in its paragraphs, joined by spaces, in lower case.
-
-    ``texts``: doc_id and paras; ``terms``: doc_id and term.  Each text meets all its terms once.
-    """
-    kinds = {"doc_id": pa.int64(), "term": pa.string(), "n": pa.int64()}
-    own = terms.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    low = F.lower(F.array_join(F.transform("paras", lambda p: p["text"]), " "))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text, wanted in read(batch):
-                n: dict[str, int] = {}
-                for _, _, term in hits(text, wanted):
-                    n[term] = n.get(term, 0) + 1
-                rows += ((doc, term, k) for term, k in n.items())
-            yield batch_of(rows, kinds)
-
-    rows = texts.select("doc_id", low.alias("text")).join(own, "doc_id").select("doc_id", "text", "terms")
-    counted = rows.mapInArrow(run, "doc_id long, term string, n long")
-    return counted.groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
-
-
 def top_terms(texts: DataFrame, scored: DataFrame, percent: float = 50) -> DataFrame:
     """(doc_id, para_idx, term, score, rank): each paragraph's best terms, the top ``percent`` of those it holds, one at least.
 

@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import Tables, chunks, free, mix
 
 SIDE, ROWS = 8, 3
+#: Keys with more than one in so many of all rows are joined by broadcasting: fewer than so many.
+HOT = 2000
 #: A block's members, and their shingles together, in expectation; parts of a leader's members in joins.
 BLOCK, BLOCK_SHINGLES, SALTS = 256, 1 << 20, 16
 
@@ -190,6 +192,23 @@ def _verified(placed: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
+def _apart(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``by_key`` (key, others, size: a row for each key, and its rows), keys with many rows apart.
+
+    A key with more than one in ``HOT`` of ``total`` rows is one of fewer than ``HOT`` such keys: these are broadcast, and their rows go on evenly
+    dealt, whichever key a third of all rows has.  The others meet by a merge join.
+    """
+    values = [c for c in by_key.columns if c not in (key, "size")]
+    few = F.col("size") * HOT > total
+    value = F.struct(*values, "size")
+    hot = by_key.filter(few).select(key, value.alias("_hot"))
+    cold = by_key.filter(~few).select(F.col(key).alias("_key"), F.lit(0).alias("_part"), value.alias("_cold"))
+    own = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
+    out = rows.join(F.broadcast(hot), key, "left").withColumn("_key", own).withColumn("_part", F.when(F.col("_hot").isNull(), 0).otherwise(1))
+    out = out.hint("merge").join(cold, ["_key", "_part"], "left").withColumn("_value", F.coalesce("_hot", "_cold")).filter("_value IS NOT NULL")
+    return out.select(*rows.columns, *(F.col("_value")[c].alias(c) for c in (*values, "size")))
+
+
 def connected(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of a link.  Alternating large and small stars."""
     tables = tables or Tables(links.sparkSession, "components")
@@ -200,11 +219,11 @@ def connected(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     state = edges.agg(F.count("*"), mark).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+        large = _apart(both.filter("v > u"), least, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
         pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
-        small = large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e"))
+        small = _apart(large, least, "u", state[0]).select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e"))
         before, name = name, f"edges-{tables.number}"
         edges = tables.cut(small.select("e.u", "e.v").filter("u > v").distinct(), name)
         tables.drop(before)
@@ -222,12 +241,13 @@ def _memberships(reps: DataFrame, tables: Tables) -> DataFrame:
     pairs = [(a, b, i * SIDE + j) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[1])]
     rows = reps.select("rep", "n", F.explode(F.array(*(F.xxhash64(a, b, F.lit(t)) for a, b, t in pairs))).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = tables.cut(rows.hint("merge").join(shared, "key"), "buckets")
+    total = reps.count() * len(pairs)
+    rows = tables.cut(_apart(rows, shared, "key", total), "buckets")
     weight = rows.groupBy("rep").agg(F.sum("size").alias("weight"))
     rows = rows.hint("merge").join(weight, "rep")
     first = F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")
-    leader = rows.groupBy("key").agg(first).select("key", (-F.col("top.rep")).alias("leader"))
-    out = rows.hint("merge").join(leader, "key").select("leader", "rep", "n").distinct()
+    leader = rows.groupBy("key").agg(first, F.count("*").alias("size")).select("key", (-F.col("top.rep")).alias("leader"), "size")
+    out = _apart(rows.drop("size"), leader, "key", total).select("leader", "rep", "n").distinct()
     out = tables.cut(out, "memberships")
     tables.drop("buckets")
     return out

@@ -11,7 +11,7 @@ from lexiflow.functions import text as T
 from lexiflow.functions import values as V
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import clips, hmm, layers, matching, preferences, punkt, spans, tagging
+from lexiflow.operators import clips, hmm, layers, matching, names, preferences, punkt, spans, tagging
 from lexiflow.operators import words as W
 from lexiflow.plans import sql as Q
 from lexiflow.sources import cache
@@ -482,6 +482,27 @@ def hmm_tags(spark, d):
     return hmm.pos_tags(W.sentence_rows(_paras(spark, d)), _freq(spark, d))
 
 
+_NAMES = f"""{Q.BASE}, sents AS (SELECT doc_id, para_idx, unnest(s) AS sentence, generate_subscripts(s, 1) AS k FROM (SELECT *, {Q.sentences('text')} AS s FROM paras)),
+raws AS (SELECT doc_id, para_idx, k, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split_regex(sentence, '\\s+') AS l FROM sents)),
+cleaned AS (SELECT *, regexp_replace(raw, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g') AS w FROM raws),
+placed_words AS (SELECT *, lower(w) AS word, regexp_matches(w, '^[A-Z][a-z]') AS capital, lag(w) OVER p AS last_w, lag(raw) OVER p AS last_raw FROM cleaned WINDOW p AS (PARTITION BY doc_id, para_idx, k ORDER BY i)),
+befores AS (SELECT *, CASE WHEN capital AND regexp_matches(last_w, '^[A-Z][a-z]') AND regexp_matches(last_raw, '[A-Za-z]$') AND regexp_matches(raw, '^[A-Za-z]') THEN lower(last_w) END AS before FROM placed_words WHERE w <> ''),
+name_words AS (SELECT word, count(*) FILTER (WHERE i > 1) AS n_inside, count(*) FILTER (WHERE i > 1 AND capital) AS n_capital, count(*) FILTER (WHERE capital) AS n_seen FROM befores GROUP BY word HAVING n_capital > 0 AND 2 * n_capital >= n_inside)"""
+
+
+@_query(f"""{_NAMES} SELECT * FROM name_words""")
+def name_words(spark, d):
+    return names.name_words(W.sentence_rows(_paras(spark, d)))
+
+
+@_query(f"""{_NAMES}, together AS (SELECT p.before, p.word FROM (SELECT before, word, count(*) AS n FROM befores WHERE before IS NOT NULL GROUP BY ALL) p JOIN name_words a ON a.word = p.before JOIN name_words b ON b.word = p.word WHERE {names.TOGETHER} * p.n >= least(a.n_seen, b.n_seen)),
+runs AS (SELECT b.*, sum(CASE WHEN t.word IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, para_idx, k ORDER BY i) AS run FROM befores b LEFT JOIN together t ON t.before = b.before AND t.word = b.word WHERE capital),
+found AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS term FROM runs GROUP BY doc_id, para_idx, k, run HAVING count(*) >= {names.LEAST})
+SELECT doc_id, term, count(*)::BIGINT AS n FROM found GROUP BY ALL""")
+def learnt_names(spark, d):
+    return names.names(W.sentence_rows(_paras(spark, d)))
+
+
 @_query(f"""{Q.BASE}, {Q.ENTITIES} SELECT * FROM ents""")
 def named_entities(spark, d):
     return tagging.entities(_paras(spark, d))

@@ -21,7 +21,7 @@ from lexiflow.functions import values as V
 from lexiflow.operators import clips, hmm
 from lexiflow.operators import keywords as K
 from lexiflow.operators import lexicon as L
-from lexiflow.operators import layers, matching, preferences, punkt, spans, tagging, terms
+from lexiflow.operators import layers, matching, names, preferences, punkt, spans, tagging, terms
 from lexiflow.operators import words as W
 from lexiflow.plans import catalog
 from lexiflow.sources import cache
@@ -32,7 +32,7 @@ SF = "/root/testdata/sf0.001"
 #: Kinds that the tables have no rows of; golden rows below have.
 #: Queries that read other tables, and those that find nothing in the odd rows.
 OTHER_TABLES = {"cached_measures", "changed_settings", "citation_parentheticals", "debounced_events", "effective_settings", "offset_lookup", "page_hosts", "word_offsets"}
-MAY_BE_EMPTY = ("sentence_split", "page_sentence_split", "formulas", "suffix_terms", "body_paragraphs_30", "named_entities", "vocabulary_hits", "synonym_cards", "shown_cards")
+MAY_BE_EMPTY = ("learnt_names", "sentence_split", "page_sentence_split", "formulas", "suffix_terms", "body_paragraphs_30", "named_entities", "vocabulary_hits", "synonym_cards", "shown_cards")
 EMPTY = ("loci", "drugs", "page_italic_terms")
 SCIENCE = (
     "Deletions at 17p13.1 and Xq28 were found; 9q34 was not. Patients took atorvastatin, imatinib and ibuprofen.",
@@ -508,6 +508,16 @@ def test_outline_from_sql_text(spark):
         spark.sql("SELECT o.* FROM {p}, LATERAL page_outline(html, 'x') o", p=pages)
 
 
+def test_names_by_evidence(spark):
+    """A name at a sentence's beginning; a common word there is none; all capitals are none; frequent words side by side by accident are none."""
+    lines = ["Maria Lopez met the group.", "Then Maria Lopez left.", "The Group met Maria.", "THE GROUP is big.", "We saw Maria, Lopez and others.", "Then Paris came."] + ["In Paris we met Maria."] * 30 + ["One Paris Maria day."]
+    sents = spark.createDataFrame([(i, 0, 0, x) for i, x in enumerate(lines)], "doc_id long, para_idx long, sent_idx long, sentence string")
+    words = {r.word: (r.n_capital, r.n_inside) for r in names.name_words(sents).collect()}
+    assert {"maria", "lopez", "paris"} <= set(words) and not {"the", "then", "in", "we", "one"} & set(words)
+    got = {(r.doc_id, r.term) for r in names.names(sents).collect()}
+    assert {(0, "maria lopez"), (1, "maria lopez")} <= got and not {t for _, t in got} & {"the group", "paris maria", "then maria lopez"} and (4, "maria lopez") not in got
+
+
 def _plain_blocks(html):
     """(letters of a text, tag of the nearest block) by a parser that keeps its ancestors."""
     from html.parser import HTMLParser

@@ -22,12 +22,16 @@ MOST_BROADCAST = 100_000
 
 
 def typed(texts: DataFrame) -> DataFrame:
-    """(lang, word, stopped): words with a letter in lower case, without marks around; whether one full stop ends them."""
-    raw = F.explode(F.split("text", f"{T.SPACE}+", -1))
-    rows = texts.select("lang", raw.alias("raw")).select("lang", F.regexp_replace("raw", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "").alias("raw"))
+    """(lang, word, stopped, n): words with a letter in lower case, without marks around; whether one full stop ends them; how often.
+
+    Tokens are counted as they stand and looked at once each; a word may have several rows.
+    """
+    raw = F.explode(F.split("text", f"{T.JAVA_SPACE}+", -1))
+    rows = texts.select("lang", raw.alias("raw")).groupBy("lang", "raw").agg(F.count("*").alias("n"))
+    rows = rows.select("lang", "n", F.regexp_replace("raw", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "").alias("raw"))
     stopped = F.col("raw").rlike(r"[^.]\.$")
     word = F.lower(F.regexp_replace("raw", r"\.+$", ""))
-    return rows.select("lang", word.alias("word"), stopped.alias("stopped")).filter(F.col("word").rlike(r"\p{L}"))
+    return rows.select("lang", word.alias("word"), stopped.alias("stopped"), "n").filter(F.col("word").rlike(r"\p{L}"))
 
 
 def known(word: Column) -> Column:
@@ -46,7 +50,7 @@ def abbreviations(texts: DataFrame) -> DataFrame:
     less (e to the minus letters), stops inside more (by their number and one), each use without a stop less (letters to the minus
     uses).
     """
-    words = typed(texts).groupBy("lang", "word").agg(F.count("*").alias("n"), F.count_if("stopped").alias("n_stopped"))
+    words = typed(texts).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stopped"), F.col("n")).otherwise(0)).alias("n_stopped"))
     whole = words.groupBy("lang").agg(F.sum("n").alias("_all"), F.sum("n_stopped").alias("_stops"))
     rows = words.filter("n_stopped > 0").join(F.broadcast(whole), "lang")  # a row a language
     n, k = F.col("n").cast("double"), F.col("n_stopped").cast("double")
@@ -67,16 +71,19 @@ def sentences(paras: DataFrame, learnt: DataFrame) -> DataFrame:
 
     An end is a token with a stop, question or exclamation mark last, before a token that begins with no small letter.
     """
-    raw = F.split(T.trimmed(F.col("text")), f"{T.SPACE}+", -1)
-    place = lambda t, i: F.struct(i.alias("i"), t.alias("raw"), F.get(F.col("_t"), i + 1).alias("next"))
-    tokens = paras.filter(F.length("text") > 0).withColumn("_t", raw).select("lang", "doc_id", "para_idx", F.explode(F.transform("_t", place)).alias("x"))
-    ends = F.col("x.next").isNotNull() & F.col("x.raw").rlike("[.!?]$") & ~F.col("x.next").rlike("^[a-z]")
-    bare = F.regexp_replace("x.raw", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "")
-    word = F.when(F.col("x.raw").rlike(r"[^.]\.$"), F.lower(F.regexp_replace(bare, r"\.+$", "")))
-    found = tokens.filter(ends).select("lang", "doc_id", "para_idx", word.alias("word"))
+    # A token's own characters are taken at once and its last one looked back at, so a text is gone through once.
+    space, other = T.JAVA_SPACE, T.JAVA_NO_SPACE
+    end = rf"(?<!{other}){other}++(?<=[.!?])(?={space}++(?![a-z]){other})"
+    found = F.regexp_extract_all(T.trimmed(F.col("text")), F.lit(end), F.lit(0))
+    tokens = paras.filter(F.length("text") > 0).select("lang", "doc_id", "para_idx", F.explode(found).alias("raw"))
+    bare = F.regexp_replace("raw", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "")
+    word = F.when(F.col("raw").rlike(r"[^.]\.$"), F.lower(F.regexp_replace(bare, r"\.+$", "")))
+    found = tokens.select("lang", "doc_id", "para_idx", word.alias("word"))
     listed = learnt.filter("is_abbreviation").select("lang", "word", F.lit(True).alias("_is"))
-    few = len(listed.take(MOST_BROADCAST + 1)) <= MOST_BROADCAST
-    found = found.join(F.broadcast(listed) if few else listed, ["lang", "word"], "left")
+    few = listed.take(MOST_BROADCAST + 1)
+    if len(few) <= MOST_BROADCAST:  # what was looked at is not worked out again
+        listed = F.broadcast(paras.sparkSession.createDataFrame(few, listed.schema))
+    found = found.join(listed, ["lang", "word"], "left")
     counted = found.groupBy("lang", "doc_id", "para_idx").agg(F.count_if(F.col("_is").isNull()).alias("_ends"), F.count_if("_is").alias("n_joined"))
     out = paras.filter(F.length("text") > 0).select("lang", "doc_id", "para_idx").join(counted, ["lang", "doc_id", "para_idx"], "left")
     return out.select("lang", "doc_id", "para_idx", (F.coalesce("_ends", F.lit(0)) + 1).alias("n_sentences"), F.coalesce("n_joined", F.lit(0)).alias("n_joined"))

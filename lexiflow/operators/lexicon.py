@@ -60,7 +60,7 @@ def corpus_lexicon(texts: DataFrame, heads: DataFrame) -> DataFrame:
     as definitions the paragraphs after the first ones that hold it.  A source without anything is null.
     """
     words = texts.select("doc_id", F.posexplode("paras").alias("at", "p")).select(
-        "doc_id", F.col("p.para_idx").alias("para_idx"), F.transform(F.split("p.text", f"{T.SPACE}+", -1), T.letters_hyphens).alias("w")
+        "doc_id", F.col("p.para_idx").alias("para_idx"), T.cleaned_tokens(F.col("p.text")).alias("w")
     )
     pair = F.transform("w", lambda x, i: F.struct(x.alias("first"), F.get("w", i + 1).alias("second")))
     pairs = words.select(F.explode(pair).alias("x")).select("x.*").filter("first <> '' AND second <> ''").groupBy("first", "second").agg(F.count("*").alias("n"))

@@ -658,6 +658,39 @@ def test_short_lines_of_one_document(spark):
     assert time.time() - began < 30
 
 
+def test_pages_are_split_in_their_row(spark, tmp_path):
+    """page_sentence_split parses a page once and shuffles nothing; rows are those of the tables' operator, for repeated ids, too."""
+    long = "Some words of a first sentence stand here without an end. " * 3
+    hard = "Incomprehensibilities notwithstanding, institutionalization characterizes organizational responsibilities. " * 6
+    html = lambda *texts: "<main>" + "".join(f"<{t}>{x}</{t}>" for t, x in texts) + "</main>"
+    pages = [
+        (1, html(("p", hard), ("p", long), ("p", hard + "More."), ("p", "Short. One.")), "u"), (2, html(("li", hard), ("p", hard[:90] + " And. More")), "u"),
+        (3, html(("p", "x y. Z"), ("p", hard)), "u"), (3, html(("p", hard), ("p", hard)), "u"), (None, html(("p", hard)), "u"), (4, None, "u"),
+    ]
+    spark.createDataFrame(pages, "page_id long, html string, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.queries()["page_sentence_split"](spark, str(tmp_path))
+    trees = H.page_trees(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    paras = lambda df: df.selectExpr("page_id AS doc_id", "node_ord AS para_idx", "text")
+    plain = W.sentence_split(paras(H.paragraph_elements(trees)), S.paragraph_scores(paras(H.page_paragraphs(trees))))
+    wanted = collections.Counter((r.doc_id, r.para_idx, r.sent_idx, r.sentence) for r in plain.collect())
+    number = {d: {p: i for i, p in enumerate(sorted({p for e, p, *_ in wanted if e == d}), 1)} for d, *_ in wanted}
+    wanted = collections.Counter({(d, number[d][p], i, x): n for (d, p, i, x), n in wanted.items()})
+    assert collections.Counter(map(tuple, got.collect())) == wanted and {d for d, *_ in wanted} == {1, 2, 3}
+    plan = W.sentence_split_rows(H.split_texts(trees))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("text", ["", "  ", "A b.c, (rhythm) e!e\t tsk -- ... ?", "x\u00a0y\u2003I\u0130 \u03a3\u03a3 \u00e9\u00e0. Ok", "Mr. Jones (who?) said, e.g. this: no! Yes"])
+def test_counts_of_whole_texts_are_those_of_words(spark, text):
+    df = spark.createDataFrame([(text,)], "text string")
+    words = F.filter(T.tokens(F.col("text")), lambda w: w != "")
+    syllables = F.aggregate(words, F.lit(0), lambda a, w: a + S.syllables_paragraph(w))
+    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(F.regexp_replace(w, "[.,!?()]", "")))
+    n, s, k = df.select(F.size(words), syllables, letters).first()
+    rows = S.paragraph_scores(df).select("syllable_density", "avg_word_len", "avg_sent_len", "sentence_count", "action", S.action(F.col("text")).alias("own")).collect()
+    assert [(r[0], r[1], r[2] * r[3], r.action) for r in rows] == ([(s / n, k / n, n, rows[0].own)] if n else [])
+
+
 def test_frequent_words_do_not_meet_in_one_task(spark, monkeypatch):
     """A third of all rows have one word; with joins' skew handling off no task has more than a small multiple of the others."""
     rows = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'photosynthesis', concat('w', id)) AS word")

@@ -436,6 +436,23 @@ def test_cached_analyses(spark, tmp_path):
     assert rows(last.run(src)) == [(1, 3, 2), (2, 1, 1), (4, 3, 2), (5, 3, 1)] and last.analysed == 1
 
 
+def test_measures_go_through_a_text_once(spark):
+    """White space is collapsed in one pass for words and sentences; rows with odd white space and abbreviations are as ever."""
+    texts = [
+        "", " ", "\t\n ", "One two.  Three\u00a0 four", " a\u2003 b\t\tc ", "See Fig. Two and approx. Three, approximately. Four e.g. Five i.e. Six", "Dr. Who. VS. V. Al. Also. Etc.\nNo. Yes",
+        "x\x01y. \x01Z", "\ufeffA.  \x0b B", "a \u2028. B", "Saturday. Sat. Sunday. novo. No.B",
+    ]
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "digest string, text string")
+    got = {int(r.digest): (r.n_tokens, r.n_sentences) for r in catalog.measures(df).collect()}
+    blank, short = re.compile(f"{T.SPACE}+"), re.compile(rf"(^| )({'|'.join(V.ABBREVIATIONS)})\.", re.I | re.A)
+    for i, text in enumerate(texts):
+        x = blank.sub(" ", text).strip(" ")
+        parts = re.sub("([.!?]) ([^a-z ])", "\\1\x02\\2", short.sub("\\1\\2\x01", x)).split("\x02")
+        assert got[i] == (len(x.split(" ")) if x else 0, sum(p != "" for p in parts)), text
+    plan = catalog.measures(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3 and "translate(" not in plan
+
+
 def test_settings_that_change_recompute_their_owners(spark, tmp_path):
     log = [(1, "a", 1.0, 1, 1), (1, "a", 2.0, 5, 2), (2, "a", 3.0, 1, 3), (2, "a", 4.0, 6, 4), (2, "a", 3.0, 7, 5), (3, "b", 9.0, 2, 6), (3, "zz", 1.0, 8, 7), (4, "b", 1.0, 9, 8), (5, "a", 0.0, 9, 9)]
     log = spark.createDataFrame(log, "owner long, key string, value double, at long, seq long")

@@ -8,9 +8,11 @@ import os
 import random
 import re
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -851,6 +853,36 @@ def test_partition_count_does_not_matter(spark):
     assert a == sorted(map(tuple, K.keyword_scores(paras.repartition(7), freq, vocab).collect()))
 
 
+class _Batches:
+    """Stands for a table: gives the function that a task would run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_token_counts_hold_so_much_at_most(monkeypatch):
+    """What is held is bounded by bytes, not by tokens alone: 100 MB of long tokens, no two alike, are given away on the way."""
+    long = lambda i: f"{i:07}".translate(str.maketrans("0123456789", "abcdefghij")) * 15_000
+    batches = (pa.RecordBatch.from_arrays([pa.array([long(i)])], ["text"]) for i in range(1000))
+    run, seen = terms.token_counts(_Batches()), 0
+    tracemalloc.start()
+    for batch in run(batches):
+        seen += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 1000 and peak < 150e6
+    texts = ["One two,two a-b 's " * 9 + "\u00e9t\u00e9\u2003x" + "y" * 70, None, "", "... 12 \t", "Two\u00a0one\x0bb\n" * 30]
+    plain = collections.Counter(x for t in texts for raw in re.split(f"{T.SPACE}+", t or "") if (x := re.sub("[^a-zA-Z'-]", "", raw).lower()))
+    for counted, part, read in ((10**6, 10**6, 10**6), (3, 10**6, 10**6), (10**6, 7, 10**6), (10**6, 7, 40), (2, 1, 1)):
+        for name, value in (("_COUNTED", counted), ("_PART", part), ("_READ", read)):
+            monkeypatch.setattr(terms, name, value)
+        found = collections.Counter()
+        for batch in terms.token_counts(_Batches())(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+            for r in batch.to_pylist():
+                found[r["word"]] += r["n"]
+        assert found == plain
+
+
 def test_frequency_list_ranks_every_word(spark):
     """More words than any fixed size of 50,000, of two counts, in an order that is not that of the rows."""
     letters = "abcdefghijklmnopqrst"
